@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvellum.llm import chat_format, pieces, quality, url_filter
+from corvellum.llm import chat_format, license_scan, line_templates, pieces, quality, unit_dedup, url_filter
 
-_MODULES = (url_filter, pieces, quality, chat_format)
+_MODULES = (url_filter, unit_dedup, pieces, line_templates, license_scan, quality, chat_format)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
