@@ -68,13 +68,26 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (ASCII letters lower-cased) of rows laid end to end, and the n+1 word offsets."""
+def row_slices(off: np.ndarray, most: int = 2_000_000):
+    """(begin, end) row ranges of about ``most`` bytes together, so that arrays over bytes stay small; a row is whole."""
+    begin = 0
+    while begin < len(off) - 1:
+        end = max(begin + 1, int(np.searchsorted(off, off[begin] + most, side="right")) - 1)
+        yield begin, end
+        begin = end
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray, alphanumeric: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased) of rows laid end to end, and the n+1 word offsets. Words are cut
+    at ASCII white space, or, if ``alphanumeric``, at all of ASCII but letters and digits."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     low = raw + ((raw >= 65) & (raw <= 90)) * np.uint8(32)
-    inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
+    if alphanumeric:
+        inside = (low >= 128) | ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
+    else:
+        inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = off[1:-1]
@@ -99,6 +112,5 @@ def _powers(n: int) -> np.ndarray:
     """1, p, p^2 ... modulo 2^64, at least n of them."""
     global _POWERS
     while len(_POWERS) < n:
-        top = _POWERS[-1] * _P3
-        _POWERS = np.concatenate([_POWERS, _POWERS * top])
+        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * _P3)])
     return _POWERS
