@@ -21,6 +21,9 @@ SMOOTHING = 1.0
 #: Mean log ratio per n-gram below which a document is rejected. Trusted prose lies near +0.07, its 1st percentile
 #: over 0; shouting, tables and symbol noise lie under -0.12.
 THRESHOLD = -0.1
+#: Trusted documents that the target model is counted from at most: those with the smallest hashes of doc_id. Only
+#: this sample is bounded, so that its ids can be broadcast; the raw model covers every document.
+TRUSTED_LIMIT = 50_000
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
@@ -70,7 +73,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     a = docs.withColumn("__words__", words(F.col(text_col)))
     a = a.withColumn("__lines__", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
     a = a.withColumn("n_words", F.size("__words__").cast("long"))
-    a = a.withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
+    a = a.withColumn("word_chars", F.aggregate("__words__", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
     a = a.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
     a = a.withColumn("n_dup_lines", (F.size("__lines__") - F.size(F.array_distinct("__lines__"))).cast("long"))
     a = with_repeats(a.drop("__lines__"))
@@ -80,11 +83,13 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> DataFrame:
     """One row, one array of BUCKETS doubles: the log of trusted over raw probability of each bucket, in order.
 
-    ``trusted`` has a doc_id for each trusted document. Counts shrink to at most 2 * BUCKETS rows in a task before
+    ``trusted`` has a doc_id for each trusted document; `TRUSTED_LIMIT` of them are used, which bounds what is
+    broadcast, so texts are counted where they are read. Counts shrink to at most 2 * BUCKETS rows in a task before
     they are shuffled, so frequent n-grams make no skew, and buckets that no text has keep the ratio of no evidence.
     """
-    flag = trusted.select("doc_id", F.lit(1).alias("t")).distinct()
-    a = docs.select("doc_id", words(F.col(text_col)).alias("__words__")).join(flag, "doc_id", "left")
+    some = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_LIMIT)
+    flag = some.select("doc_id", F.lit(1).alias("t"))
+    a = docs.select("doc_id", words(F.col(text_col)).alias("__words__")).join(F.broadcast(flag), "doc_id", "left")
     a = with_buckets(a).select(F.explode("__buckets__").alias("b"), F.coalesce("t", F.lit(0)).alias("t"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     counts = a.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
