@@ -10,7 +10,7 @@ reach the tasks as a scalar subquery, whatever the size of the corpus. Counts co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.llm.common import WORD, table, words
@@ -27,44 +27,50 @@ TRUSTED_LIMIT = 50_000
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
-def with_buckets(docs: DataFrame) -> DataFrame:
-    """``docs`` with __buckets__: bucket numbers of all n-grams of the array __words__.
+def with_ngrams(docs: DataFrame) -> DataFrame:
+    """``docs`` with __one__ and __two__: hashes of the single words and of the pairs of the array __words__."""
+    a = docs.withColumn("__one__", F.transform("__words__", lambda x: F.xxhash64(F.substring(x, -ENDING, ENDING))))
+    n = F.greatest(F.size("__one__") - 1, F.lit(0))
+    return a.withColumn("__two__", F.zip_with(F.slice("__one__", 1, n), F.slice("__one__", 2, n), lambda x, y: F.xxhash64(x, y)))
 
-    Arrays that a lambda looks into are columns of their own here and below: an expression in their place would be
-    worked out anew for every element.
-    """
-    a = docs.withColumn("__ends__", F.transform("__words__", lambda x: F.xxhash64(F.right(x, F.lit(ENDING)))))
-    ends = F.col("__ends__")
-    pairs = F.zip_with(ends, F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0))), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
-    hashes = F.concat(ends, F.filter(pairs, lambda h: h.isNotNull()))
-    return a.withColumn("__buckets__", F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))).drop("__ends__")
+
+def bucket(h: Column) -> Column:
+    """Bucket of a hash."""
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, worked out once: a lambda that looks into an array must not hold the array's expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def with_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_repeat_words: words within five-word windows that the text has twice or more, first included.
+def repeated_words(w: Column) -> Column:
+    """Words within five-word windows that the text has twice or more, the first included.
 
     Windows are compared by 64-bit hash. Most texts have no equal ones, which a hash set shows; in the others sorting
     brings equal ones together, and their places, in order, give the words they cover.
     """
-    a = docs.withColumn("__hash__", F.transform("__words__", lambda x: F.xxhash64(x)))
-    h = F.col("__hash__")
-    runs = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
-    a = a.withColumn("__runs__", F.when(F.size(h) > WINDOW, runs).otherwise(F.array().cast("array<bigint>")))
-    r = F.col("__runs__")
-    twice = F.size(F.array_distinct(r)) < F.size(r)
-    placed = F.sort_array(F.transform(r, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    a = a.withColumn("__placed__", F.when(twice, placed))
-    p = F.col("__placed__")
-    same = lambda x, i: (F.get(p, i)["h"] == x["h"])
-    at = F.transform(p, lambda x, i: F.when(F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)), x["i"]))
-    covered = F.aggregate(
-        F.sort_array(F.filter(at, lambda i: i.isNotNull())),
-        F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
-        lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")),
-        lambda s: s["n"],
-    )
-    a = a.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return a.drop("__hash__", "__runs__", "__placed__")
+
+    def runs(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+        return F.when(F.size(h) > WINDOW, each).otherwise(F.array().cast("array<bigint>"))
+
+    def covered(p: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(p, i)["h"] == x["h"], F.lit(False))
+        at = F.transform(p, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"]))
+        return F.aggregate(
+            F.sort_array(F.filter(at, lambda i: i.isNotNull())),
+            F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+            lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")),
+            lambda s: s["n"],
+        )
+
+    def count(r: Column) -> Column:
+        placed = F.sort_array(F.transform(r, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(r)) < F.size(r), _let(placed, covered)).otherwise(F.lit(0))
+
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    return _let(_let(hashes, runs), count).cast("long")
 
 
 def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,7 +82,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     a = a.withColumn("word_chars", F.aggregate("__words__", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
     a = a.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
     a = a.withColumn("n_dup_lines", (F.size("__lines__") - F.size(F.array_distinct("__lines__"))).cast("long"))
-    a = with_repeats(a.drop("__lines__"))
+    a = a.drop("__lines__").withColumn("n_repeat_words", repeated_words(F.col("__words__")))
     return a.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
@@ -90,7 +96,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> D
     some = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_LIMIT)
     flag = some.select("doc_id", F.lit(1).alias("t"))
     a = docs.select("doc_id", words(F.col(text_col)).alias("__words__")).join(F.broadcast(flag), "doc_id", "left")
-    a = with_buckets(a).select(F.explode("__buckets__").alias("b"), F.coalesce("t", F.lit(0)).alias("t"))
+    a = with_ngrams(a).select(F.explode(F.concat("__one__", "__two__")).alias("h"), F.coalesce("t", F.lit(0)).alias("t"))
+    a = a.select(bucket(F.col("h")).alias("b"), "t")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     counts = a.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     counts = every.join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
@@ -110,8 +117,9 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     given = [c for c in docs.columns if c not in made]
     a = base_measures(docs.select(*[docs[f"`{c}`"] for c in given]), text_col)
-    a = with_buckets(a).withColumn("__ratio__", log_ratios(docs, trusted, text_col).scalar())
-    total = F.aggregate("__buckets__", F.lit(0.0), lambda s, x: s + F.get(F.col("__ratio__"), x))
+    a = with_ngrams(a).withColumn("__ratio__", log_ratios(docs, trusted, text_col).scalar())
+    add = lambda s, h: s + F.get(F.col("__ratio__"), bucket(h))
+    total = F.aggregate("__two__", F.aggregate("__one__", F.lit(0.0), add), add)
     a = a.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0)))
     a = a.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return a.select(*[F.col(f"`{c}`") for c in given], *made)
