@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_shared_checkpoints(spark: SparkSession) -> None:
-    """Let checkpoint() write to the shared folder the cluster names; a local one only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvellum-ckpt-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as the cluster names it; a local one of our own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="corvellum-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def words(text: Column) -> Column:
@@ -33,7 +35,8 @@ def words(text: Column) -> Column:
 
 def chained(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The same rows behind a reliable checkpoint, so a lost executor costs one stage and plans stay short."""
-    use_shared_checkpoints(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -125,6 +125,13 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     return a.select(*[F.col(f"`{c}`") for c in given], *made)
 
 
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that `judge_quality` rejects."""
+    # The row number is there to keep the condition above the measures: pushed below, it would work them out twice.
+    judged = judge_quality(docs, trusted, threshold, text_col).withColumn("__row__", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row__") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the labels call good."""
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")

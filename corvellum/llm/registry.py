@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from corvellum.llm import chat_format, decontaminate, license_scan, line_templates, order_minhash, pieces, quality, suffix_dedup, unit_dedup, url_filter
 
 _MODULES = (url_filter, unit_dedup, decontaminate, pieces, line_templates, license_scan, order_minhash, quality, chat_format, suffix_dedup)
 
-QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
