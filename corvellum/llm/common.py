@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +42,12 @@ def chained(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that ended in a checkpoint: it does so once their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of steps that ended in a checkpoint: it does so once their plans are collected,
+    on this side first; the JVM hears of that with a delay, hence the second call."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 # ---- byte-level hashing of whole Arrow string columns ---------------------------------------------------------
