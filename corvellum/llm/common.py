@@ -82,8 +82,8 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def row_slices(off: np.ndarray, most: int = 2_000_000):
-    """(begin, end) row ranges of about ``most`` bytes together, so that arrays over bytes stay small; a row is whole."""
+def row_slices(off: np.ndarray, most: int = 200_000):
+    """(begin, end) row ranges of about ``most`` bytes together, so that arrays over bytes stay in the cache; a row is whole."""
     begin = 0
     while begin < len(off) - 1:
         end = max(begin + 1, int(np.searchsorted(off, off[begin] + most, side="right")) - 1)

@@ -20,7 +20,7 @@ from corvellum.llm.common import chained, mix, release, row_slices, string_bytes
 LENGTH, KMER = 100, 40
 SPAN = LENGTH - KMER + 1
 #: Text of whole minimizers that one suffix array takes together, in bytes.
-PART_BYTES = 1_000_000
+PART_BYTES = 150_000
 #: Rounds of naming after which names cover LENGTH bytes or more (3, 9, 27, 81, 243).
 ROUNDS = 5
 _R = np.uint64(0x9E3779B97F4A7C15)
