@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from corvellum.plans.flagship import QUERIES as _FLAGSHIP
-from corvellum.plans.flagship import SQL as _FLAGSHIP_SQL
+from corvellum.plans import flagship, statistics
+from corvellum.plans.sqlplan import duck, from_sql
 
-QUERIES = {**_FLAGSHIP}
-SQL = {**_FLAGSHIP_SQL}
+_BOTH = {"paired_brand_effects": flagship.PAIRED_BRAND_EFFECTS, **statistics.SQL}
+
+QUERIES = {name: from_sql(text) for name, text in _BOTH.items()}
+SQL = {name: duck(text) for name, text in _BOTH.items()}

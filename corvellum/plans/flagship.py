@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from corvellum.plans.sqlplan import from_sql
-
 PAIRED_BRAND_EFFECTS = """
 WITH cell AS (
   SELECT s_nationkey AS sample, l_linestatus AS condition, p_type AS ptype, p_brand AS feature, l_quantity AS value
@@ -35,6 +33,3 @@ SELECT ptype, feature, n_pairs, round(m, 6) AS log2fc,
        round(m / nullif(s / sqrt(CAST(n_pairs AS DOUBLE)), CAST(0 AS DOUBLE)), 6) AS t_stat, n_pairs - 1 AS df
 FROM test WHERE n_pairs >= 3
 """
-
-QUERIES = {"paired_brand_effects": from_sql(PAIRED_BRAND_EFFECTS)}
-SQL = {"paired_brand_effects": PAIRED_BRAND_EFFECTS}
