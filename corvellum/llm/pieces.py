@@ -17,9 +17,9 @@ from corvellum.llm.common import table
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words kept with their ids in a Python worker; beyond it the cache starts anew, so memory stays bounded.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: Texts that one round of array operations takes together, in characters.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 
 
 class PieceCodec:
