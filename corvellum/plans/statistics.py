@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corvellum.functions.sqltext import num
-from corvellum.operators import compare, enrich, inference, matrix, records
+from corvellum.operators import compare, enrich, inference, matrix, prose_checks, records
 from corvellum.plans.sqlplan import fill
 
 # Units are suppliers, features brands, samples nations, batches regions, conditions line statuses.
@@ -40,6 +40,8 @@ _ratings = fill(records.ratings(), rollup=f"SELECT *, CASE WHEN grp = 'compare'
 _panel = "SELECT 'T1' AS cell_type, 'Brand#11' AS gene, '+' AS sign UNION ALL SELECT 'T1', 'Brand#12', '+' UNION ALL SELECT 'T1', 'Brand#13', '-' UNION ALL SELECT 'T2', 'Brand#21', '+' UNION ALL SELECT 'T2', 'Brand#22', '+' UNION ALL SELECT 'T2', 'Brand#23', '+' UNION ALL SELECT 'T2', 'Brand#11', '-'"
 _scores = fill(enrich.panel_scores(), stats=_scaled, panel=_panel)
 _overlaps = fill(enrich.overlaps(), genes=TOP_PARTS, background=PARTS, sets=BRAND_SETS)
+_wells = "SELECT s_nationkey AS plate, l_orderkey * 10 + l_linenumber AS well, CASE WHEN l_linenumber = 1 THEN 'TRUCK' WHEN l_linenumber = 2 THEN 'PROMO' ELSE 'x' END AS kind, l_quantity AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
+_plates = "SELECT l_suppkey % 7 AS plate, p_size % 8 AS r, l_linenumber AS c, avg(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey % 7, p_size % 8, l_linenumber"
 _numbers = "SELECT row_number() OVER (ORDER BY p_partkey) AS i FROM part"
 _lf = enrich.log_factorials("1000000", f"({_numbers}) k")
 _labels = "SELECT label AS a, CAST(floor((embedding[{i}] + 3) * 2) AS INT) AS b FROM embeddings"
@@ -115,6 +117,19 @@ SQL = {
     "set_score": fill(enrich.set_scores(5), grid=_grid, sets="SELECT DISTINCT p_type AS term, p_brand AS feature_id FROM part WHERE p_size < 5"),
     "panel_score": _scores,
     "call_tiers": fill(enrich.called_types(), scores=f"SELECT s.*, CAST(20 AS BIGINT) AS n_cells FROM ({_scores}) s"),
+    # checkpoints told in words
+    "intake_checks": fill(prose_checks.intake(), grid="SELECT doc_id AS unit_id, lang AS feature_id, CASE WHEN n_chars > 500 THEN CAST(n_chars AS DOUBLE) END AS value FROM documents"),
+    "quality_flags": fill(prose_checks.quality_flags(), samples="SELECT user_id AS sample, sum(value) AS total, CAST(count(DISTINCT event_type) AS DOUBLE) AS seen, median(value) AS mid FROM events GROUP BY user_id"),
+    "size_factors": fill(prose_checks.size_factors(), expr="SELECT c_nationkey AS unit_id, c_mktsegment AS feature_id, sum(c_acctbal + 1000) AS value FROM customer GROUP BY c_nationkey, c_mktsegment", units="SELECT DISTINCT c_nationkey AS unit_id FROM customer"),
+    "quantile_normalise": fill(prose_checks.quantile_normalised(), grid=_grid),
+    "percent_of_control": fill(prose_checks.percent_of_control("TRUCK"), wells=_wells),
+    "z_prime": fill(prose_checks.z_prime("TRUCK", "PROMO"), wells=_wells),
+    "b_scores": fill(prose_checks.b_scores(), grid=_plates),
+    "edge_effect": fill(prose_checks.edge_effect(), grid=_plates),
+    "guide_coverage": fill(prose_checks.guide_coverage(), guides="SELECT l_returnflag AS sample, l_partkey AS guide, sum(l_quantity) AS reads FROM lineitem GROUP BY l_returnflag, l_partkey"),
+    "names_usable": fill(prose_checks.names_usable(), a="SELECT lower(p_brand) AS id FROM part UNION ALL SELECT 'none such'", b="SELECT p_brand AS id FROM part"),
+    "condition_followers": fill(prose_checks.followers(0.4), rows="SELECT p_type AS grp, l_linestatus AS condition FROM lineitem JOIN part ON l_partkey = p_partkey"),
+    "highest_variance": "SELECT feature_id, " + "round(var_pop(value), 6) AS v FROM (" + _grid + ") g GROUP BY feature_id ORDER BY v DESC, feature_id LIMIT 10",
     # records, ledgers, consistency of reported numbers
     "status_rollup": _rollup,
     "rating": _ratings,
