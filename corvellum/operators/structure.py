@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvellum-ckpt-"))
@@ -107,7 +107,7 @@ def nearest(vec: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     Blocks of rows meet blocks of rows; a pair of blocks gives at most k rows for each query, so what is shuffled is
     queries times blocks times k, not pairs.
     """
-    blocks = _kept(_blocks(vec, block))
+    blocks = kept(_blocks(vec, block))
 
     def run(batches):
         for frame in batches:
@@ -130,7 +130,7 @@ def silhouette(vec: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFra
     """(id, silhouette) by Euclidean distances; ``labels`` is (id, label). Blocks add sums of distances per label."""
     v = vec.join(labels, "id").select("id", "label", "v")
     n = max(1, -(-v.count() // block))
-    rows = _kept(v.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), F.struct("id", "label", "v").alias("x")).groupBy("b").agg(F.collect_list("x").alias("rows")))
+    rows = kept(v.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), F.struct("id", "label", "v").alias("x")).groupBy("b").agg(F.collect_list("x").alias("rows")))
 
     def run(batches):
         for frame in batches:
@@ -175,12 +175,12 @@ def shared_neighbour_graph(neighbours: DataFrame) -> DataFrame:
 
 def graph_components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, component) by least labels and their labels, until nothing moves."""
-    e = _kept(edges.select("src", "dst").distinct())
-    label = _kept(ids.select("id", F.col("id").alias("component")))
+    e = kept(edges.select("src", "dst").distinct())
+    label = kept(ids.select("id", F.col("id").alias("component")))
     while True:
         near = e.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         low = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        new = _kept(low.join(label.select(F.col("id").alias("low"), F.col("component").alias("far")), "low").select("id", "component", F.least("low", "far").alias("new")))
+        new = kept(low.join(label.select(F.col("id").alias("low"), F.col("component").alias("far")), "low").select("id", "component", F.least("low", "far").alias("new")))
         moved = new.where("new < component").limit(1).count()
         label = new.select("id", F.col("new").alias("component"))
         if not moved:
@@ -199,10 +199,10 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, see
 
     Edges stay distributed; a round is one aggregation of edges by unit and cluster and joins on the two keys.
     """
-    e = _kept(edges.where("src <> dst"))
+    e = kept(edges.where("src <> dst"))
     total = e.agg(F.sum("weight")).first()[0] or 1.0
-    k = _kept(e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
-    label = _kept(k.select("id", F.col("id").alias("c"), "k"))
+    k = kept(e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
+    label = kept(k.select("id", F.col("id").alias("c"), "k"))
     for r in range(rounds):
         mass = label.groupBy("c").agg(F.sum("k").alias("mass"))
         to = e.join(label.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
@@ -211,7 +211,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, see
         g = to.join(own, "id").join(mass, "c").withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / total, 12))
         best = g.groupBy("id", "now", "k").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"))
         may = F.pmod(F.xxhash64(F.lit(seed), F.lit(r), "id"), F.lit(2)) == 0
-        new = _kept(best.select("id", F.when(may | F.lit(r >= rounds - 2) & (F.col("best") < F.col("now")), F.col("best")).otherwise(F.col("now")).alias("c"), "now", "k"))
+        new = kept(best.select("id", F.when(may | F.lit(r >= rounds - 2) & (F.col("best") < F.col("now")), F.col("best")).otherwise(F.col("now")).alias("c"), "now", "k"))
         moved = new.where("c <> now").limit(1).count()
         label = new.select("id", "c", "k")
         if not moved and r % 2:
