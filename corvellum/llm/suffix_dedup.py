@@ -21,6 +21,9 @@ LENGTH, KMER = 100, 40
 SPAN = LENGTH - KMER + 1
 #: Text of whole minimizers that one suffix array takes together, in bytes.
 PART_BYTES = 150_000
+#: Windows that a task remembers to have sent, and spans that it gathers before it passes them on.
+SENT = 200_000
+_COLUMNS = ["id", "key", "place", "x"]
 #: Rounds of naming after which names cover LENGTH bytes or more (3, 9, 27, 81, 243).
 ROUNDS = 5
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +48,7 @@ def suffix_order(t: np.ndarray, rounds: int) -> np.ndarray:
     one, two = place[place % 3 == 1], place[place % 3 == 2]
     sample = np.concatenate([one, two])
     key = _packed(s[sample], s[sample + 1], s[sample + 2])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.append(True, key[order][1:] != key[order][:-1])
     name = np.empty(len(sample), np.int64)
     name[order] = np.cumsum(fresh)
@@ -57,7 +60,7 @@ def suffix_order(t: np.ndarray, rounds: int) -> np.ndarray:
     sampled = sample[order]
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(_packed(s[rest], rank[rest + 1]), kind="stable")]
+    rest = rest[np.argsort(_packed(s[rest], rank[rest + 1]))]
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     both = _packed(np.concatenate([s[rest], s[ones]]), np.concatenate([rank[rest + 1], rank[ones + 1]]))
     before = np.searchsorted(np.sort(both[len(rest) :]), both[: len(rest)])
@@ -84,6 +87,8 @@ def _packed(*columns: np.ndarray) -> np.ndarray:
 def repeated_starts(texts: list[bytes], starts: list[int], first: list[tuple[int, int]]) -> list[np.ndarray]:
     """For each of different windows, given as text and number of starts from its first byte on: whether the run at
     each start also starts earlier in another window, or in this one; ``first`` has each window's earliest place."""
+    if not texts:
+        return []
     size = np.array([len(x) + 1 for x in texts])
     begin = np.cumsum(size) - size
     raw = np.frombuffer(b"\0".join(texts) + b"\0" * 9, np.uint8)
@@ -166,52 +171,78 @@ def _all_windows(docs: DataFrame) -> DataFrame:
 
 
 def _window_texts(placed: DataFrame) -> DataFrame:
+    """Windows with their text, equal ones combined before they move: one that a task has sent from an earlier place
+    is a repeat from end to end, so only its span goes on, as a row without text."""
+
     def run(batches):
+        import xxhash
+
+        sent: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             raw, off = string_bytes(batch.column(1))
-            ids, keys, places, texts = [], [], [], []
-            data = raw.tobytes()
-            for i, (doc, held) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for w in held:
-                    lo, n = w["place"] >> 32, (w["place"] & 0xFFFFFFFF) >> 1
-                    ids.append(doc), keys.append(w["key"]), places.append(w["place"])
-                    texts.append(data[off[i] + lo : off[i] + lo + n + LENGTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.binary())], names=["id", "key", "place", "x"])
+            held = batch.column(2)
+            w = held.flatten()
+            doc = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
+            ids, place = batch.column(0).to_numpy()[doc], w.field(1).to_numpy()
+            size = ((place & 0xFFFFFFFF) >> 1) + LENGTH - 1
+            for a in range(0, len(w), 4096):
+                part = slice(a, a + 4096)
+                ends = np.append(0, np.cumsum(size[part])).astype(np.int32)
+                spot = np.repeat(off[doc[part]] + (place[part] >> 32) - ends[:-1], size[part]) + np.arange(ends[-1])
+                data = raw[spot].tobytes()
+                cut = ends.tolist()
+                known = np.zeros(len(cut) - 1, bool)
+                for i, (x, y, at) in enumerate(zip(cut[:-1], cut[1:], zip(ids[part].tolist(), (place[part] >> 32).tolist(), strict=True), strict=True)):
+                    digest = xxhash.xxh3_128_digest(data[x:y])
+                    first = sent.get(digest)
+                    if first is None or at < first:
+                        sent[digest] = at
+                    else:
+                        known[i] = at != first
+                if len(sent) > SENT:
+                    sent.clear()
+                x = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                keep = pa.array(~known)
+                key, where, who = w.field(0).slice(a, 4096), w.field(1).slice(a, 4096), pa.array(ids[part])
+                yield pa.RecordBatch.from_arrays([who, key, where, x], names=_COLUMNS).filter(keep)
+                if known.any():
+                    begin = place[part][known] >> 32
+                    span = pa.array((begin << 32) | (begin + size[part][known]))
+                    lone = pa.array(ids[part][known])
+                    yield pa.RecordBatch.from_arrays([lone, pa.array(mix(ids[part][known].view(np.uint64)).view(np.int64)), span, pa.nulls(len(lone), pa.binary())], names=_COLUMNS)
 
     return placed.mapInArrow(run, "id long, key long, place long, x binary")
 
 
 class _Part:
-    """Windows of some minimizers, equal ones once, and where each lies."""
+    """Windows of some minimizers: each text once, with its earliest place. Later places of a text are known to be
+    repeats from end to end, so what is held doesn't grow with them."""
 
     def __init__(self):
-        self.held: dict[bytes, list[tuple[int, int]]] = {}
+        self.held: dict[bytes, tuple[int, int]] = {}
+        self.found: list[tuple[int, int]] = []
         self.bytes = 0
 
     def add(self, x: bytes, doc: int, lo: int) -> None:
-        where = self.held.get(x)
-        if where is None:
-            self.held[x] = [(doc, lo)]
+        first = self.held.get(x)
+        if first is None:
+            self.held[x] = doc, lo
             self.bytes += len(x)
-        else:
-            where.append((doc, lo))
-
-    def spans(self):
-        """(doc, begin, end) of removed runs."""
-        texts = list(self.held)
-        first = [min(w) for w in self.held.values()]
+        elif (doc, lo) != first:
+            late = max(first, (doc, lo))
+            self.held[x] = min(first, (doc, lo))
+            self.found.append((late[0], (late[1] << 32) | (late[1] + len(x))))
+
+    def spans(self) -> list[tuple[int, int]]:
+        """(doc, span) of removed runs."""
+        texts, first = list(self.held), list(self.held.values())
         starts = [len(x) - LENGTH + 1 for x in texts]
-        for x, flags, lead, k in zip(texts, repeated_starts(texts, starts, first), first, starts, strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-            own = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-            lead_left = True
-            for doc, lo in self.held[x]:
-                if lead_left and (doc, lo) == lead:
-                    lead_left = False
-                    for a, b in own:
-                        yield doc, lo + a, lo + b + LENGTH - 1
-                else:
-                    yield doc, lo, lo + k + LENGTH - 1
+        out = self.found
+        for (doc, lo), flags in zip(first, repeated_starts(texts, starts, first), strict=True):
+            if flags.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist()
+                out += [(doc, ((lo + a) << 32) | (lo + b + LENGTH - 1)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        return out
 
 
 def _removed(parts: DataFrame) -> DataFrame:
@@ -219,9 +250,9 @@ def _removed(parts: DataFrame) -> DataFrame:
         part, last = _Part(), None
 
         def done():
-            cols = list(zip(*part.spans(), strict=True)) if part.held else []
-            cols = cols or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([(a << 32) | b for a, b in zip(cols[1], cols[2], strict=True)], pa.int64())], names=["id", "span"])
+            cols = list(zip(*part.spans(), strict=True)) if part.held or part.found else []
+            ids, spans = cols or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64())], names=["id", "span"])
 
         for batch in batches:
             for doc, key, place, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -229,7 +260,13 @@ def _removed(parts: DataFrame) -> DataFrame:
                     yield done()
                     part = _Part()
                 last = key
-                part.add(x, doc, place >> 32)
+                if x is None:
+                    part.found.append((doc, place))
+                else:
+                    part.add(x, doc, place >> 32)
+            if len(part.found) > SENT:
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part.found], pa.int64()), pa.array([s for _, s in part.found], pa.int64())], names=["id", "span"])
+                part.found = []
         yield done()
 
     return parts.mapInArrow(run, "id long, span long")
