@@ -43,11 +43,11 @@ def chained(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps that ended in a checkpoint: it does so once their plans are collected,
-    on this side first; the JVM hears of that with a delay, hence the second call."""
-    for _ in range(2):
-        gc.collect()
+    on this side first. The JVM hears of that from a thread that wakes about once a second, hence the waiting."""
+    gc.collect()
+    for _ in range(4):
+        time.sleep(0.75)
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
 
 
 # ---- byte-level hashing of whole Arrow string columns ---------------------------------------------------------
