@@ -100,3 +100,25 @@ b AS (SELECT a.grp, a.cell_type, a.score - coalesce(c.score, {num(0)}) AS margin
 g AS (SELECT DISTINCT grp FROM {{scores}})
 SELECT g.grp, CASE WHEN b.grp IS NULL THEN 'unassigned' WHEN b.margin < {num(0.05)} OR b.negatives_on > 0 THEN 'ambiguous' ELSE b.cell_type END AS label,
  CASE WHEN b.grp IS NULL THEN 'unassigned' WHEN b.margin < {num(0.05)} OR b.negatives_on > 0 THEN 'ambiguous' WHEN b.margin >= {num(0.15)} AND b.n_cells >= 10 THEN 'confident' ELSE 'probable' END AS tier FROM g LEFT JOIN b ON g.grp = b.grp"""
+
+
+def program_usage(dominant: float = 0.5) -> str:
+    """Mean usage of programs in each type of {usage}(unit_id, ptype, program, value), as shares of the type; the
+    largest is dominant from a limit on."""
+    return f"""WITH m AS (SELECT ptype, program, avg(value) AS m FROM {{usage}} GROUP BY ptype, program),
+s AS (SELECT ptype, program, m / nullif(sum(m) OVER (PARTITION BY ptype), {num(0)}) AS share, row_number() OVER (PARTITION BY ptype ORDER BY m DESC, program) AS i FROM m)
+SELECT ptype, program, {rounded('share')} AS share, share >= {num(dominant)} AS dominant FROM s WHERE i = 1"""
+
+
+def shared_markers() -> str:
+    """Markers of each group that the panel has for its called type, over {markers}(grp, gene), {panel}(cell_type, gene,
+    sign) and {calls}(grp, label)."""
+    return "SELECT c.grp, c.label, count(p.gene) AS n_shared FROM {calls} c LEFT JOIN {markers} m ON m.grp = c.grp LEFT JOIN {panel} p ON p.cell_type = c.label AND p.sign = '+' AND upper(p.gene) = upper(m.gene) GROUP BY c.grp, c.label"
+
+
+def findings(alpha: float = 0.05) -> str:
+    """One row per type of {result}(ptype, feature, effect, padj): how many features are called up and down, the
+    strongest, and a word for how consistent they are from {consistency}(ptype, consistency)."""
+    return f"""WITH c AS (SELECT ptype, count(CASE WHEN padj < {num(alpha)} AND effect > 0 THEN 1 END) AS n_up, count(CASE WHEN padj < {num(alpha)} AND effect < 0 THEN 1 END) AS n_down FROM {{result}} GROUP BY ptype),
+t AS (SELECT ptype, feature, row_number() OVER (PARTITION BY ptype ORDER BY padj, feature) AS i FROM {{result}})
+SELECT c.ptype, c.n_up, c.n_down, t.feature AS strongest, CASE WHEN k.consistency >= {num(0.9)} THEN 'robust' WHEN k.consistency >= {num(0.7)} THEN 'sensitive' ELSE 'unstable' END AS robustness FROM c JOIN t ON c.ptype = t.ptype AND t.i = 1 LEFT JOIN {{consistency}} k ON k.ptype = c.ptype"""

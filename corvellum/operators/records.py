@@ -84,3 +84,34 @@ def spec_curve(thresholds: tuple[float, ...], drop: tuple[float, ...]) -> str:
     d = " UNION ALL ".join(f"SELECT {num(x)} AS above" for x in drop)
     return f"""WITH spec AS (SELECT threshold, above FROM ({t}) t CROSS JOIN ({d}) d)
 SELECT s.threshold, s.above, count(*) AS n, {rounded(f'avg(CASE WHEN x >= threshold THEN y END) - avg(CASE WHEN x < threshold THEN y END)', 4)} AS mean_difference FROM spec s JOIN {{rows}} r ON r.y <= s.above GROUP BY s.threshold, s.above"""
+
+
+def design_fields() -> str:
+    """Designs of {designs}(id, question, unit, comparison, outcome, decision) that leave a field blank."""
+    blank = lambda c: f"CASE WHEN trim(coalesce({c}, '')) = '' THEN '{c} ' ELSE '' END"
+    return f"SELECT id, trim(concat({', '.join(blank(c) for c in ('question', 'unit', 'comparison', 'outcome', 'decision'))})) AS missing FROM {{designs}}"
+
+
+def evidence_manifest() -> str:
+    """Rows of {evidence}(id, status, path, bytes, sha256) and why one is refused."""
+    return "SELECT id, status, CASE WHEN status NOT IN ('retrieved', 'unavailable', 'restricted', 'not attempted') THEN 'unknown status' WHEN status = 'retrieved' AND (coalesce(path, '') = '' OR bytes IS NULL OR length(coalesce(sha256, '')) <> 64) THEN 'retrieved files need path, size and hash' END AS rejected FROM {evidence}"
+
+
+def simulation_ledger() -> str:
+    """Simulations of {sims}(id, purpose, generator, parameters, n_runs, seed, outcome, guard) that say too little."""
+    return "SELECT id, CASE WHEN trim(coalesce(purpose, '')) = '' OR trim(coalesce(generator, '')) = '' OR trim(coalesce(parameters, '')) = '' OR n_runs IS NULL OR n_runs < 1 OR seed IS NULL OR trim(coalesce(outcome, '')) = '' THEN 'incomplete' WHEN trim(coalesce(guard, '')) = '' THEN 'needs what it must not be taken for' END AS rejected FROM {sims}"
+
+
+def alignment_ledger() -> str:
+    """Claims against evidence, {rows}(id, strength, alignment, note), and why a row is refused."""
+    return "SELECT id, CASE WHEN strength NOT IN ('strong', 'moderate', 'weak', 'none') THEN 'unknown strength' WHEN alignment NOT IN ('aligned', 'overstated', 'understated', 'inconsistent') THEN 'unknown alignment' WHEN alignment IN ('overstated', 'inconsistent') AND trim(coalesce(note, '')) = '' THEN 'needs a note' END AS rejected FROM {rows}"
+
+
+def symmetric_limits(center: float = 0.0) -> str:
+    """Limits of {values}(v) that lie evenly around a centre."""
+    return f"SELECT {num(center)} - max(abs(v - {num(center)})) AS low, {num(center)} + max(abs(v - {num(center)})) AS high FROM {{values}}"
+
+
+def bubble_areas(most: float = 300.0) -> str:
+    """Areas in proportion to {values}(id, v); negative values have none."""
+    return f"SELECT id, CASE WHEN v >= 0 THEN {rounded(f'v / nullif(max(v) OVER (), {num(0)}) * {num(most)}')} END AS area FROM {{values}}"

@@ -21,6 +21,7 @@ def duck(text: str) -> str:
     """The text as DuckDB says it."""
     for ours, theirs in _DUCK.items():
         text = re.sub(rf"\b{re.escape(ours)}", theirs, text)
+    text = re.sub(r"\bsha2\((\w+), 256\)", r"sha256(\1)", text)
     return re.sub(r"(\w+) RLIKE ('[^']*')", r"regexp_matches(\1, \2)", text)
 
 

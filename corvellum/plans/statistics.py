@@ -144,4 +144,13 @@ SQL = {
     "concerns": fill(records.concern_ledger(), concerns="SELECT 1 AS id, 'high' AS confidence, 'medium' AS impact UNION ALL SELECT 2, 'low', 'low' UNION ALL SELECT 3, 'sure', 'high'"),
     "file_roles": fill(records.file_roles(), files="SELECT 'a_R1.fastq.gz' AS name UNION ALL SELECT 'Sample_sheet.csv' UNION ALL SELECT 'matrix.mtx.gz' UNION ALL SELECT 'run.py' UNION ALL SELECT url FROM pages"),
     "spec_curve": fill(records.spec_curve((50000.0, 100000.0), (200000.0, 500000.0)), rows="SELECT c_acctbal * 20 AS x, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "designs": fill(records.design_fields(), designs="SELECT 1 AS id, 'q' AS question, 'u' AS unit, 'c' AS comparison, 'o' AS outcome, 'd' AS decision UNION ALL SELECT 2, 'q', '', 'c', CAST(NULL AS STRING), 'd'"),
+    "evidence": fill(records.evidence_manifest(), evidence="SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'retrieved' WHEN 1 THEN 'restricted' ELSE 'lost' END AS status, url AS path, CAST(length(url) AS BIGINT) AS bytes, sha2(url, 256) AS sha256 FROM pages"),
+    "simulations": fill(records.simulation_ledger(), sims="SELECT 1 AS id, 'p' AS purpose, 'g' AS generator, 'x' AS parameters, 100 AS n_runs, 1 AS seed, 'o' AS outcome, 'g' AS guard UNION ALL SELECT 2, 'p', 'g', 'x', 0, 1, 'o', 'g' UNION ALL SELECT 3, 'p', 'g', 'x', 9, 1, 'o', ' '"),
+    "claim_alignment": fill(records.alignment_ledger(), rows="SELECT 1 AS id, 'strong' AS strength, 'aligned' AS alignment, '' AS note UNION ALL SELECT 2, 'weak', 'overstated', '' UNION ALL SELECT 3, 'huge', 'aligned', ''"),
+    "symmetric_limits": fill(records.symmetric_limits(), values="SELECT c_acctbal AS v FROM customer"),
+    "bubble_areas": fill(records.bubble_areas(), values="SELECT c_custkey AS id, c_acctbal AS v FROM customer"),
+    "program_usage": fill(enrich.program_usage(0.2), usage="SELECT event_id AS unit_id, user_id % 7 AS ptype, event_type AS program, value FROM events"),
+    "shared_markers": fill(enrich.shared_markers(), markers=f"SELECT grp, feature_id AS gene FROM ({fill(enrich.group_scores(), expr=EXPR, obs=OBS)}) m", panel=_panel, calls="SELECT 1 AS grp, 'T1' AS label UNION ALL SELECT 2, 'T2'"),
+    "findings": fill(enrich.findings(0.2), result=f"SELECT ptype, feature, effect, abs(effect) AS padj FROM ({fill(compare.paired_t('F', 'O'), logs=_logs)}) r", consistency=fill(compare.direction_consistency("F", "O"), logs=_logs)),
 }
