@@ -18,9 +18,10 @@ from corvellum.llm.common import WORD, table, words
 BUCKETS = 1 << 14
 ENDING = 2
 SMOOTHING = 1.0
-#: Mean log ratio per n-gram below which a document is rejected. Trusted prose lies near +0.07, its 1st percentile
-#: over 0; shouting, tables and symbol noise lie under -0.12.
-THRESHOLD = -0.1
+#: Mean log ratio per n-gram below which a document is rejected. Prose lies over -0.4 even where the corpus is a few
+#: hundred documents and a language has little trusted text (over -0.1 in larger ones); shouting, tables and symbol
+#: noise lie under -1, but for some of a dozen words.
+THRESHOLD = -0.5
 #: Trusted documents that the target model is counted from at most: those with the smallest hashes of doc_id. Only
 #: this sample is bounded, so that its ids can be broadcast; the raw model covers every document.
 TRUSTED_LIMIT = 50_000
