@@ -83,3 +83,27 @@ x AS (SELECT t.ptype, sum((t.k - t.n * g.k / g.n) * (t.k - t.n * g.k / g.n) / gr
 w AS (SELECT a.ptype, ln(b.k / (b.n - b.k)) - ln(a.k / (a.n - a.k)) AS d, sqrt({num(1)} / a.k + {num(1)} / (a.n - a.k) + {num(1)} / b.k + {num(1)} / (b.n - b.k)) AS se
  FROM g a JOIN g b ON a.ptype = b.ptype WHERE a.condition = '{ref}' AND b.condition = '{test}' AND a.k > 0 AND b.k > 0 AND a.k < a.n AND b.k < b.n)
 SELECT w.ptype, {rounded('w.d')} AS log_odds, {rounded(f'w.se * sqrt(greatest(x.chi / nullif(x.df, 0), {num(1)}))')} AS error, x.df FROM w JOIN x ON w.ptype = x.ptype"""
+
+
+def nb_wald(ref: str, test: str) -> str:
+    """Negative-binomial two-group test per type and feature over {bulk}: size factors from totals, a moment estimate of
+    dispersion, log2 ratio of group means and Wald z. (Without shrinkage along a dispersion trend.)"""
+    return f"""WITH u AS (SELECT ptype, sample, condition, sum(total) AS s FROM {{bulk}} GROUP BY ptype, sample, condition),
+f AS (SELECT ptype, sample, condition, s / avg(s) OVER (PARTITION BY ptype) AS sf FROM u),
+x AS (SELECT DISTINCT ptype, feature FROM {{bulk}}),
+y AS (SELECT x.ptype, x.feature, f.condition, f.sf, coalesce(b.total, {num(0)}) AS y FROM x JOIN f ON x.ptype = f.ptype LEFT JOIN {{bulk}} b ON b.ptype = x.ptype AND b.feature = x.feature AND b.sample = f.sample AND b.condition = f.condition),
+g AS (SELECT ptype, feature, condition, sum(y) / sum(sf) AS mu, count(*) AS n, var_samp(y / sf) AS v, avg({num(1)} / sf) AS inv FROM y GROUP BY ptype, feature, condition),
+d AS (SELECT ptype, feature, greatest(sum((n - 1) * (v - mu * inv)) / greatest(sum((n - 1) * mu * mu), {num(1e-12)}), {num(1e-8)}) AS alpha FROM g GROUP BY ptype, feature),
+w AS (SELECT y.ptype, y.feature, y.condition, max(g.mu) AS mu, sum(y.sf * g.mu / ({num(1)} + d.alpha * y.sf * g.mu)) AS info, max(d.alpha) AS alpha FROM y JOIN g ON y.ptype = g.ptype AND y.feature = g.feature AND y.condition = g.condition JOIN d ON y.ptype = d.ptype AND y.feature = d.feature GROUP BY y.ptype, y.feature, y.condition)
+SELECT a.ptype, a.feature, {rounded(f'ln(b.mu / a.mu) / ln({num(2)})')} AS log2fc, {rounded('a.alpha')} AS dispersion, {rounded(f'ln(b.mu / a.mu) / sqrt({num(1)} / a.info + {num(1)} / b.info)')} AS z
+FROM w a JOIN w b ON a.ptype = b.ptype AND a.feature = b.feature WHERE a.condition = '{ref}' AND b.condition = '{test}' AND a.mu > 0 AND b.mu > 0"""
+
+
+def rank_sum_markers(top: int = 5) -> str:
+    """Features that rank higher in a group than in the rest by the rank-sum z (no tie correction), the best first; over
+    a complete {grid}(unit_id, feature_id, value) and {obs} with a column grp."""
+    return f"""WITH r AS (SELECT o.grp, g.feature_id, rank() OVER (PARTITION BY g.feature_id ORDER BY g.value) + (count(*) OVER (PARTITION BY g.feature_id, g.value) - 1) / {num(2)} AS rk FROM {{grid}} g JOIN {{obs}} o ON g.unit_id = o.unit_id),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {{obs}}), s AS (SELECT grp, feature_id, sum(rk) AS s, CAST(count(*) AS DOUBLE) AS k FROM r GROUP BY grp, feature_id),
+z AS (SELECT grp, feature_id, round((s - k * (n + {num(1)}) / {num(2)}) / sqrt(k * (n - k) * (n + {num(1)}) / {num(12)}), 6) AS z FROM s CROSS JOIN n WHERE k < n),
+t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, feature_id) AS place FROM z)
+SELECT grp, feature_id, z, place FROM t WHERE place <= {top}"""

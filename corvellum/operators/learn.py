@@ -65,3 +65,25 @@ def matched_label(label: str, types: list[str], mapping: dict[str, str] | None =
         return mapping[label]
     low = label.lower()
     return next((t for t in types if t.lower() == low), None) or next((t for t in types if t.lower() in low or low in t.lower()), None)
+
+
+def signature_p(rows: DataFrame, n_perm: int = 200, seed: int = 0, min_cells: int = 10) -> DataFrame:
+    """Area by which a unit's mean score tells two groups apart, and its p over relabelled units, over ``rows`` (unit, y
+    0/1, score). Units of both groups or too few rows are refused or left out; two units a group are the least."""
+    import numpy as np
+
+    u = rows.groupBy("unit").agg(F.avg("score").alias("m"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.count("*").alias("n")).collect()
+    if any(r.lo != r.hi for r in u):
+        raise ValueError("a unit is in both groups")
+    kept = sorted((r.unit, r.m, r.lo) for r in u if r.n >= min_cells)
+    m, y = np.array([k[1] for k in kept], float), np.array([k[2] for k in kept], int)
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
+        raise ValueError("two units a group are the least")
+
+    def area(y):
+        a, b = m[y == 1], m[y == 0]
+        return ((a[:, None] > b).mean() + (a[:, None] == b).mean() / 2) if len(a) * len(b) else 0.5
+
+    rng, own = np.random.default_rng(seed), area(y)
+    null = [area(rng.permutation(y)) for _ in range(n_perm)]
+    return rows.sparkSession.createDataFrame([(float(own), float((sum(x >= own for x in null) + 1) / (n_perm + 1)), len(kept))], "auc double, p double, units int")

@@ -134,7 +134,18 @@ def lint_scripts(spark, sf_dir):
     return lint.lint(spark.createDataFrame(rows, "path string, text string"))
 
 
-QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, lint_scripts)}
+def worked_example(spark, sf_dir):
+    """The general example on its own synthetic study."""
+    from corvellum.plans.composites import worked_example as example
+
+    return example(spark)[0]
+
+
+def nb_p(spark, sf_dir):
+    return from_sql(statistics.SQL["nb_wald"])(spark, sf_dir).withColumn("p", F.round(z_p(F.col("z")), 6))
+
+
+QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, lint_scripts, worked_example, nb_p)}
 
 _NEAR = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.id, b.id AS other, a.label, b.label AS other_label, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id),
