@@ -106,4 +106,4 @@ def rank_sum_markers(top: int = 5) -> str:
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {{obs}}), s AS (SELECT grp, feature_id, sum(rk) AS s, CAST(count(*) AS DOUBLE) AS k FROM r GROUP BY grp, feature_id),
 z AS (SELECT grp, feature_id, round((s - k * (n + {num(1)}) / {num(2)}) / sqrt(k * (n - k) * (n + {num(1)}) / {num(12)}), 6) AS z FROM s CROSS JOIN n WHERE k < n),
 t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, feature_id) AS place FROM z)
-SELECT grp, feature_id, z, place FROM t WHERE place <= {top}"""
+SELECT grp, feature_id, z, CAST(place AS BIGINT) AS place FROM t WHERE place <= {top}"""

@@ -65,7 +65,7 @@ a AS (SELECT feature_id, sum(s) AS s, sum(q) AS q FROM s GROUP BY feature_id),
 d AS (SELECT s.grp, s.feature_id, s.s / n.k AS mi, (a.s - s.s) / (t.n - n.k) AS mo, greatest(s.q / n.k - power(s.s / n.k, 2), {num(1e-9)}) AS vi, greatest((a.q - s.q) / (t.n - n.k) - power((a.s - s.s) / (t.n - n.k), 2), {num(1e-9)}) AS vo, n.k, t.n FROM s JOIN a ON s.feature_id = a.feature_id JOIN n ON s.grp = n.grp CROSS JOIN t),
 z AS (SELECT grp, feature_id, mi - mo AS diff, round((mi - mo) / sqrt(vi / k + vo / (n - k)), 6) AS score FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, feature_id) AS i FROM z WHERE diff >= {num(min_diff)})
-SELECT grp, feature_id, {rounded('diff')} AS diff, score, i FROM r WHERE i <= {top}"""
+SELECT grp, feature_id, {rounded('diff')} AS diff, score, CAST(i AS BIGINT) AS place FROM r WHERE i <= {top}"""
 
 
 def set_scores(bins: int = 25) -> str:
