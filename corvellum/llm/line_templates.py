@@ -52,7 +52,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
 
     Leaves with too few lines go first, as counts with partial aggregation; only documents that have lines in the
     rest send their text to them. Rows of a hot leaf or template meet its one row of statistics in `SALTS` parts.
-    Empty and null texts have no lines. Rows that repeat a doc_id count as one document. Ties for the seed go to the
+    Empty and null texts have no lines. Rows that repeat a doc_id count as one document, whose lines go by number in
+    each of its texts; rows with a null doc_id keep their lines. Ties for the seed go to the
     greater line in code point order. Other columns are ignored; an empty table gives no rows.
     """
     placed = _placed_lines(docs, id_col, text_col)
@@ -63,6 +64,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
     lines = lines.select("doc_id", "whole", F.explode("at").alias("line"), "parts")
     lines = lines.select("doc_id", "whole", "line", _tokens(F.get("parts", F.col("line"))).alias("tokens"))
     lines = lines.select("doc_id", "whole", "line", _leaf(F.col("tokens")).alias("leaf"), F.array_join(_masked(F.col("tokens")), " ").alias("masked"))
+    lines = lines.where("masked IS NOT NULL")
     seeds = lines.groupBy("leaf", "masked").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.max(F.struct("n", "masked"))["masked"].alias("seed"))
     both = lines.withColumn("salt", _salt()).join(_salted(seeds), ["leaf", "salt"])
     both = both.select("doc_id", "whole", "line", "leaf", "masked", F.split("masked", " ").alias("a"), F.split("seed", " ").alias("b"))

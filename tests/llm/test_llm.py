@@ -144,6 +144,9 @@ def test_templates(spark, odd, empty):
     assert got == {i: [0, 1, 2] for i in range(1, 6)}
     assert line_templates.drop_recurring_lines(odd).columns == odd.columns and line_templates.drop_recurring_lines(odd).count() == odd.count()
     assert line_templates.recurring_lines(empty).count() == 0
+    uneven = spark.createDataFrame([(i % 6, "a b c d\n" * (1 + i % 5) + f"own {chr(97 + i)}") for i in range(20)] + [(None, "a b c d")], "doc_id long, text string")
+    assert all(0 <= x <= 5 for r in line_templates.recurring_lines(uneven).collect() for x in r.dropped)
+    assert line_templates.drop_recurring_lines(uneven).where("doc_id IS NULL AND text = 'a b c d'").count() == 1
 
 
 # ---- 6 licences
