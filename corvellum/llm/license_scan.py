@@ -40,7 +40,7 @@ def template_bigrams(text: str) -> list[str]:
 
 def _bigrams(w: Column) -> Column:
     n = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,8 +71,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     whole = F.when(F.size(paragraphs) > 1, scope("text", F.array("low"))).otherwise(F.array().cast("array<struct<scope:string,unit:int,x:string>>"))
     every = F.concat(scope("line", lines), F.filter(scope("paragraph", paragraphs), several), whole)
     u = a.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.scope", "u.unit", split_words(F.col("u.x")).alias("w"))
-    u = u.where(F.size("w") > least).select("doc_id", "scope", "unit", _bigrams(F.col("w")).alias("g"))
-    u = u.where(F.size(F.filter("g", lambda g: g.isin(known))) >= least)
+    u = u.where(F.size("w") > least).select("doc_id", "scope", "unit", _bigrams(F.col("w")).alias("all"))
+    u = u.where(F.size(F.filter("all", lambda g: g.isin(known))) >= least).select("doc_id", "scope", "unit", F.array_distinct("all").alias("g"))
     size = F.size("g")
     fits = lambda t: (size >= low * F.size(t["grams"])) & (size <= high * F.size(t["grams"]))
     c = u.select("*", F.explode(literal).alias("t")).where(fits(F.col("t")))
