@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import table
+from corvellum.llm.common import short_batches, table
 
 # Control strings in the order of their reserved ids.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ASST]", "[ROLE]", "[TEXT]")
@@ -141,7 +141,7 @@ def format_chats(conversations: DataFrame, vocabulary: str = "") -> DataFrame:
         made = [assemble([(t["role"], list(t["name"]), list(t["ids"])) for t in conversation]) for conversation in turns]
         return pd.DataFrame({"ids": [a.astype(np.int32) for a, _ in made], "loss_mask": [b.astype(np.int8) for _, b in made]})
 
-    c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    c = short_batches(conversations).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = c.select("conv_id", F.struct("turn", "role", "text", encoded("role", "text").alias("e")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     slim = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["e"]["name"].alias("name"), t["e"]["ids"].alias("ids")))

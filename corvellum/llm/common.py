@@ -28,6 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Bytes of rows that go to Python in one Arrow batch. Texts are long: the usual 64 MB, held on both sides of the pipe by
+#: each running task, is a good part of a small executor.
+BATCH_BYTES = 8 << 20
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to bound Arrow batches at `BATCH_BYTES`; no result depends on where batches end."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import row_slices, string_bytes, table, word_hashes
+from corvellum.llm.common import row_slices, short_batches, string_bytes, table, word_hashes
 
 ERRORS = 0.2
 #: Items of fewer words can't be told from chance and are left out.
@@ -134,7 +134,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, bl
     """
     out = None
     for items in _blocks(benchmark, block_chars):
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_finder(items, errors), "doc_id long, item_id long, distance int, budget int, item_words int, end_word int")
+        one = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_finder(items, errors), "doc_id long, item_id long, distance int, budget int, item_words int, end_word int")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -179,7 +179,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, bl
         return run
 
     for items in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(without(items), docs.schema)
+        docs = short_batches(docs).mapInArrow(without(items), docs.schema)
     return docs
 
 

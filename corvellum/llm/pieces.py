@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corvellum.llm.common import table
+from corvellum.llm.common import short_batches, table
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -220,7 +220,7 @@ def encode_documents(docs: DataFrame, model: str = "", text_col: str = "text", w
     names = [f.name for f in kept] + [m for m in made if with_ids or m != "ids"]
     kinds = dict(zip(made, ("long", "array<int>", "string", "string"), strict=True))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{m} {kinds[m]}" for m in names[len(kept) :]])
-    return docs.select(*[docs[f"`{f.name}`"] for f in kept], docs[text_col]).mapInArrow(run, schema)
+    return short_batches(docs).select(*[docs[f"`{f.name}`"] for f in kept], docs[text_col]).mapInArrow(run, schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import chained, mix, release, row_slices, string_bytes, table
+from corvellum.llm.common import chained, mix, release, row_slices, short_batches, string_bytes, table
 
 LENGTH, KMER = 100, 40
 SPAN = LENGTH - KMER + 1
@@ -275,7 +275,7 @@ def _removed(parts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, spans array<long>) of documents that lose bytes; a span is (begin << 32) | end, spans may overlap."""
     spark = docs.sparkSession
-    every = _all_windows(docs)
+    every = _all_windows(short_batches(docs))
     busy = every.groupBy("key").agg(F.sum(1 + F.col("place") % 2).alias("n")).where("n > 1").select("key")
     held = every.join(busy, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("held"))
     held = chained(spark, held)

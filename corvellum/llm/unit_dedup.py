@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import table
+from corvellum.llm.common import short_batches, table
 
 #: Units of fewer words are left alone: very short lines repeat by chance.
 MIN_WORDS = 4
@@ -41,7 +41,7 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_co
             columns = [ids.take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "unit", "start", "length", "h1", "h2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, unit int, start int, length int, h1 long, h2 long")
+    return short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, unit int, start int, length int, h1 long, h2 long")
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
