@@ -18,8 +18,9 @@ from corvellum.llm.common import chained, mix, release, row_slices, short_batche
 from corvellum.llm.components import components
 
 K, KEEP, SKETCHES, SIMILAR = 5, 3, 32, 0.8
-#: Orders in which the members of a bucket are tried as its centre.
-CENTRES = 2
+#: Orders in which the members of a bucket are first tried as its centre, and by how much the number of centres grows
+#: from round to round in buckets that still hold texts of several classes.
+CENTRES, GROWTH = 2, 16
 SALTS = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -162,15 +163,72 @@ def _verified(pairs: DataFrame, similar: float) -> DataFrame:
     return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+def _salted(small: DataFrame) -> DataFrame:
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _linked(docs: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
+    """(id, label): the class of every text of ``stands`` that is linked to another.
+
+    Round 0 compares the members of each bucket with `CENTRES` of them, the same ones in all buckets that a group of
+    texts shares, so that most members find their class in few comparisons. Each later round takes only buckets that
+    hold texts of several classes, draws `GROWTH` times as many centres by a hash of bucket and text, and compares
+    members with centres of other classes. A bucket is done when it holds one class or all its members were centres:
+    no two texts of a bucket end in different classes without having been compared.
+    """
+    spark = docs.sparkSession
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    entry = stands.where("n > 0").select("id", "n", F.explode("keys").alias("key"), salt)
+    busy = entry.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    busy = chained(spark, entry.join(_salted(busy.select("key")), ["key", "salt"]).select("key", "salt", "id", "n", F.col("id").alias("label")))
+    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(c)).alias("h"), F.col("id"), F.col("n"))).alias(f"c{c}") for c in range(CENTRES)]
+    centres = busy.groupBy("key").agg(*firsts).select("key", F.explode(F.array(*[F.col(f"c{c}") for c in range(CENTRES)])).alias("c"))
+    centres = centres.select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.id").alias("clabel"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(busy.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = chained(spark, _word_rows(texts).groupBy("id").agg(F.max("w").alias("w")))
+    release(spark)
+    most, tried, label = CENTRES, None, None
+    while True:
+        met = busy.join(_salted(centres), ["key", "salt"]).where("label <> clabel")
+        near = F.abs(F.col("n") - F.col("cn")) <= (1 - similar) * F.greatest("n", "cn") + 1e-9
+        pairs = met.where(near).select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+        pairs = chained(spark, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        full = pairs.join(rows.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(rows.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+        found = chained(spark, _verified(full, similar))
+        if label is None:
+            release(spark)
+            label = components(found)
+            release(spark)
+            moved = label.withColumnRenamed("id", "old").withColumnRenamed("label", "new")
+        else:
+            ends = [label.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
+            between = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            moved = components(between).select(F.col("id").alias("old"), F.col("label").alias("new"))
+            release(spark)
+            alone = moved.join(label.select(F.col("id").alias("old")), "old", "left_anti").select(F.col("old").alias("id"), F.col("new").alias("label"))
+            label = label.join(moved, label["label"] == moved["old"], "left").select("id", F.coalesce("new", "label").alias("label"))
+            label = chained(spark, label.union(alone))
+        named = busy.join(moved, busy["label"] == moved["old"], "left").select("key", "salt", "id", "n", F.coalesce("new", "label").alias("label"))
+        mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = mixed.where((F.col("low") < F.col("high")) & (F.col("size") > most)).select("key", "size")
+        most *= GROWTH
+        busy = chained(spark, named.join(_salted(mixed), ["key", "salt"]).select("key", "salt", "id", "n", "label", "size"))
+        release(spark)
+        if not busy.limit(1).count():
+            return label
+        drawn = F.pmod(F.xxhash64("key", "id", F.lit(most)), F.col("size")) < most
+        centres = busy.where(drawn).select("key", F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("label").alias("clabel"))
+
+
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id) of every document that has an id; the class is known by its least doc_id.
 
-    Whole copies are put together by a 128-bit digest first. Each other text then stands for its copies: in every
-    bucket of equal sketches the texts are compared with a centre, twice, with centres drawn in two orders, so a bucket
-    of any size costs two comparisons a member and no pairs are listed. Similar texts share about half of the
-    buckets, most of them with few others, which is where they meet even if some bucket's centre is like neither.
-    Pairs whose lengths differ too much are dropped before any text moves; the rest is decided by alignment; classes
-    are the connected components of the links.
+    Whole copies are put together by a 128-bit digest first. Each other text then stands for its copies. In every
+    bucket of equal sketches the texts are compared with two centres; where that leaves texts of several classes in a
+    bucket, they are compared with more and more centres of other classes, until none are left that were not compared
+    (see `_linked`). Pairs whose lengths differ too much are dropped before any text moves; the rest is decided by
+    alignment; classes are the connected components of the links.
 
     Null and empty texts have no sketch: they are copies of each other. Texts of under `K` words have one short k-mer.
     Rows that repeat a doc_id give one row, in the least of the classes of its texts; rows with a null doc_id are left
@@ -180,23 +238,7 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFra
     all_rows = chained(spark, _sketched(docs))
     stands = all_rows.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     stands = chained(spark, stands)
-    entry = stands.where("n > 0").select("id", "n", F.explode("keys").alias("key"))
-    tries = [F.min(F.struct(F.xxhash64("id", F.lit(c)).alias("h"), F.col("id"), F.col("n"))).alias(f"c{c}") for c in range(CENTRES)]
-    bucket = entry.groupBy("key").agg(F.count("*").alias("size"), *tries).where("size > 1")
-    bucket = bucket.select("key", F.array(*[F.col(f"c{c}") for c in range(CENTRES)]).alias("centres"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = entry.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(bucket, ["key", "salt"])
-    pairs = met.select("id", "n", F.explode("centres").alias("c")).where("id <> c.id")
-    near = F.abs(F.col("n") - F.col("c.n")) <= (1 - similar) * F.greatest("n", "c.n") + 1e-9
-    pairs = pairs.where(near).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-    pairs = chained(spark, pairs)
-    release(spark)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    rows = chained(spark, _word_rows(texts).groupBy("id").agg(F.max("w").alias("w")))
-    full = pairs.join(rows.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(rows.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    edges = chained(spark, _verified(full, similar))
-    release(spark)
-    label = components(edges)
+    label = _linked(docs, stands, similar)
     named = stands.select("whole", "id").join(label, "id", "left").select("whole", F.coalesce("label", "id").alias("class_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     members = all_rows.select("doc_id", "whole", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     return members.join(named, ["whole", "salt"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

@@ -231,6 +231,19 @@ def test_near_duplicates(spark, sf, odd, empty):
     assert order_minhash.near_duplicate_classes(empty).count() == 0
 
 
+def test_no_bucket_leaves_pairs_untried(spark, monkeypatch):
+    """One bucket for all: pairs of like texts among many that are unlike the bucket's centres, and texts of the next class."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        w = [f"v{rng.randrange(9000)}" for _ in range(40)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:7] + ["edit"] + w[8:]))]
+    sketches = order_minhash._sketched
+    monkeypatch.setattr(order_minhash, "_sketched", lambda *a: sketches(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 # ---- 8 quality
 
 
