@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as the cluster names it; a local one of our own only where none is named."""
+    """The folder that all machines share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session gets a temporary one; on a cluster that would be a different folder on each
+    machine, so it's an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="corvellum-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -45,20 +51,29 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session option for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def chained(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint, so a lost executor costs one stage and plans stay short."""
+    """The same rows behind a reliable checkpoint, so a lost executor costs one stage and plans stay short.
+
+    Nothing reads the step's shuffle files after it, so Spark is told to delete them when it ends.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that ended in a checkpoint: it does so once their plans are collected,
-    on this side first. The JVM hears of that from a thread that wakes about once a second, hence the waiting."""
-    gc.collect()
-    for _ in range(4):
-        time.sleep(0.75)
-        spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint()
 
 
 # ---- byte-level hashing of whole Arrow string columns ---------------------------------------------------------
@@ -124,12 +139,18 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, alphanumeric: bool = False) ->
     step = np.arange(n, dtype=np.int64)
     base = np.zeros(n, np.int64)
     base[starts] = starts
-    place = np.minimum(step - np.maximum.accumulate(base), (1 << 20) - 1)
+    place = step - np.maximum.accumulate(base)
+    block = place >> _BLOCK_BITS
+    place &= (1 << _BLOCK_BITS) - 1
     value = (low.astype(np.uint64) + np.uint64(1)) * _powers(int(place.max()) + 1)[place]
+    if block.any():  # a word of more than a block: each block's bytes count with a factor of their own
+        value *= mix(block.astype(np.uint64)) | np.uint64(1)
     value[~inside] = 0
     return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, off)
 
 
+#: Words are hashed in blocks of 2^20 bytes, which bounds the table of powers.
+_BLOCK_BITS = 20
 _POWERS = np.ones(1, np.uint64)
 
 

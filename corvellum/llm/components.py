@@ -1,4 +1,4 @@
-"""Connected components of an edge table by least labels and pointer jumping."""
+"""Connected components of an edge table by hooking each label to the least one beside it, and pointer jumping."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels only fall; each round takes the least label next to an id, then that label's own label, so the number of
     rounds grows with the logarithm of a chain's length. Each round ends at a checkpoint; the driver sees one count.
-    Repeated edges, loops and an empty table are fine; rows with a null end are ignored.
+    Repeated edges, loops and an empty table are fine; rows with a null end are ignored. An id with very many edges is
+    one row of labels that a skewed join meets in parts, and minima are taken before rows move.
     """
     spark = edges.sparkSession
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")

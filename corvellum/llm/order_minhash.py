@@ -1,27 +1,32 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
 A text is a row of words (cut at white space, A-Z lower-cased). Its k-mers of `K` words, each labelled with the number
-of its occurrence, are ranked by `SKETCHES` hash functions; a sketch is the `KEEP` least of them in the order they have
-in the text, so two sketches agree only if the texts share those k-mers in that order. Texts that agree in a sketch are
-candidates; they are linked if their word edit distance is at most (1 - `SIMILAR`) of the longer one, found by a
-bit-parallel alignment inside the band which that bound leaves.
+of its occurrence, are ranked by `SKETCHES` hash functions; a sketch is the least k-mer of each of `KEEP` equal stretches
+of the text, in the order of the text, so two sketches agree only if the texts share those k-mers in that order. (Minima
+of stretches, not the `KEEP` least anywhere: else all minima of many unlike texts fall into a line or passage that they
+share, and each such passage makes one bucket of unlike texts.) Texts that agree in a sketch are candidates; they are
+linked if their word edit distance is at most (1 - `SIMILAR`) of the longer one, found by a bit-parallel alignment inside
+the band which that bound leaves.
+
+Two texts whose k-mers agree to a Jaccard share J meet in a sketch with a probability of about J**KEEP, so in one of all
+sketches of 0.999999 at J = 0.8, 0.998 at 0.6, 0.95 at 0.5 and 0.7 at 0.4.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import chained, mix, release, row_slices, short_batches, string_bytes, table, word_hashes
+from corvellum.llm.common import chained, mix, row_slices, short_batches, string_bytes, table, word_hashes
 from corvellum.llm.components import components
 
-K, KEEP, SKETCHES, SIMILAR = 5, 3, 32, 0.8
-#: Orders in which the members of a bucket are first tried as its centre, and by how much the number of centres grows
-#: from round to round in buckets that still hold texts of several classes.
-CENTRES, GROWTH = 2, 16
-SALTS = 16
+K, KEEP, SKETCHES, SIMILAR = 5, 4, 48, 0.8
+#: Rounds in which each text is compared with one centre of its buckets, before all that is left is compared.
+ROUNDS = 2
+#: Words that a text has more often than this get a bit vector in the alignment, the others a list of places.
+FREQUENT = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -36,7 +41,8 @@ def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(words[rows] - K + 1, 1)
     starts = np.cumsum(counts) - counts
     row = np.repeat(np.arange(len(rows)), counts)
-    place = np.arange(len(row)) - starts[row] + at[rows][row]
+    within = np.arange(len(row)) - starts[row]
+    place = within + at[rows][row]
     size = np.minimum(words[rows], K)[row]
     kmer = np.zeros(len(row), np.uint64)
     for j in range(K):
@@ -50,24 +56,16 @@ def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     label = np.empty(len(order), np.uint64)
     label[order] = (np.arange(len(order)) - first).astype(np.uint64)
     kmer = mix(kmer + label * _B)
-    most = np.uint64(2**64 - 1)
+    stretch = row * KEEP + within * KEEP // counts[row]
+    begin = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
+    least = np.zeros(len(rows) * KEEP, np.uint64)
     for s in range(SKETCHES):
         value = kmer * (mix(np.array([s + 1], np.uint64) * _A)[0] | np.uint64(1))
         value ^= value >> np.uint64(32)
-        picks = np.full((len(rows), KEEP), len(kmer), np.int64)
-        for t in range(KEEP):
-            least = np.minimum.reduceat(value, starts)
-            spot = np.flatnonzero(value == least[row])
-            spot = spot[value[spot] != most]
-            own = row[spot]
-            lead = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
-            picks[own[lead], t] = spot[lead]
-            value[spot[lead]] = most
-        picks.sort(axis=1)
+        least[stretch[begin]] = np.minimum.reduceat(value, begin)
         key = np.full(len(rows), np.uint64(s + 1))
-        padded = np.append(kmer, np.uint64(0))
         for t in range(KEEP):
-            key = mix(key * _A + padded[picks[:, t]])
+            key = mix(key * _A + least[t::KEEP])
         out[rows, s] = key
     return out, words > 0
 
@@ -75,8 +73,8 @@ def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
     """Edit distance of two rows of words if at most ``most``, else ``most`` + 1, looking only at the band that can hold it.
 
-    Columns are runs of 2 * most + 2 bits that slide down one row at each word of ``b``; a bit of the pattern's
-    match vector is shifted to the band it falls in.
+    Columns are runs of 2 * most + 2 bits that slide down one row at each word of ``b``. Where a word of ``b`` stands in
+    ``a`` is a list of places, cut to the band, or for a frequent word a bit vector that is shifted to it.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -88,17 +86,30 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
         return len(a)
     width = 2 * most + 2
     ones = (1 << width) - 1
-    eq: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, w in enumerate(a):
-        eq[w] = eq.get(w, 0) | (1 << i)
+        places.setdefault(w, []).append(i)
+    often: dict[int, int] = {}
+    for w, at in places.items():
+        if len(at) > FREQUENT:
+            bits = bytearray(at[-1] // 8 + 1)
+            for i in at:
+                bits[i >> 3] |= 1 << (i & 7)
+            often[w] = int.from_bytes(bits, "little")
     vp, vn, score = ones & ~((1 << (width - 1 - most)) - 1), 0, most
     low = 1 << (width - 1)
     side = 1 << (width - 2)
     stop = most + len(b) - (len(a) - most)
     shift = most - width + 1
     for j, w in enumerate(b):
-        x = eq.get(w, 0)
-        x = (x >> shift if shift >= 0 else x << -shift) & ones
+        x = often.get(w)
+        if x is not None:
+            x = (x >> shift if shift >= 0 else x << -shift) & ones
+        else:
+            x = 0
+            for i in places.get(w, ()):
+                if 0 <= i - shift < width:
+                    x |= 1 << (i - shift)
         shift += 1
         d0 = ((((x & vp) + vp) ^ vp) | x | vn) & ones
         hp = (vn | ~(d0 | vp)) & ones
@@ -116,7 +127,23 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     return score if score <= most else most + 1
 
 
+def alike(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
+    """Whether two rows of words are within the distance that ``similar`` leaves; what they have in common at both ends
+    has no part in it and is cut off first."""
+    most = int((1 - similar) * max(len(x), len(y)) + 1e-9)
+    m = min(len(x), len(y))
+    if max(len(x), len(y)) - m > most:
+        return False
+    apart = np.flatnonzero(x[:m] != y[:m])
+    begin = int(apart[0]) if len(apart) else m
+    apart = np.flatnonzero(x[len(x) - m + begin :] != y[len(y) - m + begin :])
+    end = m - begin - 1 - int(apart[-1]) if len(apart) else m - begin
+    return banded_distance(x[begin : len(x) - end].tolist(), y[begin : len(y) - end].tolist(), most) <= most
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, n, keys): 64-bit digest of the text, number of words, sketches."""
+
     def run(batches):
         import xxhash
 
@@ -127,121 +154,130 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 h, at = word_hashes(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 keys.append(sketches(h, at)[0]), n.append(np.diff(at))
             keys, n = np.concatenate(keys).view(np.int64), np.concatenate(n)
-            whole = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            tid = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, SKETCHES, dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists, pa.array(whole, pa.binary())], names=["doc_id", "n", "keys", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid), pa.array(n, pa.int64()), lists], names=["doc_id", "tid", "n", "keys"])
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n long, keys array<long>, whole binary")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tid long, n long, keys array<long>")
 
 
 def _word_rows(docs: DataFrame) -> DataFrame:
-    """(id, w): the words of each document as packed 32-bit hashes."""
+    """(tid, w): the words of each text as packed 32-bit hashes."""
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
-            raw, off = string_bytes(batch.column(1))
-            packed: list[bytes] = []
+            raw, off = string_bytes(batch.column(0))
+            packed, tid = [], []
             for a, b in row_slices(off):
                 h, at = word_hashes(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 h = (h >> np.uint64(32)).astype("<u4")
                 packed += [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "w"])
+                tid += [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(off[a:b].tolist(), off[a + 1 : b + 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(tid, np.uint64).view(np.int64)), pa.array(packed, pa.binary())], names=["tid", "w"])
+
+    return short_batches(docs).select("text").mapInArrow(run, "tid long, w binary")
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, w binary")
 
+def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b and more, all long) whose texts are alike. Each pair carries its two texts here and no
+    further; a text that is in very many pairs is one row that a skewed join meets in parts."""
+    kept = pairs.columns
 
-def _verified(pairs: DataFrame, similar: float) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u4").tolist() for v in (x, y))
-                most = int((1 - similar) * max(len(x), len(y)) + 1e-9)
-                ok.append(banded_distance(x, y, most) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [alike(*(np.frombuffer(v.as_buffer(), "<u4") for v in both), similar) for both in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=kept).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    full = pairs.join(rows.select(F.col("tid").alias("a"), F.col("w").alias("wa")), "a").join(rows.select(F.col("tid").alias("b"), F.col("w").alias("wb")), "b")
+    return short_batches(full).select(*kept, "wa", "wb").mapInArrow(run, ", ".join(f"{c} long" for c in kept))
 
 
-def _salted(small: DataFrame) -> DataFrame:
-    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _near(n: str, m: str, similar: float) -> Column:
+    return F.abs(F.col(n) - F.col(m)) <= (1 - similar) * F.greatest(n, m) + 1e-9
 
 
-def _linked(docs: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
-    """(id, label): the class of every text of ``stands`` that is linked to another.
+def _rank(c: str, seed: int) -> Column:
+    return F.xxhash64(c, F.lit(seed))
 
-    Round 0 compares the members of each bucket with `CENTRES` of them, the same ones in all buckets that a group of
-    texts shares, so that most members find their class in few comparisons. Each later round takes only buckets that
-    hold texts of several classes, draws `GROWTH` times as many centres by a hash of bucket and text, and compares
-    members with centres of other classes. A bucket is done when it holds one class or all its members were centres:
-    no two texts of a bucket end in different classes without having been compared.
+
+def _candidates(members: DataFrame, seed: int, similar: float) -> DataFrame:
+    """At most one pair for each text: itself (a) with the centre (b) that ranks first of those of its buckets.
+
+    A bucket's centre is its text of the least hash, so a group of texts that share many buckets has few centres.
+    """
+    e = members.select("tid", "doc", "n", "label", F.explode("keys").alias("key"))
+    first = F.min(F.struct(_rank("tid", seed).alias("r"), F.col("tid").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("nb"), F.col("label").alias("lb")))
+    mixed = e.groupBy("key").agg(first.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "c.*")
+    met = e.join(mixed, "key").where((F.col("label") != F.col("lb")) & _near("n", "nb", similar))
+    best = met.groupBy(F.col("tid").alias("a")).agg(F.min(F.struct("r", "b", "doc_b", "lb", "doc", "label")).alias("c"))
+    return best.select("a", F.col("c.b").alias("b"), F.col("c.doc").alias("doc_a"), F.col("c.doc_b").alias("doc_b"), F.col("c.label").alias("la"), F.col("c.lb").alias("lb"))
+
+
+def _all_left(members: DataFrame, similar: float) -> DataFrame:
+    """All pairs that share a bucket, are of different classes and of like length, each once.
+
+    In a bucket the texts outside its largest class are paired with all others, so a large class that is already known
+    isn't paired with itself. Of the buckets that a pair shares it is made in the one with the least key.
+    """
+    e = members.select("tid", "doc", "n", "label", "keys", F.explode("keys").alias("key"))
+    sizes = e.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count("*").alias("classes"))
+    e = e.join(sizes.where("classes > 1").select("key", "major"), "key")
+    one = e.where("label <> major").select("key", "major", *[F.col(c).alias(f"{c}_a") for c in ("tid", "doc", "n", "label", "keys")])
+    two = e.select("key", *[F.col(c).alias(f"{c}_b") for c in ("tid", "doc", "n", "label", "keys")])
+    once = (F.col("label_b") == F.col("major")) | (F.col("tid_a") < F.col("tid_b"))
+    least = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    met = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & _near("n_a", "n_b", similar) & least)
+    return met.select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b"), F.col("doc_a"), F.col("doc_b"))
+
+
+def _links(docs: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
+    """(a, b): documents whose texts are linked; as many links as it takes to connect each class.
+
+    In each of `ROUNDS` rounds every text is compared with one centre of its buckets, which puts most of a large group
+    into one class. Then every pair of a bucket that is still in different classes is compared, so no two texts that
+    share a sketch end apart without having been compared. That is quadratic only in texts of a bucket that are
+    unlike its largest class.
     """
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
-    entry = stands.where("n > 0").select("id", "n", F.explode("keys").alias("key"), salt)
-    busy = entry.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    busy = chained(spark, entry.join(_salted(busy.select("key")), ["key", "salt"]).select("key", "salt", "id", "n", F.col("id").alias("label")))
-    firsts = [F.min(F.struct(F.xxhash64("id", F.lit(c)).alias("h"), F.col("id"), F.col("n"))).alias(f"c{c}") for c in range(CENTRES)]
-    centres = busy.groupBy("key").agg(*firsts).select("key", F.explode(F.array(*[F.col(f"c{c}") for c in range(CENTRES)])).alias("c"))
-    centres = centres.select("key", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.id").alias("clabel"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(busy.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = chained(spark, _word_rows(texts).groupBy("id").agg(F.max("w").alias("w")))
-    release(spark)
-    most, tried, label = CENTRES, None, None
-    while True:
-        met = busy.join(_salted(centres), ["key", "salt"]).where("label <> clabel")
-        near = F.abs(F.col("n") - F.col("cn")) <= (1 - similar) * F.greatest("n", "cn") + 1e-9
-        pairs = met.where(near).select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
-        pairs = chained(spark, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        full = pairs.join(rows.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(rows.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-        found = chained(spark, _verified(full, similar))
-        if label is None:
-            release(spark)
-            label = components(found)
-            release(spark)
-            moved = label.withColumnRenamed("id", "old").withColumnRenamed("label", "new")
-        else:
-            ends = [label.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
-            between = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-            moved = components(between).select(F.col("id").alias("old"), F.col("label").alias("new"))
-            release(spark)
-            alone = moved.join(label.select(F.col("id").alias("old")), "old", "left_anti").select(F.col("old").alias("id"), F.col("new").alias("label"))
-            label = label.join(moved, label["label"] == moved["old"], "left").select("id", F.coalesce("new", "label").alias("label"))
-            label = chained(spark, label.union(alone))
-        named = busy.join(moved, busy["label"] == moved["old"], "left").select("key", "salt", "id", "n", F.coalesce("new", "label").alias("label"))
-        mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = mixed.where((F.col("low") < F.col("high")) & (F.col("size") > most)).select("key", "size")
-        most *= GROWTH
-        busy = chained(spark, named.join(_salted(mixed), ["key", "salt"]).select("key", "salt", "id", "n", "label", "size"))
-        release(spark)
-        if not busy.limit(1).count():
-            return label
-        drawn = F.pmod(F.xxhash64("key", "id", F.lit(most)), F.col("size")) < most
-        centres = busy.where(drawn).select("key", F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("label").alias("clabel"))
+    entry = stands.where("n > 0").select("tid", "doc", "n", F.explode("keys").alias("key"))
+    busy = entry.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    members = entry.join(busy, "key").groupBy("tid").agg(F.max(F.struct("doc", "n")).alias("x"), F.array_sort(F.collect_list("key")).alias("keys"))
+    members = chained(spark, members.select("tid", "x.doc", "x.n", "keys", _rank("tid", 0).alias("label")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    rows = chained(spark, _word_rows(texts).groupBy("tid").agg(F.max("w").alias("w")))
+    links = None
+    for seed in range(ROUNDS):
+        found = chained(spark, _verified(_candidates(members, seed, similar), rows, similar))
+        links = found if links is None else links.union(found)
+        # a link takes the class that ranks later into the other; what that leaves apart is compared again
+        to = found.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to"))
+        for _ in range(2):
+            far = to.select(F.col("label").alias("to"), F.col("to").alias("far"))
+            to = to.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
+        members = chained(spark, members.join(to, "label", "left").select("tid", "doc", "n", "keys", F.coalesce("to", "label").alias("label")))
+    rest = chained(spark, _verified(_all_left(members, similar), rows, similar))
+    return links.select("doc_a", "doc_b").union(rest.select("doc_a", "doc_b")).toDF("a", "b")
 
 
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id) of every document that has an id; the class is known by its least doc_id.
 
-    Whole copies are put together by a 128-bit digest first. Each other text then stands for its copies. In every
-    bucket of equal sketches the texts are compared with two centres; where that leaves texts of several classes in a
-    bucket, they are compared with more and more centres of other classes, until none are left that were not compared
-    (see `_linked`). Pairs whose lengths differ too much are dropped before any text moves; the rest is decided by
-    alignment; classes are the connected components of the links.
+    Equal texts are put together first, by 64-bit digest. Each different text then stands for its copies; pairs
+    that share a sketch are compared as `_links` says, and classes are the connected components of the links.
 
     Null and empty texts have no sketch: they are copies of each other. Texts of under `K` words have one short k-mer.
-    Rows that repeat a doc_id give one row, in the least of the classes of its texts; rows with a null doc_id are left
-    out, as nothing could refer to them. Other columns are ignored; an empty table gives no rows.
+    Texts of any length are compared whole. Rows that repeat a doc_id give one row; if their texts differ, the document
+    connects the classes of its texts. Rows with a null doc_id are left out, as nothing could refer to them. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     all_rows = chained(spark, _sketched(docs))
-    stands = all_rows.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    stands = chained(spark, stands)
-    label = _linked(docs, stands, similar)
-    named = stands.select("whole", "id").join(label, "id", "left").select("whole", F.coalesce("label", "id").alias("class_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = all_rows.select("doc_id", "whole", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return members.join(named, ["whole", "salt"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    stands = chained(spark, all_rows.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    label = components(_links(docs, stands, similar))
+    named = stands.select("tid", "doc").join(label.select(F.col("id").alias("doc"), "label"), "doc", "left").select("tid", F.coalesce("label", "doc").alias("class_id"))
+    return all_rows.select("doc_id", "tid").join(named, "tid").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def keep_one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

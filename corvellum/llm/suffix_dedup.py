@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import chained, mix, release, row_slices, short_batches, string_bytes, table
+from corvellum.llm.common import chained, mix, row_slices, short_batches, string_bytes, table
 
 LENGTH, KMER = 100, 40
 SPAN = LENGTH - KMER + 1
@@ -279,11 +279,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     busy = every.groupBy("key").agg(F.sum(1 + F.col("place") % 2).alias("n")).where("n > 1").select("key")
     held = every.join(busy, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("held"))
     held = chained(spark, held)
-    release(spark)
     text = _window_texts(docs.join(held, "id").select("id", "text", "held"))
     parts = text.repartition("key").sortWithinPartitions("key").select("id", "key", "place", "x")
     spans = chained(spark, _removed(parts).groupBy("id").agg(F.collect_list("span").alias("spans")))
-    release(spark)
     return spans
 
 
