@@ -1,7 +1,18 @@
-"""Substring dedup by hashing lines or paragraphs: the earliest occurrence of each stays, the rest go, with offsets."""
+"""Substring dedup by hashing lines, paragraphs or sentences: the earliest occurrence of each stays, later ones go in runs.
+
+A unit is normalised (A-Z lower-cased, runs of ASCII white space as one space, none at its ends) and hashed; digests are
+grouped over all documents, and the earliest occurrence by (document, place) is kept. Neighbouring repeated units of
+a document make one run, which has its original offset, length and number of words; runs of ``min_words`` words or
+more are removed. With 1, each repeated unit goes; with more, a passage goes while a lone repeated phrase stays.
+
+A line is cut further at the ends of its sentences unless whole lines or paragraphs are asked for: copied passages often
+begin and end inside a line, whose digest is then another one in each document.
+"""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,85 +20,152 @@ from pyspark.sql import functions as F
 
 from corvellum.llm.common import short_batches, table
 
-#: Units of fewer words are left alone: very short lines repeat by chance.
-MIN_WORDS = 4
-#: Parts that the occurrences of one digest are dealt to when they meet its earliest one.
-SALTS = 16
-BREAKS = {"line": "\n", "paragraph": "\n\n"}
-
+#: What a passage is in the registered query: a run of repeated sentences of so many words. A passage of 50 words that
+#: begins and ends inside sentences of its documents has about that many in whole sentences.
+PASSAGE_WORDS = 35
+STOPS = ".!?。！？"
+#: Patterns that cut a text into units and what lies between, leaving nothing out.
+UNITS = {"sentence": rf"[^\n{STOPS}]*[{STOPS}]+|[^\n{STOPS}]+|\n", "line": r"[^\n]+|\n", "paragraph": r"(?:[^\n]|\n(?!\n))+|\n+"}
+#: Characters that count as a word each, as their scripts have no spaces: Thai, Japanese and Chinese.
+LONE = "฀-๿぀-ヿ㐀-鿿"
+_LONE = re.compile(f"[{LONE}]")
+_RUN = "struct<start:int,length:int,units:int,words:int,kept_doc_id:bigint,kept_unit:int>"
 
-def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every unit that counts: doc_id, unit (its number), start and length in code points, digest h1, h2.
 
-    A unit is normalised by lower-casing A-Z and taking runs of ASCII white space as one space, none at its ends; its
-    digest is 128 bits of that.
-    """
-    end = BREAKS[unit]
+def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every unit that has a word: doc_id, tid (a digest of the whole text), unit (its number among these), start and
+    length in code points, words, and the unit's own 128-bit digest h1, h2."""
+    cut = re.compile(UNITS[unit])
+    names = ["doc_id", "tid", "unit", "start", "length", "words", "h1", "h2"]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            row, no, start, length, digest = [], [], [], [], []
-            for i, text in enumerate(texts):
-                at = 0
-                for k, part in enumerate((text or "").split(end)):
+            row, no, start, length, count, digest = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                k = 0
+                for m in cut.finditer(text or ""):
+                    part = m[0]
                     words = part.encode().lower().split()
-                    if len(words) >= min_words:
-                        row.append(i), no.append(k), start.append(at), length.append(len(part)), digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    at += len(part) + len(end)
+                    if words:
+                        row.append(i), no.append(k), start.append(m.start()), length.append(len(part)), digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                        count.append(len(words) if part.isascii() else len(words) + len(_LONE.findall(part)))
+                        k += 1
             h = np.frombuffer(b"".join(digest), ">i8").astype(np.int64).reshape(-1, 2)
-            columns = [ids.take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "unit", "start", "length", "h1", "h2"])
+            at = pa.array(row, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int32()) for x in (no, start, length, count)), *(pa.array(np.ascontiguousarray(h[:, j])) for j in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, unit int, start int, length int, h1 long, h2 long")
+    given = short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
+    return given.mapInArrow(run, "doc_id long, tid long, unit int, start int, length int, words int, h1 long, h2 long")
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Occurrences to remove: doc_id, unit, start, length, and the earliest occurrence kept_doc_id, kept_unit.
+def repeated_units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Occurrences that aren't the earliest: doc_id, tid, unit, start, length, words, and the earliest one kept_doc_id, kept_unit.
 
-    Occurrences rank by (doc_id, unit). Digests are counted with partial aggregation, so a line that a third of all
-    documents share is a few rows by then; its occurrences meet that one row in `SALTS` parts, not in one. Null and
-    empty texts have no units. Rows that repeat a doc_id with the same text tie and count as one occurrence; a null
-    doc_id ranks first. Other columns are ignored; an empty table gives no rows.
+    Occurrences rank by (doc_id, digest of the text, unit), a null doc_id first. Digests are counted with partial
+    aggregation, so a unit that a third of all documents share is a few rows by then; its occurrences meet the one
+    row of its earliest in a join that splits skewed partitions. Null and empty texts have no units. Rows that repeat a
+    doc_id with the same text tie and count as one occurrence; with another text they are further occurrences. Very long
+    texts are cut whole. Other columns are ignored; an empty table gives no rows.
     """
-    u = units(docs, unit, min_words, id_col, text_col)
-    first = u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "unit")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
-    dealt = u.withColumn("salt", F.pmod(F.xxhash64("doc_id", "unit"), F.lit(SALTS)).cast("int"))
-    met = dealt.join(first, ["h1", "h2", "salt"])
-    return met.where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("unit") == F.col("kept_unit")))).select("doc_id", "unit", "start", "length", "kept_doc_id", "kept_unit")
-
+    u = units(docs, unit, id_col, text_col)
+    place = F.struct("doc_id", "tid", "unit")
+    first = u.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "kept")
+    met = u.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
+    return met.select("doc_id", "tid", "unit", "start", "length", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
+
+
+def _runs(found: list[dict], min_words: int) -> list[dict]:
+    """Neighbouring units as runs, without those of too few words."""
+    runs: list[dict] = []
+    last = -2
+    for u in sorted(found, key=lambda u: u["unit"]):
+        if u["unit"] == last + 1:
+            runs[-1] |= {"length": u["start"] + u["length"] - runs[-1]["start"], "units": runs[-1]["units"] + 1, "words": runs[-1]["words"] + u["words"]}
+        else:
+            runs.append({"start": u["start"], "length": u["length"], "units": 1, "words": u["words"], "kept_doc_id": u["kept_doc_id"], "kept_unit": u["kept_unit"]})
+        last = u["unit"]
+    return [r for r in runs if r["words"] >= min_words]
+
+
+def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, the text without repeated runs, plus n_repeated (units that occur earlier, in short runs
+    too) and removed: an array of (start, length, units, words, kept_doc_id, kept_unit) with offsets in the given text.
+
+    What a run spans goes with the white space inside it; what lies around stays as it was. Rows, order of columns
+    and null texts stay; a null or empty text, and a table without repeats, lose nothing. A column of the input that has
+    the name of a new one gives way to it. Rows that repeat a doc_id with the same text are treated alike: both
+    lose what occurs earlier, but not what they only share with each other; with different texts each row loses by its own
+    text only. Ties can't occur otherwise, as places differ. Texts are never cut short; one row is one document, so it
+    has to fit a task. An empty table stays empty.
+    """
+    made = ("n_repeated", "removed")
+    given = [c for c in docs.columns if c not in made]
+    found = repeated_units(docs, unit, id_col, text_col).groupBy("doc_id", "tid")
+    found = found.agg(F.collect_set(F.struct("unit", "start", "length", "words", "kept_doc_id", "kept_unit")).alias("__found__")).withColumnsRenamed({"doc_id": "__id__", "tid": "__tid__"})
+    left = docs.select(*[docs[f"`{c}`"] for c in given])
+    both = left.join(found, left[f"`{id_col}`"].cast("long").eqNullSafe(F.col("__id__")) & (F.xxhash64(left[f"`{text_col}`"]) == F.col("__tid__")), "left").drop("__id__", "__tid__")
+    at = given.index(text_col)
 
-def remove_units(docs: DataFrame, repeats: DataFrame, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the given units taken out of their texts; what stays is joined as it was."""
-    end = BREAKS[unit]
-    gone = repeats.groupBy(F.col("doc_id").alias("__id__")).agg(F.collect_set("unit").alias("__gone__"))
-    a = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id__")), "left")
-    parts = F.filter(F.split(F.col(text_col), end), lambda x, i: ~F.array_contains("__gone__", i))
-    text = F.when(F.col("__gone__").isNull(), F.col(text_col)).otherwise(F.array_join(parts, end))
-    return a.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(batches):
+        for batch in batches:
+            texts, n, removed = [], [], []
+            for text, units_found in zip(batch.column(at).to_pylist(), batch.column(len(given)).to_pylist(), strict=True):
+                runs = _runs(units_found or [], min_words)
+                if runs:
+                    ends = [0, *(r["start"] + r["length"] for r in runs)]
+                    text = "".join(text[a:b] for a, b in zip(ends, [*(r["start"] for r in runs), len(text)], strict=True))
+                texts.append(text), n.append(len(units_found or [])), removed.append(runs)
+            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(removed, kind)]
+            columns[at] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=[*given, *made])
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("units", pa.int32()), ("words", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_unit", pa.int32())]))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields] + ["n_repeated long", f"removed array<{_RUN}>"])
+    return short_batches(both).mapInArrow(run, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated line of every document, but for the earliest occurrence of each."""
-    return repeated_units(table(spark, sf_dir, "documents"))
+    """Every document without its repeated passages: how many units occur earlier, what was removed, digest of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    out = remove_repeats(docs, min_words=PASSAGE_WORDS)
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["length"])
+    first = F.get("removed", F.lit(0))
+    return out.select("doc_id", "n_chars", "n_repeated", n.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), first["start"].alias("first_start"), first["kept_doc_id"].alias("first_kept_doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP2_SQL = rf"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS unit FROM documents),
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{UNITS["sentence"]}')) AS x,
+         unnest(range(len(regexp_extract_all(coalesce(text, ''), '{UNITS["sentence"]}')))) AS tile FROM documents),
 n AS (
-  SELECT doc_id, unit, length(line) AS length,
-         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start,
-         list_filter(string_split(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
-  FROM l),
+  SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY tile) - length(x) AS start,
+         list_filter(string_split(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM t),
+u AS (
+  SELECT doc_id, tile, start, length(x) AS length, array_to_string(w, ' ') AS norm,
+         len(w) + length(regexp_replace(x, '[^{LONE}]', '', 'g')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY tile) - 1 AS unit
+  FROM n WHERE len(w) > 0),
 k AS (
-  SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(unit) OVER o AS kept_unit
-  FROM n WHERE len(w) >= {MIN_WORDS} WINDOW o AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit))
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length, kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit
-FROM k WHERE doc_id <> kept_doc_id OR unit <> kept_unit
+  SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(unit) OVER o AS kept_unit FROM u
+  WINDOW o AS (PARTITION BY norm ORDER BY doc_id, unit)),
+r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM k WHERE doc_id <> kept_doc_id OR unit <> kept_unit),
+s AS (
+  SELECT doc_id, run, min(start) AS a, max(start + length) AS b, count(*) AS units, sum(words) AS words, arg_min(kept_doc_id, unit) AS kept_doc_id
+  FROM r GROUP BY doc_id, run),
+g AS (SELECT * FROM s WHERE words >= {PASSAGE_WORDS}),
+kept AS (
+  SELECT n.doc_id, string_agg(n.x, '' ORDER BY n.tile) AS text
+  FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = n.doc_id AND n.start >= g.a AND n.start < g.b) GROUP BY n.doc_id),
+every AS (SELECT doc_id, sum(units) AS n_repeated FROM s GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, min(a) AS first_start, arg_min(kept_doc_id, a) AS first_kept_doc_id FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(coalesce(d.text, '')) AS BIGINT) AS n_chars, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       CAST(first_start AS INTEGER) AS first_start, first_kept_doc_id, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}

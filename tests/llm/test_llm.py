@@ -56,14 +56,39 @@ def test_urls(spark):
 
 def test_units_keep_the_earliest(spark, odd, empty):
     df = spark.createDataFrame([(2, "a b c d\nq\n A  B c D "), (1, "x y z w\na b c d"), (None, "x y z w")], "doc_id long, text string")
-    got = sorted(map(tuple, unit_dedup.repeated_units(df).collect()))
-    assert got == [(1, 0, 0, 7, None, 0), (2, 0, 0, 7, 1, 1), (2, 2, 10, 10, 1, 1)]
-    left = {r.doc_id: r.text for r in unit_dedup.remove_units(df, unit_dedup.repeated_units(df)).collect()}
-    assert left == {2: "q", 1: "a b c d", None: "x y z w"}
-    assert {r.doc_id for r in unit_dedup.repeated_units(odd).collect()} == {3, 4, 8}
-    assert unit_dedup.repeated_units(empty).count() == 0
-    two = spark.createDataFrame([(1, "a b c d\n\ne f g h"), (2, "E f g h\n\nz")], "doc_id long, text string")
-    assert [tuple(r) for r in unit_dedup.repeated_units(two, "paragraph").collect()] == [(2, 0, 0, 7, 1, 1)]
+    got = sorted((r.doc_id, r.unit, r.start, r.length, r.words, r.kept_doc_id, r.kept_unit) for r in unit_dedup.repeated_units(df, "line").collect())
+    assert got == [(1, 0, 0, 7, 4, None, 0), (2, 0, 0, 7, 4, 1, 1), (2, 2, 10, 10, 4, 1, 1)]
+    left = {r.doc_id: (r.text, len(r.removed)) for r in unit_dedup.remove_repeats(df, "line").collect()}
+    assert left == {2: ("\nq\n", 2), 1: ("\na b c d", 1), None: ("x y z w", 0)}
+    two = spark.createDataFrame([(1, "a b c d\n\ne f\ng h"), (2, "E f\ng h\n\nz")], "doc_id long, text string")
+    assert [(r.doc_id, r.unit, r.start, r.length) for r in unit_dedup.repeated_units(two, "paragraph").collect()] == [(2, 0, 0, 7)]
+
+
+def test_short_units_are_deduplicated_too(spark):
+    df = spark.createDataFrame([(1, "Menu\nHome\none two"), (2, "home\n漢字。漢字。"), (3, "漢字。")], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_repeated) for r in unit_dedup.remove_repeats(df).collect()}
+    assert out == {1: ("Menu\nHome\none two", 0), 2: ("\n漢字。", 2), 3: ("", 1)}
+
+
+def test_a_passage_over_lines_goes_and_a_lone_line_stays(spark):
+    lines = [f"The {k}th line of a passage has its own words{k}. And so has its second sentence number{k}." for k in range(4)]
+    passage, lone = "\n".join(lines), "Subscribe to our newsletter now!"
+    rows = [(1, f"First of all {passage} and so on."), (2, f"Some other text\n{lone}\nhere. Then {passage}\nThe end of it"), (3, f"{lone}\nNothing else in common here.")]
+    out = {r.doc_id: r for r in unit_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=unit_dedup.PASSAGE_WORDS).collect()}
+    assert out[1].text == rows[0][1] and out[3].text == rows[2][1] and out[3].n_repeated == 1
+    (run,) = out[2].removed
+    assert run.words > 50 and run.kept_doc_id == 1 and out[2].text == rows[1][1][: run.start] + rows[1][1][run.start + run.length :]
+    assert "passage" in out[2].text and "2th" not in out[2].text and out[2].text.startswith("Some other text\n" + lone)
+
+
+def test_units_of_odd_rows(spark, odd, empty):
+    out = unit_dedup.remove_repeats(odd.withColumn("removed", F.lit(1)))
+    assert out.columns == [*odd.columns, "n_repeated", "removed"] and out.count() == odd.count()
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert (None, PROSE) in left and left.count((3, "")) == 2 and (1, None) in left and (4, "") in left and (7, "   \n\n ") in left
+    assert unit_dedup.remove_repeats(empty).count() == 0
+    twice = spark.createDataFrame([(1, "a b. c d."), (1, "a b. e f.")], "doc_id long, text string")
+    assert sorted(r.text for r in unit_dedup.remove_repeats(twice).collect()) in (["a b. c d.", " e f."], [" c d.", "a b. e f."], sorted(["a b. c d.", " e f."]), sorted([" c d.", "a b. e f."]))
 
 
 # ---- 3 decontamination
