@@ -1,10 +1,11 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions.
 
 A line's leaf is found by its number of tokens and its first `LEAD` tokens, tokens with a digit being a variable field
-``<*>``. In a leaf the most frequent line is the seed; lines with at least `SIMILAR` of their tokens in common with it
-share one template, in which the places where they differ are fields; a line further off is a template of its own. A
-template found in `MIN_DOCS` or more different texts recurs: its lines are dropped in all documents but the first.
-Whole copies of a text count once, so a copied document doesn't make its own lines recur.
+``<*>``. A leaf holds several templates, one for each of its cells: the whole leaf, and, for each of `BANDS` pairs of
+places, the lines that have the same tokens there. The most frequent form of a cell is its seed; the lines of the cell
+with at least `SIMILAR` of their tokens in common with it are one template, in which the places where they differ are
+fields. A template found in `MIN_DOCS` or more different texts recurs, and its lines are dropped, in all documents or in
+all but the first. Whole copies of a text count once, so a copied document doesn't make its own lines recur.
 """
 
 from __future__ import annotations
@@ -12,76 +13,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import table
+from corvellum.llm.common import chained, table
 
-LEAD, SIMILAR, MIN_DOCS = 3, 0.7, 5
+LEAD, SIMILAR, MIN_DOCS, BANDS = 3, 0.7, 5, 6
 FIELD = "<*>"
-SALTS = 16
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+def _masked(line: Column) -> Column:
+    """Tokens of a line, those with a digit as a field; worked out on the whole line, as a lambda over tokens is slow."""
+    x = F.translate(line, "\t\x0b\x0c\r", "    ")
+    x = F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", FIELD.replace("$", r"\$"))).otherwise(x)
+    return F.array_remove(F.split(x, " "), "")
 
 
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+def _leaf(masked: Column) -> Column:
+    return F.xxhash64(F.size(masked), F.slice(masked, 1, LEAD))
 
 
-def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, LEAD)))
+def _places(band: int, size: Column) -> tuple[Column, Column]:
+    """The two places (from 0 on) that a band looks at in lines of ``size`` tokens."""
+    return F.pmod(F.lit(LEAD + 2 * band), size), F.pmod(F.lit(LEAD + 1 + 5 * band) + F.floor(size / 2).cast("int"), size)
 
 
-def _placed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines that have a token, by number, with their leaf."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    a = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "x"))
-    a = a.withColumn("tokens", _tokens(F.col("x"))).where(F.size("tokens") > 0)
-    return a.select("doc_id", "line", _leaf(F.col("tokens")).alias("leaf"))
+def _cells(masked: Column) -> Column:
+    """Cells of a line within its leaf, band 0 being the whole leaf."""
+    n = F.size(masked)
+    at = [_places(b, n) for b in range(1, BANDS + 1)]
+    return F.array(F.lit(0).cast("long"), *[F.xxhash64(F.lit(b), F.get(masked, x), F.get(masked, y)) for b, (x, y) in enumerate(at, 1)])
 
 
-def _salted(small: DataFrame) -> DataFrame:
-    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tid, parts): lines of each text, and a digest of the text."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tid"), F.split(F.coalesce(text, F.lit("")), "\n").alias("parts"))
 
 
-def _salt() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int")
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines to drop: one row per document that has some, doc_id and dropped array<int> (line numbers, ascending).
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines to drop: one row per document that has some: doc_id, tid (digest of its text), dropped array<int> (line
+    numbers, ascending).
 
     Leaves with too few lines go first, as counts with partial aggregation; only documents that have lines in the
-    rest send their text to them. Rows of a hot leaf or template meet its one row of statistics in `SALTS` parts.
-    Empty and null texts have no lines. Rows that repeat a doc_id count as one document, whose lines go by number in
-    each of its texts; rows with a null doc_id keep their lines. Ties for the seed go to the
-    greater line in code point order. Other columns are ignored; an empty table gives no rows.
+    rest send their text to them. From then on forms (different masked lines of a leaf) are counted, not lines, and cells
+    with too few lines go before any form meets a seed. A hot leaf or form is one row of statistics, which a
+    skewed join meets in parts. Empty and null texts have no lines; texts of any length are cut whole. Rows that repeat
+    a doc_id count as one document, each with its own text's lines; rows with a null doc_id keep their lines. Ties for the
+    seed go to the greater line in code point order. Other columns are ignored; an empty table gives no rows.
     """
-    placed = _placed_lines(docs, id_col, text_col)
-    busy = _salted(placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    at = placed.withColumn("salt", _salt()).join(busy, ["leaf", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("at"))
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = text.join(at, "doc_id").select("doc_id", F.xxhash64("text").alias("whole"), "at", F.split("text", "\n").alias("parts"))
-    lines = lines.select("doc_id", "whole", F.explode("at").alias("line"), "parts")
-    lines = lines.select("doc_id", "whole", "line", _tokens(F.get("parts", F.col("line"))).alias("tokens"))
-    lines = lines.select("doc_id", "whole", "line", _leaf(F.col("tokens")).alias("leaf"), F.array_join(_masked(F.col("tokens")), " ").alias("masked"))
-    lines = lines.where("masked IS NOT NULL")
-    seeds = lines.groupBy("leaf", "masked").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.max(F.struct("n", "masked"))["masked"].alias("seed"))
-    both = lines.withColumn("salt", _salt()).join(_salted(seeds), ["leaf", "salt"])
-    both = both.select("doc_id", "whole", "line", "leaf", "masked", F.split("masked", " ").alias("a"), F.split("seed", " ").alias("b"))
-    alike = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x)) >= SIMILAR * F.size("a")
-    tagged = both.select("doc_id", "whole", "line", "leaf", F.when(alike, F.lit(0).cast("long")).otherwise(F.xxhash64("masked")).alias("form"))
-    texts = tagged.groupBy("leaf", "form", "whole").agg(F.min("doc_id").alias("first"))
-    recurring = texts.groupBy("leaf", "form").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
-    gone = tagged.withColumn("salt", _salt()).join(_salted(recurring.select("leaf", "form", "first")), ["leaf", "form", "salt"])
-    return gone.where("doc_id <> first").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines of `recurring_lines`; every document stays, null texts stay null."""
-    gone = recurring_lines(docs, min_docs, id_col, text_col).select(F.col("doc_id").alias("__id__"), F.col("dropped").alias("__gone__"))
-    a = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id__"), "left")
-    stay = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone__", i))
-    text = F.when(F.col("__gone__").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    spark = docs.sparkSession
+    d = _documents(docs, id_col, text_col)
+    placed = d.select("doc_id", "tid", F.posexplode("parts").alias("line", "x")).withColumn("a", _masked(F.col("x"))).where(F.size("a") > 0)
+    placed = placed.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf"))
+    busy = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    at = placed.join(busy, "leaf", "left_semi").groupBy("doc_id", "tid").agg(F.collect_set("line").alias("at"))
+    lines = d.join(at, ["doc_id", "tid"]).select("doc_id", "tid", F.explode("at").alias("line"), "parts")
+    lines = lines.select("doc_id", "tid", "line", _masked(F.get("parts", F.col("line"))).alias("a"))
+    lines = lines.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf"), F.array_join("a", " ").alias("masked"))
+    lines = chained(spark, lines.withColumn("form", F.xxhash64("masked")))
+    forms = chained(spark, lines.groupBy("leaf", "form").agg(F.count("*").alias("n"), F.first("masked").alias("masked")))
+    in_cells = forms.select("leaf", "form", "n", "masked", F.posexplode(_cells(F.split("masked", " "))).alias("band", "cell"))
+    seeds = in_cells.groupBy("leaf", "band", "cell").agg(F.sum("n").alias("lines"), F.max(F.struct("n", "masked"))["masked"].alias("seed")).where(F.col("lines") >= min_docs)
+    met = in_cells.join(seeds.select("leaf", "band", "cell", "seed"), ["leaf", "band", "cell"])
+    a, b = F.split("masked", " "), F.split("seed", " ")
+    alike = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= SIMILAR * F.size(a)
+    tagged = met.where((F.col("masked") == F.col("seed")) | alike).groupBy("leaf", "form").agg(F.collect_set(F.struct("band", "cell")).alias("cells"))
+    tagged = lines.drop("masked").join(tagged, ["leaf", "form"]).select("doc_id", "tid", "line", "leaf", F.explode("cells").alias("c")).select("doc_id", "tid", "line", "leaf", "c.band", "c.cell")
+    texts = tagged.groupBy("leaf", "band", "cell", "tid").agg(F.min("doc_id").alias("first"))
+    recurring = texts.groupBy("leaf", "band", "cell").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
+    gone = tagged.join(recurring.select("leaf", "band", "cell", "first"), ["leaf", "band", "cell"])
+    gone = gone.where(F.col("doc_id") != F.col("first") if keep_first else F.col("doc_id").isNotNull())
+    return gone.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the lines of `recurring_lines`; every document stays, null texts stay null, columns of any name too."""
+    gone = recurring_lines(docs, min_docs, keep_first, id_col, text_col).select(F.col("doc_id").alias("__id__"), F.col("tid").alias("__tid__"), F.col("dropped").alias("__gone__"))
+    a = docs.join(gone, (docs[f"`{id_col}`"] == F.col("__id__")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col("__tid__")), "left")
+    stay = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("__gone__", i))
+    text = F.when(F.col("__gone__").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(stay, "\n"))
     return a.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -91,19 +99,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.explode("dropped").alias("line"))
 
 
-#: SQL for dropped lines of a relation ``docs`` (doc_id, text).
+_CELL_SQL = ", ".join(f"'{b} ' || a[1 + ({LEAD + 2 * b}) % len(a)] || ' ' || a[1 + ({LEAD + 1 + 5 * b} + len(a) // 2) % len(a)]" for b in range(1, BANDS + 1))
+#: SQL for recurring lines of a relation ``docs`` (doc_id, text).
 RECURRING_SQL = rf"""
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM docs WHERE text IS NOT NULL),
 k AS (SELECT doc_id, text, line, list_filter(string_split(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda t: t <> '') AS w FROM l),
 m AS (SELECT doc_id, text, line, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{FIELD}' ELSE t END) AS a FROM k WHERE len(w) > 0),
 f AS (SELECT doc_id, text, line, a, array_to_string(a, ' ') AS masked, len(a) || ' ' || array_to_string(a[1:{LEAD}], ' ') AS leaf FROM m),
 g AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS n FROM f),
-busy AS (SELECT * FROM g WHERE n >= {MIN_DOCS}),
-c AS (SELECT leaf, masked, any_value(a) AS a, count(*) AS n FROM busy GROUP BY leaf, masked),
-s AS (SELECT leaf, arg_max(a, {{'n': n, 'masked': masked}}) AS seed FROM c GROUP BY leaf),
-b AS (SELECT doc_id, text, line, leaf, CASE WHEN len(list_filter(range(1, len(a) + 1), lambda i: a[i] = seed[i])) >= {SIMILAR}::DOUBLE * len(a) THEN '' ELSE masked END AS form FROM busy JOIN s USING (leaf)),
-r AS (SELECT leaf, form, count(DISTINCT text) AS n, min(doc_id) AS first FROM b GROUP BY leaf, form),
-gone AS (SELECT DISTINCT doc_id, line FROM b JOIN r USING (leaf, form) WHERE r.n >= {MIN_DOCS} AND doc_id <> first)"""
+busy AS (SELECT doc_id, text, line, a, masked, leaf, unnest(['0', {_CELL_SQL}]) AS cell FROM g WHERE n >= {MIN_DOCS}),
+c AS (SELECT leaf, cell, masked, any_value(a) AS a, count(*) AS n FROM busy GROUP BY leaf, cell, masked),
+s AS (SELECT leaf, cell, arg_max(a, {{'n': n, 'masked': masked}}) AS seed FROM c GROUP BY leaf, cell),
+b AS (SELECT doc_id, text, line, leaf, cell FROM busy JOIN s USING (leaf, cell) WHERE len(list_filter(range(1, len(a) + 1), lambda i: a[i] = seed[i])) >= {SIMILAR}::DOUBLE * len(a)),
+r AS (SELECT leaf, cell, count(DISTINCT text) AS n FROM b GROUP BY leaf, cell),
+gone AS (SELECT DISTINCT doc_id, line FROM b JOIN r USING (leaf, cell) WHERE r.n >= {MIN_DOCS} AND doc_id IS NOT NULL)"""
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}
 SQL = {"op5_line_dedup": f"WITH docs AS (SELECT doc_id, text FROM documents),{RECURRING_SQL}\nSELECT doc_id, CAST(line AS INTEGER) AS line FROM gone"}

@@ -165,8 +165,10 @@ def test_pieces_equal_the_library(spark, sf, odd, empty):
 
 def test_templates(spark, odd, empty):
     rows = [(i, f"Posted by user{i} on day {i}\nunique words number {chr(97 + i)} here\nDone.") for i in range(6)] + [(20 + i, "same text whole\ncopied") for i in range(9)]
-    got = {r.doc_id: r.dropped for r in line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: [0, 1, 2] for i in range(1, 6)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda **k: {r.doc_id: r.dropped for r in line_templates.recurring_lines(df, **k).collect()}
+    assert got() == {i: [0, 1, 2] for i in range(6)}
+    assert got(keep_first=True) == {i: [0, 1, 2] for i in range(1, 6)}
     assert line_templates.drop_recurring_lines(odd).columns == odd.columns and line_templates.drop_recurring_lines(odd).count() == odd.count()
     assert line_templates.recurring_lines(empty).count() == 0
     uneven = spark.createDataFrame([(i % 6, "a b c d\n" * (1 + i % 5) + f"own {chr(97 + i)}") for i in range(20)] + [(None, "a b c d")], "doc_id long, text string")
@@ -174,6 +176,21 @@ def test_templates(spark, odd, empty):
     assert line_templates.drop_recurring_lines(uneven).where("doc_id IS NULL AND text = 'a b c d'").count() == 1
 
 
+def test_a_leaf_holds_several_templates(spark):
+    """Two templates with a variable word each and the same opening, and lines of that opening that recur nowhere."""
+    names = [f"{chr(97 + k)}{chr(97 + k)}" for k in range(8)]
+    rows = [(k, f"By the way {x} has left this room for good today\nBy the way nobody may open gates of {x} castle again") for k, x in enumerate(names)]
+    rows += [(100 + k, "By the way " + " ".join(f"{x}{chr(97 + j)}" for j in range(8))) for k, x in enumerate(names)]
+    got = {r.doc_id: r.dropped for r in line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: [0, 1] for k in range(8)}
+
+
+def test_lines_go_by_text_where_ids_repeat(spark):
+    rows = [(k, f"All rights reserved here {k}\nown {chr(97 + k)}") for k in range(6)] + [(0, "something else\nof the same id")]
+    out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.text for r in out.where("doc_id = 0").collect()} == {"own a", "something else\nof the same id"}
+
+
 # ---- 6 licences
 
 
