@@ -181,7 +181,7 @@ def _word_rows(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b and more, all long) whose texts are alike. Each pair carries its two texts here and no
+    """The rows of ``pairs`` (text_a, text_b and more, all long) whose texts are alike. Each pair carries its two texts here and no
     further; a text that is in very many pairs is one row that a skewed join meets in parts."""
     kept = pairs.columns
 
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
             ok = [alike(*(np.frombuffer(v.as_buffer(), "<u4") for v in both), similar) for both in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=kept).filter(pa.array(ok, pa.bool_()))
 
-    full = pairs.join(rows.select(F.col("tid").alias("a"), F.col("w").alias("wa")), "a").join(rows.select(F.col("tid").alias("b"), F.col("w").alias("wb")), "b")
+    full = pairs.join(rows.select(F.col("tid").alias("text_a"), F.col("w").alias("wa")), "text_a").join(rows.select(F.col("tid").alias("text_b"), F.col("w").alias("wb")), "text_b")
     return short_batches(full).select(*kept, "wa", "wb").mapInArrow(run, ", ".join(f"{c} long" for c in kept))
 
 
@@ -203,7 +203,7 @@ def _rank(c: str, seed: int) -> Column:
 
 
 def _candidates(members: DataFrame, seed: int, similar: float) -> DataFrame:
-    """At most one pair for each text: itself (a) with the centre (b) that ranks first of those of its buckets.
+    """At most one pair for each text: itself (text_a) with the centre (text_b) that ranks first of those of its buckets.
 
     A bucket's centre is its text of the least hash, so a group of texts that share many buckets has few centres.
     """
@@ -211,8 +211,8 @@ def _candidates(members: DataFrame, seed: int, similar: float) -> DataFrame:
     first = F.min(F.struct(_rank("tid", seed).alias("r"), F.col("tid").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("nb"), F.col("label").alias("lb")))
     mixed = e.groupBy("key").agg(first.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "c.*")
     met = e.join(mixed, "key").where((F.col("label") != F.col("lb")) & _near("n", "nb", similar))
-    best = met.groupBy(F.col("tid").alias("a")).agg(F.min(F.struct("r", "b", "doc_b", "lb", "doc", "label")).alias("c"))
-    return best.select("a", F.col("c.b").alias("b"), F.col("c.doc").alias("doc_a"), F.col("c.doc_b").alias("doc_b"), F.col("c.label").alias("la"), F.col("c.lb").alias("lb"))
+    best = met.groupBy(F.col("tid").alias("text_a")).agg(F.min(F.struct("r", "b", "doc_b", "lb", "doc", "label")).alias("c"))
+    return best.select("text_a", F.col("c.b").alias("text_b"), F.col("c.doc").alias("doc_a"), F.col("c.doc_b").alias("doc_b"), F.col("c.label").alias("la"), F.col("c.lb").alias("lb"))
 
 
 def _all_left(members: DataFrame, similar: float) -> DataFrame:
@@ -229,7 +229,7 @@ def _all_left(members: DataFrame, similar: float) -> DataFrame:
     once = (F.col("label_b") == F.col("major")) | (F.col("tid_a") < F.col("tid_b"))
     least = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
     met = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & _near("n_a", "n_b", similar) & least)
-    return met.select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b"), F.col("doc_a"), F.col("doc_b"))
+    return met.select(F.col("tid_a").alias("text_a"), F.col("tid_b").alias("text_b"), "doc_a", "doc_b", F.col("label_a").alias("la"), F.col("label_b").alias("lb"))
 
 
 def _links(docs: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
@@ -257,8 +257,10 @@ def _links(docs: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
             far = to.select(F.col("label").alias("to"), F.col("to").alias("far"))
             to = to.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
         members = chained(spark, members.join(to, "label", "left").select("tid", "doc", "n", "keys", F.coalesce("to", "label").alias("label")))
-    rest = chained(spark, _verified(_all_left(members, similar), rows, similar))
-    return links.select("doc_a", "doc_b").union(rest.select("doc_a", "doc_b")).toDF("a", "b")
+    rest = _verified(_all_left(members, similar), rows, similar)
+    # one link connects two classes as well as all of them do
+    rest = chained(spark, rest.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.min(F.struct("doc_a", "doc_b")).alias("x")))
+    return links.select("doc_a", "doc_b").union(rest.select("x.*")).toDF("a", "b")
 
 
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
