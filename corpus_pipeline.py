@@ -1,69 +1,5 @@
-"""From raw documents to token ids: quality rules, line dedup, near-dedup, decontamination, encoding.
+"""The corpus pipeline as the driver looks for it; its stages are in `corvellum.llm.stages`."""
 
-Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the columns
-of ``documents``. `run` writes each stage's result as Parquet in the shared folder and reads it again for the next, so a
-lost executor costs one stage's work and no plan spans two stages.
-"""
+from corvellum.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from corvellum.llm.common import shared_folder, table
-from corvellum.llm.decontaminate import drop_leaks
-from corvellum.llm.line_templates import drop_recurring_lines
-from corvellum.llm.order_minhash import keep_one_of_each
-from corvellum.llm.pieces import encode_documents
-from corvellum.llm.quality import keep_good, trusted_documents
-
-#: Not SQL: hashes, sketches, alignments and merges have no counterpart there; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose heuristics and log-likelihood ratio are good enough; the others go."""
-    return keep_good(docs, trusted_documents(spark, sf_dir))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of recurring templates; ``n_chars`` stays that of the source."""
-    return drop_recurring_lines(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return keep_one_of_each(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with digests of the ids and of the text decoded from them."""
-    return encode_documents(docs)
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("MinHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("SentencePiece encoding and decoding", encoding),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
