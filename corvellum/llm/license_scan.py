@@ -33,9 +33,36 @@ THRESHOLD = 0.8
 
 
 def template_bigrams(text: str) -> list[str]:
-    """Distinct word bigrams of a template in order, normalised as documents are."""
+    """Word bigrams of a template in order, normalised as documents are."""
     w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
+def least_overlap(size: int, threshold: float) -> int:
+    """Distinct bigrams that a unit must share with a template of ``size`` of them to reach the threshold: a unit of
+    the least size that the coefficient allows needs the fewest."""
+    return math.ceil(threshold * (math.ceil(threshold / (2 - threshold) * size - 1e-9) + size) / 2 - 1e-9)
+
+
+def telling_words(grams: list[str], threshold: float) -> set[str]:
+    """Words of a template of which a match must hold at least one: so many bigrams have one of them that the others are
+    too few for a match. Long words are taken first, as few texts hold them."""
+    left, chosen = set(grams), set()
+    free = least_overlap(len(left), threshold) - 1
+    for w in sorted({w for g in left for w in g.split()}, key=lambda w: (-len(w), w)):
+        if len(left) <= free:
+            break
+        gone = {g for g in left if w in g.split()}
+        if gone:
+            chosen.add(w)
+            left -= gone
+    return chosen
+
+
+def window_lengths(n: int) -> list[int]:
+    """Lengths, in bigrams, of the runs of words that are compared with a template of ``n``: shorter where something is
+    left out of it, longer where something is put in."""
+    return sorted({max(1, math.ceil(0.8 * n)), n, math.floor(1.25 * n), math.floor(1.5 * n)})
 
 
 def _bigrams(w: Column) -> Column:
@@ -44,40 +71,56 @@ def _bigrams(w: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Matches of lines, blank-line-separated paragraphs and whole texts with templates: doc_id, scope, unit, template
-    (its number), license, dice. No shuffle; the templates are a constant of the plan.
-
-    Text is normalised by lower-casing and taking all but a-z and 0-9 as separators. Of a unit's distinct bigrams
-    those that no template has are set aside first: fewer left than the smallest overlap that could reach the
-    threshold ends the matter. Then a template is a candidate only within the size bounds that the coefficient
-    implies (|A| between t/(2-t) and (2-t)/t of |B|); the coefficient itself decides. Null, empty and one-word texts
-    match nothing; a unit may match several templates; repeated rows repeat their matches. A paragraph or text that
-    is a single line or paragraph isn't reported again under the wider scope. Other columns are ignored.
+    """Matches with templates: doc_id, scope, unit, template (its number), license, dice. No shuffle; the templates are a
+    constant of the plan.
+
+    Scopes are lines, blank-line-separated paragraphs and whole texts, known by their number, and ``window``: the best
+    run of words of a text, wherever lines begin and end, known by its first word. Runs begin at a bigram of the template
+    and have the lengths of `window_lengths`; of equal ones the first, then the shortest counts.
+
+    Text is normalised by lower-casing and taking all but a-z and 0-9 as separators. Texts without any of a template's
+    `telling_words` can't match and go first, then templates of which a text has fewer distinct bigrams than
+    `least_overlap`. Of a unit only templates within the size bounds that the coefficient implies (|A| between
+    t/(2-t) and (2-t)/t of |B|) are compared; the coefficient itself decides. Null, empty and one-word texts
+    match nothing; a very long text is scanned whole, and its runs only where a template's bigrams stand; a unit may
+    match several templates, alike ones too; repeated rows repeat their matches. A paragraph or text that
+    is a single line or paragraph isn't reported again under the wider scope. Other columns are ignored; an empty table
+    gives no rows.
     """
-    grams = [(i, name, template_bigrams(t)) for i, (name, t) in enumerate(templates)]
-    known = sorted({g for _, _, gs in grams for g in gs})
+    sizes = [(i, name, template_bigrams(t)) for i, (name, t) in enumerate(templates)]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least = min(math.ceil(threshold * (math.ceil(low * len(g)) + len(g)) / 2 - 1e-9) for _, _, g in grams)
-    literal = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.array(*map(F.lit, g)).alias("grams")) for i, n, g in grams])
-
-    low_text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    split_words = lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "")
-    a = docs.select(F.col(id_col).alias("doc_id"), low_text.alias("low")).withColumn("w", split_words(F.col("low")))
-    a = a.where(F.size(F.filter(_bigrams(F.col("w")), lambda g: g.isin(known))) >= least).drop("w")
+    telling = sorted({w for _, _, g in sizes for w in telling_words(g, threshold)})
+    rows = [
+        F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.array(*map(F.lit, dict.fromkeys(g))).alias("grams"), F.lit(least_overlap(len(set(g)), threshold)).alias("least"), F.array(*map(F.lit, window_lengths(len(g)))).alias("lengths"))
+        for i, name, g in sizes
+    ]
+    literal = F.array(*rows)
+
+    low_text = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    split_words = lambda x: F.array_remove(F.split(x, "[^a-z0-9]+"), "")
+    a = docs.select(F.col(f"`{id_col}`").alias("doc_id"), low_text.alias("low")).withColumn("w", split_words(F.col("low")))
+    a = a.where(F.arrays_overlap("w", F.array(*map(F.lit, telling)))).select("doc_id", "low", _bigrams(F.col("w")).alias("all"))
+    a = a.withColumn("t", F.filter(literal, lambda t: F.size(F.array_intersect("all", t["grams"])) >= t["least"])).where(F.size("t") > 0)
+
+    part = "array<struct<scope:string,unit:int,x:string>>"
     lines = F.split("low", "\n")
     paragraphs = F.split("low", r"\n[^a-z0-9\n]*\n[^a-z0-9]*")
     scope = lambda name, parts: F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("scope"), i.alias("unit"), x.alias("x")))
     several = lambda x: F.instr(x["x"], "\n") > 0
-    whole = F.when(F.size(paragraphs) > 1, scope("text", F.array("low"))).otherwise(F.array().cast("array<struct<scope:string,unit:int,x:string>>"))
+    whole = F.when(F.size(paragraphs) > 1, scope("text", F.array("low"))).otherwise(F.array().cast(part))
     every = F.concat(scope("line", lines), F.filter(scope("paragraph", paragraphs), several), whole)
-    u = a.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.scope", "u.unit", split_words(F.col("u.x")).alias("w"))
-    u = u.where(F.size("w") > least).select("doc_id", "scope", "unit", _bigrams(F.col("w")).alias("all"))
-    u = u.where(F.size(F.filter("all", lambda g: g.isin(known))) >= least).select("doc_id", "scope", "unit", F.array_distinct("all").alias("g"))
-    size = F.size("g")
-    fits = lambda t: (size >= low * F.size(t["grams"])) & (size <= high * F.size(t["grams"]))
-    c = u.select("*", F.explode(literal).alias("t")).where(fits(F.col("t")))
-    dice = 2.0 * F.size(F.array_intersect("g", "t.grams")) / (size + F.size("t.grams"))
-    return c.withColumn("dice", F.round(dice, 6)).where(dice >= threshold).select("doc_id", "scope", "unit", "t.template", "t.license", "dice")
+    u = a.select("doc_id", "t", F.explode(every).alias("u")).select("doc_id", "t", "u.scope", "u.unit", F.array_distinct(_bigrams(split_words(F.col("u.x")))).alias("g"))
+    dice = lambda g, t: 2.0 * F.size(F.array_intersect(g, t)) / (F.size(g) + F.size(t))
+    near = lambda t: (F.size("g") >= low * F.size(t["grams"])) & (F.size("g") <= high * F.size(t["grams"]))
+    u = u.select("doc_id", "scope", "unit", "g", F.explode(F.filter("t", near)).alias("t")).select("doc_id", "scope", "unit", "t", dice(F.col("g"), F.col("t.grams")).alias("dice"))
+
+    hit = a.select("doc_id", "all", F.explode("t").alias("t"))
+    hit = hit.withColumn("at", F.filter(F.transform("all", lambda g, i: F.when(F.array_contains("t.grams", g), i)), lambda i: i.isNotNull()))
+    run = lambda i, n: F.array_distinct(F.slice("all", i + 1, n))
+    runs = F.flatten(F.transform("at", lambda i: F.transform("t.lengths", lambda n: F.struct(dice(run(i, n), F.col("t.grams")).alias("dice"), (-i).alias("at"), (-n).alias("n")))))
+    best = hit.select("doc_id", F.lit("window").alias("scope"), F.array_max(runs).alias("best"), "t").select("doc_id", "scope", (-F.col("best.at")).alias("unit"), "t", "best.dice")
+    found = u.unionByName(best).where(F.col("dice") >= threshold)
+    return found.select("doc_id", "scope", "unit", "t.template", "t.license", F.round("dice", 6).alias("dice"))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +129,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(g) for g in template_bigrams(t))}])" for i, (name, t) in enumerate(TEMPLATES))
+    grams = [(i, name, template_bigrams(t)) for i, (name, t) in enumerate(TEMPLATES)]
+    rows = ", ".join(f"({i}, '{name}', [{', '.join(map(repr, dict.fromkeys(g)))}], {window_lengths(len(g))})" for i, name, g in grams)
     return rf"""
-WITH t(template, license, grams) AS (VALUES {rows}),
+WITH t(template, license, grams, lengths) AS (VALUES {rows}),
 d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS norm FROM documents),
 p AS (SELECT doc_id, norm, string_split(norm, chr(10)) AS ls, regexp_split_to_array(norm, '\n *\n[ \n]*') AS ps FROM d),
 u AS (
@@ -97,8 +141,17 @@ u AS (
   UNION ALL SELECT doc_id, 'text', 0, norm FROM p WHERE len(ps) > 1),
 w AS (SELECT doc_id, scope, unit, list_filter(string_split(replace(x, chr(10), ' '), ' '), lambda y: y <> '') AS w FROM u),
 g AS (SELECT doc_id, scope, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
-c AS (SELECT *, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS x FROM g, t)
-SELECT doc_id, scope, CAST(unit AS INTEGER) AS unit, template, license, round(x, 6) AS dice FROM c WHERE x >= {THRESHOLD}::DOUBLE
+c AS (SELECT doc_id, scope, unit, template, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS x FROM g, t),
+a AS (
+  SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g
+  FROM (SELECT doc_id, list_filter(string_split(replace(norm, chr(10), ' '), ' '), lambda y: y <> '') AS w FROM d) WHERE len(w) > 1),
+b AS (SELECT doc_id, g, template, license, grams, lengths, unnest(range(1, len(g) + 1)) AS i FROM a, t WHERE len(list_intersect(g, grams)) * 2 >= len(grams)),
+h AS (SELECT doc_id, template, license, grams, i, unnest(lengths) AS n, g FROM b WHERE list_contains(grams, g[i])),
+r AS (SELECT doc_id, template, license, i - 1 AS unit, n, grams, list_distinct(g[i : i + n - 1]) AS g FROM h),
+x AS (SELECT doc_id, template, license, unit, n, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS x FROM r),
+y AS (SELECT doc_id, 'window' AS scope, first(unit ORDER BY x DESC, unit, n) AS unit, template, license, max(x) AS x FROM x GROUP BY doc_id, template, license)
+SELECT doc_id, scope, CAST(unit AS INTEGER) AS unit, template, license, round(x, 6) AS dice
+FROM (SELECT * FROM c UNION ALL SELECT * FROM y) WHERE x >= {THRESHOLD}::DOUBLE
 """
 
 

@@ -199,6 +199,11 @@ def test_licenses(spark, odd, empty):
     got = {(r.doc_id, r.scope, r.license) for r in license_scan.scan_licenses(df).collect()}
     assert (1, "paragraph", "MIT") in got and (2, "line", "MIT") in got and not {d for d, *_ in got} & {3, 4}
     assert {r.doc_id for r in license_scan.scan_licenses(odd).collect()} == {8}
+    # inside a line, over several paragraphs, with text around, and with words put in
+    bsd = license_scan.TEMPLATES[11][1].replace(": ", ":\n\n")
+    more = [(1, "It was collected in 2019. This work is licensed under the GNU General Public License, version 3. Thanks to all."), (2, "code code code\n" + bsd + "\n\nint main() { return 0; }\n" * 30), (3, "We say: Released under the MIT License. " + "And so on it goes. " * 3000), (4, " ".join(w if k % 9 else w + " indeed" for k, w in enumerate(mit.split()))), (5, "released version under review, the license of mit")]
+    windows = {(r.doc_id, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(more, "doc_id long, text string")).where("scope = 'window'").collect()}
+    assert windows == {(1, "GPL-3.0"), (2, "BSD-3-Clause"), (3, "MIT"), (4, "MIT")}
     assert license_scan.scan_licenses(empty).count() == 0
 
 
