@@ -119,7 +119,8 @@ def row_slices(off: np.ndarray, most: int = 200_000):
 
 def word_hashes(raw: np.ndarray, off: np.ndarray, alphanumeric: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (A-Z lower-cased) of rows laid end to end, and the n+1 word offsets. Words are cut
-    at ASCII white space, or, if ``alphanumeric``, at all of ASCII but letters and digits."""
+    at ASCII white space, or, if ``alphanumeric``, at all of ASCII but letters and digits; each character of a script without
+    spaces (Chinese, Japanese, Thai) is a word."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
@@ -130,6 +131,12 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, alphanumeric: bool = False) ->
         inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    if (low >= 0xE0).any():
+        for size, lead in ((3, _lone_characters(low)), (4, (low == 0xF0) & _followed(low, 0xA0, 0xB0))):
+            at = np.flatnonzero(lead)
+            begins[at] = True
+            at = at[at + size < n] + size
+            begins[at] |= inside[at]
     cuts = off[1:-1]
     cuts = cuts[cuts < n]
     begins[cuts] = inside[cuts]
@@ -154,6 +161,18 @@ _BLOCK_BITS = 20
 _POWERS = np.ones(1, np.uint64)
 
 
+def _followed(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where the next byte is from ``a`` up to ``b``."""
+    out = np.zeros(len(x), bool)
+    out[:-1] = (x[1:] >= a) & (x[1:] < b)
+    return out
+
+
+def _lone_characters(x: np.ndarray) -> np.ndarray:
+    """First bytes of characters from U+3000 to U+9FFF and of Thai ones, in UTF-8."""
+    return ((x >= 0xE3) & (x <= 0xE9)) | ((x == 0xE0) & _followed(x, 0xB8, 0xBA))
+
+
 def _powers(n: int) -> np.ndarray:
     """1, p, p^2 ... modulo 2^64, at least n of them."""
     global _POWERS

@@ -1,23 +1,25 @@
 """Benchmark decontamination: pigeonhole pieces, exact piece hits, Myers' bit-parallel distance on what was hit.
 
-The alphabet is words (A-Z lower-cased, cut at ASCII punctuation and white space). An item of m words may be found
+The alphabet is words (A-Z lower-cased, cut at ASCII punctuation and white space, and each character of a script without
+spaces). An item of m words may be found
 with up to k = floor(`ERRORS` * m) word edits. Cut into k + 1 pieces, at least one piece must occur unchanged, so the
 pieces' exact hits miss nothing; each hit is verified in the window that the item could lie in.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import row_slices, short_batches, string_bytes, table, word_hashes
+from corvellum.llm.common import chained, row_slices, short_batches, string_bytes, table, word_hashes
 
 ERRORS = 0.2
-#: Items of fewer words can't be told from chance and are left out.
-MIN_ITEM_WORDS = 5
-#: Characters of items that travel to the tasks together; a larger benchmark is matched in several passes.
+#: Characters of items that travel to the tasks together; a larger benchmark is matched in several passes, one at a time.
 BLOCK_CHARS = 16_000_000
 _JOIN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,7 +50,16 @@ def distance_in(pattern: list[int], text: list[int], most: int) -> tuple[int, in
 
 
 class Items:
-    """Benchmark items as words, and all their pieces by hash."""
+    """Benchmark items as words, and all their pieces by hash. An item too short for an edit is one piece, found exactly."""
+
+    last: tuple[object, Items | None] = (None, None)
+
+    @classmethod
+    def get(cls, name: str, items: list[tuple[int, str]], errors: float) -> Items:
+        """The block of this name, kept in the Python worker until another one comes."""
+        if cls.last[0] != name:
+            cls.last = name, cls(items, errors)
+        return cls.last[1]
 
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
         raw, off = string_bytes(pa.array([t for _, t in items], pa.large_string()))
@@ -58,7 +69,7 @@ class Items:
         self.budget = [int(len(w) * errors + 1e-9) for w in self.words]
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for i, (w, k) in enumerate(zip(self.words, self.budget, strict=True)):
-            if len(w) >= MIN_ITEM_WORDS:
+            if len(w):
                 cuts = [len(w) * p // (k + 1) for p in range(k + 2)]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     pieces.setdefault(b - a, []).append((int(self._joined(w[a:b])), i, a))
@@ -115,33 +126,36 @@ class Items:
         return sorted(found)
 
 
-def _blocks(benchmark: DataFrame, block_chars: int):
-    """The items, in blocks of a bounded size each."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[tuple[str, list[tuple[int, str]]]]]:
+    """How many blocks of a bounded size the items make, and the blocks, each with a name, one in memory at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(chars // block_chars) + 1
-    for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return n, ((uuid.uuid4().hex, [tuple(r) for r in items.where(part == b).collect()]) for b in range(n))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Found items: doc_id, item_id, distance (word edits), budget, item_words, end_word (of the find in the text).
 
     One row per document and item, the best find (then the leftmost). No shuffle: the benchmark travels to the texts,
-    in blocks of a bounded size. Null and empty texts and items match nothing; items of fewer than `MIN_ITEM_WORDS`
-    words are left out; a text of any length is searched whole. Repeated rows are found alike; other columns are
+    in blocks of a bounded size; with several, each block's finds are written before the next one is read. Null and
+    empty texts and items match nothing; items too short for an edit (four words and less) are found as they are; a
+    text of any length is searched whole. Repeated rows are found alike; a null doc_id stays null; other columns are
     ignored; an empty table on either side gives no rows.
     """
     out = None
-    for items in _blocks(benchmark, block_chars):
-        one = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_finder(items, errors), "doc_id long, item_id long, distance int, budget int, item_words int, end_word int")
+    n, blocks = _blocks(benchmark, block_chars)
+    for name, items in blocks:
+        one = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_finder(name, items, errors), "doc_id long, item_id long, distance int, budget int, item_words int, end_word int")
+        one = one if n == 1 else chained(docs.sparkSession, one)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _finder(rows: list[tuple[int, str]], errors: float):
+def _finder(name: str, rows: list[tuple[int, str]], errors: float):
     def run(batches):
-        items = Items(rows, errors)
+        items = Items.get(name, rows, errors)
         for batch in batches:
             raw, off = string_bytes(batch.column(1))
             found = []
@@ -162,12 +176,15 @@ def _finder(rows: list[tuple[int, str]], errors: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; judged row by row where they lie, no shuffle."""
+    """``docs`` without the rows whose text holds a benchmark item; judged row by row where they lie, no shuffle.
+
+    Blocks, odd texts and items are as in `find_leaks`; all columns stay, and a row without a doc_id is judged like any.
+    """
     at = docs.columns.index("text")
 
-    def without(rows):
+    def without(name, rows):
         def run(batches):
-            items = Items(rows, errors)
+            items = Items.get(name, rows, errors)
             for batch in batches:
                 raw, off = string_bytes(batch.column(at))
                 keep = np.ones(batch.num_rows, bool)
@@ -178,8 +195,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, bl
 
         return run
 
-    for items in _blocks(benchmark, block_chars):
-        docs = short_batches(docs).mapInArrow(without(items), docs.schema)
+    n, blocks = _blocks(benchmark, block_chars)
+    for name, items in blocks:
+        docs = short_batches(docs).mapInArrow(without(name, items), docs.schema)
+        docs = docs if n == 1 else chained(docs.sparkSession, docs)
     return docs
 
 

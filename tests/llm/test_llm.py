@@ -121,7 +121,7 @@ def test_leaks_match_brute_force(spark, sf):
         for i, w in items:
             k = int(len(w) * decontaminate.ERRORS + 1e-9)
             e = _infix(w, cut(t))
-            if len(w) >= decontaminate.MIN_ITEM_WORDS and e <= k:
+            if w and e <= k:
                 want.add((d, i, e))
     for block in (decontaminate.BLOCK_CHARS, 2000):
         assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(df, bench, block_chars=block).collect()} == want
@@ -131,11 +131,30 @@ def test_leaks_match_brute_force(spark, sf):
 
 def test_leaks_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "two three"), (4, PROSE)], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.find_leaks(odd, bench).collect()} == {3, 4, 8, None}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd, bench).collect()} == {(d, i) for d in (3, 4, 8, None) for i in (3, 4)}
+    many = spark.createDataFrame([(i, f"word{i}") for i in range(20)], "item_id long, text string")
+    texts = spark.createDataFrame([(i, f"it has word{i} in it") for i in range(30)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(texts, many, block_chars=30).collect()) == [(i, i) for i in range(20)]
+    assert {r.doc_id for r in decontaminate.drop_leaks(texts, many, block_chars=30).collect()} == set(range(20, 30))
+    lone = spark.createDataFrame([(1, "前文今天天气非常好我们去公园散步吧后文"), (2, "昨天")], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.find_leaks(lone, spark.createDataFrame([(7, "今天天气真的好我们去公园散步吧")], "item_id long, text string")).collect()} == {1}
     assert decontaminate.drop_leaks(odd, bench).columns == odd.columns
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.where("false")).count() == 0
 
 
+def test_word_hashes():
+    from corvellum.llm.common import string_bytes, word_hashes
+
+    import pyarrow as pa
+
+    big = "x" * (1 << 20)
+    texts = ["A b  c", "a B c", "", "漢字 ab漢c", "漢 字 ab 漢 c", "ไทย", "𠀀𠀁", big + "12", big + "21", big + "12" + big, "é漢", "\u3000"]
+    h, at = word_hashes(*string_bytes(pa.array(texts)))
+    got = [h[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got[0] == got[1] and got[2] == [] and got[3] == got[4] and len(got[3]) == 5 and len(got[5]) == 3 and len(got[6]) == 2
+    assert got[7] != got[8] and len({tuple(g) for g in got[7:10]}) == 3 and len(got[10]) == 2
+
+
 # ---- 4 SentencePiece
 
 
