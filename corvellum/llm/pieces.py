@@ -16,8 +16,8 @@ from corvellum.llm.common import short_batches, table
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-#: Words kept with their ids in a Python worker; beyond it the cache starts anew, so memory stays bounded.
-CACHED_WORDS = 300_000
+#: Characters of words kept with their ids in a Python worker; beyond it the cache starts anew. Longer words aren't kept.
+CACHED_CHARS, LONGEST_CACHED = 3_000_000, 64
 #: Texts that one round of array operations takes together, in characters.
 BATCH_CHARS = 500_000
 
@@ -72,7 +72,10 @@ class PieceCodec:
         unmergeable = "".join(sorted({chr(c) for c in range(128) if self.of_char[c] < 0}))
         stop = re.escape(unmergeable)
         self.words = re.compile(f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+|[{stop}]")
+        # neighbouring characters that some piece holds; no merge can ever join others
+        self.neighbours = np.array(sorted({ord(a) * 0x110000 + ord(b) for p in ids for a, b in zip(p, p[1:], strict=False)}), np.int64)
         self.cache: dict[str, bytes] = {}
+        self.cached_chars = 0
 
     @classmethod
     def get(cls, path: str) -> PieceCodec:
@@ -90,15 +93,22 @@ class PieceCodec:
         return np.where(fits, self.ranks[at], NONE), self.whole[at]
 
     def merge_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit integers: rounds of segmented minima, merges and compaction."""
+        """Ids of each word as little-endian 32-bit integers: rounds of segmented minima, merges and compaction.
+
+        Words are cut between neighbours that no piece holds, so that a very long word is many short segments, which
+        take their rounds together.
+        """
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         sym = self.of_char[chars]
         char_at = np.arange(len(chars))
-        last = np.append(word[1:] != word[:-1], True)
+        pair = chars[:-1].astype(np.int64) * 0x110000 + chars[1:]
+        known = self.neighbours[np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)] == pair
+        last = np.append((owner[1:] != owner[:-1]) | ~known, True)
+        word = np.cumsum(np.append(0, last[:-1]))
         rank, whole = self._look(sym, np.append(sym[1:], -1))
         rank[last] = NONE
-        done_word, done_sym, done_char = [], [], []
+        done_sym, done_char = [], []
         while len(sym):
             starts = np.flatnonzero(np.append(True, last[:-1]))
             size = np.diff(np.append(starts, len(sym)))
@@ -106,7 +116,7 @@ class PieceCodec:
             # words in which nothing merges any more leave the arrays
             over = np.repeat(least == NONE, size)
             if over.any():
-                done_word.append(word[over]), done_sym.append(sym[over]), done_char.append(char_at[over])
+                done_sym.append(sym[over]), done_char.append(char_at[over])
                 stay = ~over
                 word, sym, char_at, last, rank, whole = (x[stay] for x in (word, sym, char_at, last, rank, whole))
                 going = least != NONE
@@ -133,10 +143,10 @@ class PieceCodec:
             redo = np.unique(np.concatenate([at, at[at > 0] - 1]))
             rank[redo], whole[redo] = self._look(sym[redo], sym[np.minimum(redo + 1, len(sym) - 1)])
             rank[last] = NONE
-        word, sym, char_at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_word, done_sym, done_char))
-        order = np.lexsort((char_at, word))
-        word, sym, char_at = word[order], sym[order], char_at[order]
-        return self._spell(len(words), word, sym, chars[char_at])
+        sym, char_at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_char))
+        order = np.argsort(char_at)
+        sym, char_at = sym[order], char_at[order]
+        return self._spell(len(words), owner[char_at], sym, chars[char_at])
 
     def _spell(self, n: int, word: np.ndarray, sym: np.ndarray, char: np.ndarray) -> list[bytes]:
         """Symbols as ids, characters without a piece as the ids of their UTF-8 bytes, cut at words."""
@@ -159,13 +169,20 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the begin and end ids, packed as little-endian unsigned 32-bit integers."""
         cut = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.cache) > CACHED_WORDS:
+        if self.cached_chars > CACHED_CHARS:
             self.cache.clear()
+            self.cached_chars = 0
         new = list({w for words in cut for w in words if w not in self.cache})
         if new:
             self.cache.update(zip(new, self.merge_words(new), strict=True))
         begin, end, got = int(self.bos).to_bytes(4, "little"), int(self.eos).to_bytes(4, "little"), self.cache.__getitem__
-        return [b"".join([begin, *map(got, words), end]) for words in cut]
+        out = [b"".join([begin, *map(got, words), end]) for words in cut]
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del self.cache[w]
+            else:
+                self.cached_chars += len(w)
+        return out
 
     # ---- decoding -------------------------------------------------------------------------------------------
 
