@@ -19,15 +19,18 @@ LEAD, SIMILAR, MIN_DOCS, BANDS = 3, 0.7, 5, 6
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """Tokens of a line, those with a digit as a field; worked out on the whole line, as a lambda over tokens is slow."""
-    x = F.translate(line, "\t\x0b\x0c\r", "    ")
-    x = F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", FIELD.replace("$", r"\$"))).otherwise(x)
+def _tokens(line: Column) -> Column:
+    """Tokens of a line; other white space than blanks is rare, and splitting at one character is fast."""
+    x = F.when(line.rlike(r"[\t\x0B-\r]"), F.regexp_replace(line, r"[\t\x0B-\r]", " ")).otherwise(line)
     return F.array_remove(F.split(x, " "), "")
 
 
-def _leaf(masked: Column) -> Column:
-    return F.xxhash64(F.size(masked), F.slice(masked, 1, LEAD))
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
+def _leaf(tokens: Column) -> Column:
+    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, LEAD)))
 
 
 def _places(band: int, size: Column) -> tuple[Column, Column]:
@@ -61,13 +64,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool
     """
     spark = docs.sparkSession
     d = _documents(docs, id_col, text_col)
-    placed = d.select("doc_id", "tid", F.posexplode("parts").alias("line", "x")).withColumn("a", _masked(F.col("x"))).where(F.size("a") > 0)
-    placed = placed.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf"))
+    placed = d.select("doc_id", "tid", F.posexplode("parts").alias("line", "x")).withColumn("a", _tokens(F.col("x"))).where(F.size("a") > 0)
+    placed = chained(spark, placed.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf")))
     busy = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     at = placed.join(busy, "leaf", "left_semi").groupBy("doc_id", "tid").agg(F.collect_set("line").alias("at"))
     lines = d.join(at, ["doc_id", "tid"]).select("doc_id", "tid", F.explode("at").alias("line"), "parts")
-    lines = lines.select("doc_id", "tid", "line", _masked(F.get("parts", F.col("line"))).alias("a"))
-    lines = lines.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf"), F.array_join("a", " ").alias("masked"))
+    lines = lines.select("doc_id", "tid", "line", _tokens(F.get("parts", F.col("line"))).alias("a"))
+    lines = lines.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf"), F.array_join(_masked(F.col("a")), " ").alias("masked"))
     lines = chained(spark, lines.withColumn("form", F.xxhash64("masked")))
     forms = chained(spark, lines.groupBy("leaf", "form").agg(F.count("*").alias("n"), F.first("masked").alias("masked")))
     in_cells = forms.select("leaf", "form", "n", "masked", F.posexplode(_cells(F.split("masked", " "))).alias("band", "cell"))
