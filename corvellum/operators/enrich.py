@@ -3,11 +3,15 @@
 
 from __future__ import annotations
 
-from corvellum.functions.sqltext import num, rounded
+from corvellum.functions.sqltext import bin_of_rank, num, ranked, rounded
+from corvellum.operators.inference import hypergeometric_tail, multiplicity
 
-# Words that mark a pathway as housekeeping or as a disease.
-HOUSEKEEPING = ("ribosome", "proteasome", "spliceosome", "oxidative phosphorylation", "rna transport", "protein processing", "metabolic pathways", "cell cycle", "dna replication")
-DISEASE = ("cancer", "carcinoma", "disease", "infection", "leukemia", "diabetes", "cardiomyopathy", "influenza", "hepatitis", "tuberculosis")
+# Words and the pattern that mark a term as housekeeping or as a disease, and the flags they get.
+HOUSEKEEPING = ("ribosome", "proteasome", "spliceosome", "oxidative phosphorylation", "aminoacyl", "rna polymerase", "translation", "protein processing in endoplasmic")
+DISEASE = ("infection", "disease", "cancer", "carcinoma", "leukemia", "syndrome", "diabetes", "myocarditis", "virus", "hepatitis", "tuberculosis", "malaria", "asthma", "arthritis", "addiction")
+DISEASE_NUMBER = r"\[(hsa|mmu|rno)05\d{3}\]"
+HOUSEKEEPING_FLAG = "housekeeping machinery"
+DISEASE_FLAG = "disease or infection name; may reflect generic genes"
 
 
 def sets_in_background(low: int = 10, high: int = 500) -> str:
@@ -24,36 +28,36 @@ SELECT s.term, count(g.feature_id) AS overlap, count(*) AS size, max(k.n) AS n,
 FROM {{sets}} s LEFT JOIN g ON upper(s.feature_id) = g.feature_id CROSS JOIN k GROUP BY s.term HAVING count(g.feature_id) >= {min_overlap}"""
 
 
-def log_factorials(most: str, numbers: str) -> str:
-    """Natural logs of the factorials of 0..``most``; ``numbers`` is a relation with a column i of 1..most at least."""
-    return f"SELECT CAST(0 AS BIGINT) AS n, {num(0)} AS lf UNION ALL SELECT CAST(i AS BIGINT), sum(ln(CAST(i AS DOUBLE))) OVER (ORDER BY i) FROM {numbers} WHERE i <= {most}"
-
-
 def hypergeometric() -> str:
-    """Upper tail of each overlap of {overlaps}, from a table {lf}(n, lf) of log factorials, and BH over terms."""
-    return f"""WITH o AS (SELECT * FROM {{overlaps}}),
-x AS (SELECT o.term, o.overlap, o.size, o.n, o.total, f.n AS k FROM o JOIN {{lf}} f ON f.n BETWEEN o.overlap AND least(o.size, o.n) WHERE o.n - f.n <= o.total - o.size),
-p AS (SELECT x.term, x.overlap, x.size, sum(exp(a.lf - b.lf - c.lf + d.lf - e.lf - g.lf - h.lf + i.lf + j.lf)) AS p FROM x
- JOIN {{lf}} a ON a.n = x.size JOIN {{lf}} b ON b.n = x.k JOIN {{lf}} c ON c.n = x.size - x.k
- JOIN {{lf}} d ON d.n = x.total - x.size JOIN {{lf}} e ON e.n = x.n - x.k JOIN {{lf}} g ON g.n = x.total - x.size - x.n + x.k
- JOIN {{lf}} h ON h.n = x.total JOIN {{lf}} i ON i.n = x.n JOIN {{lf}} j ON j.n = x.total - x.n GROUP BY x.term, x.overlap, x.size),
-r AS (SELECT *, row_number() OVER (ORDER BY round(p, 12), term) AS i, count(*) OVER () AS m FROM p)
-SELECT term, overlap, size, {rounded('least(p, CAST(1 AS DOUBLE))')} AS p, {rounded(f'least(min(p * m / i) OVER (ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {num(1)})')} AS fdr FROM r"""
+    """Upper tail of each overlap of {overlaps} and BH over terms, the most significant first by place."""
+    return f"""WITH t AS (SELECT o.*, explode(sequence(o.overlap, least(o.size, o.n))) AS k FROM {{overlaps}} o),
+q AS (SELECT term AS id, overlap, size, fold, least(sum({hypergeometric_tail('overlap', 'size', 'n', 'total')}), {num(1)}) AS p FROM t GROUP BY term, overlap, size, fold),
+f AS ({multiplicity().replace('{p}', '(SELECT id, round(p, 12) AS p FROM q)')})
+SELECT q.id AS term, q.overlap, q.size, q.fold, {rounded('q.p')} AS p, f.bh AS fdr FROM q JOIN f ON q.id = f.id"""
 
 
 def running_score(min_overlap: int = 10) -> str:
     """Enrichment score of each set along {ranked}: the running sum at its largest deviation from zero."""
-    return f"""WITH r AS (SELECT upper(feature_id) AS feature_id, stat, row_number() OVER (ORDER BY stat DESC, feature_id) AS i, count(*) OVER () AS n FROM {{ranked}}),
-m AS (SELECT s.term, count(*) AS k, sum(abs(r.stat)) AS w FROM {{sets}} s JOIN r ON r.feature_id = upper(s.feature_id) GROUP BY s.term HAVING count(*) >= {min_overlap}),
-h AS (SELECT s.term, r.i, sum(abs(r.stat) / m.w) OVER (PARTITION BY s.term ORDER BY r.i) AS hit, row_number() OVER (PARTITION BY s.term ORDER BY r.i) AS j, abs(r.stat) / m.w AS step, m.k, r.n FROM {{sets}} s JOIN r ON r.feature_id = upper(s.feature_id) JOIN m ON m.term = s.term),
-e AS (SELECT term, hit - (i - j) / CAST(n - k AS DOUBLE) AS here, hit - step - (i - j) / CAST(n - k AS DOUBLE) AS before FROM h)
-SELECT term, {rounded('CASE WHEN max(here) >= -min(before) THEN max(here) ELSE min(before) END')} AS es FROM e GROUP BY term"""
+    return f"""WITH {ranked('(SELECT upper(feature_id) AS feature_id, max(stat) AS stat, -max(stat) AS falling FROM {ranked} WHERE stat IS NOT NULL GROUP BY upper(feature_id))', 'falling', 'feature_id')},
+r AS (SELECT feature_id, stat, i, m AS n FROM k),
+g AS (SELECT s.term, count(*) AS k, sum(abs(r.stat)) AS w FROM {{sets}} s JOIN r ON r.feature_id = upper(s.feature_id) GROUP BY s.term HAVING count(*) >= {min_overlap}),
+h AS (SELECT s.term, r.i, sum(abs(r.stat) / g.w) OVER (PARTITION BY s.term ORDER BY r.i) AS hit, row_number() OVER (PARTITION BY s.term ORDER BY r.i) AS j, abs(r.stat) / g.w AS step, g.k, r.n FROM {{sets}} s JOIN r ON r.feature_id = upper(s.feature_id) JOIN g ON g.term = s.term),
+d AS (SELECT term, hit - (i - j) / CAST(n - k AS DOUBLE) AS here, hit - step - (i - j) / CAST(n - k AS DOUBLE) AS before FROM h)
+SELECT term, {rounded('CASE WHEN max(here) >= -min(before) THEN max(here) ELSE min(before) END')} AS es FROM d GROUP BY term"""
+
+
+def ranked_list() -> str:
+    """Statistics of {result}(feature, stat) by upper-case feature, missing ones left out; of rows that repeat a feature
+    the greatest counts."""
+    return "SELECT upper(CAST(feature AS STRING)) AS feature_id, max(CAST(stat AS DOUBLE)) AS stat FROM {result} WHERE stat IS NOT NULL AND feature IS NOT NULL GROUP BY upper(CAST(feature AS STRING))"
 
 
 def generic_terms() -> str:
-    """Terms of {terms}(term) that are housekeeping or disease names, or carry a disease number in brackets."""
+    """A flag for terms of {terms}(term) that are probably generic: machinery of any cell, or the name or number of a
+    disease; empty for others."""
     any_of = lambda ws: " OR ".join(f"lower(term) LIKE '%{w}%'" for w in ws)
-    return f"SELECT term, CASE WHEN {any_of(HOUSEKEEPING)} THEN 'housekeeping' WHEN {any_of(DISEASE)} OR term RLIKE '(hsa|mmu|rno)05[0-9][0-9][0-9]' THEN 'disease' ELSE 'specific' END AS kind FROM {{terms}}"
+    pattern = DISEASE_NUMBER.replace(r"\d{3}", r"\d\d\d").replace("\\", "\\\\")  # braces name relations here
+    return f"SELECT term, CASE WHEN {any_of(HOUSEKEEPING)} THEN '{HOUSEKEEPING_FLAG}' WHEN {any_of(DISEASE)} OR term RLIKE '{pattern}' THEN '{DISEASE_FLAG}' ELSE '' END AS flag FROM {{terms}}"
 
 
 def group_scores(top: int = 5, min_diff: float = 0.0) -> str:
@@ -72,11 +76,11 @@ def set_scores(bins: int = 25) -> str:
     """Mean of each set in each unit minus that of all other features in the same bins of mean expression; over a
     complete {grid}(unit_id, feature_id, value) and {sets}."""
     return f"""WITH m AS (SELECT feature_id, avg(value) AS m FROM {{grid}} GROUP BY feature_id),
-r AS (SELECT feature_id, row_number() OVER (ORDER BY m, feature_id) AS i, count(*) OVER () AS n FROM m),
-b AS (SELECT feature_id, CAST(greatest(ceil((i - 1) * {num(bins)} / greatest(n - 1, 1)), 1) - 1 AS INT) AS bin FROM r),
+{ranked('(SELECT feature_id, m AS mean FROM m)', 'mean', 'feature_id')},
+b AS (SELECT feature_id, {bin_of_rank('i', 'm', bins)} AS bin FROM k),
 sb AS (SELECT DISTINCT s.term, b.bin FROM {{sets}} s JOIN b ON s.feature_id = b.feature_id),
-k AS (SELECT sb.term, b.feature_id, CASE WHEN s.feature_id IS NULL THEN 0 ELSE 1 END AS inside FROM sb JOIN b ON b.bin = sb.bin LEFT JOIN {{sets}} s ON s.term = sb.term AND s.feature_id = b.feature_id)
-SELECT k.term, g.unit_id, {rounded(f'avg(CASE WHEN inside = 1 THEN value END) - coalesce(avg(CASE WHEN inside = 0 THEN value END), {num(0)})')} AS score FROM k JOIN {{grid}} g ON g.feature_id = k.feature_id GROUP BY k.term, g.unit_id"""
+y AS (SELECT sb.term, b.feature_id, CASE WHEN s.feature_id IS NULL THEN 0 ELSE 1 END AS inside FROM sb JOIN b ON b.bin = sb.bin LEFT JOIN {{sets}} s ON s.term = sb.term AND s.feature_id = b.feature_id)
+SELECT y.term, g.unit_id, {rounded(f'avg(CASE WHEN inside = 1 THEN value END) - coalesce(avg(CASE WHEN inside = 0 THEN value END), {num(0)})')} AS score FROM y JOIN {{grid}} g ON g.feature_id = y.feature_id GROUP BY y.term, g.unit_id"""
 
 
 def panel_scores() -> str:
@@ -84,11 +88,12 @@ def panel_scores() -> str:
     {panel}(cell_type, gene, sign). Genes never well detected are set aside; a type needs at least two of its
     positives, and three or all it has."""
     return f"""WITH best AS (SELECT upper(feature_id) AS gene, max(detected) AS top FROM {{stats}} GROUP BY upper(feature_id)),
-p AS (SELECT p.cell_type, upper(p.gene) AS gene, p.sign, best.top FROM {{panel}} p LEFT JOIN best ON best.gene = upper(p.gene)),
+g AS (SELECT DISTINCT cell_type, upper(trim(gene)) AS gene, sign FROM {{panel}}),
+p AS (SELECT g.cell_type, g.gene, g.sign, best.top FROM g LEFT JOIN best ON best.gene = g.gene WHERE g.sign = '+' OR NOT EXISTS (SELECT 1 FROM g h WHERE h.cell_type = g.cell_type AND h.gene = g.gene AND h.sign = '+')),
 u AS (SELECT cell_type, count(CASE WHEN sign = '+' THEN 1 END) AS given, count(CASE WHEN sign = '+' AND top >= {num(0.05)} THEN 1 END) AS usable FROM p GROUP BY cell_type),
 j AS (SELECT s.grp, p.cell_type, p.sign, s.scaled, s.detected >= greatest(least({num(0.25)}, p.top / {num(2)}), {num(0.1)}) AS seen FROM p JOIN {{stats}} s ON upper(s.feature_id) = p.gene WHERE p.top >= {num(0.05)} OR p.sign = '-')
 SELECT j.grp, j.cell_type, {rounded(f'CASE WHEN max(u.usable) >= 2 AND max(u.usable) >= least(3, max(u.given)) THEN avg(CASE WHEN sign = {chr(39)}+{chr(39)} THEN scaled END) ELSE {num(0)} END')} AS score,
- {rounded(f'coalesce(avg(CASE WHEN sign = {chr(39)}+{chr(39)} THEN CASE WHEN seen THEN {num(1)} ELSE {num(0)} END END), {num(0)})')} AS pos_detect,
+ {rounded(f'CASE WHEN max(u.usable) >= 2 AND max(u.usable) >= least(3, max(u.given)) THEN avg(CASE WHEN sign = {chr(39)}+{chr(39)} THEN CASE WHEN seen THEN {num(1)} ELSE {num(0)} END END) ELSE {num(0)} END')} AS pos_detect,
  count(CASE WHEN sign = '-' AND scaled >= {num(0.5)} AND seen THEN 1 END) AS negatives_on FROM j JOIN u ON j.cell_type = u.cell_type GROUP BY j.grp, j.cell_type"""
 
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from corvellum.functions.sqltext import avg_rank, num, rounded
+from corvellum.functions.sqltext import correlation, ln_factorial, num, ranked, rounded, tied_ranks
 
 
 def multiplicity(by: str = "", alpha: float = 0.05) -> str:
-    """Bonferroni, Holm and Benjamini-Hochberg of {p}(id, p[, by]), per group if ``by`` is given; null p stay null."""
-    part = f"PARTITION BY {by} " if by else ""
+    """Bonferroni, Holm and Benjamini-Hochberg of {p}(id, p[, by]), per group if ``by`` is given; null p are left out.
+
+    The running maxima and minima go bin by bin, and over one row for each bin: what a bin passes on is its extreme.
+    """
     keys = f"id, {by}" if by else "id"
-    return f"""WITH r AS (SELECT {keys}, CAST(p AS DOUBLE) AS p, row_number() OVER ({part}ORDER BY p, id) AS i, count(*) OVER ({part.strip()}) AS m FROM {{p}} WHERE p IS NOT NULL),
-w AS (SELECT *, max(least((m - i + 1) * p, {num(1)})) OVER ({part}ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS holm, min(p * m / i) OVER ({part}ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM r)
-SELECT {keys}, {rounded('p')} AS p, {rounded(f'least(p * m, {num(1)})')} AS bonferroni, {rounded('holm')} AS holm, {rounded(f'least(q, {num(1)})')} AS bh, holm < {num(alpha)} AS holm_called, q < {num(alpha)} AS bh_called FROM w"""
+    group, same = (f"{by}, ", f" AND w.{by} = d.{by}") if by else ("", "")
+    part = f"PARTITION BY {by} " if by else ""
+    down, up = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    given = f"(SELECT {keys}, CAST(p AS DOUBLE) AS p FROM {{p}} WHERE p IS NOT NULL)"
+    return f"""WITH {ranked(given, 'p', 'id', by)},
+w AS (SELECT {keys}, b, p, m, max(least((m - i + 1) * p, {num(1)})) OVER (PARTITION BY {group}b ORDER BY i {down}) AS h, min(p * m / i) OVER (PARTITION BY {group}b ORDER BY i DESC {down}) AS q FROM k),
+d AS (SELECT {group}b, max(h) OVER ({part}ORDER BY b {up}) AS h, min(q) OVER ({part}ORDER BY b DESC {up}) AS q FROM (SELECT {group}b, max(h) AS h, min(q) AS q FROM w GROUP BY {group}b) c),
+z AS (SELECT w.*, greatest(w.h, coalesce(d.h, w.h)) AS holm, least(w.q, coalesce(d.q, w.q)) AS bh FROM w JOIN d ON w.b = d.b{same})
+SELECT {keys}, {rounded('p')} AS p, {rounded(f'least(p * m, {num(1)})')} AS bonferroni, {rounded('holm')} AS holm, {rounded(f'least(bh, {num(1)})')} AS bh, holm < {num(alpha)} AS holm_called, bh < {num(alpha)} AS bh_called FROM z"""
 
 
 def p_curve(alpha: float = 0.05) -> str:
@@ -24,13 +32,13 @@ def p_curve(alpha: float = 0.05) -> str:
 
 def auc() -> str:
     """Area under the ROC of {scored}(score, positive 0/1), from average ranks."""
-    return f"""WITH r AS (SELECT positive, {avg_rank('score')} AS rk FROM {{scored}})
+    return f"""WITH {tied_ranks('{scored}', 'score', 'r', 's')}
 SELECT {rounded(f'(sum(CASE WHEN positive = 1 THEN rk END) - count(CASE WHEN positive = 1 THEN 1 END) * (count(CASE WHEN positive = 1 THEN 1 END) + {num(1)}) / {num(2)}) / (count(CASE WHEN positive = 1 THEN 1 END) * CAST(count(CASE WHEN positive = 0 THEN 1 END) AS DOUBLE))')} AS auc FROM r"""
 
 
 def mann_whitney() -> str:
     """U, its z with tie and continuity correction, over {scored}(score, positive 0/1)."""
-    return f"""WITH r AS (SELECT positive, score, {avg_rank('score')} AS rk FROM {{scored}}),
+    return f"""WITH {tied_ranks('{scored}', 'score', 'r', 's')},
 t AS (SELECT sum(CAST(k AS DOUBLE) * k * k - k) AS ties FROM (SELECT count(*) AS k FROM {{scored}} GROUP BY score) x),
 s AS (SELECT sum(CASE WHEN positive = 1 THEN rk END) AS r1, CAST(count(CASE WHEN positive = 1 THEN 1 END) AS DOUBLE) AS n1, CAST(count(CASE WHEN positive = 0 THEN 1 END) AS DOUBLE) AS n0 FROM r)
 SELECT {rounded(f'r1 - n1 * (n1 + {num(1)}) / {num(2)}')} AS u,
@@ -39,7 +47,10 @@ SELECT {rounded(f'r1 - n1 * (n1 + {num(1)}) / {num(2)}')} AS u,
 
 def correlations() -> str:
     """Pearson and Spearman correlation of {xy}(x, y)."""
-    return f"WITH r AS (SELECT x, y, {avg_rank('x')} AS rx, {avg_rank('y')} AS ry FROM {{xy}} WHERE x IS NOT NULL AND y IS NOT NULL) SELECT {rounded('corr(x, y)')} AS pearson, {rounded('corr(rx, ry)')} AS spearman FROM r"
+    both = "(SELECT x AS u, y AS v FROM {xy} WHERE x IS NOT NULL AND y IS NOT NULL)"
+    return f"""WITH {tied_ranks(both, 'u', 'ru', 'u')},
+{tied_ranks('(SELECT u, v, rk AS ru FROM ru)', 'v', 'rv', 'v')}
+SELECT {rounded(correlation('u', 'v'))} AS pearson, {rounded(correlation('ru', 'rk'))} AS spearman FROM rv"""
 
 
 def icc() -> str:
@@ -124,12 +135,29 @@ t AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY cluster) AS DOUBLE) AS share,
 SELECT cluster, CASE WHEN share >= {num(min_share)} THEN label END AS label, {rounded('share')} AS share FROM t WHERE i = 1"""
 
 
-def concordance(alpha: float = 0.05) -> str:
-    """Two results {a}, {b} (id, effect, padj): shared, called in each and both, Jaccard, same sign, Spearman."""
-    return f"""WITH s AS (SELECT a.effect AS ea, b.effect AS eb, a.padj < {num(alpha)} AS ca, b.padj < {num(alpha)} AS cb FROM {{a}} a JOIN {{b}} b ON upper(a.id) = upper(b.id)),
-r AS (SELECT *, {avg_rank('ea')} AS ra, {avg_rank('eb')} AS rb FROM s)
-SELECT count(*) AS shared, count(CASE WHEN ca THEN 1 END) AS called_a, count(CASE WHEN cb THEN 1 END) AS called_b, count(CASE WHEN ca AND cb THEN 1 END) AS both,
- {rounded('count(CASE WHEN ca AND cb THEN 1 END) / CAST(greatest(count(CASE WHEN ca OR cb THEN 1 END), 1) AS DOUBLE)')} AS jaccard, {rounded(f'avg(CASE WHEN sign(ea) = sign(eb) THEN {num(1)} ELSE {num(0)} END)')} AS same_sign, {rounded('corr(ra, rb)')} AS spearman FROM r"""
+def hypergeometric_tail(least_k: str, size: str, drawn: str, total: str, k: str = "k") -> str:
+    """One term of the upper tail: the chance of exactly ``k`` of a set of ``size`` among ``drawn`` of ``total``."""
+    f = ln_factorial
+    plus = f"{f(size)} + {f(f'({total} - {size})')} + {f(drawn)} + {f(f'({total} - {drawn})')}"
+    minus = f"{f(k)} - {f(f'({size} - {k})')} - {f(f'({drawn} - {k})')} - {f(f'({total} - {size} - {drawn} + {k})')} - {f(total)}"
+    return f"CASE WHEN {k} >= {least_k} AND {k} >= {drawn} + {size} - {total} THEN exp({plus} - {minus}) ELSE {num(0)} END"
+
+
+def concordance(alpha: float = 0.05, least: int = 10) -> str:
+    """Agreement of two results {a}, {b} (id, effect, padj) over the ids that both have, case apart; of rows that repeat
+    an id the one with the smallest padj counts. Called in each and in both with the chance of so many, Jaccard, share of
+    the ids called in both that move the same way, Spearman of the effects; not testable under ``least`` shared ids."""
+    one = lambda r: f"(SELECT upper(id) AS id, min_by(effect, padj) AS effect, min(padj) AS padj FROM {{{r}}} GROUP BY upper(id))"
+    pairs = f"(SELECT a.effect AS ea, b.effect AS eb, a.padj < {num(alpha)} AS ca, b.padj < {num(alpha)} AS cb FROM {one('a')} a JOIN {one('b')} b ON a.id = b.id)"
+    return f"""WITH {tied_ranks(pairs, 'ea', 'ra', 'a')},
+{tied_ranks('(SELECT ea, eb, ca, cb, rk AS ra FROM ra)', 'eb', 'rb', 'b')},
+s AS (SELECT count(*) AS n, count(CASE WHEN ca THEN 1 END) AS na, count(CASE WHEN cb THEN 1 END) AS nb, count(CASE WHEN ca AND cb THEN 1 END) AS nab, count(CASE WHEN ca OR cb THEN 1 END) AS either,
+ avg(CASE WHEN ca AND cb THEN CASE WHEN sign(ea) = sign(eb) THEN {num(1)} ELSE {num(0)} END END) AS same, {correlation('ra', 'rk')} AS rho FROM rb),
+t AS (SELECT s.*, explode(sequence(nab, least(na, nb))) AS k FROM s),
+p AS (SELECT n, least(sum({hypergeometric_tail("nab", "na", "nb", "n")}), {num(1)}) AS p FROM t GROUP BY n)
+SELECT CASE WHEN s.n < {least} THEN 'not testable' ELSE 'tested' END AS status, s.n AS n_shared, CASE WHEN s.n >= {least} THEN na END AS sig_a, CASE WHEN s.n >= {least} THEN nb END AS sig_b, CASE WHEN s.n >= {least} THEN nab END AS overlap,
+ CASE WHEN s.n >= {least} THEN CASE WHEN na > 0 AND nb > 0 THEN {rounded('p.p')} ELSE {num(1)} END END AS overlap_p, CASE WHEN s.n >= {least} THEN {rounded('nab / CAST(greatest(either, 1) AS DOUBLE)')} END AS jaccard,
+ CASE WHEN s.n >= {least} THEN {rounded('same')} END AS same_direction, CASE WHEN s.n >= {least} THEN {rounded('rho')} END AS effect_correlation FROM s LEFT JOIN p ON p.n = s.n"""
 
 
 def set_overlap() -> str:
@@ -139,7 +167,7 @@ def set_overlap() -> str:
 
 def near_duplicate_columns(min_shared: int = 100, above: float = 0.9999) -> str:
     """Pairs of samples of {long}(sample, feature, value) that correlate almost perfectly over enough shared features."""
-    return f"SELECT x.sample AS a, y.sample AS b, count(*) AS shared, {rounded('corr(x.value, y.value)')} AS r FROM {{long}} x JOIN {{long}} y ON x.feature = y.feature AND x.sample < y.sample GROUP BY x.sample, y.sample HAVING count(*) >= {min_shared} AND corr(x.value, y.value) > {num(above)}"
+    return f"SELECT x.sample AS a, y.sample AS b, count(*) AS shared, {rounded(correlation('x.value', 'y.value'))} AS r FROM {{long}} x JOIN {{long}} y ON x.feature = y.feature AND x.sample < y.sample GROUP BY x.sample, y.sample HAVING count(*) >= {min_shared} AND {correlation('x.value', 'y.value')} > {num(above)}"
 
 
 def gaps_broken(max_gap: float) -> str:
@@ -163,11 +191,18 @@ def equal_bins(bins: int = 25) -> str:
     """Equal-frequency bin of each id of {rows}(id, value) by rank."""
     from corvellum.functions.sqltext import bin_of_rank
 
-    return f"WITH r AS (SELECT id, row_number() OVER (ORDER BY value, id) AS i, count(*) OVER () AS n FROM {{rows}}) SELECT id, {bin_of_rank('i', 'n', bins)} AS bin FROM r"
+    return f"WITH {ranked('{rows}', 'value', 'id')} SELECT id, {bin_of_rank('i', 'm', bins)} AS bin FROM k"
 
 
 def expectation_check(min_share: float = 0.8, alpha: float = 0.05) -> str:
-    """Which of {rules}(name, feature, direction) hold in {result}(feature, effect, padj): met, not met or not testable."""
-    return f"""WITH j AS (SELECT r.name, r.direction, t.feature, t.effect, t.padj FROM {{rules}} r LEFT JOIN {{result}} t ON upper(r.feature) = upper(t.feature)),
-g AS (SELECT name, direction, count(feature) AS present, avg(CASE WHEN feature IS NULL THEN NULL WHEN direction = 'up' AND effect > 0 AND padj < {num(alpha)} THEN {num(1)} WHEN direction = 'down' AND effect < 0 AND padj < {num(alpha)} THEN {num(1)} WHEN direction = 'none' AND padj >= {num(alpha)} THEN {num(1)} ELSE {num(0)} END) AS share FROM j GROUP BY name, direction)
-SELECT name, present, {rounded('share')} AS share, CASE WHEN present < 2 THEN 'not testable' WHEN share >= {num(min_share)} THEN 'met' ELSE 'not met' END AS verdict FROM g"""
+    """Which of {rules}(name, feature, direction) hold in {result}(feature, effect, padj): met, not met or not testable.
+
+    Up and down ask for a share of the features, case apart, to be called that way; a control ('none') is met only if not one of
+    its features is called. Under two features that the result has, nothing can be said. Of rows that repeat a feature
+    the one with the smallest padj counts.
+    """
+    hit = f"CASE WHEN t.padj < {num(alpha)} AND (r.direction = 'up' AND t.effect > 0 OR r.direction = 'down' AND t.effect < 0 OR r.direction = 'none') THEN 1 ELSE 0 END"
+    return f"""WITH t AS (SELECT upper(feature) AS feature, min_by(effect, padj) AS effect, min(padj) AS padj FROM {{result}} GROUP BY upper(feature)),
+j AS (SELECT r.name, r.direction, t.feature, CASE WHEN t.feature IS NOT NULL THEN {hit} END AS hit FROM {{rules}} r LEFT JOIN t ON upper(r.feature) = t.feature),
+g AS (SELECT name, direction, count(*) AS listed, count(feature) AS present, sum(hit) AS hits FROM j GROUP BY name, direction)
+SELECT name, listed, present, coalesce(hits, 0) AS hits, CASE WHEN present < 2 THEN 'not testable' WHEN direction = 'none' AND hits = 0 OR direction <> 'none' AND hits / CAST(present AS DOUBLE) >= {num(min_share)} THEN 'met' ELSE 'not met' END AS verdict FROM g"""

@@ -71,11 +71,18 @@ def concern_ledger() -> str:
     return f"SELECT id, {level('confidence')} * {level('impact')} AS priority, CASE WHEN {level('confidence')} IS NULL OR {level('impact')} IS NULL THEN 'unknown level' END AS rejected FROM {{concerns}}"
 
 
+# Endings and words that tell the role of a file, in the order in which they are tried.
+RAW_ENDINGS = (".fastq", ".fq", ".fastq.gz", ".fq.gz", ".sra", ".bam", ".cram")
+SAMPLE_WORDS = ("series_matrix", "metadata", "pheno", "sample_info", "samples", "sdrf", "design")
+MATRIX_WORDS = ("count", "matrix", "expression", "tpm", "fpkm", "rpkm", ".h5", ".mtx", "normalized")
+CODE_ENDINGS = (".py", ".r", ".rmd", ".ipynb", ".sh", ".smk")
+
+
 def file_roles() -> str:
     """The role of each file of {files}(name), by its ending or words in it."""
-    has = lambda *w: " OR ".join(f"lower(name) LIKE '%{x}%'" for x in w)
-    end = lambda *w: " OR ".join(f"endswith(lower(name), '{x}')" for x in w)
-    return f"SELECT name, CASE WHEN {end('.fastq', '.fastq.gz', '.fq.gz', '.bam', '.sra')} THEN 'raw_reads' WHEN {has('metadata', 'sample', 'pheno', 'clinical')} THEN 'sample_metadata' WHEN {end('.h5ad', '.mtx', '.mtx.gz', '.csv', '.csv.gz', '.tsv', '.txt.gz', '.h5', '.rds')} THEN 'processed_matrix' WHEN {end('.py', '.r', '.ipynb', '.sh', '.html')} THEN 'code' ELSE 'unknown' END AS role FROM {{files}}"
+    has = lambda ws: " OR ".join(f"instr(lower(name), '{x}') > 0" for x in ws)
+    end = lambda ws: " OR ".join(f"endswith(lower(name), '{x}')" for x in ws)
+    return f"SELECT name, CASE WHEN {end(RAW_ENDINGS)} THEN 'raw_reads' WHEN {has(SAMPLE_WORDS)} THEN 'sample_metadata' WHEN {has(MATRIX_WORDS)} THEN 'processed_matrix' WHEN {end(CODE_ENDINGS)} OR {has(('snakefile',))} THEN 'code' ELSE 'unknown' END AS role FROM {{files}}"
 
 
 def spec_curve(thresholds: tuple[float, ...], drop: tuple[float, ...]) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # The same function under its name in Spark and in DuckDB.
-_DUCK = {"percentile(": "quantile_cont(", "bround(": "round_even(", "collect_list(": "list(", "startswith(": "starts_with(", "endswith(": "ends_with(", "max_by(": "arg_max(", "min_by(": "arg_min("}
+_DUCK = {"percentile(": "quantile_cont(", "bround(": "round_even(", "collect_list(": "list(", "startswith(": "starts_with(", "endswith(": "ends_with(", "max_by(": "arg_max(", "min_by(": "arg_min(", "explode(sequence(": "unnest(generate_series("}
 
 
 def duck(text: str) -> str:
@@ -22,7 +22,7 @@ def duck(text: str) -> str:
     for ours, theirs in _DUCK.items():
         text = re.sub(rf"\b{re.escape(ours)}", theirs, text)
     text = re.sub(r"\bsha2\((\w+), 256\)", r"sha256(\1)", text)
-    return re.sub(r"(\w+) RLIKE ('[^']*')", r"regexp_matches(\1, \2)", text)
+    return re.sub(r"(\w+) RLIKE ('[^']*')", lambda m: f"regexp_matches({m[1]}, {m[2]})".replace("\\\\", "\\"), text)
 
 
 def fill(op: str, **relations: str) -> str:

@@ -42,8 +42,6 @@ _scores = fill(enrich.panel_scores(), stats=_scaled, panel=_panel)
 _overlaps = fill(enrich.overlaps(), genes=TOP_PARTS, background=PARTS, sets=BRAND_SETS)
 _wells = "SELECT s_nationkey AS plate, l_orderkey * 10 + l_linenumber AS well, CASE WHEN l_linenumber = 1 THEN 'TRUCK' WHEN l_linenumber = 2 THEN 'PROMO' ELSE 'x' END AS kind, l_quantity AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
 _plates = "SELECT l_suppkey % 7 AS plate, p_size % 8 AS r, l_linenumber AS c, avg(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey % 7, p_size % 8, l_linenumber"
-_numbers = "SELECT row_number() OVER (ORDER BY p_partkey) AS i FROM part"
-_lf = enrich.log_factorials("1000000", f"({_numbers}) k")
 _labels = "SELECT label AS a, CAST(floor((embedding[{i}] + 3) * 2) AS INT) AS b FROM embeddings"
 
 SQL = {
@@ -110,9 +108,9 @@ SQL = {
     # enrichment and annotation
     "sets_in_background": fill(enrich.sets_in_background(5, 500), sets=BRAND_SETS, background="SELECT CAST(p_partkey AS STRING) AS feature_id FROM part WHERE p_size > 10"),
     "ora_overlaps": _overlaps,
-    "ora": fill(enrich.hypergeometric(), overlaps=_overlaps, lf=_lf),
+    "ora": fill(enrich.hypergeometric(), overlaps=_overlaps),
     "es_running_sum": fill(enrich.running_score(5), ranked=REVENUE.replace(" AS stat", " - 200000 AS stat"), sets=BRAND_SETS),
-    "generic_flags": fill(enrich.generic_terms(), terms="SELECT 'Ribosome' AS term UNION ALL SELECT 'Lung cancer [hsa05223]' UNION ALL SELECT 'Wnt signalling' UNION ALL SELECT DISTINCT p_type FROM part"),
+    "generic_flags": fill(enrich.generic_terms(), terms="SELECT 'Ribosome' AS term UNION ALL SELECT 'Aminoacyl-tRNA biosynthesis' UNION ALL SELECT 'Something [mmu05999]' UNION ALL SELECT 'Asthma' UNION ALL SELECT 'hsa05223 unbracketed' UNION ALL SELECT 'Lung cancer [hsa05223]' UNION ALL SELECT 'Wnt signalling' UNION ALL SELECT DISTINCT p_type FROM part"),
     "group_scores_topk": fill(enrich.group_scores(), expr=EXPR, obs=OBS),
     "set_score": fill(enrich.set_scores(5), grid=_grid, sets="SELECT DISTINCT p_type AS term, p_brand AS feature_id FROM part WHERE p_size < 5"),
     "panel_score": _scores,
@@ -142,7 +140,7 @@ SQL = {
     "reproduction": fill(records.reproduction(), pairs=f"SELECT 1 AS id, {num(-0.14)} AS reported, {num(-0.139)} AS recomputed, 2 AS decimals UNION ALL SELECT 2, {num(0.5)}, {num(0.508)}, 3 UNION ALL SELECT 3, {num(0.5)}, {num(0.6)}, 2"),
     "claims": fill(records.claim_ledger(), claims="SELECT 1 AS id, 'Verified' AS verdict, 'rerun' AS reproduction, '' AS reason UNION ALL SELECT 2, 'Verified', '', '' UNION ALL SELECT 3, 'Not assessable', '', '' UNION ALL SELECT 4, 'Perhaps', '', 'x'"),
     "concerns": fill(records.concern_ledger(), concerns="SELECT 1 AS id, 'high' AS confidence, 'medium' AS impact UNION ALL SELECT 2, 'low', 'low' UNION ALL SELECT 3, 'sure', 'high'"),
-    "file_roles": fill(records.file_roles(), files="SELECT 'a_R1.fastq.gz' AS name UNION ALL SELECT 'Sample_sheet.csv' UNION ALL SELECT 'matrix.mtx.gz' UNION ALL SELECT 'run.py' UNION ALL SELECT url FROM pages"),
+    "file_roles": fill(records.file_roles(), files="SELECT 'a_R1.fastq.gz' AS name UNION ALL SELECT 'counts.txt' UNION ALL SELECT 'x.cram' UNION ALL SELECT 'GSE1_series_matrix.txt.gz' UNION ALL SELECT 'Snakefile' UNION ALL SELECT 'table.csv' UNION ALL SELECT 'Sample_sheet.csv' UNION ALL SELECT 'matrix.mtx.gz' UNION ALL SELECT 'run.py' UNION ALL SELECT url FROM pages"),
     "spec_curve": fill(records.spec_curve((50000.0, 100000.0), (200000.0, 500000.0)), rows="SELECT c_acctbal * 20 AS x, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey"),
     "designs": fill(records.design_fields(), designs="SELECT 1 AS id, 'q' AS question, 'u' AS unit, 'c' AS comparison, 'o' AS outcome, 'd' AS decision UNION ALL SELECT 2, 'q', '', 'c', CAST(NULL AS STRING), 'd'"),
     "evidence": fill(records.evidence_manifest(), evidence="SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'retrieved' WHEN 1 THEN 'restricted' ELSE 'lost' END AS status, url AS path, CAST(length(url) AS BIGINT) AS bytes, sha2(url, 256) AS sha256 FROM pages"),

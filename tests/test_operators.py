@@ -1,6 +1,6 @@
 """Operators on small relations with known answers."""
 
-from corvellum.operators import enrich, inference, matrix
+from corvellum.operators import enrich, inference, matrix, records
 from corvellum.plans.sqlplan import apply
 
 
@@ -26,8 +26,59 @@ def test_scales(spark):
 
 
 def test_generic_terms(spark):
-    terms = spark.createDataFrame([("Ribosome",), ("Some pathway [hsa05200]",), ("Wnt signalling",)], "term string")
-    assert [r.kind for r in apply(enrich.generic_terms(), terms=terms).orderBy("term").collect()] == ["housekeeping", "disease", "specific"]
+    terms = spark.createDataFrame([("Ribosome",), ("Aminoacyl-tRNA biosynthesis",), ("Asthma",), ("Some pathway [hsa05200]",), ("Some pathway hsa05200",), ("Cell cycle",), ("Wnt signalling",)], "term string")
+    flags = {r.term: r.flag for r in apply(enrich.generic_terms(), terms=terms).collect()}
+    assert flags["Ribosome"] == flags["Aminoacyl-tRNA biosynthesis"] == "housekeeping machinery" and flags["Cell cycle"] == flags["Wnt signalling"] == flags["Some pathway hsa05200"] == ""
+    assert flags["Asthma"] == flags["Some pathway [hsa05200]"] == "disease or infection name; may reflect generic genes"
+
+
+def test_file_roles(spark):
+    want = {"counts.txt": "processed_matrix", "a.FQ.gz": "raw_reads", "x.cram": "raw_reads", "GSE1_series_matrix.txt": "sample_metadata", "samples.csv": "sample_metadata", "design_matrix.tsv": "sample_metadata", "Snakefile": "code", "a.Rmd": "code", "table.csv": "unknown", "log_normalized.h5ad": "processed_matrix"}
+    files = spark.createDataFrame([(n,) for n in want], "name string")
+    assert {r.name: r.role for r in apply(records.file_roles(), files=files).collect()} == want
+
+
+def test_agreement_of_two_results(spark):
+    """Planted: 20 up and 20 down in both, some noise; a result against itself, its mirror image, and too few ids."""
+    rows = [(f"F{i}", 1.5 if i < 20 else -1.2 if i < 40 else 0.001 * (i % 7 - 3), 0.001 if i < 20 else 0.002 if i < 40 else 0.5) for i in range(300)]
+    frame = lambda r: spark.createDataFrame(r, "id string, effect double, padj double")
+    same = apply(inference.concordance(), a=frame(rows), b=frame([(i.lower(), e, p) for i, e, p in rows] + [("f1", -9.0, 0.9)])).first()
+    assert (same.status, same.n_shared, same.sig_a, same.overlap, same.jaccard, same.same_direction) == ("tested", 300, 40, 40, 1.0, 1.0) and same.overlap_p < 1e-6 and same.effect_correlation == 1.0
+    mirrored = apply(inference.concordance(), a=frame(rows), b=frame([(i, -e, p) for i, e, p in rows])).first()
+    assert mirrored.same_direction == 0.0 and mirrored.effect_correlation < -0.9
+    assert apply(inference.concordance(), a=frame(rows[:9]), b=frame(rows)).first().status == "not testable"
+
+
+def test_expectations_on_a_result(spark):
+    result = spark.createDataFrame([("A", 1.0, 0.01), ("B", 1.0, 0.02), ("C", 1.0, 0.9), ("D", -1.0, 0.01), ("E", 0.1, 0.6)], "feature string, effect double, padj double")
+    rules = [("up", f, "up") for f in "abABAB"[:2]] + [("most", f, "up") for f in "ABC"] + [("down", f, "down") for f in "DE"] + [("quiet", f, "none") for f in "CE"] + [("loud", f, "none") for f in "CEA"] + [("few", "A", "up"), ("few", "Z", "up")]
+    got = {r.name: (r.verdict, r.present, r.hits) for r in apply(inference.expectation_check(), rules=spark.createDataFrame(rules, "name string, feature string, direction string"), result=result).collect()}
+    assert got == {"up": ("met", 2, 2), "most": ("not met", 3, 2), "down": ("not met", 2, 1), "quiet": ("met", 2, 0), "loud": ("not met", 3, 1), "few": ("not testable", 1, 1)}
+
+
+def test_ranks_bin_by_bin(spark):
+    """The bins that spare a window over all rows leave every rank and adjusted p as one window gives them."""
+    rows = [(f"i{k:03d}", 0.001 * (k * k % 997) if k % 9 else 0.3, k % 3) for k in range(500)]
+    got = {r.id: r for r in apply(inference.multiplicity("g"), p=spark.createDataFrame(rows, "id string, p double, g int")).collect()}
+    for g in range(3):
+        own = sorted((p, i) for i, p, h in rows if h == g)
+        m, holm, bh = len(own), 0.0, {}
+        low = 1.0
+        for k in range(m, 0, -1):
+            low = min(low, own[k - 1][0] * m / k)
+            bh[own[k - 1][1]] = low
+        for k, (p, i) in enumerate(own, 1):
+            holm = max(holm, min(1.0, (m - k + 1) * p))
+            assert abs(got[i].holm - holm) < 2e-6 and abs(got[i].bh - bh[i]) < 2e-6
+
+
+def test_panel_score_leaves_out(spark):
+    """A negative that is a positive too doesn't count, and a type without enough usable genes has no detection."""
+    stats = spark.createDataFrame([("0", "G1", 1.0, 0.9), ("0", "G2", 1.0, 0.8), ("0", "G3", 0.9, 0.7), ("0", "G4", 0.0, 0.01), ("1", "G1", 0.0, 0.1), ("1", "G2", 0.0, 0.1), ("1", "G3", 0.0, 0.0), ("1", "G4", 1.0, 0.02)], "grp string, feature_id string, scaled double, detected double")
+    panel = [("T1", "G1", "+"), ("T1", "g2", "+"), ("T1", "G3", "+"), ("T1", "G1", "-"), ("T2", "G1", "+"), ("T2", "G4", "+")]
+    got = {(r.grp, r.cell_type): r for r in apply(enrich.panel_scores(), stats=stats, panel=spark.createDataFrame(panel, "cell_type string, gene string, sign string")).collect()}
+    assert got["0", "T1"].negatives_on == 0 and got["0", "T1"].pos_detect == 1.0 and abs(got["0", "T1"].score - 0.966667) < 1e-6
+    assert got["0", "T2"].score == got["0", "T2"].pos_detect == 0.0
 
 
 def test_called_types(spark):
