@@ -30,6 +30,8 @@ TEMPLATES = (
 )
 
 THRESHOLD = 0.8
+# Words that many texts hold; they tell of a licence only if nothing else does.
+COMMON = ("a", "and", "any", "as", "at", "by", "following", "for", "in", "is", "it", "its", "may", "not", "of", "on", "or", "provided", "source", "the", "this", "to", "under", "with", "without", "work", "you")
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -46,10 +48,10 @@ def least_overlap(size: int, threshold: float) -> int:
 
 def telling_words(grams: list[str], threshold: float) -> set[str]:
     """Words of a template of which a match must hold at least one: so many bigrams have one of them that the others are
-    too few for a match. Long words are taken first, as few texts hold them."""
+    too few for a match. Words that aren't common go first, then long ones, as few texts hold them."""
     left, chosen = set(grams), set()
     free = least_overlap(len(left), threshold) - 1
-    for w in sorted({w for g in left for w in g.split()}, key=lambda w: (-len(w), w)):
+    for w in sorted({w for g in left for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
         if len(left) <= free:
             break
         gone = {g for g in left if w in g.split()}
@@ -70,6 +72,12 @@ def _bigrams(w: Column) -> Column:
     return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def _once(value: Column) -> Column:
+    """``value`` worked out once a row: what is exploded stays a column, while a plain expression is put into each lambda
+    that looks at it, and worked out there again and again."""
+    return F.explode(F.array(value))
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matches with templates: doc_id, scope, unit, template (its number), license, dice. No shuffle; the templates are a
     constant of the plan.
@@ -98,9 +106,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
     low_text = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     split_words = lambda x: F.array_remove(F.split(x, "[^a-z0-9]+"), "")
-    a = docs.select(F.col(f"`{id_col}`").alias("doc_id"), low_text.alias("low")).withColumn("w", split_words(F.col("low")))
-    a = a.where(F.arrays_overlap("w", F.array(*map(F.lit, telling)))).select("doc_id", "low", _bigrams(F.col("w")).alias("all"))
-    a = a.withColumn("t", F.filter(literal, lambda t: F.size(F.array_intersect("all", t["grams"])) >= t["least"])).where(F.size("t") > 0)
+    a = docs.select(F.col(f"`{id_col}`").alias("doc_id"), low_text.alias("low")).select("doc_id", "low", _once(split_words(F.col("low"))).alias("w"))
+    a = a.where(F.arrays_overlap("w", F.array(*map(F.lit, telling)))).select("doc_id", "low", _once(_bigrams(F.col("w"))).alias("all"))
+    a = a.select("doc_id", "low", "all", _once(F.filter(literal, lambda t: F.size(F.array_intersect("all", t["grams"])) >= t["least"])).alias("t")).where(F.size("t") > 0)
 
     part = "array<struct<scope:string,unit:int,x:string>>"
     lines = F.split("low", "\n")
@@ -109,13 +117,13 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     several = lambda x: F.instr(x["x"], "\n") > 0
     whole = F.when(F.size(paragraphs) > 1, scope("text", F.array("low"))).otherwise(F.array().cast(part))
     every = F.concat(scope("line", lines), F.filter(scope("paragraph", paragraphs), several), whole)
-    u = a.select("doc_id", "t", F.explode(every).alias("u")).select("doc_id", "t", "u.scope", "u.unit", F.array_distinct(_bigrams(split_words(F.col("u.x")))).alias("g"))
+    u = a.select("doc_id", "t", F.explode(every).alias("u")).select("doc_id", "t", "u.scope", "u.unit", _once(F.array_distinct(_bigrams(split_words(F.col("u.x"))))).alias("g"))
     dice = lambda g, t: 2.0 * F.size(F.array_intersect(g, t)) / (F.size(g) + F.size(t))
     near = lambda t: (F.size("g") >= low * F.size(t["grams"])) & (F.size("g") <= high * F.size(t["grams"]))
     u = u.select("doc_id", "scope", "unit", "g", F.explode(F.filter("t", near)).alias("t")).select("doc_id", "scope", "unit", "t", dice(F.col("g"), F.col("t.grams")).alias("dice"))
 
     hit = a.select("doc_id", "all", F.explode("t").alias("t"))
-    hit = hit.withColumn("at", F.filter(F.transform("all", lambda g, i: F.when(F.array_contains("t.grams", g), i)), lambda i: i.isNotNull()))
+    hit = hit.select("doc_id", "all", _once(F.filter(F.transform("all", lambda g, i: F.when(F.array_contains("t.grams", g), i)), lambda i: i.isNotNull())).alias("at"), "t")
     run = lambda i, n: F.array_distinct(F.slice("all", i + 1, n))
     runs = F.flatten(F.transform("at", lambda i: F.transform("t.lengths", lambda n: F.struct(dice(run(i, n), F.col("t.grams")).alias("dice"), (-i).alias("at"), (-n).alias("n")))))
     best = hit.select("doc_id", F.lit("window").alias("scope"), F.array_max(runs).alias("best"), "t").select("doc_id", "scope", (-F.col("best.at")).alias("unit"), "t", "best.dice")
