@@ -5,7 +5,7 @@ the multinomial of the trusted documents to that of the whole corpus, is at leas
 documents set.
 
 N-grams are single words and pairs of neighbours, hashed into buckets whose number follows the size of the corpus up to
-`MOST_BUCKETS`, which bounds the model: 262,144 doubles, 2 MB, reach the tasks as a scalar subquery. Counts cover every
+`MOST_BUCKETS`, which bounds the model: 131,072 doubles, 1 MB, reach the tasks as a scalar subquery. Counts cover every
 n-gram of every document.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corvellum.llm.common import WORD, chained, table, words
 
 #: Buckets are the least power of two that is the number of characters over `BUCKET_CHARS`, between these bounds.
-LEAST_BUCKETS, MOST_BUCKETS, BUCKET_CHARS = 1 << 14, 1 << 18, 256
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_CHARS = 1 << 14, 1 << 17, 256
 SMOOTHING = 1.0
 #: Trusted documents that are used at most: those with the smallest hashes of doc_id. Only this sample is bounded, so
 #: that its ids can be broadcast; the raw model covers every document. One half gives the target model, the other half,
