@@ -32,8 +32,8 @@ def not_run() -> str:
 
 
 def card_rows(passes: int = 5, infos: int = 2) -> str:
-    """Rows that a card shows: every FAIL and WARN, a few of the others."""
-    return f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp, status ORDER BY check_name) AS i FROM {{records}}) SELECT grp, check_name, status FROM r WHERE status IN ('FAIL', 'WARN') OR status = 'PASS' AND i <= {passes} OR status = 'INFO' AND i <= {infos}"
+    """Rows of {records}(grp, check_name, status, place) that a card shows: every FAIL and WARN, the first of the others."""
+    return f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp, status ORDER BY place, check_name) AS i FROM {{records}}) SELECT grp, check_name, status, place FROM r WHERE status IN ('FAIL', 'WARN') OR status = 'PASS' AND i <= {passes} OR status = 'INFO' AND i <= {infos}"
 
 
 def grim() -> str:

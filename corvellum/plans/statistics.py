@@ -133,7 +133,7 @@ SQL = {
     "rating": _ratings,
     "run_rating": fill(records.run_rating(), ratings=_ratings),
     "not_run": fill(records.not_run(), catalogue=CATALOGUE, records=RECORDS),
-    "card_rows": fill(records.card_rows(1, 1), records=RECORDS),
+    "card_rows": fill(records.card_rows(1, 1), records=f"SELECT *, length(check_name) AS place FROM ({RECORDS}) r"),
     "grim": fill(records.grim(), means=f"SELECT 1 AS id, {num(3.45)} AS mean, {num(20)} AS n, 2 AS decimals, {num(1)} AS items UNION ALL SELECT 2, {num(3.47)}, {num(20)}, 2, {num(1)} UNION ALL SELECT 3, {num(2.33)}, {num(3)}, 2, {num(1)}"),
     "ci_check": fill(records.interval_z(), cis=f"SELECT 1 AS id, {num(1.5)} AS estimate, {num(1.1)} AS low, {num(2.05)} AS high, true AS ratio UNION ALL SELECT 2, {num(-0.3)}, {num(-0.9)}, {num(0.3)}, false"),
     "smd": fill(records.smd(), groups="SELECT s_nationkey AS id, avg(s_acctbal) AS m1, coalesce(stddev_samp(s_acctbal), 1) AS sd1, CAST(count(*) + 5 AS DOUBLE) AS n1, avg(s_acctbal) * 2 AS m2, coalesce(stddev_samp(s_acctbal), 1) + 1 AS sd2, CAST(count(*) + 9 AS DOUBLE) AS n2 FROM supplier GROUP BY s_nationkey"),

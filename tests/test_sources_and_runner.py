@@ -10,7 +10,7 @@ import pytest
 from corvellum.functions import dist
 from corvellum.operators import learn, sampling, structure
 from corvellum.plans import report
-from corvellum.plans.runner import StageFailed, StageRunner, why_not_current
+from corvellum.plans.runner import StageFailed, StageRunner
 from corvellum.sources import text
 
 
@@ -71,45 +71,70 @@ def test_other_files(spark, tmp_path):
     assert text.file_integrity(spark, str(gmt)).first().sha256 == text.file_hash(str(gmt))
 
 
-def test_runner(spark, tmp_path):
-    params = {"global": {"species": "x"}, "stage": {"b": {"k": 1}}}
-    calls = []
+def _stage(spark, name, calls, status="PASS", rows=None):
+    def fn(previous, own, everyone):
+        calls.append(name)
+        return {"t": spark.range(rows or own.get("k", 3)).toDF("id")}, [report.record("c", status, "what", "found", "why")]
 
-    def stage(name, status="PASS"):
-        def fn(previous, own, everyone):
-            calls.append(name)
-            return {"t": spark.range(own.get("k", 3)).toDF("id")}, [report.record("c", status, "what", "found", "why")]
+    return fn
 
-        return fn
 
-    run = StageRunner(spark, str(tmp_path), ["a", "b", "c"], params)
-    with pytest.raises(StageFailed):
-        run.run("b", stage("b"))
-    run.run("a", stage("a"))
-    run.run("a", stage("a"))
-    assert calls == ["a"] and run.run("b", stage("b"))["t"].count() == 1
-    again = StageRunner(spark, str(tmp_path), ["a", "b", "c"], {"global": {"species": "x"}, "stage": {"b": {"k": 2}}})
-    assert again.state("a")[0] == "current" and again.state("b") == ("stale", "its parameters have changed")
+def test_runner(spark, tmp_path):
+    calls = []
+    names, folder = ["a", "b", "c"], str(tmp_path / "run")
+    run = StageRunner(spark, folder, names, {"global": {"species": "x"}, "stage": {"b": {"k": 1}}})
+    with pytest.raises(StageFailed, match="b needs a, which is not_run"):
+        run.run("b", _stage(spark, "b", calls))
+    run.run("a", _stage(spark, "a", calls))
+    run.run("a", _stage(spark, "a", calls))
+    assert calls == ["a"] and run.run("b", _stage(spark, "b", calls))["t"].count() == 1
+    other = StageRunner(spark, folder, names, {"global": {"species": "x"}, "stage": {"b": {"k": 2}}})
+    assert other.state("a") == ("current", "") and other.state("b") == ("stale", "its parameters have changed") and other.state("c")[0] == "not_run"
     with pytest.raises(StageFailed):
-        run.run("c", stage("c", "FAIL"))
-    assert run.state("c")[0] == "failed"
+        run.run("c", _stage(spark, "c", calls, "FAIL"))
+    assert run.state("c")[0] == "failed" and run.load("c")["t"].count() == 3
     with pytest.raises(ValueError):
         run.accept("c", " ")
     run.accept("c", "known")
     assert run.state("c")[0] == "current"
-    run.run("a", stage("a"), force=True)
-    assert run.state("b")[0] == "stale" and run.state("c")[0] == "stale"
+    assert run.telemetry().where("seconds > 0 AND driver_mb > 0 AND versions LIKE '%pyspark%'").count() == 3
+    assert "Overall: PASS" in (tmp_path / "run/reports/00_a.md").read_text()
+
+
+def test_runner_goes_by_content(spark, tmp_path):
+    calls = []
+    run = StageRunner(spark, str(tmp_path), ["a", "b"], {})
+    run.run("a", _stage(spark, "a", calls))
+    run.run("b", _stage(spark, "b", calls))
+    run.run("a", _stage(spark, "a", calls), force=True)
+    assert run.state("b") == ("current", "")  # made again, with the same rows
+    run.run("a", _stage(spark, "a", calls, rows=5), force=True)
+    assert run.state("a")[0] == "current" and run.state("b") == ("stale", "its input has changed")
+    run.run("b", _stage(spark, "b", calls))
+    output = run._runs()["a"]["output"]
+    spark.range(4).toDF("id").write.mode("overwrite").parquet(f"{output}/t")
+    assert run.state("a") == ("stale", "its output has changed") and run.state("b") == ("stale", "a is stale")
+    run.run("a", _stage(spark, "a", calls, rows=5))
+    run.run("b", _stage(spark, "b", calls))
+    kept = run._runs()["b"]["output"]
     run.invalidate("b")
-    assert run.status()["b"][0] == "not_run" and "Overall: PASS" in (tmp_path / "reports" / "00_a.md").read_text()
-    assert why_not_current({}, "a", {}, "h") == "never run"
+    import os
+
+    assert run.status() == {"a": ("current", ""), "b": ("not_run", "never run")} and not os.path.exists(kept)
+    assert [r.kind for r in run.events().orderBy("at").collect()][-1] == "forgotten"
 
 
-def test_reports():
+def test_reports(spark):
     ok, warn, fail, info = (report.record(f"c{i}", s, "w", "f", "y") for i, s in enumerate(("PASS", "WARN", "FAIL", "INFO")))
     assert report.rating([ok]) == "Good" and report.rating([ok, warn]) == "Usable, with 1 caveat" and report.rating([info]) == "Not applicable"
     assert report.rating([fail]) == "Not reliable until fixed" and report.rating([fail], "known") == "Accepted despite a failed check" and report.rating([]) == "Not done"
+    assert report.overall([]) == "PASS" and report.overall([ok, info]) == "PASS" and report.overall([ok, warn]) == "WARN" and report.overall([warn, fail]) == "FAIL"
     assert report.run_rating(["Good", "Usable, with 1 caveat", "Not done"]) == "Not done"
-    assert "2 more not shown" in report.card("t", [ok] * 7)
+    text = report.card("t", [ok] * 6 + [warn, fail])
+    assert "1 more not shown" in text and text.index("FAIL") < text.index("WARN") < text.index("PASS")
+    assert report.not_run([ok, dict(info, group="g")], {"c0": "x", "g": "y", "z": "w"}) == ["z"]
+    summary = report.run_summary([{"name": "one", "records": [ok]}, {"name": "two", "records": [fail], "accepted": "known", "note": "n", "go_back": "one"}])
+    assert "Run: Accepted despite a failed check" in summary and "| two | Accepted despite a failed check | n | one |" in summary
     with pytest.raises(ValueError):
         report.record("c", "MAYBE", "w", "f", "y")
 
