@@ -13,33 +13,59 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvellum.functions.sqltext import num, ranked
+
 #: Queries that one block of a neighbour search holds.
 BLOCK = 2048
 
 
 def kept(df: DataFrame) -> DataFrame:
+    """The same rows behind a checkpoint in the folder that the cluster names; a folder of our own is for local sessions."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvellum-ckpt-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvellum-ckpt-"))
     return df.checkpoint()
 
 
-def gram(vec: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector, centred cross products and number of rows: partial sums per task, ``width`` squared numbers each."""
+def summed(parts: DataFrame, key: str, columns: list[str]) -> pd.DataFrame:
+    """Rows of partial sums (arrays) added up to one for each key: in two levels, so that the tasks add and the driver gets
+    one row a key."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: frame[key].iloc[:1], **{c: [np.sum(np.stack(frame[c].to_numpy()), axis=0).tolist()] for c in columns}})
+
+    schema = ", ".join([f"{key} long", *[f"{c} array<double>" for c in columns]])
+    some = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy(key, "lane").applyInPandas(lambda f: add(f.drop(columns="lane")), schema)
+    return some.groupBy(key).applyInPandas(add, schema).toPandas()
+
+
+def grams(vec: DataFrame, width: int, key: str = "run") -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+    """Mean vector, centred cross products and number of rows of each run of {vec}(run, v): ``width`` squared numbers a
+    run and task."""
 
     def run(batches):
-        n, s, g = 0, np.zeros(width), np.zeros((width, width))
+        held: dict[int, list] = {}
         for frame in batches:
-            x = np.stack(frame["v"].to_numpy()).astype(float) if len(frame) else np.zeros((0, width))
-            n, s, g = n + len(x), s + x.sum(0), g + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
+            for r, rows in frame.groupby(key)["v"]:
+                x = np.stack(rows.to_numpy()).astype(float)
+                n, t, g = held.get(r, (0, np.zeros(width), np.zeros((width, width))))
+                held[r] = n + len(x), t + x.sum(0), g + x.T @ x
+        yield pd.DataFrame({key: list(held), "n": [[float(h[0])] for h in held.values()], "t": [h[1].tolist() for h in held.values()], "g": [h[2].ravel().tolist() for h in held.values()]})
 
-    parts = vec.select("v").mapInPandas(run, "n long, s array<double>, g array<double>").toLocalIterator()
-    n, s, g = 0, np.zeros(width), np.zeros((width, width))
-    for p in parts:
-        n, s, g = n + p.n, s + np.array(p.s), g + np.array(p.g).reshape(width, width)
-    mean = s / max(n, 1)
-    return mean, g - n * np.outer(mean, mean), n
+    parts = vec.select(F.col(key).cast("long").alias(key), "v").mapInPandas(run, f"{key} long, n array<double>, t array<double>, g array<double>")
+    out = {}
+    for r in summed(parts, key, ["n", "t", "g"]).itertuples():
+        n, mean = int(r.n[0]), np.array(r.t) / max(r.n[0], 1)
+        out[int(getattr(r, key))] = mean, np.array(r.g).reshape(width, width) - n * np.outer(mean, mean), n
+    return out
+
+
+def gram(vec: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """`grams` of one run."""
+    return grams(vec.select(F.lit(0).alias("run"), "v"), width).get(0, (np.zeros(width), np.zeros((width, width)), 0))
 
 
 def principal_components(vec: DataFrame, width: int, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -57,42 +83,42 @@ def principal_components(vec: DataFrame, width: int, k: int) -> tuple[DataFrame,
     return vec.select("id", "v").mapInPandas(run, "id long, scores array<double>"), value, axis
 
 
-def shuffled_variances(vec: DataFrame, width: int, k: int, runs: int = 5, seed: int = 0) -> np.ndarray:
-    """Largest variance of each component over runs in which every column is shuffled on its own.
+def shuffled_variances(vec: DataFrame, width: int, k: int, runs: int = 10, seed: int = 0) -> np.ndarray:
+    """Largest variance of each component over runs in which every column is shuffled across the units on its own.
 
-    A shuffled column keeps its variance and loses its covariances but for noise of size 1/sqrt(n), so each run draws
-    that noise for the correlation matrix instead of moving the data.
+    Values of a run's column are ranked by a hash, and the unit of that rank gets them; ranks go bin by bin, so no task
+    holds a column. All runs are done together.
     """
-    _, g, n = gram(vec, width)
-    sd = np.sqrt(np.maximum(np.diag(g) / max(n - 1, 1), 0))
+    spark = vec.sparkSession
+    place = kept(spark.sql(f"WITH {ranked('{u}', 'h', 'id')} SELECT id, i FROM k", u=vec.select("id", F.xxhash64("id", F.lit(seed)).cast("double").alias("h"))))
+    x = vec.select("id", F.posexplode("v").alias("c", "x")).crossJoin(F.broadcast(spark.range(runs).withColumnRenamed("id", "run")))
+    x = x.select("id", "x", (F.col("run") * width + F.col("c")).alias("g"), F.xxhash64("run", "c", "id", F.lit(seed)).cast("double").alias("h"))
+    moved = spark.sql(f"WITH {ranked('{x}', 'h', 'id', 'g')} SELECT g, i, x AS value FROM (SELECT k.g, k.i, k.x FROM k) z", x=x)
+    rows = moved.join(place, "i").select("id", F.floor(F.col("g") / width).alias("run"), F.struct(F.pmod("g", F.lit(width)).alias("c"), "value").alias("y"))
+    back = rows.groupBy("run", "id").agg(F.transform(F.array_sort(F.collect_list("y")), lambda y: y["value"]).alias("v"))
     best = np.zeros(k)
-    for r in range(runs):
-        e = np.random.default_rng([seed, r]).normal(size=(width, width)) / np.sqrt(max(n - 1, 1))
-        c = np.triu(e, 1)
-        best = np.maximum(best, np.linalg.eigvalsh((c + c.T + np.eye(width)) * np.outer(sd, sd))[::-1][:k])
+    for _, g, n in grams(back, width).values():
+        best = np.maximum(best, np.maximum(np.linalg.eigvalsh(g / max(n - 1, 1))[::-1][:k], 0))
     return best
 
 
-def components_for_share(variances, null, threshold: float = 0.9) -> tuple[int, bool, list[float]]:
-    """Components needed for a share of the variance above the null: (number, reached, cumulative shares), counting
-    only the leading run of components above it."""
-    v, z = np.asarray(variances, float), np.asarray(null, float)
-    above = v > z
-    lead = int(np.argmin(above)) if not above.all() else len(v)
-    if lead == 0:
-        return 0, False, []
-    signal = np.clip(v[:lead] - z[:lead], 0, None)
-    shares = np.cumsum(signal) / max(signal.sum(), 1e-12)
-    reached = shares >= threshold - 1e-12
-    return (int(np.argmax(reached)) + 1 if reached.any() else lead), bool(reached.any()), shares.tolist()
+def component_choice(threshold: float = 0.9, basis: str = "signal") -> str:
+    """How many components {eig}(pc from 1 on, eig, null_max, ratio) hold a share: of what rises above the null, counting the
+    leading run of components above it (signal), or of all variance (total). One row: n, reached, lead (components above
+    the null), elbow (farthest below the line from the first to the last), held (share of all variance)."""
+    w = "CASE WHEN pc <= lead THEN eig - null_max ELSE CAST(0 AS DOUBLE) END" if basis == "signal" else "ratio"
+    whole = "nullif(sum(w) OVER (), CAST(0 AS DOUBLE))" if basis == "signal" else "CAST(1 AS DOUBLE)"
+    return f"""WITH l AS (SELECT *, coalesce(min(CASE WHEN eig <= null_max THEN pc END) OVER () - 1, count(*) OVER ()) AS lead, count(*) OVER () AS most, max(eig) OVER () AS top, min_by(eig, -pc) OVER () AS bottom FROM {{eig}}),
+w AS (SELECT *, {w} AS w FROM l),
+c AS (SELECT *, sum(w) OVER (ORDER BY pc) / {whole} AS share, sum(ratio) OVER (ORDER BY pc) AS total, 1 - (pc - 1) / CAST(greatest(most - 1, 1) AS DOUBLE) - (eig - bottom) / greatest(top - bottom, {num(1e-12)}) AS under FROM w),
+n AS (SELECT max(lead) AS lead, max(most) AS most, min(CASE WHEN share >= {num(threshold - 1e-12)} THEN pc END) AS hit, max(share) IS NULL AS nothing, max_by(pc, struct(round(under, 12), -pc)) AS elbow FROM c)
+SELECT CAST(CASE WHEN n.nothing THEN 0 ELSE coalesce(n.hit, n.most) END AS INT) AS n, n.nothing OR n.hit IS NOT NULL AS reached, CAST(n.lead AS INT) AS lead, CAST(n.elbow AS INT) AS elbow FROM n"""
 
 
-def elbow(variances) -> int:
-    """The component farthest from the line between the first and the last, from 1 on."""
-    y = np.asarray(variances, float)
-    x = np.linspace(0, 1, len(y))
-    y = (y - y.min()) / max(y.max() - y.min(), 1e-12)
-    return int(np.argmax(np.abs(x + y - 1))) + 1
+def _distances(q: np.ndarray, r: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """Euclidean distances by differences, some queries at a time; the same formula at every size."""
+    step = max(1, cells // max(r.size, 1))
+    return np.concatenate([np.sqrt(((q[a : a + step, None, :] - r[None, :, :]) ** 2).sum(2)) for a in range(0, len(q), step)]) if len(q) else np.zeros((0, len(r)))
 
 
 def _blocks(vec: DataFrame, block: int) -> DataFrame:
@@ -114,7 +140,7 @@ def nearest(vec: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
             for qs, rs in zip(frame["q"], frame["r"], strict=True):
                 qi, ri = np.array([x["id"] for x in qs]), np.array([x["id"] for x in rs])
                 q, r = (np.array([np.asarray(x["v"], float) for x in y]) for y in (qs, rs))
-                d = np.sqrt(np.maximum(((q[:, None, :] - r[None, :, :]) ** 2).sum(2), 0)) if len(q) * len(r) * q.shape[1] < 30_000_000 else np.sqrt(np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1) - 2 * q @ r.T, 0))
+                d = _distances(q, r)
                 d[qi[:, None] == ri[None, :]] = np.inf
                 near = np.argsort(d, axis=1, kind="stable")[:, :k]
                 a = np.repeat(np.arange(len(q)), near.shape[1])
@@ -137,7 +163,7 @@ def silhouette(vec: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFra
             for qs, rs in zip(frame["q"], frame["r"], strict=True):
                 q, r = (np.array([np.asarray(x["v"], float) for x in y]) for y in (qs, rs))
                 names = np.array([str(x["label"]) for x in rs])
-                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1) - 2 * q @ r.T, 0))
+                d = _distances(q, r)
                 for name in np.unique(names):
                     yield pd.DataFrame({"id": [x["id"] for x in qs], "label": [str(x["label"]) for x in qs], "other": name, "s": d[:, names == name].sum(1)})
 
@@ -240,35 +266,56 @@ def centred_batches(vec: DataFrame, batches: DataFrame, clusters: DataFrame) ->
     return y.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
 
 
-def programs(vec: DataFrame, width: int, k: int, rounds: int = 60, seed: int = 0) -> np.ndarray:
-    """k non-negative programs (k by width) of non-negative vectors by multiplicative updates. Programs live on the
-    driver (k times width numbers); usages are made anew in the tasks, which return sums of that size only."""
-    h = np.random.default_rng(seed).random((k, width)) + 0.1
+def programs(vec: DataFrame, width: int, ks: tuple[int, ...], rounds: int = 60, seed: int = 0) -> list[np.ndarray]:
+    """Non-negative programs (k by width) of non-negative vectors by multiplicative updates, one fit for each of ``ks``,
+    each from a start of its own. All fits share the passes over the rows. Programs live on the driver (k times width
+    numbers a fit); usages are made anew in the tasks, which return sums of that size only."""
+    hs = [np.random.default_rng([seed, i]).random((k, width)) + 0.1 for i, k in enumerate(ks)]
+    going = list(range(len(ks)))
     v = vec.select("v").persist()
 
-    def pass_over(h):
+    def pass_over(now: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         def run(batches):
-            a, b = np.zeros((k, width)), np.zeros((k, k))
+            sums = {i: (np.zeros((len(h), width)), np.zeros((len(h), len(h)))) for i, h in now.items()}
             for frame in batches:
-                x = np.maximum(np.stack(frame["v"].to_numpy()).astype(float), 0) if len(frame) else np.zeros((0, width))
-                w = np.full((len(x), k), 1.0)
-                xh, hh = x @ h.T, h @ h.T
-                for _ in range(20):
-                    w *= xh / np.maximum(w @ hh, 1e-12)
-                a, b = a + w.T @ x, b + w.T @ w
-            yield pd.DataFrame({"a": [a.ravel().tolist()], "b": [b.ravel().tolist()]})
-
-        a, b = np.zeros(k * width), np.zeros(k * k)
-        for p in v.mapInPandas(run, "a array<double>, b array<double>").toLocalIterator():
-            a, b = a + np.array(p.a), b + np.array(p.b)
-        return a.reshape(k, width), b.reshape(k, k)
+                if not len(frame):
+                    continue
+                x = np.maximum(np.stack(frame["v"].to_numpy()).astype(float), 0)
+                for i, h in now.items():
+                    w, xh, hh = np.full((len(x), len(h)), 1.0), x @ h.T, h @ h.T
+                    for _ in range(20):
+                        w *= xh / np.maximum(w @ hh, 1e-12)
+                    sums[i] = sums[i][0] + w.T @ x, sums[i][1] + w.T @ w
+            yield pd.DataFrame({"fit": list(sums), "a": [a.ravel().tolist() for a, _ in sums.values()], "b": [b.ravel().tolist() for _, b in sums.values()]})
+
+        got = summed(v.mapInPandas(run, "fit long, a array<double>, b array<double>"), "fit", ["a", "b"])
+        return {int(r.fit): (np.array(r.a).reshape(-1, width), np.array(r.b).reshape(len(now[r.fit]), -1)) for r in got.itertuples()}
 
     for _ in range(rounds):
-        a, b = pass_over(h)
-        new = h * a / np.maximum(b @ h, 1e-12)
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.abs(new - h).max() < 1e-4:
+        for i, (a, b) in pass_over({i: hs[i] for i in going}).items():
+            new = hs[i] * a / np.maximum(b @ hs[i], 1e-12)
+            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+            if np.abs(new - hs[i]).max() < 1e-4:
+                going.remove(i)
+            hs[i] = new
+        if not going:
             break
-        h = new
     v.unpersist()
-    return h
+    return hs
+
+
+def stable_programs(vec: DataFrame, width: int, ks: tuple[int, ...] = (5, 8, 12), restarts: int = 3, least: float = 0.8, rounds: int = 60, seed: int = 0) -> tuple[int, bool, list[tuple[int, float]], np.ndarray]:
+    """The largest number of programs whose restarts agree: (k, whether any agreed, (k, agreement) of all, programs).
+
+    Agreement is the mean, over programs of the first start, of the best cosine with a program of another start. If none
+    reaches ``least``, the k that agrees best is taken.
+    """
+    hs = programs(vec, width, tuple(k for k in ks for _ in range(restarts)), rounds, seed)
+    table, first = [], {}
+    for j, k in enumerate(ks):
+        unit = [h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12) for h in hs[j * restarts : (j + 1) * restarts]]
+        table.append((k, float(np.mean([(unit[0] @ u.T).max(1).mean() for u in unit[1:]])) if restarts > 1 else float("nan")))
+        first[k] = hs[j * restarts]
+    agreed = [k for k, a in table if a >= least]
+    k = max(agreed) if agreed else max(table, key=lambda t: t[1])[0]
+    return k, bool(agreed), table, first[k]

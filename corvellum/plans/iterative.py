@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.functions.dist import chi2_p, reported_p, t_p, z_p
 from corvellum.operators import learn, lint, sampling, structure
 from corvellum.plans import statistics
-from corvellum.plans.sqlplan import from_sql
+from corvellum.plans.sqlplan import apply, from_sql
 
 WIDTH = 64
 
@@ -37,9 +38,10 @@ def pca_scores(spark, sf_dir):
 def parallel_analysis(spark, sf_dir):
     v = _vec(spark, sf_dir)
     value = structure.principal_components(v, WIDTH, 20)[1]
+    total = float(np.trace(structure.gram(v, WIDTH)[1])) / max(v.count() - 1, 1)
     null = structure.shuffled_variances(v, WIDTH, 20)
-    n, reached, shares = structure.components_for_share(value, null)
-    return spark.createDataFrame([(n, reached, structure.elbow(value), len(shares))], "n_for_share int, reached boolean, elbow int, above_null int")
+    eig = spark.createDataFrame([(i + 1, float(e), float(z), float(e / total)) for i, (e, z) in enumerate(zip(value, null, strict=True))], "pc int, eig double, null_max double, ratio double")
+    return apply(structure.component_choice(), eig=eig)
 
 
 def knn(spark, sf_dir):
@@ -76,7 +78,7 @@ def batch_centred(spark, sf_dir):
 
 def nmf_programs(spark, sf_dir):
     v = _vec(spark, sf_dir).select("id", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))).alias("v"))
-    h = structure.programs(v, WIDTH, 3, rounds=10)
+    _, _, _, h = structure.stable_programs(v, WIDTH, ks=(2, 3, 4), restarts=3, rounds=60)
     return spark.createDataFrame([(k, i, float(x)) for k, row in enumerate(h) for i, x in enumerate(row)], "program int, feature int, loading double")
 
 

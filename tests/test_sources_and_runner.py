@@ -10,6 +10,7 @@ import pytest
 from corvellum.functions import dist
 from corvellum.operators import learn, sampling, structure
 from corvellum.plans import report
+from corvellum.plans.sqlplan import apply
 from corvellum.plans.runner import StageFailed, StageRunner
 from corvellum.sources import text
 
@@ -140,8 +141,14 @@ def test_reports(spark):
 
 
 def test_structure_helpers(spark):
-    n, reached, shares = structure.components_for_share([10.0, 5.0, 2.0, 0.5, 0.4], [1.0, 1.0, 1.0, 1.0, 1.0])
-    assert (n, reached, len(shares)) == (2, True, 3)
+    frame = lambda eig, null: spark.createDataFrame([(i + 1, float(e), float(z), r) for i, (e, z, r) in enumerate(zip(eig, null, (0.4, 0.3, 0.1, 0.05, 0.02), strict=True))], "pc int, eig double, null_max double, ratio double")
+    some = frame([10, 5, 2, 1, 0.5], [0.6] * 5)
+    choice = lambda t, basis, eig=some: tuple(apply(structure.component_choice(t, basis), eig=eig).first())[:2]
+    assert [choice(t, "signal") for t in (0.5, 0.9, 0.99)] == [(1, True), (3, True), (4, True)]
+    assert [choice(t, "total") for t in (0.5, 0.75, 0.85, 0.99)] == [(2, True), (3, True), (4, True), (5, False)]
+    assert choice(0.9, "signal", frame([10, 5, 2, 1, 0.5], [11, 6, 3, 2, 1])) == (0, True)
+    assert choice(0.99, "signal", frame([10, 5, 0.5, 0.5, 3], [0.6] * 5))[0] == 2  # a component above the null after one below doesn't count
+    assert apply(structure.component_choice(), eig=some).first().elbow == 3
     scan = spark.createDataFrame([(0.1, 2, 0.99, 50, True), (0.5, 4, 0.9, 20, True), (1.0, 9, 0.6, 5, True)], "resolution double, n_clusters int, stability double, min_size int, distinct boolean")
     assert structure.picked_resolution(scan) == 0.5 and structure.picked_resolution(scan.where("resolution <> 0.5"), 0.999) == 0.1
     assert learn.matched_label("CD4 T cells", ["T cells", "B"]) == "T cells"
@@ -160,3 +167,26 @@ def test_samples(spark):
     assert sampling.stratified(df, ["g"], "id", 0.001).count() == 3
     shifted = spark.range(200).selectExpr("id", "id % 2 AS grp", "(id % 2) * 3.0 + id % 7 AS value")
     assert sampling.permutation_difference(shifted, 200).first().p < 0.02
+
+
+def test_shuffles_keep_columns_and_break_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 1))
+    x = np.hstack([base + 0.1 * rng.normal(size=(400, 3)), rng.normal(size=(400, 2)) * 2])
+    vec = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    null = structure.shuffled_variances(vec, 5, 5, runs=3)
+    value = structure.principal_components(vec, 5, 5)[1]
+    assert value[0] < 4.8 and abs(null.sum() - x.var(0, ddof=1).sum()) < 0.5  # variances stay, their links go
+    strong = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(np.hstack([base * 2 + 0.1 * rng.normal(size=(400, 5))]))], "id long, v array<double>")
+    assert (structure.principal_components(strong, 5, 5)[1] > structure.shuffled_variances(strong, 5, 5, runs=3)).tolist() == [True, False, False, False, False]
+
+
+def test_programs_that_restarts_agree_on(spark):
+    rng = np.random.default_rng(5)
+    planted = np.zeros((2, 12))
+    planted[0, :4], planted[1, 6:10] = 3, 3
+    rows = rng.gamma(0.5, size=(300, 2)) @ planted + 0.01 * rng.random((300, 12))
+    vec = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id long, v array<double>")
+    k, agreed, table, h = structure.stable_programs(vec, 12, ks=(2,), restarts=2, rounds=40)
+    assert (k, agreed, h.shape) == (2, True, (2, 12)) and table[0][1] > 0.95
+    assert {frozenset(np.argsort(-row)[:4].tolist()) for row in h} == {frozenset(range(4)), frozenset(range(6, 10))}
