@@ -31,8 +31,8 @@ def _binned(relation: str, value: str, by: str, keep: str) -> str:
     group = f"{by}, " if by else ""
     join = "JOIN" if by else "CROSS JOIN"
     part = f"PARTITION BY {by} " if by else ""
-    return f"""e AS (SELECT {group}min({value}) AS lo, max({value}) AS hi FROM {relation} WHERE {value} IS NOT NULL{f' GROUP BY {by}' if by else ''}),
-x AS (SELECT r.*, CASE WHEN e.hi > e.lo THEN CAST(floor((r.{value} - e.lo) / (e.hi - e.lo) * {BINS}) AS INT) ELSE 0 END AS b FROM {relation} r {join} e{on} WHERE r.{value} IS NOT NULL),
+    return f"""e AS (SELECT {group}CAST(min({value}) AS DOUBLE) AS lo, CAST(max({value}) AS DOUBLE) AS hi FROM {relation} WHERE {value} IS NOT NULL{f' GROUP BY {by}' if by else ''}),
+x AS (SELECT r.*, CASE WHEN e.hi > e.lo THEN CAST(floor((CAST(r.{value} AS DOUBLE) - e.lo) / (e.hi - e.lo) * {BINS}) AS INT) ELSE 0 END AS b FROM {relation} r {join} e{on} WHERE r.{value} IS NOT NULL),
 o AS (SELECT *, sum(n) OVER ({part}ORDER BY b) - n AS before, sum(n) OVER ({part.strip()}) AS m FROM (SELECT {group}b, count(*) AS n{keep} FROM x GROUP BY {group}b) c)"""
 
 

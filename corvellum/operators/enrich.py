@@ -46,6 +46,50 @@ d AS (SELECT term, hit - (i - j) / CAST(n - k AS DOUBLE) AS here, hit - step - (
 SELECT term, {rounded('CASE WHEN max(here) >= -min(before) THEN max(here) ELSE min(before) END')} AS es FROM d GROUP BY term"""
 
 
+def running_score_by(min_overlap: int = 10) -> str:
+    """`running_score` within each group of {ranked}(grp, feature_id, stat), with the size of the overlap."""
+    one = "(SELECT grp, upper(feature_id) AS feature_id, max(stat) AS stat, -max(stat) AS falling FROM {ranked} WHERE stat IS NOT NULL GROUP BY grp, upper(feature_id))"
+    return f"""WITH {ranked(one, 'falling', 'feature_id', 'grp')},
+r AS (SELECT grp, feature_id, stat, i, m AS n FROM k),
+g AS (SELECT r.grp, s.term, count(*) AS k, sum(abs(r.stat)) AS w FROM {{sets}} s JOIN r ON r.feature_id = upper(s.feature_id) GROUP BY r.grp, s.term HAVING count(*) >= {min_overlap}),
+h AS (SELECT g.grp, g.term, r.i, sum(abs(r.stat) / greatest(g.w, {num(1e-12)})) OVER (PARTITION BY g.grp, g.term ORDER BY r.i) AS hit, row_number() OVER (PARTITION BY g.grp, g.term ORDER BY r.i) AS j, abs(r.stat) / greatest(g.w, {num(1e-12)}) AS step, g.k, r.n FROM {{sets}} s JOIN r ON r.feature_id = upper(s.feature_id) JOIN g ON g.term = s.term AND g.grp = r.grp),
+d AS (SELECT grp, term, k, n, hit - (i - j) / CAST(greatest(n - k, 1) AS DOUBLE) AS here, hit - step - (i - j) / CAST(greatest(n - k, 1) AS DOUBLE) AS before FROM h)
+SELECT grp, term, k AS size, max(n) AS n, {rounded('CASE WHEN max(here) >= -min(before) THEN max(here) ELSE min(before) END')} AS es FROM d GROUP BY grp, term, k"""
+
+
+def unit_expectations(min_diff: float = 0.25, z: float = 2.3263478740408408) -> str:
+    """Known biology against the units. {rules}(expectation, kind, col, grp, against, direction, min_fraction, low, high),
+    {wanted}(expectation, feature_id), {expr}(unit_id, feature_id, value), {obs}(unit_id, col, grp), {hits}(grp, term).
+
+    gene_up asks for a share (0.6 unless given) of the listed features to be higher (or lower) in the group than in
+    ``against`` or all others, by a difference of means and a one-sided rank-sum z (of 0.01); set_up does so for scores
+    of sets that are given as features, by 0.4 of the difference; fraction_range for a share of the units; set_enriched
+    for a significant term that holds the set's name. What can't be looked at is not testable. Absent values are zeros; ranks
+    come from counts of distinct values, so no units are sorted.
+    """
+    need = f"CASE r.kind WHEN 'set_up' THEN {num(0.4 * min_diff)} ELSE {num(min_diff)} END"
+    return f"""WITH o AS (SELECT DISTINCT unit_id, col, CAST(grp AS STRING) AS grp FROM {{obs}}),
+size AS (SELECT r.expectation, count(o.unit_id) AS n, count(CASE WHEN o.grp = r.grp THEN 1 END) AS n1, count(CASE WHEN CASE WHEN coalesce(r.against, '') <> '' THEN o.grp = r.against ELSE o.grp <> r.grp END THEN 1 END) AS n0 FROM {{rules}} r LEFT JOIN o ON o.col = r.col GROUP BY r.expectation),
+seen AS (SELECT DISTINCT upper(feature_id) AS f FROM {{expr}}),
+w AS (SELECT DISTINCT w.expectation, upper(w.feature_id) AS f, CASE WHEN seen.f IS NULL THEN 0 ELSE 1 END AS here FROM {{wanted}} w LEFT JOIN seen ON seen.f = upper(w.feature_id)),
+v AS (SELECT r.expectation, w.f, e.value, count(CASE WHEN o.grp = r.grp THEN 1 END) AS k1, count(CASE WHEN o.grp <> r.grp AND (coalesce(r.against, '') = '' OR o.grp = r.against) THEN 1 END) AS k0
+ FROM {{rules}} r JOIN w ON w.expectation = r.expectation AND w.here = 1 JOIN {{expr}} e ON upper(e.feature_id) = w.f JOIN o ON o.unit_id = e.unit_id AND o.col = r.col WHERE r.kind IN ('gene_up', 'set_up') AND e.value <> 0 GROUP BY r.expectation, w.f, e.value),
+z AS (SELECT w.expectation, w.f, {num(0)} AS value, s.n1 - coalesce(sum(v.k1), 0) AS k1, s.n0 - coalesce(sum(v.k0), 0) AS k0 FROM w JOIN size s ON s.expectation = w.expectation LEFT JOIN v ON v.expectation = w.expectation AND v.f = w.f WHERE w.here = 1 GROUP BY w.expectation, w.f, s.n1, s.n0),
+a AS (SELECT expectation, f, value, CAST(k1 AS DOUBLE) AS k1, CAST(k0 AS DOUBLE) AS k0 FROM v UNION ALL SELECT expectation, f, value, CAST(k1 AS DOUBLE), CAST(k0 AS DOUBLE) FROM z),
+c AS (SELECT *, sum(k0) OVER (PARTITION BY expectation, f ORDER BY value) - k0 AS under FROM a),
+u AS (SELECT expectation, f, sum(k1) AS n1, sum(k0) AS n0, sum(k1 * value) / nullif(sum(k1), {num(0)}) - sum(k0 * value) / nullif(sum(k0), {num(0)}) AS d, sum(k1 * (under + k0 / {num(2)})) AS u, sum(power(k1 + k0, 3) - (k1 + k0)) AS ties FROM c GROUP BY expectation, f),
+t AS (SELECT u.*, r.kind, CASE WHEN r.direction = 'down' THEN {num(-1)} ELSE {num(1)} END AS way, {need} AS need,
+ sqrt(greatest(n1 * n0 / {num(12)} * (n1 + n0 + 1 - ties / greatest((n1 + n0) * (n1 + n0 - 1), {num(1)})), {num(1e-12)})) AS s FROM u JOIN {{rules}} r ON r.expectation = u.expectation),
+g AS (SELECT expectation, count(*) AS present, count(CASE WHEN n1 > 2 AND n0 > 2 AND way * d >= need AND (way * (u - n1 * n0 / {num(2)}) - {num(0.5)}) / s > {num(z)} THEN 1 END) AS ok FROM t GROUP BY expectation),
+h AS (SELECT r.expectation, count(x.term) AS any_for_group, count(CASE WHEN instr(lower(x.term), lower(w.f)) > 0 THEN 1 END) AS hit FROM {{rules}} r JOIN w ON w.expectation = r.expectation LEFT JOIN {{hits}} x ON CAST(x.grp AS STRING) = r.grp WHERE r.kind = 'set_enriched' GROUP BY r.expectation)
+SELECT r.expectation, r.kind, coalesce(g.present, 0) AS present, coalesce(g.ok, h.hit, 0) AS ok, {rounded('s.n1 / CAST(nullif(s.n, 0) AS DOUBLE)')} AS unit_share,
+ CASE WHEN s.n1 = 0 OR r.kind NOT IN ('gene_up', 'set_up', 'fraction_range', 'set_enriched') THEN 'not testable'
+  WHEN r.kind = 'fraction_range' THEN CASE WHEN s.n1 / CAST(s.n AS DOUBLE) BETWEEN coalesce(r.low, {num(0)}) AND coalesce(r.high, {num(1)}) THEN 'met' ELSE 'not met' END
+  WHEN r.kind = 'set_enriched' THEN CASE WHEN coalesce(h.any_for_group, 0) = 0 THEN 'not testable' WHEN h.hit > 0 THEN 'met' ELSE 'not met' END
+  WHEN g.present IS NULL THEN 'not testable' WHEN g.ok / CAST(g.present AS DOUBLE) >= coalesce(r.min_fraction, {num(0.6)}) THEN 'met' ELSE 'not met' END AS status
+FROM {{rules}} r JOIN size s ON s.expectation = r.expectation LEFT JOIN g ON g.expectation = r.expectation LEFT JOIN h ON h.expectation = r.expectation"""
+
+
 def ranked_list() -> str:
     """Statistics of {result}(feature, stat) by upper-case feature, missing ones left out; of rows that repeat a feature
     the greatest counts."""

@@ -63,6 +63,56 @@ def alignment() -> str:
 FROM (SELECT id, max(label) AS label FROM {a} GROUP BY id) x FULL OUTER JOIN (SELECT id, max(label) AS label FROM {b} GROUP BY id) y ON x.id = y.id"""
 
 
+def order_checks() -> str:
+    """Are the ids on a matrix's columns the right ones, in the right order? Over {a}(pos, id, label), label being read from
+    the matrix file itself, and {b}(id, label): three named checks with status and figure. A header shifted by one column leaves
+    the sets alike and differs only where labels change, so a single disagreement fails."""
+    return """WITH d AS (SELECT count(*) - count(DISTINCT id) AS n FROM {a}),
+s AS (SELECT count(CASE WHEN y.id IS NULL THEN 1 END) AS only_a, count(CASE WHEN x.id IS NULL THEN 1 END) AS only_b FROM (SELECT DISTINCT id FROM {a}) x FULL OUTER JOIN (SELECT DISTINCT id FROM {b}) y ON x.id = y.id),
+o AS (SELECT count(*) AS n, count(a.label) AS labelled, count(CASE WHEN b.label IS NULL OR a.label <> b.label THEN 1 END) AS bad FROM {a} a LEFT JOIN (SELECT id, max(label) AS label FROM {b} GROUP BY id) b ON a.id = b.id)
+SELECT 'unique cell IDs' AS check_name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n AS figure FROM d
+UNION ALL SELECT 'cell ID sets match metadata', CASE WHEN only_a + only_b = 0 THEN 'PASS' ELSE 'FAIL' END, only_a + only_b FROM s
+UNION ALL SELECT 'column order vs metadata', CASE WHEN labelled = 0 THEN 'WARN' WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN labelled > 0 THEN bad END FROM o"""
+
+
+def expected_values() -> str:
+    """Figures that were published against those found, over {figures}(name, observed, expected) as text; nothing is let
+    pass that isn't equal, and a figure that wasn't found fails."""
+    return "SELECT name, observed, expected, CASE WHEN observed = expected THEN 'PASS' ELSE 'FAIL' END AS status FROM {figures} WHERE expected IS NOT NULL"
+
+
+# Patterns of genes that tell of technique rather than of cells, on lower-case names.
+TECHNICAL = ("^mt-", "^rp[sl][0-9]", "^hb[ab]")
+
+
+def selection_checks(n_top: int, n_batches: int = 0, most_technical: float = 0.1, most_rare: float = 0.1, most_low: float = 0.3, least_overlap: float = 0.5) -> str:
+    """Are the chosen features informative? Over {selected}(feature_id), {stats}(feature_id, mean, detected share),
+    {half_a} and {half_b}(feature_id) chosen from two halves of the units, and {batches}(feature_id, n) in how many
+    batches each varies: named checks with status and figure. The last is left out without batches."""
+    technical = " OR ".join(f"name RLIKE '{t}'" for t in TECHNICAL)
+    share = lambda x: f"coalesce(avg(CASE WHEN {x} THEN {num(1)} ELSE {num(0)} END), {num(0)})"
+    text = f"""WITH n AS (SELECT count(*) AS n, count(*) - count(DISTINCT feature_id) AS twice, {share(technical)} AS technical FROM (SELECT feature_id, lower(feature_id) AS name FROM {{selected}}) x),
+low AS (SELECT percentile(CASE WHEN mean > 0 THEN mean END, 0.1) AS cut FROM {{stats}}),
+r AS (SELECT {share(f'detected < {num(0.01)}')} AS rare, {share(f'mean <= coalesce(cut, {num(0)})')} AS low FROM {{selected}} s JOIN {{stats}} t ON s.feature_id = t.feature_id CROSS JOIN low),
+h AS (SELECT count(CASE WHEN a.feature_id IS NOT NULL AND b.feature_id IS NOT NULL THEN 1 END) / CAST(greatest(count(*), 1) AS DOUBLE) AS j FROM (SELECT DISTINCT feature_id FROM {{half_a}}) a FULL OUTER JOIN (SELECT DISTINCT feature_id FROM {{half_b}}) b ON a.feature_id = b.feature_id)
+SELECT 'HVG count' AS check_name, CASE WHEN n = 0 OR twice > 0 THEN 'FAIL' WHEN n = {n_top} THEN 'PASS' ELSE 'WARN' END AS status, CAST(n AS DOUBLE) AS figure FROM n
+UNION ALL SELECT 'technical genes among HVGs', CASE WHEN technical <= {num(most_technical)} THEN 'PASS' ELSE 'WARN' END, {rounded('technical')} FROM n
+UNION ALL SELECT 'low-detection HVGs', CASE WHEN rare <= {num(most_rare)} THEN 'PASS' ELSE 'WARN' END, {rounded('rare')} FROM r
+UNION ALL SELECT 'mean expression coverage', CASE WHEN low <= {num(most_low)} THEN 'PASS' ELSE 'WARN' END, {rounded('low')} FROM r
+UNION ALL SELECT 'HVG stability (two halves)', CASE WHEN j >= {num(least_overlap)} THEN 'PASS' ELSE 'WARN' END, {rounded('j')} FROM h"""
+    if not n_batches:
+        return text
+    need = max(1, -(-n_batches // 2))
+    return text + f""" UNION ALL SELECT 'batch robustness', CASE WHEN {share(f'b.n >= {need}')} >= {num(0.5)} THEN 'PASS' ELSE 'WARN' END, {rounded(share(f'b.n >= {need}'))} FROM {{selected}} s LEFT JOIN {{batches}} b ON s.feature_id = b.feature_id"""
+
+
+def first_of_each() -> str:
+    """Different ids of {rows}(pos, id) in the order in which they first occur: id and its place from 1 on."""
+    from corvellum.functions.sqltext import ranked
+
+    return f"WITH {ranked('(SELECT id, min(pos) AS pos FROM {rows} GROUP BY id)', 'pos', 'id')} SELECT id, i AS place FROM k"
+
+
 def detect_scale() -> str:
     """Scale of {expr}, from all its values: negatives, whole numbers, size, and the median sum after undoing a log."""
     near = lambda x, m: f"{x} BETWEEN {num(0.8 * m)} AND {num(1.2 * m)}"

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvellum.operators import enrich, inference
+from corvellum.plans.sqlplan import apply
+
 
 def order_of(seed: int, *keys: str) -> Column:
     """A repeatable random order of rows by their keys."""
@@ -78,31 +81,65 @@ def swap_null(logs: DataFrame, ref: str, test: str, n_swaps: int = 20, alpha: fl
     return q.groupBy("swap").agg(F.sum((F.col("q") < alpha).cast("int")).alias("called"), F.count("*").alias("tested"))
 
 
-def enrichment_null(ranked: DataFrame, sizes: DataFrame, n_perm: int = 200, seed: int = 0) -> DataFrame:
-    """Null enrichment scores of random sets: (size, perm, es) for each size, over ``ranked`` (feature_id, stat).
+#: Features that a ranked list may have: each list travels to the tasks as one array of doubles.
+LONGEST_LIST = 2_000_000
+#: Null scores that one task draws together.
+CHUNK = 50
+
+
+def size_class(size: Column, n: Column) -> Column:
+    """Set sizes on a logarithmic grid of eight steps a decade, so that alike sizes share a null."""
+    step = F.round(F.pow(F.lit(10.0), F.round(F.log10(size) * 8) / 8))
+    return F.least(F.greatest(step, F.lit(2.0)), (n - 1).cast("double")).cast("long")
 
-    The ranked list is one small vector; every size is one task with its own numpy stream, so results don't depend on
-    how tasks are laid out. A list of over ten million features should be thinned first.
+
+def enrichment_null(lists: DataFrame, classes: DataFrame, n_perm: int = 1500, seed: int = 0) -> DataFrame:
+    """(grp, k, es): ``n_perm`` absolute null scores of random sets of each size class k of ``classes`` (grp, k), over
+    ``lists`` (grp, weights): the absolute statistics of a group, the highest statistic first.
+
+    A task draws `CHUNK` scores of one class with its own numpy stream, so results don't depend on how tasks are laid out.
+    """
+    chunks = classes.sparkSession.range(-(-n_perm // CHUNK)).withColumnRenamed("id", "chunk")
+    work = classes.join(lists, "grp").join(F.broadcast(chunks)).repartition(64, "grp", "k", "chunk")
+
+    def run(batches):
+        for frame in batches:
+            for grp, k, chunk, weights in zip(frame["grp"], frame["k"], frame["chunk"], frame["weights"], strict=True):
+                w, rng = np.asarray(weights, float), np.random.default_rng([seed, int(k), int(chunk), *str(grp).encode()])
+                n, out = len(w), []
+                for _ in range(min(CHUNK, n_perm - int(chunk) * CHUNK)):
+                    at = np.sort(rng.choice(n, int(k), replace=False))
+                    step = w[at] / max(w[at].sum(), 1e-12)
+                    after = np.cumsum(step) - (at - np.arange(len(at))) / max(n - len(at), 1)
+                    out.append(max(after.max(), -(after - step).min()))
+                yield pd.DataFrame({"grp": grp, "k": int(k), "es": out})
+
+    return work.select("grp", "k", "chunk", "weights").mapInPandas(run, "grp string, k long, es double")
+
+
+def enrichment(ranked: DataFrame, sets: DataFrame, n_perm: int = 1500, min_overlap: int = 10, seed: int = 0, extend_tail: bool = True) -> DataFrame:
+    """Pre-ranked enrichment of ``sets`` (term, feature_id) along ``ranked`` (grp, feature_id, stat), in each group: grp,
+    term, size, es, nes, p, fdr over the group's terms, place by p.
+
+    p is the share of null scores of the size class as extreme; where that is too coarse (under 20 of the null), the tail
+    beyond the null's 90 % quantile is taken as exponential, unless ``extend_tail`` is off.
     """
-    stats = np.abs(np.array([r.stat for r in ranked.orderBy(F.desc("stat"), "feature_id").select("stat").collect()], float))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        k = int(frame["size"].iloc[0])
-        rng, n, out = np.random.default_rng([seed, k]), len(stats), []
-        for _ in range(n_perm):
-            hit = np.sort(rng.choice(n, k, replace=False))
-            w = stats[hit] / max(stats[hit].sum(), 1e-12)
-            after = np.cumsum(w) - (hit - np.arange(k)) / max(n - k, 1)
-            before = after - w
-            out.append(after.max() if after.max() >= -before.min() else before.min())
-        return pd.DataFrame({"size": k, "perm": np.arange(n_perm), "es": out})
-
-    return sizes.select(F.col("size").cast("long").alias("size")).distinct().groupBy("size").applyInPandas(run, "size long, perm long, es double")
-
-
-def enrichment_p(scores: DataFrame, null: DataFrame) -> DataFrame:
-    """p and normalised score of ``scores`` (term, size, es) from `enrichment_null`."""
-    j = scores.join(null.withColumnRenamed("es", "x"), "size")
-    same = F.sign("x") == F.sign("es")
-    g = j.groupBy("term", "size", "es").agg(((F.sum((F.abs("x") >= F.abs("es")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"), F.avg(F.abs("x")).alias("m"), F.sum(same.cast("int")).alias("n_same"))
-    return g.select("term", "size", "es", (F.col("es") / F.greatest("m", F.lit(1e-12))).alias("nes"), "p")
+    scores = apply(enrich.running_score_by(min_overlap), ranked=ranked, sets=sets).withColumn("k", size_class(F.col("size").cast("double"), F.col("n"))).persist()
+    long = scores.agg(F.max("n")).first()[0] or 0
+    if long > LONGEST_LIST:
+        raise ValueError(f"a ranked list has {long} features, over {LONGEST_LIST}")
+    one = ranked.where("stat IS NOT NULL").groupBy("grp", F.upper("feature_id").alias("f")).agg(F.max("stat").alias("stat"))
+    lists = one.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("stat")).alias("s"), "f"))), lambda x: F.abs(x["s"])).alias("weights"))
+    null = enrichment_null(lists, scores.select("grp", "k").distinct(), n_perm, seed).persist()
+    shape = null.groupBy("grp", "k").agg(F.avg("es").alias("mean"), F.percentile("es", F.lit(0.9)).alias("q"), F.count("*").alias("perms"))
+    over = null.join(shape, ["grp", "k"]).where("es > q").groupBy("grp", "k").agg(F.avg(F.col("es") - F.col("q")).alias("excess"), F.count("*").alias("beyond"))
+    p = scores.join(null.select("grp", "k", F.col("es").alias("x")), ["grp", "k"]).groupBy("grp", "term", "size", "k", "es").agg(F.sum((F.col("x") >= F.abs("es")).cast("long")).alias("as_far"))
+    p = p.join(shape, ["grp", "k"]).join(over, ["grp", "k"], "left")
+    share = (F.col("as_far") + 1) / (F.col("perms") + 1)
+    tail = F.greatest(F.lit(0.1) * F.exp(-(F.abs("es") - F.col("q")) / F.col("excess")), F.lit(1e-12))
+    coarse = (share < F.lit(20.0) / (F.col("perms") + 1)) & (F.col("beyond") >= 10) & (F.abs("es") > F.col("q")) & (F.col("excess") > 0) & F.lit(extend_tail)
+    p = p.select("grp", "term", "size", "es", (F.col("es") / F.greatest("mean", F.lit(1e-12))).alias("nes"), F.when(coarse, F.least(share, tail)).otherwise(share).alias("p"))
+    p = p.withColumn("id", F.concat_ws("\u0001", "grp", "term")).persist()
+    fdr = apply(inference.multiplicity("grp"), p=p.select("id", "grp", "p")).select("id", F.col("bh").alias("fdr"))
+    w = Window.partitionBy("grp").orderBy("p", "term")
+    return p.join(fdr, "id").withColumn("place", F.row_number().over(w)).drop("id")

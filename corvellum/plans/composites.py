@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvellum.functions.dist import t_p
 from corvellum.operators import compare, enrich, inference, learn, matrix, prose_checks, sampling, structure
+from corvellum.plans.catalogues import CATALOGUES
 from corvellum.plans.report import card, record, run_summary
 from corvellum.plans.sqlplan import apply
 
@@ -38,9 +39,23 @@ def features_stage(expr: DataFrame, obs: DataFrame, n_top: int) -> tuple[dict[st
     checks = apply(matrix.normalisation_checks(), sums=apply(matrix.linear_sums(scale), expr=expr), obs=obs).first()
     n = obs.select("unit_id").distinct().count()
     top = apply(matrix.variable_features(f"CAST({n} AS DOUBLE)", top=n_top), expr=logs.select("unit_id", "feature_id", "value"))
+    selected = top.select("feature_id").persist()
+    half = F.pmod(F.xxhash64("unit_id"), F.lit(2))
+    halves = [apply(matrix.variable_features(f"CAST({n} / 2 AS DOUBLE)", top=n_top), expr=logs.where(half == h).select("unit_id", "feature_id", "value")).select("feature_id") for h in (0, 1)]
+    stats = logs.groupBy("feature_id").agg((F.sum("value") / n).alias("mean"), (F.count(F.when(F.col("value") > 0, 1)) / n).alias("detected"))
+    more, batches, inputs = {}, 0, {"selected": selected, "stats": stats, "half_a": halves[0], "half_b": halves[1]}
+    if "batch" in obs.columns:
+        names = [r.batch for r in obs.select("batch").distinct().orderBy("batch").collect()]
+        per = [apply(matrix.variable_features(f"CAST({obs.where(F.col('batch') == b).count()} AS DOUBLE)", top=n_top), expr=logs.join(obs.where(F.col("batch") == b), "unit_id", "left_semi").select("unit_id", "feature_id", "value")).select("feature_id") for b in names]
+        every = per[0]
+        for p in per[1:]:
+            every = every.union(p)
+        batches, more = len(names), {"batches": every.groupBy("feature_id").agg(F.count("*").alias("n"))}
+    chosen = apply(matrix.selection_checks(n_top, batches), **inputs, **more).collect()
     return {"expr": logs, "variable": top}, [
-        record("scale", "INFO", "scale of the values", scale, "it decides how values are normalised"),
-        record("depth", checks.depth_status, "largest over smallest sample depth", f"{checks.depth_ratio}", "unequal depth can pass for biology"),
+        record("scale", "INFO", "scale of the values", scale, "it decides how values are normalised", "method matches scale"),
+        record("depth", checks.depth_status, "largest over smallest sample depth", f"{checks.depth_ratio}", "unequal depth can pass for biology", "depth spread across samples"),
+        *[record(r.check_name, r.status, CATALOGUES["features"][r.check_name], f"{r.figure}", "groups are found on these features only") for r in chosen],
     ]
 
 
@@ -99,14 +114,126 @@ def compare_stage(cells: DataFrame, ref: str, test: str, alpha: float = 0.05) ->
     return {"result": result.join(called, ["id", "ptype"]), "shares": shares, "abundance": apply(compare.abundance_logit(ref, test), shares=shares), "consistency": apply(compare.direction_consistency(ref, test), logs=logs), "swap_null": null}, notes
 
 
-def interpret_stage(result: DataFrame, ranked: DataFrame, sets: DataFrame, background: DataFrame, lf: DataFrame) -> dict[str, DataFrame]:
-    """Over-representation of called features and ranked enrichment, generic terms flagged."""
-    usable = apply(enrich.sets_in_background(3, 500), sets=sets, background=background)
+def interpret_stage(result: DataFrame, ranked: DataFrame, sets: DataFrame, background: DataFrame, n_perm: int = 1500) -> dict[str, DataFrame]:
+    """Over-representation of the called features, its significant terms without repeats, and enrichment along the ranked
+    list (feature_id, stat, and grp to do it by type), generic terms flagged."""
+    usable = apply(enrich.sets_in_background(3, 500), sets=sets, background=background).persist()
     over = apply(enrich.overlaps(), genes=result, background=background, sets=usable)
-    ora = apply(enrich.hypergeometric(), overlaps=over, lf=lf)
-    es = apply(enrich.running_score(3), ranked=ranked, sets=usable).join(usable.groupBy("term").agg(F.count("*").alias("size")), "term")
-    kinds = apply(enrich.generic_terms(), terms=usable.select("term").distinct())
-    return {"ora": ora.join(kinds, "term"), "gsea": sampling.enrichment_p(es, sampling.enrichment_null(ranked, es.select("size"), 200))}
+    ora = apply(enrich.hypergeometric(), overlaps=over)
+    flags = apply(enrich.generic_terms(), terms=usable.select("term").distinct())
+    lists = ranked if "grp" in ranked.columns else ranked.withColumn("grp", F.lit("all"))
+    gsea = sampling.enrichment(lists.select(F.col("grp").cast("string").alias("grp"), "feature_id", "stat"), usable, n_perm, 3)
+    return {"ora": ora.join(flags, "term"), "kept_terms": trimmed(ora.where("fdr < 0.05").select("term", "p"), usable), "gsea": gsea.join(flags, "term")}
+
+
+def assemble_stage(expr: DataFrame, columns: DataFrame, obs: DataFrame, declared: str | None = None, expected: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], list[dict]]:
+    """One matrix with its metadata, if they belong together: ids and their order, values, scale, published figures.
+
+    ``columns`` is (pos, id, label) as the matrix file has them, ``obs`` (unit_id, label, ...); ``expected`` maps shape and
+    counts (units, features, label=<value>, different <column>) to what was published.
+    """
+    notes = [record(r.check_name, r.status, CATALOGUES["assemble"][r.check_name], str(r.figure), "a shifted header gives every cell another cell's metadata") for r in apply(matrix.order_checks(), a=columns, b=obs.select(F.col("unit_id").alias("id"), "label")).collect()]
+    v = apply(matrix.detect_scale(), expr=expr).first()
+    odd = expr.where("value IS NULL OR isnan(value) OR abs(value) = double('inf')").count()
+    notes += [
+        record("NaN/inf values", "FAIL" if odd else "PASS", "values that are no numbers", str(odd), "they spread through every sum"),
+        record("negative values", "WARN" if v.negative else "PASS", "values below zero", str(v.negative), "counts and their logs have none"),
+        record("detected scale", "INFO", "scale of the values", v.scale, "it decides how values are normalised"),
+    ]
+    if declared is not None:
+        notes.append(record("scale matches declaration", "PASS" if declared == v.scale else "FAIL", "declared scale", f"{declared}, found {v.scale}", "a wrong scale makes every later number wrong"))
+    if expected:
+        found = {"units": str(columns.count()), "features": str(expr.select("feature_id").distinct().count())}
+        found |= {f"label={r.label}": str(r["count"]) for r in obs.groupBy("label").count().collect()}
+        found |= {f"different {c}": str(obs.select(c).distinct().count()) for c in obs.columns}
+        figures = expr.sparkSession.createDataFrame([(k, found.get(k), str(x)) for k, x in expected.items()], "name string, observed string, expected string")
+        notes += [record(r.name, r.status, "a published figure", f"{r.observed}, expected {r.expected}", "other figures are another dataset", "published numbers") for r in apply(matrix.expected_values(), figures=figures).collect()]
+    return {"expr": expr, "obs": obs, "scale": expr.sparkSession.createDataFrame([(v.scale,)], "scale string")}, notes
+
+
+def scaled_vectors(expr: DataFrame, obs: DataFrame, selected: DataFrame, most: float = 10.0) -> tuple[DataFrame, int]:
+    """(id, unit_id, v): units as vectors of the selected features, each of mean 0 and variance 1, cut at ``most`` and
+    centred again; and how many features they have."""
+    place = apply(matrix.first_of_each(), rows=selected.select(F.col("feature_id").alias("id"), F.xxhash64("feature_id").alias("pos"))).select(F.col("id").alias("feature_id"), (F.col("place") - 1).alias("c"))
+    width = place.count()
+    units = apply(matrix.first_of_each(), rows=obs.select(F.col("unit_id").alias("id"), F.xxhash64("unit_id").alias("pos"))).select(F.col("place").alias("id"), F.col("id").alias("unit_id"))
+    n = float(units.count())
+    cells = expr.join(place, "feature_id").join(units, "unit_id").select("id", "c", "value")
+    stats = cells.groupBy("c").agg((F.sum("value") / n).alias("m"), F.sqrt(F.greatest((F.sum(F.col("value") ** 2) - F.sum("value") ** 2 / n) / (n - 1), F.lit(0.0))).alias("sd"))
+    stats = place.select("c").join(stats, "c", "left").select("c", F.coalesce("m", F.lit(0.0)).alias("m"), F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)).alias("sd"))
+    cut = lambda x: F.greatest(F.least((x - F.col("m")) / F.col("sd"), F.lit(most)), F.lit(-most))
+    z = cells.join(F.broadcast(stats), "c").select("id", "c", cut(F.col("value")).alias("z"), cut(F.lit(0.0)).alias("zero"))
+    again = z.groupBy("c").agg(F.sum(F.col("z") - F.col("zero")).alias("s"))
+    base = stats.join(again, "c", "left").select("c", cut(F.lit(0.0)).alias("zero"), (cut(F.lit(0.0)) + F.coalesce("s", F.lit(0.0)) / n).alias("mean"))
+    zeros = base.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", (F.col("zero") - F.col("mean")).alias("x")))), lambda x: x["x"]).alias("zeros"))
+    own = z.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int"), F.col("z") - F.col("zero")))).alias("own"))
+    rows = units.join(own, "id", "left").crossJoin(F.broadcast(zeros))
+    v = F.transform("zeros", lambda x, i: x + F.coalesce(F.try_element_at("own", i), F.lit(0.0)))
+    return rows.select("id", "unit_id", F.when(F.col("own").isNull(), F.col("zeros")).otherwise(v).alias("v")), width
+
+
+def dimred_stage(
+    expr: DataFrame, obs: DataFrame, selected: DataFrame, batch: str | None = None, technical: tuple[str, ...] = ("n_genes", "total", "pct_mt"), max_pcs: int = 50, min_pcs: int = 5, runs: int = 10,
+    threshold: float = 0.9, basis: str = "signal", k: int = 15, tech_r: float = 0.5, tech_share: float = 0.3, batch_limit: float = 0.2, correct: bool | None = None, seed: int = 0,
+) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Components of the selected features, how many to keep, what drives them, batch correction and the neighbour graph.
+
+    ``obs`` has unit_id, the technical columns it has values for, and the batch. The number kept is the fewest that hold
+    ``threshold`` of what rises above columns shuffled one by one. ``correct`` None corrects if the batch explains over
+    ``batch_limit`` of the components kept.
+    """
+    spark, what = expr.sparkSession, CATALOGUES["dimred"]
+    vec, width = scaled_vectors(expr, obs, selected)
+    vec = structure.kept(vec)
+    n = vec.count()
+    most = min(max_pcs, n - 1, width - 1)
+    scores, value, _ = structure.principal_components(vec, width, most)
+    null = structure.shuffled_variances(vec, width, most, runs, seed)
+    total = float(structure.gram(vec, width)[1].trace()) / max(n - 1, 1)
+    eig = spark.createDataFrame([(i + 1, float(e), float(z), float(e / max(total, 1e-12))) for i, (e, z) in enumerate(zip(value, null, strict=True))], "pc int, eig double, null_max double, ratio double")
+    choice = apply(structure.component_choice(threshold, basis), eig=eig).first()
+    keep = min(max(min_pcs, choice.n), most)
+    beyond = max(0, keep - max(choice.lead, min_pcs))
+    note = lambda check, status, found, why: record(check, status, what[check], found, why)
+    notes = [
+        note("PCA on selected genes", "PASS", f"{width} features, {n} units, {most} components", "later steps see the components only"),
+        note("number of PCs chosen from the data", "WARN" if choice.lead < min_pcs else "INFO", f"{keep} kept, {choice.lead} above {runs} shuffles, elbow at {choice.elbow}", "few components above the null mean little structure"),
+        note("variance threshold reached", "PASS" if choice.reached else "WARN", f"target {threshold}", "what isn't held is lost"),
+        note("chosen PCs beat shuffled data", "WARN" if beyond else "PASS", f"{beyond} of {keep} don't", "they are noise"),
+    ]
+    pcs = structure.kept(scores.select("id", F.slice("scores", 1, keep).alias("v")).join(vec.select("id", "unit_id"), "id"))
+    long = pcs.select("id", "unit_id", F.posexplode("v").alias("pc", "x"))
+    logs = [(c, F.log1p(F.col(c).cast("double")) if c in ("total", "n_genes") else F.col(c).cast("double")) for c in technical if c in obs.columns]
+    strong: dict[int, str] = {}
+    if logs:
+        driver = obs.select("unit_id", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), x.alias("y")) for c, x in logs])).alias("t")).select("unit_id", "t.*")
+        r = long.join(driver, "unit_id").groupBy("pc", "name").agg((F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))).alias("r")).where(F.abs("r") > tech_r)
+        strong = {x.pc: x.name for x in r.collect()}
+    share = float(sum(value[i] for i in strong) / max(value[:keep].sum(), 1e-12))
+    notes.append(note("PCs driven by technical covariates", "INFO" if not logs else "WARN" if share > tech_share else "PASS", f"components {sorted(i + 1 for i in strong)}, {share:.2f} of what is kept" if logs else "no technical columns", "such groups are groups of measurement"))
+    out = {"eig": eig, "pcs": pcs, "used": pcs}
+    if batch is not None and batch in obs.columns:
+        labels = pcs.select("id", "unit_id").join(obs.select("unit_id", F.col(batch).cast("string").alias("label")), "unit_id").select("id", "label").persist()
+        explained = lambda v: apply(inference.eta_squared(), rows=v.select("id", F.posexplode("v").alias("col", "value")).join(labels, "id").select(F.col("label").alias("grp"), "col", "value")).where("col = -1").first().r2
+        mixed = lambda v: structure.mixing(structure.nearest(v.select("id", "v"), min(30, n - 1)), labels).first().mixing
+        groups, before, mix = labels.select("label").distinct().count(), explained(pcs), mixed(pcs)
+        wanted = groups > 1 and (correct or correct is None and before > batch_limit)
+        notes.append(note("batch structure in PCs", "PASS" if before <= batch_limit else "INFO" if wanted else "WARN", f"{groups} batches explain {before:.2f}, mixing {mix:.2f}", "batches can pass for groups"))
+        if wanted:
+            # clusters for the correction are found within batches' common space: by the sign of the components least tied to the batch
+            side = pcs.select("id", F.lit(0).alias("cluster"))
+            fixed = structure.kept(structure.centred_batches(pcs.select("id", "v"), labels.withColumnRenamed("label", "batch"), side).join(pcs.select("id", "unit_id"), "id"))
+            after, mix_after = explained(fixed), mixed(fixed)
+            good = after < before and mix_after >= mix and after <= batch_limit
+            notes.append(note("batch correction effect", "PASS" if good else "WARN", f"explained {before:.2f} to {after:.2f}, mixing {mix:.2f} to {mix_after:.2f}", "correction can't tell batch from biology: known groups must stay apart"))
+            out["used"] = fixed
+    elif correct:
+        notes.append(note("batch correction effect", "FAIL", "no batch column", "there is nothing to correct by"))
+    graph = structure.kept(structure.shared_neighbour_graph(structure.nearest(out["used"].select("id", "v"), min(k, n - 1))))
+    pieces = structure.graph_components(graph, pcs.select("id"))
+    alone = structure.stranded(pieces).count()
+    notes.append(note("neighbor graph fragments", "PASS" if alone <= 0.01 * n else "WARN", f"{pieces.select('component').distinct().count()} pieces, {alone} units in pieces of under 10", "stranded units join no group"))
+    return out | {"graph": graph}, notes
 
 
 def trimmed(terms: DataFrame, sets: DataFrame, most: float = 0.5) -> DataFrame:

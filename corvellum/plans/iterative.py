@@ -101,7 +101,7 @@ def swap_null(spark, sf_dir):
 
 def permutation_difference(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_type") == "click").cast("int").alias("grp"), "value")
-    return sampling.permutation_difference(e, 100)
+    return sampling.permutation_difference(e, 1000)
 
 
 def paired_p(spark, sf_dir):
@@ -123,12 +123,19 @@ def recomputed_p(spark, sf_dir):
     return df.withColumn("p", F.round(reported_p(F.col("test"), F.col("stat"), F.col("df1"), F.col("df2")), 6))
 
 
+def _revenue(spark, sf_dir):
+    return from_sql(statistics.REVENUE)(spark, sf_dir).withColumn("stat", F.col("stat") - 200000)
+
+
 def gsea(spark, sf_dir):
-    ranked = from_sql(statistics.REVENUE)(spark, sf_dir).withColumn("stat", F.col("stat") - 200000)
-    es = from_sql(statistics.SQL["es_running_sum"])(spark, sf_dir)
-    size = _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("term")).agg(F.count("*").alias("size"))
-    scores = es.join(size, "term")
-    return sampling.enrichment_p(scores, sampling.enrichment_null(ranked, scores.select("size"), 100))
+    """Brands along parts ranked by revenue, with 1,500 random sets of each size class."""
+    return sampling.enrichment(_revenue(spark, sf_dir).withColumn("grp", F.lit("all")), from_sql(statistics.BRAND_SETS)(spark, sf_dir), 1500, 5)
+
+
+def gsea_by_type(spark, sf_dir):
+    """The same within each part type."""
+    kinds = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("feature_id"), F.col("p_type").alias("grp"))
+    return sampling.enrichment(_revenue(spark, sf_dir).join(kinds, "feature_id"), from_sql(statistics.BRAND_SETS)(spark, sf_dir), 1500, 3)
 
 
 def lint_scripts(spark, sf_dir):
@@ -147,7 +154,7 @@ def nb_p(spark, sf_dir):
     return from_sql(statistics.SQL["nb_wald"])(spark, sf_dir).withColumn("p", F.round(z_p(F.col("z")), 6))
 
 
-QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, lint_scripts, worked_example, nb_p)}
+QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, gsea_by_type, lint_scripts, worked_example, nb_p)}
 
 _NEAR = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.id, b.id AS other, a.label, b.label AS other_label, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id),

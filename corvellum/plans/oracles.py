@@ -60,6 +60,12 @@ SELECT term, CASE WHEN regexp_matches(lower(term), '{_MACHINERY}') THEN 'houseke
     "file_roles": r"""WITH f AS (SELECT unnest(['a_R1.fastq.gz', 'counts.txt', 'x.cram', 'GSE1_series_matrix.txt.gz', 'Snakefile', 'table.csv', 'Sample_sheet.csv', 'matrix.mtx.gz', 'run.py']) AS name UNION ALL SELECT url FROM pages)
 SELECT name, CASE WHEN regexp_matches(lower(name), '\.(fastq|fq|fastq\.gz|fq\.gz|sra|bam|cram)$') THEN 'raw_reads' WHEN regexp_matches(lower(name), 'series_matrix|metadata|pheno|sample_info|samples|sdrf|design') THEN 'sample_metadata'
  WHEN regexp_matches(lower(name), 'count|matrix|expression|tpm|fpkm|rpkm|\.h5|\.mtx|normalized') THEN 'processed_matrix' WHEN regexp_matches(lower(name), '\.(py|r|rmd|ipynb|sh|smk)$|snakefile') THEN 'code' ELSE 'unknown' END AS role FROM f""",
+    "order_checks": """WITH a AS (SELECT c_custkey + CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS id, c_mktsegment AS label FROM customer)
+SELECT 'unique cell IDs' AS check_name, CASE WHEN count(*) = count(DISTINCT id) THEN 'PASS' ELSE 'FAIL' END AS status, count(*) - count(DISTINCT id) AS figure FROM a
+UNION ALL SELECT 'cell ID sets match metadata', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM ((SELECT id FROM a EXCEPT SELECT c_custkey FROM customer) UNION ALL (SELECT c_custkey FROM customer EXCEPT SELECT id FROM a))
+UNION ALL SELECT 'column order vs metadata', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = a.id AND c.c_mktsegment = a.label)""",
+    "first_of_each": "SELECT id, row_number() OVER (ORDER BY pos, id) AS place FROM (SELECT l_suppkey AS id, min(l_linenumber + 10 * l_orderkey) AS pos FROM lineitem GROUP BY l_suppkey)",
+    "ranked_list": "SELECT upper(p_brand) AS feature_id, max(p_retailprice) - 1400 AS stat FROM part GROUP BY upper(p_brand)",
     "concordance": f"""WITH s AS (SELECT a.effect AS x, b.effect AS y, a.padj < 0.3::DOUBLE AS c, b.padj < 0.3::DOUBLE AS d FROM ({_A}) a JOIN ({_B}) b USING (id)),
 r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM s),
 g AS (SELECT count(*) AS n, count(*) FILTER (c) AS sa, count(*) FILTER (d) AS sb, count(*) FILTER (c AND d) AS ov, count(*) FILTER (c OR d) AS one, avg(CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END) FILTER (c AND d) AS same, corr(rx, ry) AS rho FROM r)

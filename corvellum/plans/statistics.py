@@ -53,6 +53,10 @@ SQL = {
     "missing_members": fill(matrix.missing_members(["Brand#11", "Brand#55", "Brand#99"]), features=FEATURES),
     "signal_present": fill(matrix.signal_present(), metrics=_metrics),
     "alignment": fill(matrix.alignment(), a="SELECT doc_id AS id, lang AS label FROM documents", b="SELECT labels.doc_id AS id, CASE WHEN labels.doc_id % 7 = 0 THEN 'xx' ELSE lang END AS label FROM labels JOIN documents ON labels.doc_id = documents.doc_id"),
+    "order_checks": fill(matrix.order_checks(), a="SELECT c_custkey AS pos, c_custkey + CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS id, c_mktsegment AS label FROM customer", b="SELECT c_custkey AS id, c_mktsegment AS label FROM customer"),
+    "expected_values": fill(matrix.expected_values(), figures="SELECT c_mktsegment AS name, CAST(count(*) AS STRING) AS observed, CASE WHEN c_mktsegment < 'C' THEN CAST(count(*) AS STRING) ELSE '7' END AS expected FROM customer GROUP BY c_mktsegment"),
+    "first_of_each": fill(matrix.first_of_each(), rows="SELECT l_linenumber + 10 * l_orderkey AS pos, l_suppkey AS id FROM lineitem"),
+    "selection_checks": fill(matrix.selection_checks(5, 3), selected="SELECT p_brand AS feature_id FROM part GROUP BY p_brand HAVING count(*) % 2 = 0", stats="SELECT p_brand AS feature_id, avg(p_retailprice) AS mean, count(CASE WHEN p_size > 25 THEN 1 END) / CAST(count(*) AS DOUBLE) AS detected FROM part GROUP BY p_brand", half_a="SELECT p_brand AS feature_id FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand HAVING count(*) > 3", half_b="SELECT p_brand AS feature_id FROM part WHERE p_partkey % 2 = 1 GROUP BY p_brand HAVING count(*) > 3", batches="SELECT p_brand AS feature_id, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand"),
     "scale_detect_counts": fill(matrix.detect_scale(), expr="SELECT l_orderkey AS unit_id, l_partkey AS feature_id, l_quantity AS value FROM lineitem"),
     "scale_detect_prices": fill(matrix.detect_scale(), expr="SELECT l_orderkey AS unit_id, l_partkey AS feature_id, l_extendedprice AS value FROM lineitem"),
     "expected_counts": fill(matrix.expected_counts(), found="SELECT lang AS k FROM documents", expected="SELECT 'en' AS k, CAST(100 AS BIGINT) AS n UNION ALL SELECT 'it', CAST(5 AS BIGINT)"),
@@ -110,6 +114,9 @@ SQL = {
     "ora_overlaps": _overlaps,
     "ora": fill(enrich.hypergeometric(), overlaps=_overlaps),
     "es_running_sum": fill(enrich.running_score(5), ranked=REVENUE.replace(" AS stat", " - 200000 AS stat"), sets=BRAND_SETS),
+    "ranked_list": fill(enrich.ranked_list(), result="SELECT lower(p_brand) AS feature, p_retailprice - 1400 AS stat FROM part UNION ALL SELECT p_brand, CAST(NULL AS DOUBLE) FROM part"),
+    "unit_expectations": fill(enrich.unit_expectations(), rules=f"SELECT 'higher' AS expectation, 'gene_up' AS kind, 'region' AS col, '1' AS grp, '' AS against, 'up' AS direction, CAST(NULL AS DOUBLE) AS min_fraction, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high UNION ALL SELECT 'lower', 'gene_up', 'region', '2', '3', 'down', {num(0.3)}, NULL, NULL UNION ALL SELECT 'share', 'fraction_range', 'region', '1', '', 'up', NULL, {num(0.1)}, {num(0.5)} UNION ALL SELECT 'term', 'set_enriched', 'region', '1', '', 'up', NULL, NULL, NULL UNION ALL SELECT 'nobody', 'gene_up', 'region', '99', '', 'up', NULL, NULL, NULL UNION ALL SELECT 'nothing', 'gene_up', 'region', '1', '', 'up', NULL, NULL, NULL",
+        wanted="SELECT 'higher' AS expectation, 'brand#11' AS feature_id UNION ALL SELECT 'higher', 'Brand#12' UNION ALL SELECT 'lower', 'Brand#21' UNION ALL SELECT 'lower', 'Brand#22' UNION ALL SELECT 'term', 'wnt' UNION ALL SELECT 'nobody', 'Brand#11' UNION ALL SELECT 'nothing', 'none such'", expr=EXPR, obs="SELECT s_suppkey AS unit_id, 'region' AS col, CAST(n_regionkey AS STRING) AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey", hits="SELECT '1' AS grp, 'Wnt signalling' AS term"),
     "generic_flags": fill(enrich.generic_terms(), terms="SELECT 'Ribosome' AS term UNION ALL SELECT 'Aminoacyl-tRNA biosynthesis' UNION ALL SELECT 'Something [mmu05999]' UNION ALL SELECT 'Asthma' UNION ALL SELECT 'hsa05223 unbracketed' UNION ALL SELECT 'Lung cancer [hsa05223]' UNION ALL SELECT 'Wnt signalling' UNION ALL SELECT DISTINCT p_type FROM part"),
     "group_scores_topk": fill(enrich.group_scores(), expr=EXPR, obs=OBS),
     "set_score": fill(enrich.set_scores(5), grid=_grid, sets="SELECT DISTINCT p_type AS term, p_brand AS feature_id FROM part WHERE p_size < 5"),

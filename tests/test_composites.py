@@ -41,3 +41,78 @@ def test_qc_and_features(spark):
     assert not left & {f"u{u}" for u in range(5)} and len(left) >= 50
     tables, notes = c.features_stage(tables["expr"], obs, 5)
     assert tables["variable"].count() == 5 and notes[0]["found"] == "counts"
+
+
+def _groups(spark, n=180, features=90, shift=0.0, seed=0):
+    """Three groups with thirty features each at eight times, in three batches, the last third of the features shifted by batch."""
+    rng = np.random.default_rng(seed)
+    rows, obs = [], []
+    for u in range(n):
+        rate = np.full(features, 4.0)
+        rate[30 * (u % 3) : 30 * (u % 3) + 20] *= 8
+        rate[features - 30 :] *= 1 + shift * (u // 3 % 3)
+        x = rng.poisson(rate)
+        rows += [(f"u{u}", f"G{g}", float(np.log1p(v))) for g, v in enumerate(x) if v]
+        obs.append((f"u{u}", f"b{u // 3 % 3}", float(x.sum()), int((x > 0).sum())))
+    return spark.createDataFrame(rows, "unit_id string, feature_id string, value double"), spark.createDataFrame(obs, "unit_id string, batch string, total double, n_genes int")
+
+
+def test_scaled_vectors(spark):
+    expr, obs = _groups(spark, 40, 30)
+    obs = obs.unionByName(spark.createDataFrame([("none", "b0", 0.0, 0)], obs.schema))
+    vec, width = c.scaled_vectors(expr, obs, expr.select("feature_id").distinct())
+    x = np.array([r.v for r in vec.collect()])
+    assert x.shape == (41, width) == (41, 30) and np.allclose(x.mean(0), 0, atol=1e-9) and np.allclose(x.std(0, ddof=1), 1, atol=1e-6)
+
+
+def test_dimred_stage(spark):
+    expr, obs = _groups(spark)
+    selected = expr.select("feature_id").distinct()
+    out, notes = c.dimred_stage(expr, obs, selected, "batch", max_pcs=12, runs=3, k=10, min_pcs=2)
+    said = {r["check"]: (r["status"], r["found"]) for r in notes}
+    assert said["number of PCs chosen from the data"][1].startswith("2 kept, 2 above") and said["variance threshold reached"][0] == "PASS"
+    assert said["batch structure in PCs"][0] == said["neighbor graph fragments"][0] == said["chosen PCs beat shuffled data"][0] == "PASS"
+    assert "batch correction effect" not in said and "UMAP finite" not in said
+    shifted, obs = _groups(spark, shift=4.0)
+    out, notes = c.dimred_stage(shifted, obs, selected, "batch", max_pcs=12, runs=2, k=10, min_pcs=2)
+    said = {r["check"]: r["status"] for r in notes}
+    assert said["batch structure in PCs"] == "INFO" and said["batch correction effect"] == "PASS"
+    none = c.dimred_stage(expr, obs.drop("batch"), selected, correct=True, max_pcs=6, runs=2, min_pcs=2)[1]
+    assert {r["check"]: r["status"] for r in none}["batch correction effect"] == "FAIL"
+
+
+def test_assemble_stage(spark):
+    expr = spark.createDataFrame([(f"u{i}", f"G{g}", float(i + g + 1)) for i in range(12) for g in range(5)], "unit_id string, feature_id string, value double")
+    obs = spark.createDataFrame([(f"u{i}", "P" + str(i // 4)) for i in range(12)], "unit_id string, label string")
+    columns = [(i, f"u{i}", "P" + str(i // 4)) for i in range(12)]
+    said = lambda cols, **k: {r["check"]: r["status"] for r in c.assemble_stage(expr, spark.createDataFrame(cols, "pos int, id string, label string"), obs, **k)[1]}
+    good = said(columns, declared="counts", expected={"units": 12, "features": 5, "label=P1": 4, "different label": 3})
+    assert set(good.values()) == {"PASS", "INFO"} and good["label=P1"] == "PASS"
+    shifted = said([(i, f"u{(i + 1) % 12}", lab) for i, _, lab in columns], declared="log2tpm", expected={"units": 13})
+    assert shifted["column order vs metadata"] == "FAIL" and shifted["cell ID sets match metadata"] == shifted["unique cell IDs"] == "PASS"
+    assert shifted["scale matches declaration"] == shifted["units"] == "FAIL"
+    assert said([(i, "u0", None) for i in range(12)])["unique cell IDs"] == "FAIL" and said([(i, f"u{i}", None) for i in range(12)])["column order vs metadata"] == "WARN"
+
+
+def test_enrichment_of_a_planted_set(spark):
+    from corvellum.operators import sampling
+
+    rng = np.random.default_rng(2)
+    ranked = [(t, f"g{i}", float(rng.normal() + (3 if i < 20 and t == "A" else 0))) for t in "AB" for i in range(200)]
+    sets = [("planted", f"G{i}") for i in range(20)] + [(f"other{k}", f"G{i}") for k in range(4) for i in rng.choice(np.arange(20, 200), 20, replace=False)] + [("small", "G1")]
+    got = {(r.grp, r.term): r for r in sampling.enrichment(spark.createDataFrame(ranked, "grp string, feature_id string, stat double"), spark.createDataFrame(sets, "term string, feature_id string"), 1500).collect()}
+    assert got["A", "planted"].fdr < 0.01 and got["A", "planted"].place == 1 and got["A", "planted"].nes > 2 and got["B", "planted"].p > 0.01
+    assert not [k for k in got if k[1] == "small"] and all(r.fdr >= r.p - 1e-6 for r in got.values()) and min(r.p for k, r in got.items() if k[1] != "planted") > 0.005
+
+
+def test_expectations_on_units(spark):
+    from corvellum.operators import enrich
+    from corvellum.plans.sqlplan import apply
+
+    rng = np.random.default_rng(4)
+    expr = [(f"u{u}", f"G{g}", float(v)) for u in range(60) for g in range(6) if (v := rng.poisson(6 if g < 2 and u < 20 else 1))]
+    rules = [("up", "gene_up", "t", "x", "", "up", None, None, None), ("against", "gene_up", "t", "x", "y", "up", None, None, None), ("not up", "gene_up", "t", "x", "", "up", None, None, None), ("down", "gene_up", "t", "y", "x", "down", None, None, None), ("third", "fraction_range", "t", "x", "", "up", None, 0.3, 0.4), ("half", "fraction_range", "t", "x", "", "up", None, 0.5, 0.6), ("nobody", "gene_up", "t", "q", "", "up", None, None, None), ("no hits", "set_enriched", "t", "y", "", "up", None, None, None), ("hit", "set_enriched", "t", "x", "", "up", None, None, None)]
+    wanted = [(e, f) for e in ("up", "against", "down", "nobody") for f in ("g0", "G1")] + [("not up", "G3"), ("not up", "G4"), ("no hits", "wnt"), ("hit", "wnt")]
+    obs = [(f"u{u}", "t", "x" if u < 20 else "y" if u < 40 else "z") for u in range(60)]
+    got = apply(enrich.unit_expectations(), rules=spark.createDataFrame(rules, "expectation string, kind string, col string, grp string, against string, direction string, min_fraction double, low double, high double"), wanted=spark.createDataFrame(wanted, "expectation string, feature_id string"), expr=spark.createDataFrame(expr, "unit_id string, feature_id string, value double"), obs=spark.createDataFrame(obs, "unit_id string, col string, grp string"), hits=spark.createDataFrame([("x", "Wnt signalling")], "grp string, term string"))
+    assert {r.expectation: r.status for r in got.collect()} == {"up": "met", "against": "met", "not up": "not met", "down": "met", "third": "met", "half": "not met", "nobody": "not testable", "no hits": "not testable", "hit": "met"}
