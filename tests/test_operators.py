@@ -92,3 +92,39 @@ def test_planted_set_is_found(spark):
     ranked = spark.createDataFrame([(f"g{i}", (3.0 if i < 20 else 0.0) + (i * 37 % 101) / 101 - 0.5) for i in range(200)], "feature_id string, stat double")
     es = {r.term: r.es for r in apply(enrich.running_score(), sets=sets, ranked=ranked).collect()}
     assert es["planted"] > 0.95 and abs(es["other"]) < 0.6
+
+
+def test_lint_rules(spark):
+    from corvellum.operators import lint
+
+    good = "import numpy as np\nrng = np.random.default_rng(0)\nfig, ax = subplots()\nax.scatter(x, y)\nax.bar(x, y)\nax.set_xlabel('a')\nax.set_ylabel('b')\nax.set_title('t')\nfig.savefig('a.svg')\nfig.savefig('a.png')\n# cmap='jet' yerr=2"
+    scripts = {
+        "good": (good, set()),
+        "maps": ("a = 1\nb = plot_it(cmap = 'jet')\nc = cm.x", {("K3", 2)}),
+        "neon": ("f('CYAN')", {("K2", 1)}),
+        "bars": (good + "\nax.set_ylim(3, 4)", {("H3", 5)}),
+        "pie": ("x\nax.pie(s, shadow=True)\nax.set_title('t')", {("H1", 2), ("H1b", 2)}),
+        "3d": ("Axes3D", {("H2", 1)}),
+        "seed": ("np.random.normal()", {("P3", None)}),
+        "labels": ("ax.plot(x)\nax.set_xlabel('a')\nax.set_title('t')", {("S2", None)}),
+        "error": ("yerr=2", {("E3", None)}),
+        "panels": ("subplots(1, 2)", {("H9", None)}),
+        "files": ("fig.savefig('a.png')", {("P2", None)}),
+        "log": ("ax.semilogy(x)", {("H6", 1)}),
+        "fill": ("d.fillna(0)", {("H8", 1)}),
+        "plt": ("\nplt.savefig('a.png'); plt.savefig('a.pdf')", {("hyg", 1)}),
+        "font": ("ax.text(1, 2, fontsize = 7.5)\nax.text(fontsize=8)", {("T1", 1)}),
+        "title": ("ax.imshow(x)\nax.set(xlabel='a')\nax.set_ylabel('b')", {("T2", None)}),
+        "thin": ("ax.set_title('t', fontweight='light')", {("T2", None)}),
+        "lone bars": ("ax.bar(x)\nax.set_title('t')\nax.set_xlabel('')\nax.set_ylabel('')", {("E4", None)}),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in scripts.items()], "path string, text string")
+    got = {}
+    for r in lint.lint(df).collect():
+        got.setdefault(r.path, set()).add((r.rule, r.line))
+    assert got == {k: v[1] for k, v in scripts.items() if v[1]}
+    assert lint.colormap_for("diverging") == "RdBu_r" and len(lint.categorical_colors(6)) == 6
+    import pytest
+
+    with pytest.raises(ValueError):
+        lint.categorical_colors(7)
