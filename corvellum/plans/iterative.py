@@ -118,8 +118,10 @@ def mann_whitney_p(spark, sf_dir):
 
 
 def recomputed_p(spark, sf_dir):
-    rows = [("t", 2.0, 10.0, None), ("z", 1.96, None, None), ("r", 0.5, 10.0, None), ("F", 4.0, 2.0, 10.0), ("chi2", 3.84, 1.0, None)]
-    df = spark.createDataFrame(rows, "test string, stat double, df1 double, df2 double")
+    """p-values of reported statistics of each kind, as many as there are orders."""
+    k, x = F.col("o_orderkey"), F.col("o_totalprice") / 100_000
+    test = F.get(F.array(*map(F.lit, ("t", "z", "r", "F", "chi2"))), (k % 5).cast("int"))
+    df = _table(spark, sf_dir, "orders").select(k.alias("id"), test.alias("test"), F.when(test == "r", x / 10).otherwise(x).alias("stat"), (k % 30 + 3).cast("double").alias("df1"), (k % 50 + 5).cast("double").alias("df2"))
     return df.withColumn("p", F.round(reported_p(F.col("test"), F.col("stat"), F.col("df1"), F.col("df2")), 6))
 
 

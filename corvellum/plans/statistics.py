@@ -22,9 +22,10 @@ BRAND_SETS = "SELECT p_brand AS term, CAST(p_partkey AS STRING) AS feature_id FR
 PARTS = "SELECT CAST(p_partkey AS STRING) AS feature_id FROM part"
 TOP_PARTS = f"SELECT feature_id FROM (SELECT feature_id, row_number() OVER (ORDER BY round(stat, 2) DESC, feature_id) AS i FROM ({REVENUE}) x) y WHERE i <= 100"
 DIMS = "SELECT vec_id, label, d, embedding FROM embeddings CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"
-RECORDS = """SELECT 'intake' AS grp, 'empty sample' AS check_name, 'PASS' AS status UNION ALL SELECT 'intake', 'missing share', 'WARN' UNION ALL SELECT 'intake', 'duplicates', 'PASS'
- UNION ALL SELECT 'compare', 'replicates', 'FAIL' UNION ALL SELECT 'compare', 'pairing', 'INFO' UNION ALL SELECT 'structure', 'grouping', 'PASS' UNION ALL SELECT 'notes', 'date', 'INFO'"""
-CATALOGUE = "SELECT 'empty sample' AS check_name, 'samples without values' AS tests UNION ALL SELECT 'replicates', 'units per condition' UNION ALL SELECT 'swap null', 'calls under swapped labels'"
+# Checks of forty groups, one for each event; and what there could have been.
+RECORDS = """SELECT CAST(user_id % 40 AS STRING) AS grp, concat(event_type, ' ', CAST(event_id % 13 AS STRING)) AS check_name, event_id AS place,
+ CASE WHEN event_id % 89 = 0 THEN 'FAIL' WHEN event_id % 17 = 0 THEN 'WARN' WHEN event_id % 5 = 0 THEN 'INFO' ELSE 'PASS' END AS status FROM events"""
+CATALOGUE = "SELECT DISTINCT concat(event_type, ' ', CAST(event_id % 15 AS STRING)) AS check_name, event_type AS tests FROM events"
 
 _metrics = fill(matrix.qc_metrics("feature_id IN ('PROMO')"), expr=TYPES)
 _masks = fill(matrix.fail_masks(2, 6, 20.0), metrics=_metrics)
@@ -36,7 +37,7 @@ _bulk = fill(compare.pseudobulk(), cells=CELLS)
 _logs = fill(compare.log_cpm(), bulk=_bulk)
 _shares = fill(compare.type_shares(), cells=CELLS)
 _rollup = fill(records.status_rollup(), records=RECORDS)
-_ratings = fill(records.ratings(), rollup=f"SELECT *, CASE WHEN grp = 'compare' THEN CAST(NULL AS STRING) END AS accepted FROM ({_rollup}) r")
+_ratings = fill(records.ratings(), rollup=f"SELECT *, CASE WHEN n_fail = 1 THEN 'known' END AS accepted FROM ({_rollup}) r")
 _panel = "SELECT 'T1' AS cell_type, 'Brand#11' AS gene, '+' AS sign UNION ALL SELECT 'T1', 'Brand#12', '+' UNION ALL SELECT 'T1', 'Brand#13', '-' UNION ALL SELECT 'T2', 'Brand#21', '+' UNION ALL SELECT 'T2', 'Brand#22', '+' UNION ALL SELECT 'T2', 'Brand#23', '+' UNION ALL SELECT 'T2', 'Brand#11', '-'"
 _scores = fill(enrich.panel_scores(), stats=_scaled, panel=_panel)
 _overlaps = fill(enrich.overlaps(), genes=TOP_PARTS, background=PARTS, sets=BRAND_SETS)
@@ -140,19 +141,19 @@ SQL = {
     "rating": _ratings,
     "run_rating": fill(records.run_rating(), ratings=_ratings),
     "not_run": fill(records.not_run(), catalogue=CATALOGUE, records=RECORDS),
-    "card_rows": fill(records.card_rows(1, 1), records=f"SELECT *, length(check_name) AS place FROM ({RECORDS}) r"),
-    "grim": fill(records.grim(), means=f"SELECT 1 AS id, {num(3.45)} AS mean, {num(20)} AS n, 2 AS decimals, {num(1)} AS items UNION ALL SELECT 2, {num(3.47)}, {num(20)}, 2, {num(1)} UNION ALL SELECT 3, {num(2.33)}, {num(3)}, 2, {num(1)}"),
-    "ci_check": fill(records.interval_z(), cis=f"SELECT 1 AS id, {num(1.5)} AS estimate, {num(1.1)} AS low, {num(2.05)} AS high, true AS ratio UNION ALL SELECT 2, {num(-0.3)}, {num(-0.9)}, {num(0.3)}, false"),
+    "card_rows": fill(records.card_rows(5, 2), records=RECORDS),
+    "grim": fill(records.grim(), means=f"SELECT l_suppkey AS id, floor(avg(l_quantity) * 100) / {num(100)} + (l_suppkey % 3) / {num(100)} AS mean, CAST(count(*) AS DOUBLE) AS n, 2 AS decimals, {num(1)} AS items FROM lineitem GROUP BY l_suppkey"),
+    "ci_check": fill(records.interval_z(), cis=f"SELECT o_orderkey AS id, o_totalprice / {num(1e5)} AS estimate, o_totalprice / {num(2e5)} AS low, o_totalprice / {num(4e4)} AS high, o_orderkey % 2 = 0 AS ratio FROM orders"),
     "smd": fill(records.smd(), groups="SELECT s_nationkey AS id, avg(s_acctbal) AS m1, coalesce(stddev_samp(s_acctbal), 1) AS sd1, CAST(count(*) + 5 AS DOUBLE) AS n1, avg(s_acctbal) * 2 AS m2, coalesce(stddev_samp(s_acctbal), 1) + 1 AS sd2, CAST(count(*) + 9 AS DOUBLE) AS n2 FROM supplier GROUP BY s_nationkey"),
-    "reproduction": fill(records.reproduction(), pairs=f"SELECT 1 AS id, {num(-0.14)} AS reported, {num(-0.139)} AS recomputed, 2 AS decimals UNION ALL SELECT 2, {num(0.5)}, {num(0.508)}, 3 UNION ALL SELECT 3, {num(0.5)}, {num(0.6)}, 2"),
-    "claims": fill(records.claim_ledger(), claims="SELECT 1 AS id, 'Verified' AS verdict, 'rerun' AS reproduction, '' AS reason UNION ALL SELECT 2, 'Verified', '', '' UNION ALL SELECT 3, 'Not assessable', '', '' UNION ALL SELECT 4, 'Perhaps', '', 'x'"),
-    "concerns": fill(records.concern_ledger(), concerns="SELECT 1 AS id, 'high' AS confidence, 'medium' AS impact UNION ALL SELECT 2, 'low', 'low' UNION ALL SELECT 3, 'sure', 'high'"),
+    "reproduction": fill(records.reproduction(), pairs=f"SELECT o_orderkey AS id, floor(o_totalprice / 100) / {num(100)} AS reported, floor(o_totalprice / 100) / {num(100)} + (o_orderkey % 5 - 2) * {num(0.004)} + CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice / 100 ELSE {num(0)} END AS recomputed, 2 AS decimals FROM orders"),
+    "claims": fill(records.claim_ledger(), claims="SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Verified' WHEN 1 THEN 'Contradicted' WHEN 2 THEN 'Partially verified' WHEN 3 THEN 'Not assessable' ELSE 'Perhaps' END AS verdict, CASE WHEN o_orderkey % 3 = 0 THEN 'rerun' ELSE '' END AS reproduction, CASE WHEN o_orderkey % 7 < 4 THEN 'x' END AS reason FROM orders"),
+    "concerns": fill(records.concern_ledger(), concerns="SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'sure' END AS confidence, CASE o_orderkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS impact FROM orders"),
     "file_roles": fill(records.file_roles(), files="SELECT 'a_R1.fastq.gz' AS name UNION ALL SELECT 'counts.txt' UNION ALL SELECT 'x.cram' UNION ALL SELECT 'GSE1_series_matrix.txt.gz' UNION ALL SELECT 'Snakefile' UNION ALL SELECT 'table.csv' UNION ALL SELECT 'Sample_sheet.csv' UNION ALL SELECT 'matrix.mtx.gz' UNION ALL SELECT 'run.py' UNION ALL SELECT url FROM pages"),
     "spec_curve": fill(records.spec_curve((50000.0, 100000.0), (200000.0, 500000.0)), rows="SELECT c_acctbal * 20 AS x, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey"),
-    "designs": fill(records.design_fields(), designs="SELECT 1 AS id, 'q' AS question, 'u' AS unit, 'c' AS comparison, 'o' AS outcome, 'd' AS decision UNION ALL SELECT 2, 'q', '', 'c', CAST(NULL AS STRING), 'd'"),
+    "designs": fill(records.design_fields(), designs="SELECT o_orderkey AS id, o_orderpriority AS question, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'order' END AS unit, o_orderstatus AS comparison, CASE WHEN o_orderkey % 7 > 0 THEN 'price' END AS outcome, 'd' AS decision FROM orders"),
     "evidence": fill(records.evidence_manifest(), evidence="SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'retrieved' WHEN 1 THEN 'restricted' ELSE 'lost' END AS status, url AS path, CAST(length(url) AS BIGINT) AS bytes, sha2(url, 256) AS sha256 FROM pages"),
-    "simulations": fill(records.simulation_ledger(), sims="SELECT 1 AS id, 'p' AS purpose, 'g' AS generator, 'x' AS parameters, 100 AS n_runs, 1 AS seed, 'o' AS outcome, 'g' AS guard UNION ALL SELECT 2, 'p', 'g', 'x', 0, 1, 'o', 'g' UNION ALL SELECT 3, 'p', 'g', 'x', 9, 1, 'o', ' '"),
-    "claim_alignment": fill(records.alignment_ledger(), rows="SELECT 1 AS id, 'strong' AS strength, 'aligned' AS alignment, '' AS note UNION ALL SELECT 2, 'weak', 'overstated', '' UNION ALL SELECT 3, 'huge', 'aligned', ''"),
+    "simulations": fill(records.simulation_ledger(), sims="SELECT o_orderkey AS id, o_orderstatus AS purpose, CASE WHEN o_orderkey % 6 > 0 THEN 'g' END AS generator, 'x' AS parameters, o_orderkey % 4 AS n_runs, o_custkey AS seed, 'o' AS outcome, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'g' END AS guard FROM orders"),
+    "claim_alignment": fill(records.alignment_ledger(), rows="SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'moderate' WHEN 2 THEN 'weak' WHEN 3 THEN 'none' ELSE 'huge' END AS strength, CASE o_orderkey % 4 WHEN 0 THEN 'aligned' WHEN 1 THEN 'overstated' WHEN 2 THEN 'inconsistent' ELSE 'off' END AS alignment, CASE WHEN o_orderkey % 3 = 0 THEN 'why' ELSE '' END AS note FROM orders"),
     "symmetric_limits": fill(records.symmetric_limits(), values="SELECT c_acctbal AS v FROM customer"),
     "bubble_areas": fill(records.bubble_areas(), values="SELECT c_custkey AS id, c_acctbal AS v FROM customer"),
     "program_usage": fill(enrich.program_usage(0.2), usage="SELECT event_id AS unit_id, user_id % 7 AS ptype, event_type AS program, value FROM events"),
