@@ -6,6 +6,9 @@ that a slip in an operator's text shows as a difference.
 
 from __future__ import annotations
 
+from corvellum.plans import statistics
+from corvellum.plans.sqlplan import duck
+
 _LNF = "lgamma(CAST({} AS DOUBLE) + 1)"
 
 
@@ -16,6 +19,21 @@ def _tail(overlap: str, size: str, drawn: str, total: str) -> str:
     return f"least(1.0::DOUBLE, list_sum(list_transform(list_filter(range({overlap}, least({size}, {drawn}) + 1), lambda k: k >= {size} + {drawn} - {total}), lambda k: {term})))"
 
 
+def _t_two_sided(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom, by the finite sums in the angle whose tangent is t / sqrt(df)."""
+    angle = f"atan(abs({t}) / sqrt(CAST({df} AS DOUBLE)))"
+    even = f"list_sum(list_transform(range(0, {df} // 2), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) * power(cos({angle}), 2 * k)))"
+    odd = f"coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * power(cos({angle}), 2 * k + 1))), 0)"
+    return f"CASE WHEN {df} % 2 = 0 THEN 1 - sin({angle}) * {even} ELSE 1 - 2 / pi() * ({angle} + sin({angle}) * {odd}) END"
+
+
+def _z_two_sided(z: str) -> str:
+    """Two-sided p of a standard normal z, by Simpson's rule over twelve units from it on."""
+    density = "exp(-power(abs({z}) + k * 0.003::DOUBLE, 2) / 2)"
+    weight = "CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"2 / sqrt(2 * pi()) * 0.001::DOUBLE * list_sum(list_transform(range(0, 4001), lambda k: {weight} * {density.format(z=z)}))"
+
+
 _P = "SELECT o_orderkey AS id, o_orderpriority AS family, (o_orderkey * 37 % 1009 + 1) / 1010.0::DOUBLE AS p FROM orders"
 _LABELLED = "SELECT n_chars AS score, quality AS positive FROM documents JOIN labels USING (doc_id)"
 _REVENUE = "SELECT CAST(p_partkey AS VARCHAR) AS feature_id, sum(l_extendedprice * (1 - l_discount)) AS stat FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey"
@@ -29,6 +47,10 @@ a AS (SELECT *, max(least(1.0::DOUBLE, p * (m + 1 - i))) OVER ({w} ORDER BY i) A
 SELECT {keys}, round(p, 6) AS p, round(least(1.0::DOUBLE, p * m), 6) AS bonferroni, round(holm, 6) AS holm, round(bh, 6) AS bh, holm < 0.05::DOUBLE AS holm_called, bh < 0.05::DOUBLE AS bh_called FROM a"""
 
 
+def _with_p(text: str, p: str) -> str:
+    return f"SELECT *, round({p}, 6) AS p FROM ({text}) x"
+
+
 _A = "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice - 150000 AS effect, (o_orderkey * 37 % 1009 + 1) / 1010.0::DOUBLE AS padj FROM orders"
 _B = "SELECT CAST(l_orderkey AS VARCHAR) AS id, sum(l_extendedprice) - 150000 AS effect, (l_orderkey * 41 % 1009 + 1) / 1010.0::DOUBLE AS padj FROM lineitem GROUP BY l_orderkey"
 _MACHINERY = "ribosome|proteasome|spliceosome|oxidative phosphorylation|aminoacyl|rna polymerase|translation|protein processing in endoplasmic"
@@ -71,3 +93,12 @@ r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1)
 g AS (SELECT count(*) AS n, count(*) FILTER (c) AS sa, count(*) FILTER (d) AS sb, count(*) FILTER (c AND d) AS ov, count(*) FILTER (c OR d) AS one, avg(CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END) FILTER (c AND d) AS same, corr(rx, ry) AS rho FROM r)
 SELECT 'tested' AS status, n AS n_shared, sa AS sig_a, sb AS sig_b, ov AS overlap, round({_tail('ov', 'sa', 'sb', 'n')}, 6) AS overlap_p, round(ov / greatest(one, 1), 6) AS jaccard, round(same, 6) AS same_direction, round(rho, 6) AS effect_correlation FROM g""",
 }
+
+#: p-values of statistics whose own text has an oracle already.
+SQL |= {
+    "paired_p": _with_p(duck(statistics.SQL["paired_t"]), _t_two_sided("t_stat", "df")),
+    "mann_whitney_p": _with_p(SQL["mann_whitney"], _z_two_sided("z")),
+    "nb_p": _with_p(duck(statistics.SQL["nb_wald"]), _z_two_sided("z")),
+    # three degrees of freedom: four languages, labelled or not
+    "chi_square_p": _with_p(duck(statistics.SQL["chi_square"]), f"{_z_two_sided('sqrt(chi2)')} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2)"),
+}
