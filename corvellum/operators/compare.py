@@ -107,3 +107,45 @@ n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {{obs}}), s AS (SELECT grp, feat
 z AS (SELECT grp, feature_id, round((s - k * (n + {num(1)}) / {num(2)}) / sqrt(k * (n - k) * (n + {num(1)}) / {num(12)}), 6) AS z FROM s CROSS JOIN n WHERE k < n),
 t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, feature_id) AS place FROM z)
 SELECT grp, feature_id, z, CAST(place AS BIGINT) AS place FROM t WHERE place <= {top}"""
+
+
+def design_matrix(paired: bool) -> str:
+    """The design of {units}(unit, sample, treated 0/1) in long form (unit, term, x): intercept, treatment, and, if the
+    samples are paired, one column for each sample but the first. Zeros are left out."""
+    text = f"SELECT unit, '(intercept)' AS term, {num(1)} AS x FROM {{units}} UNION ALL SELECT unit, 'treated', CAST(treated AS DOUBLE) FROM {{units}} WHERE treated <> 0"
+    return text + f" UNION ALL SELECT unit, concat('sample ', sample), {num(1)} FROM {{units}} WHERE sample > (SELECT min(sample) FROM {{units}})" if paired else text
+
+
+def least_squares(y, design, term: str = "treated", most_terms: int = 2000):
+    """Ordinary least squares for all features at once: ``y`` (unit, feature, value, complete) on ``design`` (unit, term, x);
+    (feature, effect, t_stat, df) of one term. Null t where nothing is left to judge it by.
+
+    Only the terms' cross products, terms squared numbers, come to the driver to be inverted (so their number is
+    bounded); products with the features are added where they lie.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    spark = y.sparkSession
+    cross = design.alias("a").join(design.alias("b"), "unit").groupBy(F.col("a.term").alias("a"), F.col("b.term").alias("b")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("s"))
+    names = sorted(r.term for r in design.select("term").distinct().limit(most_terms + 1).collect())
+    if len(names) > most_terms or term not in names:
+        raise ValueError(f"the design has no term {term!r}" if term not in names else f"the design has over {most_terms} terms")
+    at = {t: i for i, t in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in cross.collect():
+        m[at[r.a], at[r.b]] = r.s
+    inverse, rank = np.linalg.pinv(m, hermitian=True), int(np.linalg.matrix_rank(m, hermitian=True))
+    n = design.select("unit").distinct().count()
+    rows = [(a, b, float(inverse[i, j])) for a, i in at.items() for b, j in at.items()]
+    inv = F.broadcast(spark.createDataFrame(rows, "term string, other string, w double"))
+    known = y.join(design.select("unit").distinct(), "unit", "left_semi")
+    xy = known.join(design, "unit").groupBy("feature", "term").agg(F.sum(F.col("x") * F.col("value")).alias("xy")).persist()
+    beta = xy.join(inv, "term").groupBy("feature", F.col("other").alias("term")).agg(F.sum(F.col("w") * F.col("xy")).alias("b"))
+    fit = beta.join(xy, ["feature", "term"], "left").groupBy("feature").agg(F.sum(F.col("b") * F.coalesce("xy", F.lit(0.0))).alias("explained"), F.max(F.when(F.col("term") == term, F.col("b"))).alias("effect"))
+    whole = known.groupBy("feature").agg(F.sum(F.col("value") ** 2).alias("yy"))
+    own, df = float(inverse[at[term], at[term]]), n - rank
+    rss = F.greatest(F.col("yy") - F.col("explained"), F.lit(0.0))
+    # differences of sums of squares leave noise of their size where a fit is exact
+    se = F.when(rss > 1e-12 * F.col("yy"), F.sqrt(rss / F.lit(float(max(df, 1))) * F.lit(own)))
+    return fit.join(whole, "feature").select("feature", "effect", (F.col("effect") / se if df > 0 else F.lit(None).cast("double")).alias("t_stat"), F.lit(df).alias("df"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvellum.functions.sqltext import ranked
 from corvellum.operators import enrich, inference
 from corvellum.plans.sqlplan import apply
 
@@ -38,22 +39,27 @@ def capped_per_group(df: DataFrame, group: str, key: str, most: int, seed: int =
 def stratified(df: DataFrame, strata: list[str], key: str, share: float, seed: int = 0) -> DataFrame:
     """The same share of each stratum, at least one row."""
     w = Window.partitionBy(*strata)
-    ranked = df.withColumn("__i__", F.row_number().over(w.orderBy(order_of(seed, key), key))).withColumn("__n__", F.count("*").over(w))
-    return ranked.where(F.col("__i__") <= F.greatest(F.lit(1), F.bround(F.col("__n__") * share))).drop("__i__", "__n__")
+    placed = df.withColumn("__i__", F.row_number().over(w.orderBy(order_of(seed, key), key))).withColumn("__n__", F.count("*").over(w))
+    return placed.where(F.col("__i__") <= F.greatest(F.lit(1), F.bround(F.col("__n__") * share))).drop("__i__", "__n__")
 
 
 def permutation_difference(rows: DataFrame, n_perm: int = 1000, seed: int = 0) -> DataFrame:
     """Difference of means of groups 1 and 0 of ``rows`` (id, grp, value), and its two-sided p by relabelling.
 
-    One pass: each row meets every permutation as an exploded row with a hashed coin that has the group's odds; sums
-    per permutation are aggregated before the shuffle. Groups keep their sizes on average, not exactly.
+    In each permutation as many units as group 1 has, those of the least hashes, are taken for group 1. Hashes are ranked
+    bin by bin (they are spread evenly), so no task holds a permutation; rows times permutations are made, and added up
+    before they move on. Rows without a value or group are left out; without both groups the difference is null.
     """
-    share = rows.select(F.avg("grp").alias("s"), (F.avg(F.when(F.col("grp") == 1, F.col("value"))) - F.avg(F.when(F.col("grp") == 0, F.col("value")))).alias("d"))
-    one = F.broadcast(share)
-    each = rows.crossJoin(one).select("id", "value", "s", "d", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
-    coin = (F.pmod(F.xxhash64(F.lit(seed), "perm", "id"), F.lit(1 << 30)) / float(1 << 30)) < F.col("s")
-    null = each.groupBy("perm", "d").agg((F.avg(F.when(coin, F.col("value"))) - F.avg(F.when(~coin, F.col("value")))).alias("x"))
-    return null.groupBy("d").agg(((F.sum((F.abs("x") >= F.abs("d")).cast("int")) + 1) / (F.count("*") + 1)).alias("p")).select(F.col("d").alias("difference"), "p")
+    spark = rows.sparkSession
+    given = rows.where("grp IN (0, 1) AND value IS NOT NULL").select("id", F.col("grp").cast("int").alias("grp"), F.col("value").cast("double").alias("value"))
+    facts = given.agg(F.sum("grp").alias("n1"), F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("grp") * F.col("value")).alias("s1"))
+    each = given.crossJoin(F.broadcast(spark.range(n_perm).withColumnRenamed("id", "perm"))).select("id", "value", "perm", F.xxhash64(F.lit(seed), "perm", "id").cast("double").alias("h"))
+    apart = spark.sql(f"WITH {ranked('{x}', 'h', 'id', 'perm')} SELECT k.perm, k.value, k.i FROM k", x=each)
+    mean = lambda s, n: F.try_divide(s, n.cast("double"))
+    sums = apart.crossJoin(F.broadcast(facts)).where("i <= n1").groupBy("perm", "n1", "n", "total", "s1").agg(F.sum("value").alias("s"))
+    null = sums.select((mean(F.col("s"), F.col("n1")) - mean(F.col("total") - F.col("s"), F.col("n") - F.col("n1"))).alias("x"), (mean(F.col("s1"), F.col("n1")) - mean(F.col("total") - F.col("s1"), F.col("n") - F.col("n1"))).alias("d"))
+    as_far = F.sum((F.abs("x") >= F.abs("d") - 1e-12).cast("int"))
+    return null.groupBy(F.col("d").alias("difference")).agg(((as_far + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def swapped_labels(units: DataFrame, n_swaps: int = 20, seed: int = 0) -> DataFrame:

@@ -130,9 +130,52 @@ def caveats(spark: SparkSession, path: str, exclude: str) -> DataFrame:
     return bad.unionByName(r.select("stage", F.explode("not_run").alias("check"), F.lit("NOT RUN").alias("status"), F.lit(None).cast("string").alias("detail")))
 
 
-def file_integrity(spark: SparkSession, path: str) -> DataFrame:
-    """Size and SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def file_integrity(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """Size and SHA-256 of each file; with ``expected`` (name, bytes, sha256; null where not known) also what became of
+    the comparison: PASS, FAIL, or INFO where there is nothing to compare with."""
+    seen = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if expected is None:
+        return seen
+    e = expected.select(F.col("name").alias("__name__"), F.col("bytes").alias("__bytes__"), F.lower("sha256").alias("__sha256__"))
+    j = seen.join(e, F.element_at(F.split("path", "/"), -1) == F.col("__name__"), "full")
+    said = lambda got, want: F.when(F.col("path").isNull(), "FAIL").when(F.col(want).isNull(), "INFO").when(F.col(got) == F.col(want), "PASS").otherwise("FAIL")
+    return j.select(F.coalesce("path", "__name__").alias("path"), "bytes", "sha256", said("bytes", "__bytes__").alias("size_status"), said("sha256", "__sha256__").alias("hash_status"))
+
+
+def expectations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A table of expectations as (rules, wanted): rules are (expectation, kind, col, grp, against, direction, min_fraction,
+    low, high), wanted has a row for each feature, or set, that an expectation names. Columns that the file lacks are null."""
+    raw = spark.read.option("header", True).csv(path)
+    for c in ("expectation", "kind", "column", "group"):
+        if c not in raw.columns:
+            raise ValueError(f"the table of expectations has no column {c}")
+    raw = raw.where("expectation IS NOT NULL")
+    given = lambda c, kind: F.trim(F.col(f"`{c}`")).try_cast(kind) if c in raw.columns else F.lit(None).cast(kind)
+    rules = raw.select(given("expectation", "string").alias("expectation"), given("kind", "string").alias("kind"), given("column", "string").alias("col"), given("group", "string").alias("grp"), F.coalesce(given("against", "string"), F.lit("")).alias("against"), F.coalesce(F.nullif(given("direction", "string"), F.lit("")), F.lit("up")).alias("direction"), *[given(c, "double").alias(c) for c in ("min_fraction", "low", "high")])
+    named = F.concat(listed(given("genes", "string")), F.filter(F.array(given("set", "string")), lambda x: F.coalesce(x != "", F.lit(False))))
+    return rules, raw.select(given("expectation", "string").alias("expectation"), F.explode(named).alias("feature_id"))
+
+
+def labelled_reference(spark: SparkSession, expr_path: str, labels_path: str, label_column: str, id_column: str = "unit_id") -> DataFrame:
+    """(unit_id, label, feature_id, value) of a reference kept as Parquet (unit_id, feature_id, value) with labels in CSV or
+    Parquet; units without a label are left out, a missing label column is refused."""
+    labels = spark.read.parquet(labels_path) if labels_path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).csv(labels_path)
+    missing = [c for c in (label_column, id_column) if c not in labels.columns]
+    if missing:
+        raise ValueError(f"the labels have no column {missing[0]}")
+    named = labels.select(F.col(f"`{id_column}`").cast("string").alias("unit_id"), F.col(f"`{label_column}`").cast("string").alias("label")).where("label <> ''").dropDuplicates(["unit_id"])
+    expr = spark.read.parquet(expr_path).select(F.col("unit_id").cast("string").alias("unit_id"), "feature_id", F.col("value").cast("double").alias("value"))
+    return expr.join(named, "unit_id").select("unit_id", "label", "feature_id", "value")
+
+
+def guide_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Marker rows for `panel_from_guide` from JSON of the form {type: {id, canonical: [symbol], computational: [{symbol,
+    organism, marker_score}]}}, one object or one line each."""
+    computed = "struct<symbol:string,organism:string,marker_score:double>"
+    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"map<string,struct<id:string,canonical:array<string>,computational:array<{computed}>>>")).alias("cell_type", "x"))
+    canonical = raw.select("cell_type", F.explode("x.canonical").alias("symbol"), F.lit(None).cast("string").alias("organism"), F.lit(True).alias("canonical"), F.lit(None).cast("double").alias("score"))
+    other = raw.select("cell_type", F.explode("x.computational").alias("m")).select("cell_type", "m.symbol", "m.organism", F.lit(False).alias("canonical"), F.col("m.marker_score").alias("score"))
+    return canonical.unionByName(other)
 
 
 def gzip_reads(path: str) -> bool:

@@ -128,3 +128,27 @@ def test_lint_rules(spark):
 
     with pytest.raises(ValueError):
         lint.categorical_colors(7)
+
+
+def test_least_squares(spark):
+    """Paired designs against numpy: the treatment's effect and t with a term for each sample, for all features at once."""
+    import numpy as np
+
+    from corvellum.operators import compare
+
+    rng = np.random.default_rng(0)
+    units = [(f"s{s}{c}", f"s{s}", c) for s in range(4) for c in (0, 1)]
+    y = {(u, f): float(rng.normal() + int(u[1]) + (8 if f == "f0" and c else 0)) for u, _, c in units for f in ("f0", "f1", "f2", "f3", "f4")}
+    frame = spark.createDataFrame(units, "unit string, sample string, treated int")
+    long = spark.createDataFrame([(*k, v) for k, v in y.items()], "unit string, feature string, value double")
+    for paired in (True, False):
+        design = apply(compare.design_matrix(paired), units=frame)
+        got = {r.feature: r for r in compare.least_squares(long, design).collect()}
+        x = np.array([[1, c, *[int(paired and s == f"s{k}") for k in range(1, 4)]] for _, s, c in units], float)
+        for f in ("f0", "f1", "f2", "f3", "f4"):
+            v = np.array([y[u, f] for u, *_ in units])
+            b, *_ = np.linalg.lstsq(x, v, rcond=None)
+            df = len(v) - np.linalg.matrix_rank(x)
+            se = np.sqrt(((v - x @ b) ** 2).sum() / df * np.linalg.pinv(x.T @ x)[1, 1])
+            assert got[f].df == df and abs(got[f].effect - b[1]) < 1e-9 and abs(got[f].t_stat - b[1] / se) < 1e-6
+        assert got["f0"].t_stat > 5

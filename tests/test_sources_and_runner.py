@@ -190,3 +190,34 @@ def test_programs_that_restarts_agree_on(spark):
     k, agreed, table, h = structure.stable_programs(vec, 12, ks=(2,), restarts=2, rounds=40)
     assert (k, agreed, h.shape) == (2, True, (2, 12)) and table[0][1] > 0.95
     assert {frozenset(np.argsort(-row)[:4].tolist()) for row in h} == {frozenset(range(4)), frozenset(range(6, 10))}
+
+
+def test_expectations_references_and_guides(spark, tmp_path):
+    table = tmp_path / "e.csv"
+    table.write_text("expectation,kind,column,group,genes,set,direction,low\nup,gene_up,cluster,1,G1; g2,,,\nshare,fraction_range,cluster,2,,,,0.25\nset,set_enriched,cluster,1,,wnt,up,\n")
+    rules, wanted = text.expectations(spark, str(table))
+    assert [(r.expectation, r.kind, r.col, r.grp, r.against, r.direction, r.low, r.high) for r in rules.collect()] == [("up", "gene_up", "cluster", "1", "", "up", None, None), ("share", "fraction_range", "cluster", "2", "", "up", 0.25, None), ("set", "set_enriched", "cluster", "1", "", "up", None, None)]
+    assert sorted((r.expectation, r.feature_id.upper()) for r in wanted.collect()) == [("set", "WNT"), ("up", "G1"), ("up", "G2")]
+    (tmp_path / "bad.csv").write_text("expectation,kind\na,b\n")
+    with pytest.raises(ValueError):
+        text.expectations(spark, str(tmp_path / "bad.csv"))
+    spark.createDataFrame([("c1", "G1", 1.0), ("c2", "G1", 2.0), ("c3", "G1", 3.0)], "unit_id string, feature_id string, value double").write.parquet(str(tmp_path / "ref"))
+    (tmp_path / "l.csv").write_text("cell,type\nc1,T\nc2,B\nc3,\n")
+    assert {(r.unit_id, r.label) for r in text.labelled_reference(spark, str(tmp_path / "ref"), str(tmp_path / "l.csv"), "type", "cell").collect()} == {("c1", "T"), ("c2", "B")}
+    with pytest.raises(ValueError):
+        text.labelled_reference(spark, str(tmp_path / "ref"), str(tmp_path / "l.csv"), "kind", "cell")
+    (tmp_path / "g.json").write_text(json.dumps({"A": {"id": "1", "canonical": ["h1"], "computational": [{"symbol": "h2", "organism": "Homo", "marker_score": 2.0}, {"symbol": "RPL3", "organism": "Homo", "marker_score": 5.0}, {"symbol": "m1", "organism": "Mus", "marker_score": 9.0}]}}))
+    assert text.panel_from_guide(text.guide_rows(spark, str(tmp_path / "g.json")), "Homo").first().positive == "H1;H2"
+    want = spark.createDataFrame([("l.csv", 24, None), ("e.csv", 1, "00"), ("gone", 1, None)], "name string, bytes long, sha256 string")
+    got = {r.path.split("/")[-1]: (r.size_status, r.hash_status) for r in text.file_integrity(spark, str(tmp_path / "*.csv"), want).collect()}
+    assert got == {"l.csv": ("PASS" if (tmp_path / "l.csv").stat().st_size == 24 else "FAIL", "INFO"), "e.csv": ("FAIL", "FAIL"), "bad.csv": ("INFO", "INFO"), "gone": ("FAIL", "FAIL")}
+
+
+def test_permutations_keep_group_sizes(spark):
+    rows = [(i, int(i < 7), float(i * i % 11)) for i in range(20)] + [(99, 1, None), (98, None, 3.0)]
+    got = sampling.permutation_difference(spark.createDataFrame(rows, "id long, grp int, value double"), 400, 3).first()
+    x = np.array([r[2] for r in rows[:20]])
+    d = x[:7].mean() - x[7:].mean()
+    rng = np.random.default_rng(0)
+    null = np.array([p[:7].mean() - p[7:].mean() for p in (rng.permutation(x) for _ in range(20000))])
+    assert abs(got.difference - d) < 1e-12 and abs(got.p - (np.abs(null) >= abs(d) - 1e-12).mean()) < 0.08
