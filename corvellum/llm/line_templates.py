@@ -46,9 +46,9 @@ def _cells(masked: Column) -> Column:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tid, parts): lines of each text, and a digest of the text."""
+    """(doc_id, tid, text): texts, null ones as empty, with a digest."""
     text = F.col(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tid"), F.split(F.coalesce(text, F.lit("")), "\n").alias("parts"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tid"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,12 +64,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool
     """
     spark = docs.sparkSession
     d = _documents(docs, id_col, text_col)
-    placed = d.select("doc_id", "tid", F.posexplode("parts").alias("line", "x")).withColumn("a", _tokens(F.col("x"))).where(F.size("a") > 0)
+    placed = d.select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "x")).withColumn("a", _tokens(F.col("x"))).where(F.size("a") > 0)
     placed = chained(spark, placed.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf")))
     busy = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     at = placed.join(busy, "leaf", "left_semi").groupBy("doc_id", "tid").agg(F.collect_set("line").alias("at"))
-    lines = d.join(at, ["doc_id", "tid"]).select("doc_id", "tid", F.explode("at").alias("line"), "parts")
-    lines = lines.select("doc_id", "tid", "line", _tokens(F.get("parts", F.col("line"))).alias("a"))
+    lines = d.join(at, ["doc_id", "tid"]).select("doc_id", "tid", "at", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    lines = lines.where(F.array_contains("at", F.col("line"))).select("doc_id", "tid", "line", _tokens(F.col("x")).alias("a"))
     lines = lines.select("doc_id", "tid", "line", _leaf(F.col("a")).alias("leaf"), F.array_join(_masked(F.col("a")), " ").alias("masked"))
     lines = chained(spark, lines.withColumn("form", F.xxhash64("masked")))
     forms = chained(spark, lines.groupBy("leaf", "form").agg(F.count("*").alias("n"), F.first("masked").alias("masked")))
