@@ -6,6 +6,7 @@ The vocabulary's pieces, scores and kinds are read from the library; merging and
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -18,6 +19,8 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Characters of words kept with their ids in a Python worker; beyond it the cache starts anew. Longer words aren't kept.
 CACHED_CHARS, LONGEST_CACHED = 3_000_000, 64
+#: Symbols from which on a segment of a word is merged by lists of places, not by looking at all of it in each round.
+LONG = 2048
 #: Texts that one round of array operations takes together, in characters.
 BATCH_CHARS = 500_000
 
@@ -101,14 +104,23 @@ class PieceCodec:
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         sym = self.of_char[chars]
-        char_at = np.arange(len(chars))
+        char_at = np.arange(len(chars), dtype=np.int64)
         pair = chars[:-1].astype(np.int64) * 0x110000 + chars[1:]
         known = self.neighbours[np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)] == pair
         last = np.append((owner[1:] != owner[:-1]) | ~known, True)
         word = np.cumsum(np.append(0, last[:-1]))
+        done_sym, done_char = [], []
+        size = np.bincount(word)
+        if len(size) and size.max() > LONG:
+            ends = np.cumsum(size)
+            for k in np.flatnonzero(size > LONG).tolist():
+                part = slice(ends[k] - size[k], ends[k])
+                merged, kept = self._merge_long(sym[part])
+                done_sym.append(merged), done_char.append(char_at[part][kept])
+            stay = size[word] <= LONG
+            sym, char_at, last, word = (x[stay] for x in (sym, char_at, last, word))
         rank, whole = self._look(sym, np.append(sym[1:], -1))
         rank[last] = NONE
-        done_sym, done_char = [], []
         while len(sym):
             starts = np.flatnonzero(np.append(True, last[:-1]))
             size = np.diff(np.append(starts, len(sym)))
@@ -148,6 +160,62 @@ class PieceCodec:
         sym, char_at = sym[order], char_at[order]
         return self._spell(len(words), owner[char_at], sym, chars[char_at])
 
+    def _merge_long(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged symbols of one long segment, and the places that are left. The rounds are those of `merge_words`, but each
+        looks only at the places that wait for its rank, and at their neighbours."""
+        sym, n = sym.copy(), len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, whole = self._look(sym, np.append(sym[1:], -1))
+        rank[-1] = NONE
+        waiting: dict[int, list] = {}  # arrays of places, or, of a rank that is taken singly, a heap of them
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            r = rank[places]
+            order = np.argsort(r, kind="stable")
+            cuts = np.flatnonzero(np.diff(r[order])) + 1
+            for group in np.split(places[order], cuts):
+                if len(group) and (own := int(rank[group[0]])) != NONE:
+                    if own not in waiting:
+                        heapq.heappush(heap, own)
+                    queue = waiting.setdefault(own, [])
+                    if self.one_by_one[own]:
+                        for place in group.tolist():
+                            heapq.heappush(queue, place)
+                    else:
+                        queue.append(group)
+
+        wait(np.arange(n))
+        while heap:
+            r = heap[0]
+            if self.one_by_one[r]:
+                hit = np.array([heapq.heappop(waiting[r])])
+                if not waiting[r]:
+                    del waiting[heapq.heappop(heap)]
+                if rank[hit[0]] != r:
+                    continue
+            else:
+                hit = np.unique(np.concatenate(waiting.pop(heapq.heappop(heap))))
+                hit = hit[rank[hit] == r]
+                if not len(hit):
+                    continue
+                new_run = np.append(True, after[hit[:-1]] != hit[1:])
+                begin = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
+            gone = after[hit]
+            sym[hit] = whole[hit]
+            rank[gone] = NONE
+            sym[gone] = -2
+            after[hit] = after[gone]
+            inner = after[hit] < n
+            before[after[hit][inner]] = hit[inner]
+            redo = np.unique(np.concatenate([hit, before[hit][before[hit] >= 0]]))
+            right = after[redo]
+            rank[redo], whole[redo] = self._look(sym[redo], np.where(right < n, sym[np.minimum(right, n - 1)], -1))
+            wait(redo)
+        kept = np.flatnonzero(sym != -2)
+        return sym[kept], kept
+
     def _spell(self, n: int, word: np.ndarray, sym: np.ndarray, char: np.ndarray) -> list[bytes]:
         """Symbols as ids, characters without a piece as the ids of their UTF-8 bytes, cut at words."""
         plain = (sym >= 0) & (sym < len(self.piece_len))

@@ -178,6 +178,17 @@ def test_pieces_equal_the_library(spark, sf, odd, empty):
     assert pieces.encode_documents(empty).count() == 0
 
 
+def test_long_words_equal_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for parts in (["th", "er", "ing", "tion", "on", "ed"], "acgt", "ab", "aaaab", "今天气é漢", [" ", "▁", "x"]) for n in (2100, 5000)]
+    got = pieces.PieceCodec.get("").encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == sp.encode(texts, add_bos=True, add_eos=True)
+
+
 # ---- 5 line templates
 
 
