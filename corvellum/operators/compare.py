@@ -99,16 +99,40 @@ SELECT a.ptype, a.feature, {rounded(f'ln(b.mu / a.mu) / ln({num(2)})')} AS log2f
 FROM w a JOIN w b ON a.ptype = b.ptype AND a.feature = b.feature WHERE a.condition = '{ref}' AND b.condition = '{test}' AND a.mu > 0 AND b.mu > 0"""
 
 
+def _rank_sums(versus: str) -> str:
+    """CTEs that end in s(a, b, feature_id, n1, n0, rank_sum, m1, m0, seen): rank sums of group a among a and b, features
+    that no unit of either has left out. ``versus`` is a relation (a, b) of groups, b null for all others.
+
+    Absent values are zeros, which are counted, not written out: ranks come from the counts of different values of a feature.
+    """
+    return f"""n AS (SELECT v.a, v.b, count(CASE WHEN o.grp = v.a THEN 1 END) AS n1, count(CASE WHEN o.grp <> v.a THEN 1 END) AS n0 FROM {versus} v JOIN {{obs}} o ON o.grp = v.a OR v.b IS NULL OR o.grp = v.b GROUP BY v.a, v.b),
+c AS (SELECT o.grp, e.feature_id, e.value, count(*) AS k FROM {{expr}} e JOIN {{obs}} o ON e.unit_id = o.unit_id WHERE e.value <> 0 GROUP BY o.grp, e.feature_id, e.value),
+d AS (SELECT v.a, v.b, o.feature_id, o.value, sum(CASE WHEN o.grp = v.a THEN o.k ELSE 0 END) AS k1, sum(CASE WHEN o.grp <> v.a THEN o.k ELSE 0 END) AS k0 FROM c o JOIN {versus} v ON o.grp = v.a OR v.b IS NULL OR o.grp = v.b GROUP BY v.a, v.b, o.feature_id, o.value),
+z AS (SELECT d.a, d.b, d.feature_id, {num(0)} AS value, n.n1 - sum(d.k1) AS k1, n.n0 - sum(d.k0) AS k0 FROM d JOIN n ON n.a = d.a AND coalesce(n.b, '') = coalesce(d.b, '') GROUP BY d.a, d.b, d.feature_id, n.n1, n.n0),
+y AS (SELECT a, b, feature_id, CAST(value AS DOUBLE) AS value, CAST(k1 AS DOUBLE) AS k1, CAST(k0 AS DOUBLE) AS k0 FROM d UNION ALL SELECT a, b, feature_id, value, CAST(k1 AS DOUBLE), CAST(k0 AS DOUBLE) FROM z),
+r AS (SELECT *, sum(k1 + k0) OVER (PARTITION BY a, b, feature_id ORDER BY value) - (k1 + k0) + (k1 + k0 + 1) / {num(2)} AS rk FROM y),
+s AS (SELECT a, b, feature_id, sum(k1) AS n1, sum(k0) AS n0, sum(k1 * rk) AS rank_sum, sum(k1 * value) / nullif(sum(k1), {num(0)}) AS m1, sum(k0 * value) / nullif(sum(k0), {num(0)}) AS m0,
+ sum(CASE WHEN value <> 0 THEN k1 ELSE {num(0)} END) / nullif(sum(k1), {num(0)}) AS seen FROM r GROUP BY a, b, feature_id)"""
+
+
 def rank_sum_markers(top: int = 5) -> str:
     """Features that rank higher in a group than in the rest by the rank-sum z (no tie correction), the best first; over
-    a complete {grid}(unit_id, feature_id, value) and {obs} with a column grp."""
-    return f"""WITH r AS (SELECT o.grp, g.feature_id, rank() OVER (PARTITION BY g.feature_id ORDER BY g.value) + (count(*) OVER (PARTITION BY g.feature_id, g.value) - 1) / {num(2)} AS rk FROM {{grid}} g JOIN {{obs}} o ON g.unit_id = o.unit_id),
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {{obs}}), s AS (SELECT grp, feature_id, sum(rk) AS s, CAST(count(*) AS DOUBLE) AS k FROM r GROUP BY grp, feature_id),
-z AS (SELECT grp, feature_id, round((s - k * (n + {num(1)}) / {num(2)}) / sqrt(k * (n - k) * (n + {num(1)}) / {num(12)}), 6) AS z FROM s CROSS JOIN n WHERE k < n),
-t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, feature_id) AS place FROM z)
+    {expr}(unit_id, feature_id, value), absent values being zeros, and {obs} with a column grp."""
+    return f"""WITH v AS (SELECT DISTINCT CAST(grp AS STRING) AS a, CAST(NULL AS STRING) AS b FROM {{obs}}),
+{_rank_sums('v').replace('{obs}', '(SELECT unit_id, CAST(grp AS STRING) AS grp FROM {obs})')},
+q AS (SELECT a AS grp, feature_id, round((rank_sum - n1 * (n1 + n0 + {num(1)}) / {num(2)}) / sqrt(n1 * n0 * (n1 + n0 + {num(1)}) / {num(12)}), 6) AS z FROM s WHERE n1 > 0 AND n0 > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, feature_id) AS place FROM q)
 SELECT grp, feature_id, z, CAST(place AS BIGINT) AS place FROM t WHERE place <= {top}"""
 
 
+def group_differences() -> str:
+    """Every feature between the groups of {pairs}(a, b; b null for all others): rank-sum z (no tie correction), log2 ratio of
+    mean linear values from log1p values, and the share of a's units that have it. Over {expr} and {obs}(unit_id, grp string)."""
+    fold = f"ln((exp(m1) - {num(1)} + {num(1e-9)}) / (exp(m0) - {num(1)} + {num(1e-9)})) / ln({num(2)})"
+    return f"""WITH {_rank_sums('{pairs}')}
+SELECT a, b, feature_id, (rank_sum - n1 * (n1 + n0 + {num(1)}) / {num(2)}) / sqrt(n1 * n0 * (n1 + n0 + {num(1)}) / {num(12)}) AS z, {fold} AS log2fc, seen FROM s WHERE n1 > 0 AND n0 > 0"""
+
+
 def design_matrix(paired: bool) -> str:
     """The design of {units}(unit, sample, treated 0/1) in long form (unit, term, x): intercept, treatment, and, if the
     samples are paired, one column for each sample but the first. Zeros are left out."""

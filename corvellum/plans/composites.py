@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.functions.dist import t_p
+from corvellum.functions.dist import t_p, z_p
 from corvellum.operators import compare, enrich, inference, learn, matrix, prose_checks, sampling, structure
 from corvellum.plans.catalogues import CATALOGUES
 from corvellum.plans.report import card, record, run_summary
@@ -59,29 +59,89 @@ def features_stage(expr: DataFrame, obs: DataFrame, n_top: int) -> tuple[dict[st
     ]
 
 
-def cluster_stage(vec: DataFrame, batches: DataFrame | None = None, k: int = 10, resolutions: tuple[float, ...] = (0.3, 1.0), boots: int = 2) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Graph, communities at several resolutions, their stability under 80 % resamples, and the one picked."""
-    graph = structure.shared_neighbour_graph(structure.nearest(vec, k)).persist()
-    found, rows = {}, []
+def _differences(expr: DataFrame, clusters: DataFrame, pairs: DataFrame, padj: float) -> DataFrame:
+    """`compare.group_differences` of clusters, with BH within each pair."""
+    obs = clusters.select("unit_id", F.col("cluster").cast("string").alias("grp"))
+    d = apply(compare.group_differences(), expr=expr, obs=obs, pairs=pairs).withColumn("p", z_p(F.col("z"))).withColumn("pair", F.concat_ws(" ", "a", "b")).withColumn("id", F.concat_ws("\u0001", "pair", "feature_id")).persist()
+    q = apply(inference.multiplicity("pair", padj), p=d.select("id", "pair", "p")).select("id", "bh", "bh_called")
+    return d.join(q, "id").select("a", "b", "feature_id", "z", "log2fc", "seen", "bh", "bh_called")
+
+
+def cluster_stage(
+    vec: DataFrame, batches: DataFrame | None = None, expr: DataFrame | None = None, k: int = 15, resolutions: tuple[float, ...] = (0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 1.5, 2.0), boots: int = 5, share: float = 0.8, rounds: int = 8,
+    min_stability: float = 0.8, min_cells: int = 10, min_share: float = 0.005, max_share: float = 0.5, min_jaccard: float = 0.6, min_markers: int = 5, log2fc: float = 0.5, padj: float = 0.01, min_seen: float = 0.25, min_pair: int = 10,
+) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Communities at several resolutions, their stability under resamples of the units, the finest one that is stable and
+    whose neighbouring clusters differ, and what makes its clusters. ``vec`` is (id, unit_id, v); ``expr`` has the selected
+    features' log values for markers, ``batches`` (id, batch). Graphs of resamples are made once for all resolutions.
+    """
+    spark, what = vec.sparkSession, CATALOGUES["cluster"]
+    note = lambda check, status, found, why: record(check, status, what[check], found, why)
+    n = vec.count()
+    smallest = max(min_cells, -(-n * min_share // 1))
+    points, names = vec.select("id", "v"), vec.select("id", "unit_id")
+    label = lambda edges, r, seed: structure.kept(structure.communities(edges, r, rounds, seed))
+    graph = structure.kept(structure.shared_neighbour_graph(structure.nearest(points, k)))
+    whole = {r: label(graph, r, 0) for r in resolutions}
+    agree: dict[float, list[float]] = {r: [] for r in resolutions}
+    found = {r: spark.createDataFrame([], "cluster string, jaccard double") for r in resolutions}
+    for b in range(boots):
+        part = points.where(F.pmod(F.xxhash64(F.lit(b), "id"), F.lit(1000)) < int(1000 * share))
+        sub = structure.kept(structure.shared_neighbour_graph(structure.nearest(part, k)))
+        for r in resolutions:
+            both = whole[r].select("id", F.col("cluster").alias("a")).join(label(sub, r, b + 1).select("id", F.col("cluster").alias("b")), "id").persist()
+            agree[r].append(apply(inference.adjusted_rand(), labels=both).first().ari or 0.0)
+            found[r] = found[r].union(apply(inference.best_jaccard(), labels=both).select("a", "jaccard"))
+    median = lambda xs: float(sorted(xs)[len(xs) // 2] if len(xs) % 2 else sum(sorted(xs)[len(xs) // 2 - 1 : len(xs) // 2 + 1]) / 2) if xs else 0.0
+    rows, distinct = [], {}
     for r in resolutions:
-        whole = structure.communities(graph, r, rounds=8).persist()
-        agree = []
-        for b in range(boots):
-            part = vec.where(F.pmod(F.xxhash64(F.lit(b), "id"), F.lit(5)) != 0)
-            sub = structure.communities(structure.shared_neighbour_graph(structure.nearest(part, k)), r, rounds=8)
-            both = whole.select("id", F.col("cluster").alias("a")).join(sub.select("id", F.col("cluster").alias("b")), "id")
-            agree.append(apply(inference.adjusted_rand(), labels=both).first().ari or 0.0)
-        sizes = [x["count"] for x in whole.groupBy("cluster").count().collect()]
-        found[r] = whole
-        rows.append((float(r), len(sizes), float(sum(agree) / max(len(agree), 1)), int(min(sizes)), True))
-    scan = vec.sparkSession.createDataFrame(rows, "resolution double, n_clusters int, stability double, min_size int, distinct boolean")
-    pick = structure.picked_resolution(scan)
-    out = {"scan": scan, "clusters": found[pick if pick is not None else resolutions[0]]}
-    notes = [record("resolution", "PASS" if pick is not None else "WARN", "finest stable resolution", str(pick), "clusters that come and go are not groups")]
+        size = whole[r].groupBy("cluster").count().agg(F.count("*").alias("n"), F.min("count").alias("least"), F.max("count").alias("most")).first()
+        sil = structure.silhouette(points, whole[r].select("id", F.col("cluster").alias("label"))).agg(F.avg("silhouette")).first()[0] if size.n > 1 else None
+        rows.append([float(r), int(size.n), median(agree[r]), float(min(agree[r], default=0.0)), int(size.least), float(size.most / n), sil])
+    named = {r: whole[r].join(names, "id") for r in resolutions}
+    between = lambda r: structure.nearest_centroids(points, whole[r].select("id", F.col("cluster").alias("label")))
+
+    def separating(r: float) -> dict[tuple[str, str], int]:
+        d = _differences(expr, named[r], between(r), padj).where((F.abs("log2fc") >= log2fc) & F.col("bh_called"))
+        got = {(x.a, x.b): x["count"] for x in d.groupBy("a", "b").count().collect()}
+        return {(x.a, x.b): got.get((x.a, x.b), 0) for x in between(r).collect()}
+
+    close: dict[float, dict] = {}
+    for r, k_, stable, _, least, *_ in sorted(rows, reverse=True):
+        if expr is not None and k_ >= 2 and stable >= min_stability and least >= smallest:
+            close[r] = separating(r)
+            distinct[r] = min(close[r].values(), default=min_pair) >= min_pair
+            if distinct[r]:
+                break
+    scan = spark.createDataFrame([(*x, distinct.get(x[0])) for x in rows], "resolution double, n_clusters int, stability double, stability_min double, min_size int, max_share double, silhouette double, distinct boolean")
+    pick = structure.picked_resolution(scan, min_stability, smallest)
+    pick = pick if pick is not None else resolutions[0]
+    _, n_clusters, stable, worst, least, most, _ = next(x for x in rows if x[0] == pick)
+    good = n_clusters >= 2 and stable >= min_stability and least >= smallest and distinct.get(pick) is not False
+    weak = found[pick].groupBy("cluster").agg(F.avg("jaccard").alias("j")).where(F.col("j") < min_jaccard).count()
+    limit = max(2, min(60, n // 20))
+    notes = [
+        note("representation used", "INFO", f"{n} units, {k} neighbours", "clusters are groups in these components"),
+        note("resolution chosen from the data", "INFO" if good else "WARN", f"{pick}: {n_clusters} clusters", "clusters that come and go are not groups"),
+        note("chosen resolution is stable", "PASS" if stable >= min_stability else "WARN", f"agreement {stable:.2f}, at worst {worst:.2f}, over {boots} resamples", "other units would give other clusters"),
+        note("cluster count", "PASS" if 2 <= n_clusters <= limit else "WARN", f"{n_clusters}, plausible 2 to {limit}", "very many or one mean nothing"),
+        note("no tiny clusters", "PASS" if least >= smallest else "WARN", f"smallest has {least}, limit {smallest:.0f}", "a few cells can't be told from chance"),
+        note("no dominant cluster", "PASS" if most <= max_share else "WARN", f"largest holds {most:.2f}", "it may hide groups"),
+        note("per-cluster stability", "WARN" if weak else "PASS", f"{weak} clusters recovered under {min_jaccard}", "they may be artefacts"),
+    ]
+    out = {"scan": scan, "clusters": named[pick].select("id", "unit_id", "cluster")}
+    if expr is not None and n_clusters >= 2:
+        few = {p: c for p, c in (close[pick] if pick in close else separating(pick)).items() if c < min_pair}
+        notes.append(note("neighboring clusters distinguishable", "WARN" if few else "PASS", f"{len(few)} pairs with under {min_pair} genes between them", "they may be one"))
+        everyone = out["clusters"].select(F.col("cluster").alias("a")).distinct().withColumn("b", F.lit(None).cast("string"))
+        d = _differences(expr, out["clusters"], everyone, padj)
+        out["markers"] = d.where((F.col("log2fc") >= log2fc) & F.col("bh_called") & (F.col("seen") >= min_seen) & (F.col("z") > 0)).select(F.col("a").alias("cluster"), "feature_id", "z", "log2fc", "bh", "seen")
+        bare = everyone.join(out["markers"].groupBy(F.col("cluster").alias("a")).agg(F.count("*").alias("m")), "a", "left").where(F.coalesce("m", F.lit(0)) < min_markers).count()
+        notes.append(note("cluster markers", "WARN" if bare else "PASS", f"{bare} clusters with under {min_markers}", "a cluster without markers can't be named"))
     if batches is not None:
         mixed = apply(inference.batch_dominance(), rows=out["clusters"].join(batches, "id").select("cluster", "batch"))
-        n = mixed.where("dominated").count()
-        notes.append(record("batch", "WARN" if n else "PASS", "clusters of one batch", str(n), "a cluster of one batch may be that batch"))
+        single = mixed.where("dominated").count()
+        notes.append(note("batch mixing within clusters", "WARN" if single else "PASS", f"{single} clusters of one batch", "such a cluster may be that batch"))
     return out, notes
 
 

@@ -88,6 +88,14 @@ UNION ALL SELECT 'cell ID sets match metadata', CASE WHEN count(*) = 0 THEN 'PAS
 UNION ALL SELECT 'column order vs metadata', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = a.id AND c.c_mktsegment = a.label)""",
     "first_of_each": "SELECT id, row_number() OVER (ORDER BY pos, id) AS place FROM (SELECT l_suppkey AS id, min(l_linenumber + 10 * l_orderkey) AS pos FROM lineitem GROUP BY l_suppkey)",
     "ranked_list": "SELECT upper(p_brand) AS feature_id, max(p_retailprice) - 1400 AS stat FROM part GROUP BY upper(p_brand)",
+    # ranks over the whole table of units by features, zeros written out
+    "rank_sum_markers": """WITH e AS (SELECT l_suppkey AS u, p_brand AS f, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+o AS (SELECT s_suppkey AS u, CAST(n_regionkey AS VARCHAR) AS grp FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT o.u, o.grp, f.f, coalesce(e.v, 0) AS v FROM o CROSS JOIN (SELECT DISTINCT f FROM e) f LEFT JOIN e ON e.u = o.u AND e.f = f.f),
+r AS (SELECT *, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0::DOUBLE AS rk FROM g),
+s AS (SELECT grp, f, sum(rk) AS s, CAST(count(*) AS DOUBLE) AS k, (SELECT CAST(count(*) AS DOUBLE) FROM o) AS n FROM r GROUP BY grp, f),
+z AS (SELECT grp, f AS feature_id, round((s - k * (n + 1) / 2) / sqrt(k * (n - k) * (n + 1) / 12), 6) AS z FROM s WHERE k < n)
+SELECT grp, feature_id, z, place FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, feature_id) AS place FROM z) WHERE place <= 5""",
     "concordance": f"""WITH s AS (SELECT a.effect AS x, b.effect AS y, a.padj < 0.3::DOUBLE AS c, b.padj < 0.3::DOUBLE AS d FROM ({_A}) a JOIN ({_B}) b USING (id)),
 r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM s),
 g AS (SELECT count(*) AS n, count(*) FILTER (c) AS sa, count(*) FILTER (d) AS sb, count(*) FILTER (c AND d) AS ov, count(*) FILTER (c OR d) AS one, avg(CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END) FILTER (c AND d) AS same, corr(rx, ry) AS rho FROM r)

@@ -160,5 +160,5 @@ SQL = {
     "shared_markers": fill(enrich.shared_markers(), markers=f"SELECT grp, feature_id AS gene FROM ({fill(enrich.group_scores(), expr=EXPR, obs=OBS)}) m", panel=_panel, calls="SELECT 1 AS grp, 'T1' AS label UNION ALL SELECT 2, 'T2'"),
     "findings": fill(enrich.findings(0.2), result=f"SELECT ptype, feature, effect, abs(effect) AS padj FROM ({fill(compare.paired_t('F', 'O'), logs=_logs)}) r", consistency=fill(compare.direction_consistency("F", "O"), logs=_logs)),
     "nb_wald": fill(compare.nb_wald("F", "O"), bulk=_bulk),
-    "rank_sum_markers": fill(compare.rank_sum_markers(), grid=_grid, obs=OBS),
+    "rank_sum_markers": fill(compare.rank_sum_markers(), expr=EXPR, obs=OBS),
 }

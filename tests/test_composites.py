@@ -116,3 +116,21 @@ def test_expectations_on_units(spark):
     obs = [(f"u{u}", "t", "x" if u < 20 else "y" if u < 40 else "z") for u in range(60)]
     got = apply(enrich.unit_expectations(), rules=spark.createDataFrame(rules, "expectation string, kind string, col string, grp string, against string, direction string, min_fraction double, low double, high double"), wanted=spark.createDataFrame(wanted, "expectation string, feature_id string"), expr=spark.createDataFrame(expr, "unit_id string, feature_id string, value double"), obs=spark.createDataFrame(obs, "unit_id string, col string, grp string"), hits=spark.createDataFrame([("x", "Wnt signalling")], "grp string, term string"))
     assert {r.expectation: r.status for r in got.collect()} == {"up": "met", "against": "met", "not up": "not met", "down": "met", "third": "met", "half": "not met", "nobody": "not testable", "no hits": "not testable", "hit": "met"}
+
+
+def test_cluster_stage(spark):
+    expr, obs = _groups(spark, 120, 90)
+    vec, width = c.scaled_vectors(expr, obs, expr.select("feature_id").distinct())
+    out, notes = c.dimred_stage(expr, obs, expr.select("feature_id").distinct(), max_pcs=6, runs=1, min_pcs=2)
+    batches = out["used"].join(obs, "unit_id").select("id", "batch")
+    tables, notes = c.cluster_stage(out["used"], batches, expr, k=10, resolutions=(0.3,), boots=1)
+    said = {r["check"]: r["status"] for r in notes}
+    assert set(said) == set(c.CATALOGUES["cluster"]) and said["no dominant cluster"] == said["batch mixing within clusters"] == "PASS"
+    found = {}
+    for r in tables["clusters"].collect():
+        found.setdefault(r.cluster, set()).add(int(r.unit_id[1:]) % 3)
+    assert len(found) >= 3 and all(len(g) == 1 for g in found.values())  # greedy moves may split a group, but join none
+    own = {}
+    for r in tables["markers"].collect():
+        own.setdefault(r.cluster, set()).add(int(r.feature_id[1:]))
+    assert all(g < set(range(30 * next(iter(found[k])), 30 * next(iter(found[k])) + 20)) | set(range(60, 90)) for k, g in own.items()) and max(map(len, own.values())) >= 15
