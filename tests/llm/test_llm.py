@@ -307,6 +307,36 @@ def test_near_duplicates(spark, sf, odd, empty):
     assert order_minhash.near_duplicate_classes(empty).count() == 0
 
 
+def test_recall_against_all_alike_pairs(spark, sf):
+    """Of all pairs of different texts that share a five-word shingle and are alike, nine in ten end in one class or more; and
+    texts of a class are connected by alike pairs."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    first, share = {}, collections.Counter()
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        first.setdefault(r.text, r.doc_id)
+    cut = {d: (t or "").lower().split() for t, d in first.items()}
+    holders = collections.defaultdict(set)
+    for d, w in cut.items():
+        for i in range(len(w) - 4):
+            holders[tuple(w[i : i + 5])].add(d)
+    for ids in holders.values():
+        share.update((a, b) for a in ids for b in ids if a < b)
+    code = {w: i for i, w in enumerate({w for ws in cut.values() for w in ws})}
+    rows = {d: np.array([code[w] for w in ws], np.int64) for d, ws in cut.items()}
+    alike = [(a, b) for a, b in share if order_minhash.alike(rows[a], rows[b], order_minhash.SIMILAR)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(docs).collect()}
+    assert len(alike) > 30 and np.mean([got[a] == got[b] for a, b in alike]) >= 0.9
+    near = collections.defaultdict(set)
+    for a, b in alike:
+        near[a].add(b), near[b].add(a)
+    for d in set(first.values()):
+        seen, left = {d}, [d]
+        while left:
+            left += (new := near[left.pop()] - seen)
+            seen |= new
+        assert got[d] in seen
+
+
 def test_no_bucket_leaves_pairs_untried(spark, monkeypatch):
     """One bucket for all: pairs of like texts among many that are unlike the bucket's centres, and texts of the next class."""
     rng = random.Random(11)
