@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import short_batches, table
+from corvellum.llm.common import chained, short_batches, table
 
 #: What a passage is in the registered query: a run of repeated sentences of so many words. A passage of 50 words that
 #: begins and ends inside sentences of its documents has about that many in whole sentences.
 PASSAGE_WORDS = 35
+#: Digests that are sent to all tasks at most; they have over one in so many of all repeated units each.
+HOT = 10_000
 STOPS = ".!?。！？"
 #: Patterns that cut a text into units and what lies between, leaving nothing out.
 UNITS = {"sentence": rf"[^\n{STOPS}]*[{STOPS}]+|[^\n{STOPS}]+|\n", "line": r"[^\n]+|\n", "paragraph": r"(?:[^\n]|\n(?!\n))+|\n+"}
@@ -65,15 +67,22 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_i
     """Occurrences that aren't the earliest: doc_id, tid, unit, start, length, words, and the earliest one kept_doc_id, kept_unit.
 
     Occurrences rank by (doc_id, digest of the text, unit), a null doc_id first. Digests are counted with partial
-    aggregation, so a unit that a third of all documents share is a few rows by then; its occurrences meet the one
-    row of its earliest in a join that splits skewed partitions. Null and empty texts have no units. Rows that repeat a
-    doc_id with the same text tie and count as one occurrence; with another text they are further occurrences. Very long
-    texts are cut whole. Other columns are ignored; an empty table gives no rows.
+    aggregation, so a unit that a third of all documents share is a few rows by then. Digests that have over one in
+    `HOT` of all repeated units, of which there can't be more than `HOT`, travel to the occurrences; occurrences of all
+    others meet their earliest one in a shuffle, in which no key is large any more. Null and empty texts have no units.
+    Rows that repeat a doc_id with the same text tie and count as one occurrence; with another text they are further
+    occurrences. Very long texts are cut whole. Other columns are ignored; an empty table gives no rows.
     """
     u = units(docs, unit, id_col, text_col)
     place = F.struct("doc_id", "tid", "unit")
-    first = u.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "kept")
-    met = u.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
+    first = chained(docs.sparkSession, u.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    most = (first.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = F.broadcast(first.where(F.col("n") > most).where(F.lit(most > 0)).select("h1", "h2", F.col("kept").alias("hot")))
+    near = u.join(hot, ["h1", "h2"], "left")
+    is_hot = F.col("hot").isNotNull()
+    near = near.withColumn("k1", F.when(is_hot, F.xxhash64("doc_id", "tid", "unit")).otherwise(F.col("h1"))).withColumn("k2", F.when(is_hot, F.lit(-1).cast("long")).otherwise(F.col("h2"))).drop("h1", "h2")
+    met = near.join(first.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "kept"), ["k1", "k2"], "left").withColumn("kept", F.coalesce("hot", "kept"))
+    met = met.where(F.col("kept").isNotNull() & ~place.eqNullSafe(F.col("kept")))
     return met.select("doc_id", "tid", "unit", "start", "length", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
 
 

@@ -69,6 +69,13 @@ def test_short_units_are_deduplicated_too(spark):
     assert out == {1: ("Menu\nHome\none two", 0), 2: ("\n漢字。", 2), 3: ("", 1)}
 
 
+def test_hot_units_are_found_alike(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, unit_dedup.repeated_units(docs).collect()))
+    monkeypatch.setattr(unit_dedup, "HOT", 20)
+    assert sorted(map(tuple, unit_dedup.repeated_units(docs).collect())) == want and len(want) > 100
+
+
 def test_a_passage_over_lines_goes_and_a_lone_line_stays(spark):
     lines = [f"The {k}th line of a passage has its own words{k}. And so has its second sentence number{k}." for k in range(4)]
     passage, lone = "\n".join(lines), "Subscribe to our newsletter now!"
