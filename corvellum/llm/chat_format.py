@@ -127,7 +127,8 @@ def format_chats(conversations: DataFrame, vocabulary: str = "") -> DataFrame:
     Turns are encoded row by row wherever they lie; only their ids meet, at the row they form. A conversation is one
     output row, so its turns do come together; nothing else does. Rows are ordered by turn (null first), then role
     and text, so ties and repeated rows have one result and all of them stay. A null text or role is empty, rows
-    with a null conv_id form one conversation, and other columns are ignored.
+    with a null conv_id form one conversation, and other columns are ignored. Texts of any length are encoded whole; an
+    empty table gives no rows. As a conversation is one row, all its ids have to fit a task.
     """
 
     @F.pandas_udf("name array<int>, ids array<int>")
@@ -149,7 +150,10 @@ def format_chats(conversations: DataFrame, vocabulary: str = "") -> DataFrame:
 
 
 def digests(formatted: DataFrame, vocabulary: str = "") -> DataFrame:
-    """What the contract asks for, read back from ids and mask alone."""
+    """One row per row of ``formatted``: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read
+    back from ids and mask alone. Ids that `format_chats` made are taken for granted; a conversation without a turn
+    has the digests of the empty text; an empty table gives no rows.
+    """
 
     @F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     def read(ids: pd.Series, mask: pd.Series) -> pd.DataFrame:

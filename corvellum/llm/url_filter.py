@@ -84,6 +84,20 @@ def _inner(c: str) -> bool:
     return "a" <= c <= "z" or "0" <= c <= "9"
 
 
+#: Terms that a vocabulary may have, as the automaton travels to every task.
+MOST_TERMS = 1_000_000
+
+
+def vocabulary(terms: DataFrame) -> tuple[list[str], list[str]]:
+    """Strict and soft terms of a table (term, strict boolean), A-Z lower-cased, for `judge_urls`; null and empty terms are left
+    out, a term that is both is strict, and a table of over `MOST_TERMS` different ones is refused."""
+    low = terms.select(F.translate("term", UPPER, LOWER).alias("term"), F.coalesce("strict", F.lit(False)).alias("strict")).where("term <> ''")
+    rows = low.groupBy("term").agg(F.max("strict").alias("strict")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of over {MOST_TERMS} terms can't travel to the tasks")
+    return sorted(r.term for r in rows if r.strict), sorted(r.term for r in rows if not r.strict)
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
@@ -96,8 +110,9 @@ def judge_urls(
     weight, verdict). No shuffle: one pass over the address column.
 
     Null or empty addresses, and those without ``://``, have an empty host and path and fit no rule; the vocabulary
-    still applies to their text. Repeated rows are judged alike, an empty table gives no rows, other columns pass
-    through untouched whatever they are called.
+    still applies to their text. Very long addresses are judged whole, in one pass of the automaton; rules that tie in
+    length can't both fit, as they would be the same rule. Repeated rows are judged alike, an empty table gives no rows, other
+    columns pass through untouched, but for one called ``url_judgement``, which gives way.
     """
     judge: list[_Judge] = []
 
@@ -111,7 +126,7 @@ def judge_urls(
     url = pages[url_col]
     low = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
     judged_as = judged(host_of(url), path_of(url), low)
-    given = list(pages.columns)
+    given = [c for c in pages.columns if c != "url_judgement"]
     out = pages.select(*[pages[f"`{c}`"] for c in given], judged_as.alias("__judged__"), host_of(url).alias("__host__"), path_of(url).alias("__path__"))
     j = F.col("__judged__")
     weight = j["strict_terms"] * STRICT_WEIGHT + j["soft_terms"] * SOFT_WEIGHT

@@ -48,6 +48,13 @@ def test_urls(spark):
     assert j[7][3] == "block" and j[8][3] == "allow" and j[9][3] == "block" and j[10][:2] == ("b:", "//c/d")
     assert all(r.verdict == "mine" for r in got.values())
     assert url_filter.judge_urls(df.where("false")).count() == 0
+    long = "http://x.com/" + "a" * 300_000 + "/xxx"
+    twice = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, "http://x.net/spiel", "b")], "page_id int, url string, url_judgement string")
+    out = url_filter.judge_urls(twice, rules=())
+    assert out.columns.count("url_judgement") == 1 and [r.url_judgement.verdict for r in out.orderBy("page_id").collect()] == ["block", "block", "allow"]
+    strict, soft = url_filter.vocabulary(spark.createDataFrame([("Spiel", True), ("spiel", False), ("a", None), (None, True), ("", True)], "term string, strict boolean"))
+    assert (strict, soft) == (["spiel"], ["a"])
+    assert [r.url_judgement.verdict for r in url_filter.judge_urls(twice, (), strict, soft).orderBy("page_id").collect()] == ["allow", "allow", "block"]
 
 
 # ---- 2 substring dedup
@@ -427,7 +434,10 @@ def test_chats(spark):
         loss = "".join(t for *_, r, t in turns if r == "assistant")
         d = read[conv]
         assert (d.n_turns, d.turns_sha256, d.loss_chars, d.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat_format.format_chats(df.where("false")).count() == 0
+    assert chat_format.format_chats(df.where("false")).count() == 0 and chat_format.digests(chat_format.format_chats(df.where("false"))).count() == 0
+    long = "word [INST] \\ " * 20_000
+    r = chat_format.digests(chat_format.format_chats(spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string"))).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (1, len(long), hashlib.sha256(long.encode()).hexdigest())
 
 
 # ---- 10 suffix arrays
@@ -471,6 +481,13 @@ def test_suffix_dedup_matches_brute_force(spark, sf, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(twice).count() == 3
 
 
+def test_suffix_dedup_on_odd_rows(spark, odd):
+    """A null id first, repeated rows as one document, a text of 60,000 words that repeats itself, clashing columns."""
+    given = {(-1 if r.doc_id is None else r.doc_id): r.text for r in odd.collect()}
+    got = {(-1 if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(odd.withColumn("kept", F.lit(1))).collect()}
+    assert got == _kept(given.items()) and got[6][1] > 0.9 * got[6][0] > 250_000
+
+
 # ---- pipeline
 
 
