@@ -31,12 +31,12 @@ def filter_impact(worst: int = 3) -> str:
     """Units that each mask removes, all together, and the samples that lose the largest share; over {masks}, {obs}."""
     return f"""WITH m AS (SELECT k.*, o.sample FROM {{masks}} k JOIN {{obs}} o ON k.unit_id = o.unit_id),
 s AS (SELECT sample, avg(CASE WHEN keep THEN {num(0)} ELSE {num(1)} END) AS lost FROM m GROUP BY sample),
-r AS (SELECT *, row_number() OVER (ORDER BY lost DESC, sample) AS i FROM s)
+r AS (SELECT sample, lost FROM s ORDER BY lost DESC, sample LIMIT {worst})
 SELECT 'too_few' AS what, CAST(count(CASE WHEN too_few THEN 1 END) AS DOUBLE) AS removed FROM m
 UNION ALL SELECT 'too_many', CAST(count(CASE WHEN too_many THEN 1 END) AS DOUBLE) FROM m
 UNION ALL SELECT 'too_special', CAST(count(CASE WHEN too_special THEN 1 END) AS DOUBLE) FROM m
 UNION ALL SELECT 'any', CAST(count(CASE WHEN NOT keep THEN 1 END) AS DOUBLE) FROM m
-UNION ALL SELECT concat('sample ', CAST(sample AS STRING)), {rounded('lost')} FROM r WHERE i <= {worst}"""
+UNION ALL SELECT concat('sample ', CAST(sample AS STRING)), {rounded('lost')} FROM r"""
 
 
 def seen_features(min_units: int) -> str:
@@ -157,10 +157,13 @@ def variable_features(n_units: str, bins: int = 20, top: int = 10) -> str:
     the log mean; bins of one feature have the score 1. ``n_units`` is an expression for the number of units."""
     return f"""WITH f AS (SELECT feature_id, sum(value) / {n_units} AS mean, (sum(value * value) - sum(value) * sum(value) / {n_units}) / ({n_units} - 1) AS var FROM {{expr}} GROUP BY feature_id),
 d AS (SELECT feature_id, ln({num(1)} + mean) AS m, ln(CASE WHEN var / greatest(mean, {num(1e-12)}) = 0 THEN NULL ELSE var / greatest(mean, {num(1e-12)}) END) AS disp FROM f),
-b AS (SELECT *, CAST(least(floor((m - min(m) OVER ()) * {num(bins)} / greatest(max(m) OVER () - min(m) OVER (), {num(1e-12)})), {num(bins - 1)}) AS INT) AS bin FROM d),
-z AS (SELECT feature_id, bin, disp, CASE WHEN count(*) OVER (PARTITION BY bin) = 1 THEN {num(1)} ELSE (disp - avg(disp) OVER (PARTITION BY bin)) / nullif(stddev_samp(disp) OVER (PARTITION BY bin), {num(0)}) END AS z FROM b),
-r AS (SELECT *, row_number() OVER (ORDER BY round(z, 9) DESC NULLS LAST, feature_id) AS i FROM z)
-SELECT feature_id, bin, {rounded('disp')} AS dispersion, {rounded('z')} AS score, CAST(i AS BIGINT) AS place FROM r WHERE i <= {top}"""
+e AS (SELECT min(m) AS lo, max(m) AS hi FROM d),
+b AS (SELECT d.*, CAST(least(floor((m - lo) * {num(bins)} / greatest(hi - lo, {num(1e-12)})), {num(bins - 1)}) AS INT) AS bin FROM d CROSS JOIN e),
+s AS (SELECT bin, count(*) AS n, avg(disp) AS mid, stddev_samp(disp) AS spread FROM b GROUP BY bin),
+z AS (SELECT feature_id, b.bin, disp, CASE WHEN n = 1 THEN {num(1)} ELSE (disp - mid) / nullif(spread, {num(0)}) END AS z FROM b JOIN s ON b.bin = s.bin),
+t AS (SELECT *, round(z, 9) AS zr FROM z ORDER BY zr DESC NULLS LAST, feature_id LIMIT {top}),
+r AS (SELECT *, row_number() OVER (ORDER BY zr DESC NULLS LAST, feature_id) AS i FROM t)
+SELECT feature_id, bin, {rounded('disp')} AS dispersion, {rounded('z')} AS score, CAST(i AS BIGINT) AS place FROM r"""
 
 
 def detected_somewhere(min_share: float = 0.25) -> str:

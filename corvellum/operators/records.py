@@ -121,4 +121,4 @@ def symmetric_limits(center: float = 0.0) -> str:
 
 def bubble_areas(most: float = 300.0) -> str:
     """Areas in proportion to {values}(id, v); negative values have none."""
-    return f"SELECT id, CASE WHEN v >= 0 THEN {rounded(f'v / nullif(max(v) OVER (), {num(0)}) * {num(most)}')} END AS area FROM {{values}}"
+    return f"SELECT id, CASE WHEN v >= 0 THEN {rounded(f'v / nullif(top, {num(0)}) * {num(most)}')} END AS area FROM {{values}} CROSS JOIN (SELECT max(v) AS top FROM {{values}}) t"

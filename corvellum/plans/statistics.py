@@ -20,7 +20,7 @@ LABELLED = "SELECT n_chars AS score, quality AS positive FROM documents JOIN lab
 REVENUE = "SELECT CAST(p_partkey AS STRING) AS feature_id, sum(l_extendedprice * (1 - l_discount)) AS stat FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey"
 BRAND_SETS = "SELECT p_brand AS term, CAST(p_partkey AS STRING) AS feature_id FROM part"
 PARTS = "SELECT CAST(p_partkey AS STRING) AS feature_id FROM part"
-TOP_PARTS = f"SELECT feature_id FROM (SELECT feature_id, row_number() OVER (ORDER BY round(stat, 2) DESC, feature_id) AS i FROM ({REVENUE}) x) y WHERE i <= 100"
+TOP_PARTS = f"SELECT feature_id FROM (SELECT feature_id, round(stat, 2) AS r FROM ({REVENUE}) x ORDER BY r DESC, feature_id LIMIT 100) y"
 DIMS = "SELECT vec_id, label, d, embedding FROM embeddings CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"
 # Checks of forty groups, one for each event; and what there could have been.
 RECORDS = """SELECT CAST(user_id % 40 AS STRING) AS grp, concat(event_type, ' ', CAST(event_id % 13 AS STRING)) AS check_name, event_id AS place,
