@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from corvellum.llm.common import chained, short_batches, table
 
 #: What a passage is in the registered query: a run of repeated sentences of so many words. A passage of 50 words that
-#: begins and ends inside sentences of its documents has about that many in whole sentences.
-PASSAGE_WORDS = 35
+#: begins and ends inside sentences of its documents loses two sentences, of about ten words each.
+PASSAGE_WORDS = 30
 #: Digests that are sent to all tasks at most; they have over one in so many of all repeated units each.
 HOT = 10_000
 STOPS = ".!?。！？"
