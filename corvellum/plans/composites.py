@@ -145,33 +145,93 @@ def cluster_stage(
     return out, notes
 
 
-def annotate_stage(expr: DataFrame, obs: DataFrame, panel: DataFrame) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Panel scores of groups and the calls made from them."""
-    stats = apply(matrix.rescaled(), stats=apply(matrix.group_stats(), expr=expr, obs=obs))
-    scores = apply(enrich.panel_scores(), stats=stats, panel=panel)
+def annotate_stage(expr: DataFrame, obs: DataFrame, panel: DataFrame, reference: DataFrame | None = None, least_seen: float = 0.05, least_named: float = 0.5) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Panel scores of groups, the calls made from them, and how well the panel carries them. ``obs`` is (unit_id, grp),
+    ``panel`` (cell_type, gene, sign); ``reference`` (unit_id, label) holds names from a labelled reference.
+
+    Suggested negatives of a type are positives that it doesn't share, of the types it is never seen with; they are given
+    out, not used: used unseen, they turn right names into ambiguous ones.
+    """
+    what = CATALOGUES["annotate"]
+    note = lambda check, status, found, why: record(check, status, what[check], found, why)
+    stats = apply(matrix.rescaled(), stats=apply(matrix.group_stats(), expr=expr, obs=obs)).persist()
+    scores = apply(enrich.panel_scores(), stats=stats, panel=panel).persist()
     sized = scores.join(obs.groupBy("grp").agg(F.count("*").alias("n_cells")), "grp")
-    calls = apply(enrich.called_types(), scores=sized)
-    named = calls.where("label NOT IN ('ambiguous', 'unassigned')").count()
-    return {"scores": scores, "calls": calls}, [record("named", "PASS" if named else "WARN", "groups with a name", str(named), "groups without one need better markers")]
+    calls = apply(enrich.called_types(), scores=sized).join(obs.groupBy("grp").agg(F.count("*").alias("n_cells")), "grp").persist()
+    seen = stats.groupBy(F.upper("feature_id").alias("gene")).agg(F.max("detected").alias("top"))
+    genes = panel.select("cell_type", F.upper(F.trim("gene")).alias("gene"), "sign").distinct().join(seen, "gene", "left").persist()
+    each = genes.groupBy("cell_type").agg(*[F.count(F.when((F.col("sign") == "+") & x, 1)).alias(n) for n, x in (("given", F.lit(True)), ("present", F.col("top").isNotNull()), ("usable", F.col("top") >= least_seen))], F.count(F.when(F.col("sign") == "-", 1)).alias("negatives"))
+    f = each.agg(F.count("*").alias("types"), *[F.count(F.when(x, 1)).alias(n) for n, x in (("absent", F.col("present") == 0), ("lone", F.col("given") < 2), ("thin", (F.col("usable") < F.least(F.lit(3), "given")) | (F.col("usable") < 2)), ("open", F.col("negatives") == 0))]).first()
+    sparse = genes.where((F.col("sign") == "+") & (F.col("top") < least_seen)).select("gene").distinct().count()
+    named = calls.where("tier IN ('confident', 'probable')")
+    tiers = {r.tier: r["count"] for r in calls.groupBy("tier").count().collect()}
+    cells = calls.agg(F.sum(F.when(F.col("tier").isin("confident", "probable"), F.col("n_cells")).otherwise(0)).alias("named"), F.sum("n_cells").alias("n")).first()
+    share = (cells.named or 0) / max(cells.n or 0, 1)
+    conflicts = named.join(scores, (named["grp"] == scores["grp"]) & (named["label"] == scores["cell_type"])).where("negatives_on > 0").count()
+    markers = apply(enrich.group_scores(50), expr=expr, obs=obs).select("grp", F.col("feature_id").alias("gene"))
+    bare = apply(enrich.shared_markers(), markers=markers, panel=panel, calls=named.select("grp", "label")).where("n_shared = 0").count()
+    twice = named.groupBy("label").count().where("count > 1").count()
+    unfound = each.join(named.select(F.col("label").alias("cell_type")), "cell_type", "left_anti").count()
+    positives = genes.where("sign = '+'").select("cell_type", "gene")
+    others = positives.alias("o").join(each.select("cell_type").alias("t"), F.col("o.cell_type") != F.col("t.cell_type")).select(F.col("t.cell_type").alias("cell_type"), "o.gene").distinct()
+    suggested = others.join(positives, ["cell_type", "gene"], "left_anti").join(genes.where("sign = '-'").select("cell_type", "gene"), ["cell_type", "gene"], "left_anti")
+    notes = [
+        note("marker panel", "WARN" if f.absent else "PASS", f"{f.absent} of {f.types} types have no marker in the data", "they can't be called"),
+        note("panel strength", "WARN" if f.lone else "PASS", f"{f.lone} types with one marker", "one gene is no evidence"),
+        note("enough usable markers", "WARN" if f.thin else "PASS", f"{f.thin} types with too few", "they score 0"),
+        note("sparse panel genes", "INFO", f"{sparse} set aside", "genes that are hardly ever seen say nothing"),
+        note("negative markers", "INFO" if f.open else "PASS", f"{f.open} types without any", "without them mixed groups pass for pure ones"),
+        note("annotation tiers", "INFO", ", ".join(f"{k} {v}" for k, v in sorted(tiers.items())), "not all names are equally sure"),
+        note("cells named", "PASS" if share >= least_named else "WARN", f"{share:.2f} of the cells", "the others need better markers"),
+        note("negative marker conflicts", "WARN" if conflicts else "PASS", f"{conflicts} named groups", "the group may be mixed"),
+        note("data-driven marker support", "WARN" if bare else "PASS", f"{bare} named groups without a shared marker", "panel and data disagree"),
+        note("same type in several clusters", "INFO", f"{twice} names", "subtypes, states, or one type split"),
+        note("panel types not found", "INFO", f"{unfound} types", "absent, or not told apart"),
+    ]
+    if reference is not None:
+        votes = apply(inference.majority_label(), rows=obs.join(reference, "unit_id").select(F.col("grp").alias("cluster"), "label")).select(F.col("cluster").alias("grp"), F.col("label").alias("vote"))
+        said = named.join(votes, "grp").agg(F.count("*").alias("n"), F.count(F.when(F.lower("label") == F.lower("vote"), 1)).alias("same")).first()
+        notes.append(note("reference agreement", "INFO" if not said.n else "PASS" if said.same >= 0.5 * said.n else "WARN", f"{said.same} of {said.n} named groups", "two ways to a name that agree are better than one"))
+    return {"scores": scores, "calls": calls, "suggested_negatives": suggested, "panel_use": each}, notes
 
 
-def compare_stage(cells: DataFrame, ref: str, test: str, alpha: float = 0.05) -> tuple[dict[str, DataFrame], list[dict]]:
+def compare_stage(cells: DataFrame, ref: str, test: str, alpha: float = 0.05, least_consistent: float = 0.75) -> tuple[dict[str, DataFrame], list[dict]]:
     """Gate, then shares, pseudobulk test with BH, swap null and consistency; a failed gate ends it before any test."""
+    what = CATALOGUES["compare"]
+    note = lambda check, status, found, why: record(check, status, what[check], found, why)
     gate = apply(compare.design_gate(ref, test), cells=cells).first()
+    sides = {r.condition: r["count"] for r in cells.where(F.col("condition").isin(ref, test)).groupBy("condition").count().collect()}
     notes = [
-        record("replicates", gate.replicates, "units per condition", f"{gate.n_ref} and {gate.n_test}", "one unit can't show spread"),
-        record("batch", gate.batch, "batches of one condition only", gate.batch, "batch and condition can't be told apart then"),
+        note("groups", "PASS" if len(sides) == 2 else "FAIL", f"{sides}", "two are needed"),
+        note("replicates", gate.replicates, f"{gate.n_ref} and {gate.n_test}", "one unit can't show spread"),
+        note("condition vs batch", gate.batch, gate.batch, "batch and condition can't be told apart then"),
     ]
-    if "FAIL" in (gate.replicates, gate.batch):
+    if "FAIL" in (notes[0]["status"], gate.replicates, gate.batch):
         return {}, notes
     logs = apply(compare.log_cpm(), bulk=apply(compare.pseudobulk(), cells=cells)).persist()
     result = apply((compare.paired_t if gate.paired else compare.pooled_t)(ref, test), logs=logs).withColumn("p", t_p(F.col("t_stat"), F.col("df")))
-    result = result.withColumn("id", F.concat_ws(" ", "ptype", "feature"))
+    result = result.withColumn("id", F.concat_ws(" ", "ptype", "feature")).persist()
     called = apply(inference.multiplicity("ptype", alpha), p=result.select("id", "ptype", "p")).select("id", "ptype", "bh", "bh_called")
+    result = result.join(called, ["id", "ptype"]).persist()
     one = logs.select("sample", "condition", F.concat_ws(" ", "ptype", "feature").alias("feature"), "v")
-    null = sampling.swap_null(one, ref, test)
+    null = sampling.swap_null(one, ref, test).persist()
     shares = apply(compare.type_shares(), cells=cells)
-    return {"result": result.join(called, ["id", "ptype"]), "shares": shares, "abundance": apply(compare.abundance_logit(ref, test), shares=shares), "consistency": apply(compare.direction_consistency(ref, test), logs=logs), "swap_null": null}, notes
+    consistency = apply(compare.direction_consistency(ref, test), logs=logs).persist()
+    every, tested = cells.select("ptype").distinct().count(), result.select("ptype").distinct().count()
+    one_sided = apply(prose_checks.followers(), rows=cells.select(F.col("ptype").alias("grp"), "condition")).count()
+    clusters = apply(prose_checks.followers(), rows=cells.select("grp", "condition")).count()
+    swap = null.agg(F.median("called").alias("mid"), F.max("tested").alias("n")).first()
+    shaky = consistency.where(F.col("consistency") < least_consistent).count()
+    notes += [
+        note("pairing", "INFO", "samples are compared with themselves" if gate.paired else "samples are of one condition each", "pairs take differences of samples out"),
+        note("clusters follow condition", "WARN" if clusters else "PASS", f"{clusters} clusters", "the condition may have made the cluster"),
+        note("cell types follow condition", "WARN" if one_sided else "PASS", f"{one_sided} types", "the name may stand for the condition"),
+        note("testable cell types", "PASS" if tested == every else "WARN" if tested else "FAIL", f"{tested} of {every}", "the others have too few cells or samples"),
+        note("differential expression", "INFO", f"{result.where('bh_called').count()} of {result.count()} called", "counted at the corrected level"),
+        note("null check", "INFO" if swap.mid is None else "PASS" if swap.mid <= 0.01 * swap.n else "WARN", f"median {swap.mid} of {swap.n} under swapped labels", "calls there are false"),
+        note("sample consistency", "WARN" if shaky else "PASS", f"{shaky} types under {least_consistent}", "a few samples may carry the mean"),
+    ]
+    return {"result": result, "shares": shares, "abundance": apply(compare.abundance_logit(ref, test), shares=shares), "consistency": consistency, "swap_null": null}, notes
 
 
 def interpret_stage(result: DataFrame, ranked: DataFrame, sets: DataFrame, background: DataFrame, n_perm: int = 1500) -> dict[str, DataFrame]:

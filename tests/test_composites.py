@@ -26,7 +26,8 @@ def test_compare_gate_and_effect(spark):
     cells = spark.createDataFrame(rows, "sample string, condition string, batch string, grp string, ptype string, feature string, value double")
     tables, notes = c.compare_stage(cells, "c", "s")
     called = {r.feature for r in tables["result"].where("bh_called AND effect > 0.3").collect()}
-    assert called == {"G0", "G1"} and all(n["status"] == "PASS" for n in notes)
+    said = {n["check"]: n["status"] for n in notes}
+    assert called == {"G0", "G1"} and set(said) <= set(c.CATALOGUES["compare"]) and all(said[k] == "PASS" for k in ("groups", "replicates", "condition vs batch", "testable cell types", "null check", "cell types follow condition"))
     split = cells.withColumn("batch", F.col("condition"))
     assert c.compare_stage(split, "c", "s")[0] == {}
 
@@ -134,3 +135,19 @@ def test_cluster_stage(spark):
     for r in tables["markers"].collect():
         own.setdefault(r.cluster, set()).add(int(r.feature_id[1:]))
     assert all(g < set(range(30 * next(iter(found[k])), 30 * next(iter(found[k])) + 20)) | set(range(60, 90)) for k, g in own.items()) and max(map(len, own.values())) >= 15
+
+
+def test_annotate_stage(spark):
+    rng = np.random.default_rng(3)
+    on = {"0": range(0, 5), "1": range(10, 15), "2": range(20, 25), "3": []}
+    expr = [(f"{g}_{u}", f"G{x}", float(v)) for g, own in on.items() for u in range(30) for x in range(30) if (v := np.log1p(rng.poisson(5 if x in own else 0.2)))]
+    obs = spark.createDataFrame([(f"{g}_{u}", g) for g in on for u in range(30)], "unit_id string, grp string")
+    panel = spark.createDataFrame([(f"T{t + 1}", f"g{x}", "+") for t in range(3) for x in range(10 * t, 10 * t + 5)] + [("T1", "G20", "-"), ("T9", "G99", "+")], "cell_type string, gene string, sign string")
+    reference = spark.createDataFrame([(f"{g}_{u}", f"T{int(g) + 1}") for g in "012" for u in range(30)], "unit_id string, label string")
+    tables, notes = c.annotate_stage(spark.createDataFrame(expr, "unit_id string, feature_id string, value double"), obs, panel, reference)
+    assert {r.grp: r.label for r in tables["calls"].collect()} == {"0": "T1", "1": "T2", "2": "T3", "3": "unassigned"}
+    said = {n["check"]: n["status"] for n in notes}
+    assert set(said) == set(c.CATALOGUES["annotate"]) - {"pretrained annotation tools"}
+    assert said["marker panel"] == said["panel strength"] == said["enough usable markers"] == "WARN"
+    assert said["cells named"] == said["negative marker conflicts"] == said["data-driven marker support"] == said["reference agreement"] == "PASS"
+    assert {r.gene for r in tables["suggested_negatives"].where("cell_type = 'T1'").collect()} == {f"G{x}" for x in (*range(10, 15), *range(21, 25), 99)}
