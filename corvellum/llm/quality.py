@@ -4,9 +4,9 @@ Everything is DataFrame functions. A document is kept if no heuristic fails and
 the multinomial of the trusted documents to that of the whole corpus, is at least a threshold that held-out trusted
 documents set.
 
-N-grams are single words and pairs of neighbours, hashed into buckets whose number follows the size of the corpus up to
-`MOST_BUCKETS`, which bounds the model: 131,072 doubles, 1 MB, reach the tasks as a scalar subquery. Counts cover every
-n-gram of every document.
+N-grams are single words and pairs of neighbours, hashed into buckets whose number grows with the size of the corpus, at
+every size: as its cube root, so the model, which reaches the tasks as a scalar subquery, is 2 MB for a GB of text and
+95 MB for 100 TB. Counts cover every n-gram of every document.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from corvellum.llm.common import WORD, chained, table, words
 
-#: Buckets are the least power of two that is the number of characters over `BUCKET_CHARS`, between these bounds.
-LEAST_BUCKETS, MOST_BUCKETS, BUCKET_CHARS = 1 << 14, 1 << 17, 256
+#: Buckets are so many times the cube root of the number of characters; there is no upper bound.
+BUCKETS_PER_ROOT = 256
 SMOOTHING = 1.0
 #: Trusted documents that are used at most: those with the smallest hashes of doc_id. Only this sample is bounded, so
 #: that its ids can be broadcast; the raw model covers every document. One half gives the target model, the other half,
@@ -102,7 +102,7 @@ def _scored(docs: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
 def n_buckets(docs: DataFrame, text_col: str = "text") -> int:
     """Buckets for this corpus."""
     chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
-    return max(LEAST_BUCKETS, min(MOST_BUCKETS, 1 << max(chars // BUCKET_CHARS - 1, 0).bit_length()))
+    return max(1, round(BUCKETS_PER_ROOT * chars ** (1 / 3)))
 
 
 def some_trusted(trusted: DataFrame) -> DataFrame:

@@ -374,6 +374,7 @@ def test_quality(spark, sf, odd, empty):
     assert 0.3 < np.mean(list(half.values())) < 0.7 and set(half) == {r.doc_id for r in trusted.collect()}
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     n = quality.n_buckets(docs)
+    assert quality.n_buckets(docs.unionAll(docs)) > n  # what is gathered grows with the corpus at every size
     raw, target, grams = collections.Counter(), collections.Counter(), {}
     cut = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in texts.items()}
     one = {r.w: r.h for r in spark.createDataFrame([(w,) for w in sorted({w for ws in cut.values() for w in ws})], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
