@@ -54,13 +54,14 @@ SELECT {rounded(correlation('u', 'v'))} AS pearson, {rounded(correlation('ru', '
 
 
 def icc() -> str:
-    """Intraclass correlation from one-way mean squares, design effect and effective number, over {rows}(cluster, value)."""
+    """Intraclass correlation from one-way mean squares, design effect and effective number, over {rows}(cluster, value);
+    null where there are too few clusters or values."""
     return f"""WITH g AS (SELECT cluster, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, sum(value * value) AS q FROM {{rows}} WHERE value IS NOT NULL GROUP BY cluster),
 t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm, sum(n * n) AS n2, sum(q - n * m * m) AS ssw FROM g),
 b AS (SELECT sum(g.n * (g.m - t.gm) * (g.m - t.gm)) AS ssb FROM g CROSS JOIN t),
-v AS (SELECT t.n, t.k, ssb / (k - 1) AS msb, ssw / (n - k) AS msw, (n - n2 / n) / (k - 1) AS n0 FROM t CROSS JOIN b)
-SELECT {rounded(f'(msb - msw) / (msb + (n0 - {num(1)}) * msw)')} AS icc, {rounded(f'{num(1)} + (n / k - {num(1)}) * (msb - msw) / (msb + (n0 - {num(1)}) * msw)')} AS design_effect,
- {rounded(f'n / ({num(1)} + (n / k - {num(1)}) * (msb - msw) / (msb + (n0 - {num(1)}) * msw))')} AS effective_n FROM v"""
+v AS (SELECT t.n, t.k, ssb / nullif(k - 1, 0) AS msb, ssw / nullif(n - k, 0) AS msw, (n - n2 / nullif(n, 0)) / nullif(k - 1, 0) AS n0 FROM t CROSS JOIN b),
+w AS (SELECT n, n / nullif(k, 0) AS size, (msb - msw) / nullif(msb + (n0 - {num(1)}) * msw, 0) AS icc FROM v)
+SELECT {rounded('icc')} AS icc, {rounded(f'{num(1)} + (size - {num(1)}) * icc')} AS design_effect, {rounded(f'n / nullif({num(1)} + (size - {num(1)}) * icc, 0)')} AS effective_n FROM w"""
 
 
 def welch(by: str = "grp") -> str:
@@ -87,7 +88,7 @@ def missingness(columns: tuple[str, ...], by: str) -> str:
 
 def funnel(column: str) -> str:
     """Kept share and standardised mean difference between {eligible} and {analysed}."""
-    return f"""SELECT e.n AS eligible, a.n AS analysed, {rounded(f'{num(100)} * a.n / e.n', 3)} AS kept_percent, {rounded('e.m')} AS mean_eligible, {rounded('a.m')} AS mean_analysed, {rounded('e.md')} AS median_eligible, {rounded('a.md')} AS median_analysed,
+    return f"""SELECT e.n AS eligible, a.n AS analysed, {rounded(f'{num(100)} * a.n / nullif(e.n, 0)', 3)} AS kept_percent, {rounded('e.m')} AS mean_eligible, {rounded('a.m')} AS mean_analysed, {rounded('e.md')} AS median_eligible, {rounded('a.md')} AS median_analysed,
  {rounded(f'(a.m - e.m) / nullif(e.s, {num(0)})')} AS smd FROM (SELECT count(*) AS n, avg({column}) AS m, median({column}) AS md, stddev_samp({column}) AS s FROM {{eligible}}) e CROSS JOIN (SELECT count(*) AS n, avg({column}) AS m, median({column}) AS md FROM {{analysed}}) a"""
 
 

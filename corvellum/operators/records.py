@@ -78,11 +78,15 @@ MATRIX_WORDS = ("count", "matrix", "expression", "tpm", "fpkm", "rpkm", ".h5", "
 CODE_ENDINGS = (".py", ".r", ".rmd", ".ipynb", ".sh", ".smk")
 
 
-def file_roles() -> str:
-    """The role of each file of {files}(name), by its ending or words in it."""
+def _kept(names: tuple[str, ...]) -> str:
+    return "".join(f", {n}" for n in names)
+
+
+def file_roles(keep: tuple[str, ...] = ()) -> str:
+    """The role of each file of {files}(name), by its ending or words in it; further columns can be kept."""
     has = lambda ws: " OR ".join(f"instr(lower(name), '{x}') > 0" for x in ws)
     end = lambda ws: " OR ".join(f"endswith(lower(name), '{x}')" for x in ws)
-    return f"SELECT name, CASE WHEN {end(RAW_ENDINGS)} THEN 'raw_reads' WHEN {has(SAMPLE_WORDS)} THEN 'sample_metadata' WHEN {has(MATRIX_WORDS)} THEN 'processed_matrix' WHEN {end(CODE_ENDINGS)} OR {has(('snakefile',))} THEN 'code' ELSE 'unknown' END AS role FROM {{files}}"
+    return f"SELECT name, CASE WHEN {end(RAW_ENDINGS)} THEN 'raw_reads' WHEN {has(SAMPLE_WORDS)} THEN 'sample_metadata' WHEN {has(MATRIX_WORDS)} THEN 'processed_matrix' WHEN {end(CODE_ENDINGS)} OR {has(('snakefile',))} THEN 'code' ELSE 'unknown' END AS role{_kept(keep)} FROM {{files}}"
 
 
 def spec_curve(thresholds: tuple[float, ...], drop: tuple[float, ...]) -> str:
@@ -99,9 +103,9 @@ def design_fields() -> str:
     return f"SELECT id, trim(concat({', '.join(blank(c) for c in ('question', 'unit', 'comparison', 'outcome', 'decision'))})) AS missing FROM {{designs}}"
 
 
-def evidence_manifest() -> str:
-    """Rows of {evidence}(id, status, path, bytes, sha256) and why one is refused."""
-    return "SELECT id, status, CASE WHEN status NOT IN ('retrieved', 'unavailable', 'restricted', 'not attempted') THEN 'unknown status' WHEN status = 'retrieved' AND (coalesce(path, '') = '' OR bytes IS NULL OR length(coalesce(sha256, '')) <> 64) THEN 'retrieved files need path, size and hash' END AS rejected FROM {evidence}"
+def evidence_manifest(keep: tuple[str, ...] = ()) -> str:
+    """Rows of {evidence}(id, status, path, bytes, sha256) and why one is refused; further columns can be kept."""
+    return f"SELECT id, status, CASE WHEN status NOT IN ('retrieved', 'unavailable', 'restricted', 'not attempted') THEN 'unknown status' WHEN status = 'retrieved' AND (coalesce(path, '') = '' OR bytes IS NULL OR length(coalesce(sha256, '')) <> 64) THEN 'retrieved files need path, size and hash' END AS rejected{_kept(keep)} FROM {{evidence}}"
 
 
 def simulation_ledger() -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ def _opened(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines of the cluster share, as ``spark.checkpoint.dir`` names it; a local session without one gets a
+    temporary folder, which would be another one on each machine of a cluster, so it's an error there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="corvellum-shared-")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _opened(spark, path)
     return fs.exists(p)
