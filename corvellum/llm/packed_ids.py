@@ -19,6 +19,7 @@ import itertools
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
 
@@ -37,9 +38,13 @@ BLOCK = 4096
 CHUNK_IDS = 1 << 20
 END_ID = 2
 #: Words whose ids a task remembers, and the longest that it does, in characters.
-KNOWN, KNOWN_CHARS = 1 << 20, 40
+KNOWN, KNOWN_CHARS = 3 << 19, 40
+#: New words that are encoded together.
+LINES = 500
 #: Words to remember.
 _PLAIN = re.compile(rf" ?\S{{1,{KNOWN_CHARS}}}").fullmatch
+#: New words that are encoded together.
+LINES = 500
 #: Words to remember.
 _PLAIN = re.compile(rf" ?\S{{1,{KNOWN_CHARS}}}").fullmatch
 #: Where words can be cut without changing an id: a blank or line end between two characters that are no white space, as
@@ -47,6 +52,7 @@ _PLAIN = re.compile(rf" ?\S{{1,{KNOWN_CHARS}}}").fullmatch
 _BLANK, _LINE_END = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 #: A text without any of these has only such blanks and line ends, but at its ends.
 _ODD = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+_ODD_ASCII = tuple(x for x in _ODD if x.isascii())
 _CHUNK = "shard int, chunk int, begin long, n_ids long, doc_ids array<long>, data binary"
 
 
@@ -124,10 +130,13 @@ class Chunk:
 
 
 class _Numbers(dict):
-    """Words to numbers in order of first use; a word that is looked up gets the next one."""
+    """Words to numbers in order of first use; a word that is looked up gets the next one and goes to ``fresh``."""
+
+    fresh: list[str]
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
 
@@ -135,7 +144,7 @@ def words_of(text: str) -> list[str]:
     """Pieces that can be encoded apart, which together are the text."""
     if "\0" in text:
         return [text]
-    if text[:1].isspace() or text[-1:].isspace() or any(odd in text for odd in _ODD):
+    if text[:1].isspace() or text[-1:].isspace() or any(odd in text for odd in (_ODD_ASCII if text.isascii() else _ODD)):
         return _LINE_END.sub("\0\n\0", _BLANK.sub("\0 ", text)).split("\0")
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -159,26 +168,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.forget()
-
-    def forget(self) -> None:
+        # of each word by its number: where its ids begin, how many they are, how often it was met; and all ids in one row
         self.number = _Numbers()
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begins, self.sizes, self.met, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.used = 0
+
+    def _put(self, first: int, at: int, sizes: np.ndarray, flat: np.ndarray) -> tuple[int, int]:
+        """Places words from number ``first`` and id ``at`` on; where the next ones go."""
+        end, stop = first + len(sizes), at + len(flat)
+        if end > len(self.sizes):
+            self.begins, self.sizes, self.met = (np.concatenate([x, np.zeros(end, np.int64)]) for x in (self.begins, self.sizes, self.met))
+        if stop > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(stop, np.uint32)])
+        self.sizes[first:end], self.met[first:end], self.flat[at:stop] = sizes, 0, flat
+        self.begins[first:end] = at + np.cumsum(sizes) - sizes
+        return end, stop
+
+    def forget(self, least: int) -> None:
+        """Forgets words that were met fewer than ``least`` times, and how often the others were."""
+        n = len(self.number)
+        stay = self.met[:n] >= least
+        words, flat = list(itertools.compress(self.number, stay)), self.flat[: self.used][np.repeat(stay, self.sizes[:n])]
+        self.number = _Numbers(zip(words, range(len(words)), strict=True))
+        _, self.used = self._put(0, 0, self.sizes[:n][stay], flat)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of different words, and their ids in one row. Words without inner white space are encoded as lines of one
         text, which the library does faster than word by word; the line end between them is an id of its own."""
-        sizes, rows = np.zeros(len(words), np.int64), []
-        line_end = self.tokenizer.token_to_id("\u010a")
-        for a in range(0, len(words), 50_000):
-            part = words[a : a + 50_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == line_end)
-            if len(cuts) != len(part):
-                raise ValueError("the vocabulary's pattern doesn't keep line ends apart")
-            sizes[a : a + len(part)] = np.diff(cuts, prepend=-1) - 1
-            rows.append(np.delete(ids, cuts))
-        return sizes, np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+        lines = ["\n".join(words[a : a + LINES]) + "\n" for a in range(0, len(words), LINES)]
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        cuts = np.flatnonzero(ids == self.tokenizer.token_to_id("\u010a"))
+        if len(cuts) != len(words):
+            raise ValueError("the vocabulary's pattern doesn't keep line ends apart")
+        return np.diff(cuts, prepend=-1) - 1, np.delete(ids, cuts)
 
     def _ids_one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -187,15 +210,17 @@ class Encoder:
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end_id`` after each, and where each text ends."""
         if len(self.number) > KNOWN:
-            self.forget()
+            self.forget(3)
+            if len(self.number) > KNOWN // 2:
+                self.forget(sys.maxsize)
         words, counts = [], []
         for text in texts:
             cut = words_of(text)
             words += cut
             counts.append(len(cut))
         first = len(self.number)
+        self.number.fresh = fresh = []
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        fresh = list(itertools.islice(self.number, first, None))
         stays = np.fromiter((_PLAIN(w) is not None for w in fresh), bool, len(fresh))
         plain, rest = list(itertools.compress(fresh, stays)), list(itertools.compress(fresh, ~stays))
         for w in rest:
@@ -205,12 +230,13 @@ class Encoder:
         where[stays], where[~stays] = np.arange(len(plain)), len(plain) + np.arange(len(rest))
         new = at >= first
         at[new] = first + where[at[new] - first]
-        self.sizes, self.flat = (np.concatenate(x) for x in zip((self.sizes, self.flat), self._ids(plain), strict=True))
-        all_sizes, all_flat = (np.concatenate(x) for x in zip((self.sizes, self.flat), self._ids_one_by_one(rest), strict=True))
-        begins = (np.cumsum(all_sizes) - all_sizes)[at]
-        here = all_sizes[at]
+        new, self.used = self._put(first, self.used, *self._ids(plain))
+        self._put(new, self.used, *self._ids_one_by_one(rest))
+        times = np.bincount(at)
+        self.met[: len(times)] += times
+        begins, here = self.begins[at], self.sizes[at]
         ends = np.cumsum(here)
-        ids = all_flat[np.repeat(begins - (ends - here), here) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(begins - (ends - here), here) + np.arange(ends[-1] if len(ends) else 0)]
         of_text = ends[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
         return np.insert(ids, of_text, end_id), of_text + np.arange(1, len(texts) + 1)
 
