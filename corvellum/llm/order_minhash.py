@@ -1,15 +1,18 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
 A text is a row of words (cut at white space, A-Z lower-cased). Its k-mers of `K` words, each labelled with the number
-of its occurrence, are ranked by `SKETCHES` hash functions; a sketch is the least k-mer of each of `KEEP` equal stretches
-of the text, in the order of the text, so two sketches agree only if the texts share those k-mers in that order. (Minima
-of stretches, not the `KEEP` least anywhere: else all minima of many unlike texts fall into a line or passage that they
-share, and each such passage makes one bucket of unlike texts.) Texts that agree in a sketch are candidates; they are
-linked if their word edit distance is at most (1 - `SIMILAR`) of the longer one, found by a bit-parallel alignment inside
-the band which that bound leaves.
-
-Two texts whose k-mers agree to a Jaccard share J meet in a sketch with a probability of about J**KEEP, so in one of all
-sketches of 0.999999 at J = 0.8, 0.998 at 0.6, 0.95 at 0.5 and 0.7 at 0.4.
+of its occurrence, are ranked by `SKETCHES` hash functions; a sketch is the `KEEP` least k-mers of the whole text in the order in
+which they stand there, so two sketches agree only if the texts share those k-mers in that order. Texts that agree in
+a sketch are candidates; they are linked if their word edit distance is at most (1 - `SIMILAR`) of the longer one, found
+by a bit-parallel alignment inside the band which that bound leaves.
+
+Two texts whose k-mers agree to a Jaccard share J meet in a sketch with a probability of about J**KEEP. With a fifth of the
+words replaced at random J is 0.2, and 64 sketches meet with 0.93; with 15 % J is 0.28 and they meet with 0.995. In texts of
+few words one edit touches most k-mers, so those of up to `SHORT` words have `SHORT_SKETCHES` more sketches, of two-word k-mers.
+
+Unlike texts that share a passage meet as well. What tells most of them apart before any text is fetched can't be true of
+like ones: each candidate says where the shared k-mers stand, and what has to be put in or left out before, between and behind
+them is a lower bound of the distance; so is half the difference of the texts' counts of words in `DIMS` classes.
 """
 
 from __future__ import annotations
@@ -22,32 +25,35 @@ from pyspark.sql import functions as F
 from corvellum.llm.common import chained, mix, row_slices, short_batches, string_bytes, table, word_hashes
 from corvellum.llm.components import components
 
-K, KEEP, SKETCHES, SIMILAR = 5, 4, 48, 0.8
+K, KEEP, SKETCHES, SIMILAR = 5, 2, 64, 0.8
+SHORT, SHORT_K, SHORT_SKETCHES = 50, 2, 32
+DIMS = 64
 #: Rounds in which each text is compared with one centre of its buckets, before all that is left is compared.
-ROUNDS = 2
+ROUNDS = 3
 #: Words that a text has more often than this get a bit vector in the alignment, the others a list of places.
 FREQUENT = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
-def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash of rows of words: (rows, SKETCHES) 64-bit keys, and which rows have words at all."""
+def sketches(h: np.ndarray, at: np.ndarray, k: int = K, number: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Order MinHash of rows of words: (rows, number) 64-bit keys, and where the first and last of their k-mers begin, as
+    first << 32 | last. Rows without words have zeros."""
     words = np.diff(at)
     rows = np.flatnonzero(words > 0)
-    out = np.zeros((len(words), SKETCHES), np.uint64)
+    keys, places = np.zeros((len(words), number), np.uint64), np.zeros((len(words), number), np.int64)
     if not len(rows):
-        return out, words > 0
+        return keys, places
     # k-mers that begin at each word; a shorter text has one k-mer of all its words
-    counts = np.maximum(words[rows] - K + 1, 1)
+    counts = np.maximum(words[rows] - k + 1, 1)
     starts = np.cumsum(counts) - counts
     row = np.repeat(np.arange(len(rows)), counts)
     within = np.arange(len(row)) - starts[row]
     place = within + at[rows][row]
-    size = np.minimum(words[rows], K)[row]
+    size = np.minimum(words[rows], k)[row]
     kmer = np.zeros(len(row), np.uint64)
-    for j in range(K):
+    for j in range(k):
         kmer = np.where(j < size, kmer * _A + h[np.minimum(place + j, len(h) - 1)], kmer)
-    kmer = mix(kmer)
+    kmer = mix(kmer + np.uint64(k))
     # occurrence labels: equal k-mers of a row come together in a stable sort
     apart = mix(kmer ^ (row.astype(np.uint64) * _B))
     order = np.argsort(apart, kind="stable")
@@ -56,18 +62,33 @@ def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     label = np.empty(len(order), np.uint64)
     label[order] = (np.arange(len(order)) - first).astype(np.uint64)
     kmer = mix(kmer + label * _B)
-    stretch = row * KEEP + within * KEEP // counts[row]
-    begin = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
-    least = np.zeros(len(rows) * KEEP, np.uint64)
-    for s in range(SKETCHES):
-        value = kmer * (mix(np.array([s + 1], np.uint64) * _A)[0] | np.uint64(1))
-        value ^= value >> np.uint64(32)
-        least[stretch[begin]] = np.minimum.reduceat(value, begin)
-        key = np.full(len(rows), np.uint64(s + 1))
+    # rank and number of a k-mer in one integer, so that a minimum tells both
+    numbers, low = np.arange(len(kmer), dtype=np.uint64), np.uint64(0xFFFFFFFF)
+    most = np.minimum(counts, KEEP)
+    for s in range(number):
+        rank = kmer * (mix(np.array([s + 1], np.uint64) * _A)[0] | np.uint64(1))
+        rank ^= rank >> np.uint64(29)
+        rank &= ~low
+        rank |= numbers
+        found = np.zeros((KEEP, len(rows)), np.int64)
         for t in range(KEEP):
-            key = mix(key * _A + least[t::KEEP])
-        out[rows, s] = key
-    return out, words > 0
+            found[t] = np.minimum.reduceat(rank, starts) & low
+            rank[found[t][t < most]] = np.uint64(2**64 - 1)
+        found = np.where(np.arange(KEEP)[:, None] < most, found, found[0])
+        found.sort(axis=0)
+        key = np.full(len(rows), np.uint64(s + 1)) * _B + np.uint64(k)
+        for t in range(KEEP):
+            key = mix(key * _A + kmer[found[t]])
+        keys[rows, s] = key
+        places[rows, s] = (within[found[0]] << 32) | within[found[-1]]
+    return keys, places
+
+
+def classes_of_words(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, DIMS): how many words of each class a row has, at most 32,767. One edit changes two counts by one at most."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    counts = np.bincount(row * DIMS + (h >> np.uint64(58)).astype(np.int64), minlength=(len(at) - 1) * DIMS)
+    return np.minimum(counts, 32_767).astype(np.int16).reshape(-1, DIMS)
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -141,43 +162,61 @@ def alike(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
     return banded_distance(x[begin : len(x) - end].tolist(), y[begin : len(y) - end].tolist(), most) <= most
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, n, keys): 64-bit digest of the text, number of words, sketches."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tid, text), tid being a 64-bit digest of the text; a null text is empty."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
-    def run(batches):
-        import xxhash
 
+def _sketched(named: DataFrame) -> DataFrame:
+    """(doc_id, tid, n, counts, keys, places): number of words, words by class, sketches and where their k-mers stand."""
+
+    def run(batches):
         for batch in batches:
-            raw, off = string_bytes(batch.column(1))
-            keys, n = [np.zeros((0, SKETCHES), np.uint64)], [np.zeros(0, np.int64)]
+            raw, off = string_bytes(batch.column(2))
             for a, b in row_slices(off):
                 h, at = word_hashes(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                keys.append(sketches(h, at)[0]), n.append(np.diff(at))
-            keys, n = np.concatenate(keys).view(np.int64), np.concatenate(n)
-            tid = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, SKETCHES, dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid), pa.array(n, pa.int64()), lists], names=["doc_id", "tid", "n", "keys"])
-
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tid long, n long, keys array<long>")
-
-
-def _word_rows(docs: DataFrame) -> DataFrame:
+                n = np.diff(at)
+                keys, places = sketches(h, at)
+                size = np.full(b - a, SKETCHES)
+                short = (n > 0) & (n <= SHORT)
+                if short.any():  # their words laid end to end
+                    mine = np.repeat(short, n)
+                    more, more_places = sketches(h[mine], np.append(0, np.cumsum(n[short])), SHORT_K, SHORT_SKETCHES)
+                    size[short] += SHORT_SKETCHES
+                    room = np.repeat(short, size)
+                    room[np.flatnonzero(room)[(np.arange(room.sum()) % (SKETCHES + SHORT_SKETCHES)) < SKETCHES]] = False
+                    keys, places = (np.zeros(size.sum(), x.dtype) for x in (keys, places)), (keys, places, more, more_places)
+                    keys, places = _laid(room, *keys, *places)
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).view(np.int64))) for x in (keys, places)]
+                counts = pa.ListArray.from_arrays(np.arange(0, (b - a) * DIMS + 1, DIMS, dtype=np.int32), pa.array(classes_of_words(h, at).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), counts, *lists], names=["doc_id", "tid", "n", "counts", "keys", "places"])
+
+    return short_batches(named).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tid long, n long, counts array<short>, keys array<long>, places array<long>")
+
+
+def _laid(room: np.ndarray, keys: np.ndarray, places: np.ndarray, a: np.ndarray, b: np.ndarray, more_a: np.ndarray, more_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of sketches laid end to end, those of short texts with their further ones behind, which go where ``room`` says."""
+    for out, x, more in ((keys, a, more_a), (places, b, more_b)):
+        out[~room], out[room] = x.reshape(-1), more.reshape(-1)
+    return keys, places
+
+
+def _word_rows(named: DataFrame) -> DataFrame:
     """(tid, w): the words of each text as packed 32-bit hashes."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            raw, off = string_bytes(batch.column(0))
-            packed, tid = [], []
+            raw, off = string_bytes(batch.column(1))
+            packed = []
             for a, b in row_slices(off):
                 h, at = word_hashes(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 h = (h >> np.uint64(32)).astype("<u4")
                 packed += [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                tid += [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(off[a:b].tolist(), off[a + 1 : b + 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(tid, np.uint64).view(np.int64)), pa.array(packed, pa.binary())], names=["tid", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["tid", "w"])
 
-    return short_batches(docs).select("text").mapInArrow(run, "tid long, w binary")
+    return short_batches(named).select("tid", "text").mapInArrow(run, "tid long, w binary")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
@@ -194,59 +233,80 @@ def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
     return short_batches(full).select(*kept, "wa", "wb").mapInArrow(run, ", ".join(f"{c} long" for c in kept))
 
 
-def _near(n: str, m: str, similar: float) -> Column:
-    return F.abs(F.col(n) - F.col(m)) <= (1 - similar) * F.greatest(n, m) + 1e-9
+def _most(similar: float, n: str = "n", m: str = "m") -> Column:
+    return F.greatest(n, m) * F.lit(1 - similar) + 1e-9
+
+
+def _placed(similar: float) -> Column:
+    """Whether texts of n and m words that share two k-mers at ``p`` and ``q`` can be alike: words that have to be put in
+    or left out before, between and behind them."""
+    i, j, x, y = F.shiftright("p", 32), F.col("p").bitwiseAND(0x7FFFFFFF), F.shiftright("q", 32), F.col("q").bitwiseAND(0x7FFFFFFF)
+    return F.abs(i - x) + F.abs((j - i) - (y - x)) + F.abs((F.col("n") - j) - (F.col("m") - y)) <= _most(similar)
+
+
+def _counted(similar: float) -> Column:
+    """Whether texts with those counts of words by class can be alike: an edit changes two counts by one at most."""
+    apart = F.aggregate(F.zip_with("counts", "counts_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda a, x: a + x)
+    return apart <= 2 * _most(similar)
 
 
 def _rank(c: str, seed: int) -> Column:
     return F.xxhash64(c, F.lit(seed))
 
 
+def _entries(members: DataFrame, *more: str) -> DataFrame:
+    """A row for each sketch of a text that another text has: key and place p."""
+    return members.select("tid", "n", "label", *more, F.explode("at").alias("e")).select("tid", "n", "label", *more, "e.key", F.col("e.place").alias("p"))
+
+
 def _candidates(members: DataFrame, seed: int, similar: float) -> DataFrame:
     """At most one pair for each text: itself (text_a) with the centre (text_b) that ranks first of those of its buckets.
 
     A bucket's centre is its text of the least hash, so a group of texts that share many buckets has few centres.
     """
-    e = members.select("tid", "doc", "n", "label", F.explode("keys").alias("key"))
-    first = F.min(F.struct(_rank("tid", seed).alias("r"), F.col("tid").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("nb"), F.col("label").alias("lb")))
+    e = _entries(members)
+    first = F.min(F.struct(_rank("tid", seed).alias("r"), F.col("tid").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("p").alias("q")))
     mixed = e.groupBy("key").agg(first.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "c.*")
-    met = e.join(mixed, "key").where((F.col("label") != F.col("lb")) & _near("n", "nb", similar))
-    best = met.groupBy(F.col("tid").alias("text_a")).agg(F.min(F.struct("r", "b", "doc_b", "lb", "doc", "label")).alias("c"))
-    return best.select("text_a", F.col("c.b").alias("text_b"), F.col("c.doc").alias("doc_a"), F.col("c.doc_b").alias("doc_b"), F.col("c.label").alias("la"), F.col("c.lb").alias("lb"))
+    met = e.join(mixed, "key").where((F.col("label") != F.col("lb")) & _placed(similar))
+    best = met.groupBy(F.col("tid").alias("text_a")).agg(F.min(F.struct("r", "b", "lb", "label")).alias("c"))
+    return best.select("text_a", F.col("c.b").alias("text_b"), F.col("c.label").alias("la"), F.col("c.lb").alias("lb"))
 
 
 def _all_left(members: DataFrame, similar: float) -> DataFrame:
-    """All pairs that share a bucket, are of different classes and of like length, each once.
+    """All pairs that share a bucket, are of different classes and can be alike, each once.
 
-    In a bucket the texts outside its largest class are paired with all others, so a large class that is already known
-    isn't paired with itself. Of the buckets that a pair shares it is made in the one with the least key.
+    In a bucket the texts outside its largest class are paired with all others of like length, so a large class that is already
+    known isn't paired with itself. Lengths are compared in classes whose borders are 1 / ``similar`` apart, of which two
+    neighbours can be alike; so they are part of the key.
     """
-    e = members.select("tid", "doc", "n", "label", "keys", F.explode("keys").alias("key"))
+    grade = F.floor(F.log("n") / -np.log(similar)).cast("int")
+    e = _entries(members.withColumn("grade", grade), "grade", "counts")
     sizes = e.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count("*").alias("classes"))
     e = e.join(sizes.where("classes > 1").select("key", "major"), "key")
-    one = e.where("label <> major").select("key", "major", *[F.col(c).alias(f"{c}_a") for c in ("tid", "doc", "n", "label", "keys")])
-    two = e.select("key", *[F.col(c).alias(f"{c}_b") for c in ("tid", "doc", "n", "label", "keys")])
-    once = (F.col("label_b") == F.col("major")) | (F.col("tid_a") < F.col("tid_b"))
-    least = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    met = one.join(two, "key").where((F.col("label_a") != F.col("label_b")) & once & _near("n_a", "n_b", similar) & least)
-    return met.select(F.col("tid_a").alias("text_a"), F.col("tid_b").alias("text_b"), "doc_a", "doc_b", F.col("label_a").alias("la"), F.col("label_b").alias("lb"))
+    one = e.where("label <> major")
+    two = e.select("key", F.explode(F.array(F.col("grade") - 1, "grade", F.col("grade") + 1)).alias("grade"), F.col("label") == F.col("major"), *[F.col(c).alias(d) for c, d in (("tid", "b"), ("n", "m"), ("label", "lb"), ("p", "q"), ("counts", "counts_b"))])
+    two = two.toDF("key", "grade", "is_major", "b", "m", "lb", "q", "counts_b")
+    once = F.col("is_major") | (F.col("tid") < F.col("b"))
+    met = one.join(two, ["key", "grade"]).where((F.col("label") != F.col("lb")) & once & _placed(similar) & _counted(similar))
+    met = met.select(F.least("tid", "b").alias("text_a"), F.greatest("tid", "b").alias("text_b"), F.when(F.col("tid") < F.col("b"), F.struct(F.col("label").alias("la"), "lb")).otherwise(F.struct(F.col("lb").alias("la"), F.col("label").alias("lb"))).alias("l"))
+    return met.groupBy("text_a", "text_b").agg(F.first("l").alias("l")).select("text_a", "text_b", "l.*")
 
 
-def _links(docs: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
-    """(a, b): documents whose texts are linked; as many links as it takes to connect each class.
+def _links(named: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
+    """(a, b): digests of texts that are linked; as many links as it takes to connect each class.
 
     In each of `ROUNDS` rounds every text is compared with one centre of its buckets, which puts most of a large group
-    into one class. Then every pair of a bucket that is still in different classes is compared, so no two texts that
-    share a sketch end apart without having been compared. That is quadratic only in texts of a bucket that are
-    unlike its largest class.
+    into one class. Then every pair of a bucket that is still in different classes and can be alike is compared, so no two
+    texts that share a sketch end apart without having been compared. That is quadratic only in texts of a bucket that are
+    unlike its largest class and of like length.
     """
-    spark = docs.sparkSession
-    entry = stands.where("n > 0").select("tid", "doc", "n", F.explode("keys").alias("key"))
-    busy = entry.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = entry.join(busy, "key").groupBy("tid").agg(F.max(F.struct("doc", "n")).alias("x"), F.array_sort(F.collect_list("key")).alias("keys"))
-    members = chained(spark, members.select("tid", "x.doc", "x.n", "keys", _rank("tid", 0).alias("label")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    rows = chained(spark, _word_rows(texts).groupBy("tid").agg(F.max("w").alias("w")))
+    spark = named.sparkSession
+    entry = stands.where("n > 0").select("tid", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))).alias("e"))
+    busy = entry.groupBy("e.key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    shared = entry.select("tid", "e", F.col("e.key").alias("key")).join(busy, "key", "left_semi").groupBy("tid").agg(F.collect_list("e").alias("at"))
+    members = chained(spark, shared.join(stands.select("tid", "n", "counts"), "tid").withColumn("label", _rank("tid", 0)))
+    texts = named.join(members.select("tid"), "tid", "left_semi")
+    rows = chained(spark, _word_rows(texts.groupBy("tid").agg(F.first("text").alias("text"))))
     links = None
     for seed in range(ROUNDS):
         found = chained(spark, _verified(_candidates(members, seed, similar), rows, similar))
@@ -256,36 +316,45 @@ def _links(docs: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
         for _ in range(2):
             far = to.select(F.col("label").alias("to"), F.col("to").alias("far"))
             to = to.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
-        members = chained(spark, members.join(to, "label", "left").select("tid", "doc", "n", "keys", F.coalesce("to", "label").alias("label")))
+        members = chained(spark, members.join(to, "label", "left").select("tid", "n", "counts", "at", F.coalesce("to", "label").alias("label")))
     rest = _verified(_all_left(members, similar), rows, similar)
     # one link connects two classes as well as all of them do
-    rest = chained(spark, rest.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.min(F.struct("doc_a", "doc_b")).alias("x")))
-    return links.select("doc_a", "doc_b").union(rest.select("x.*")).toDF("a", "b")
+    rest = chained(spark, rest.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.min(F.struct("text_a", "text_b")).alias("x")))
+    return links.select("text_a", "text_b").union(rest.select("x.*")).toDF("a", "b")
+
+
+def _classes(named: DataFrame, similar: float) -> DataFrame:
+    """(doc_id, tid, class_id) of every row that has an id."""
+    spark = named.sparkSession
+    all_rows = chained(spark, _sketched(named))
+    one = F.struct("n", "counts", "keys", "places")
+    stands = all_rows.groupBy("tid").agg(F.first(one).alias("x")).select("tid", "x.*")
+    label = components(_links(named, stands, similar))
+    labelled = all_rows.select("doc_id", "tid").join(label.withColumnRenamed("id", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return labelled.join(least, "label").select("doc_id", "tid", "class_id")
 
 
-def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) of every document that has an id; the class is known by its least doc_id.
 
     Equal texts are put together first, by 64-bit digest. Each different text then stands for its copies; pairs
     that share a sketch are compared as `_links` says, and classes are the connected components of the links.
 
     Null and empty texts have no sketch: they are copies of each other. Texts of under `K` words have one short k-mer.
-    Texts of any length are compared whole. Rows that repeat a doc_id give one row; if their texts differ, the document
-    connects the classes of its texts. Rows with a null doc_id are left out, as nothing could refer to them. Other
-    columns are ignored, whatever their names; an empty table gives no rows.
+    Texts of any length are compared whole. Rows that repeat a doc_id give one row, with the least class of its texts. Rows with a null
+    doc_id are left out, as nothing could refer to them. Other columns are ignored, whatever their names; an empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
-    all_rows = chained(spark, _sketched(docs))
-    stands = chained(spark, all_rows.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    label = components(_links(docs, stands, similar))
-    named = stands.select("tid", "doc").join(label.select(F.col("id").alias("doc"), "label"), "doc", "left").select("tid", F.coalesce("label", "doc").alias("class_id"))
-    return all_rows.select("doc_id", "tid").join(named, "tid").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-
-
-def keep_one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one document of each class, the one with the least doc_id; rows with a null doc_id stay."""
-    gone = near_duplicate_classes(docs, similar).where("doc_id <> class_id").select(F.col("doc_id").alias("__id__"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__id__"], "left_anti")
+    return _classes(_named(docs, id_col, text_col), similar).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+
+
+def keep_one_of_each(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class, the one with the least doc_id; rows with a null doc_id stay. Rows that repeat
+    a doc_id are judged each by its own text. Columns of any name pass through."""
+    gone = _classes(_named(docs, id_col, text_col), similar).where("doc_id <> class_id").select("doc_id", "tid").distinct()
+    own = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
+    return docs.join(gone, (docs[f"`{id_col}`"].cast("long") == gone["doc_id"]) & (own == gone["tid"]), "left_anti")
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

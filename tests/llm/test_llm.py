@@ -351,6 +351,64 @@ def test_recall_against_all_alike_pairs(spark, sf):
         assert got[d] in seen
 
 
+def _edited(rng, w, kind, share):
+    """``w`` with ``share`` of its words put before, behind or inside, or so many replaced."""
+    new = lambda: rng.getrandbits(64)
+    k = round(share * len(w))
+    if kind == "replaced":
+        out = list(w)
+        for i in rng.sample(range(len(w)), k):
+            out[i] = new()
+        return out
+    at = {"before": 0, "behind": len(w), "inside": rng.randrange(len(w) + 1)}[kind]
+    return w[:at] + [new() for _ in range(k)] + w[at:]
+
+
+@pytest.mark.parametrize(("kind", "share"), [("before", 0.25), ("behind", 0.25), ("inside", 0.25), ("replaced", 0.05), ("replaced", 0.1), ("replaced", 0.15), ("replaced", 0.18)])
+@pytest.mark.parametrize("size", [200, 40, 15, 10, 6])
+def test_sketches_meet_for_alike_texts(kind, share, size):
+    """Of pairs that are alike at 0.8, nine in ten or more share a sketch whose places can be true."""
+    rng = random.Random(f"{kind} {share} {size}")
+    found = []
+    for _ in range(120):
+        a = [rng.getrandbits(64) for _ in range(size)]
+        b = _edited(rng, a, kind, share)
+        x, y = (np.array(w, np.uint64) for w in (a, b))
+        if not order_minhash.alike(x, y, 0.8):
+            continue
+        cut = np.append(0, np.cumsum([len(a), len(b)]))
+        met = False
+        for k, number in [(order_minhash.K, order_minhash.SKETCHES)] + [(order_minhash.SHORT_K, order_minhash.SHORT_SKETCHES)] * (max(len(a), len(b)) <= order_minhash.SHORT):
+            keys, places = order_minhash.sketches(np.concatenate([x, y]), cut, k, number)
+            (i, j), (p, q) = (places[0] >> 32, places[0] & 0xFFFFFFFF), (places[1] >> 32, places[1] & 0xFFFFFFFF)
+            apart = abs(i - p) + abs((j - i) - (q - p)) + abs((len(a) - j) - (len(b) - q))
+            met |= bool(((keys[0] == keys[1]) & (apart <= 0.2 * max(len(a), len(b)) + 1e-9)).any())
+        counts = order_minhash.classes_of_words(np.concatenate([x, y]), cut).astype(int)
+        assert abs(counts[0] - counts[1]).sum() <= 2 * 0.2 * max(len(a), len(b)) + 1e-9
+        found.append(met)
+    assert not found or np.mean(found) >= 0.9, (len(found), np.mean(found))
+
+
+def test_keys_of_a_row_do_not_depend_on_its_neighbours():
+    rng = random.Random(4)
+    rows = [np.array([rng.randrange(50) for _ in range(n)], np.uint64) for n in (0, 1, 3, 5, 6, 40, 0, 200)]
+    at = np.append(0, np.cumsum([len(r) for r in rows]))
+    keys, places = order_minhash.sketches(np.concatenate(rows), at)
+    for i, r in enumerate(rows):
+        alone, where = order_minhash.sketches(r, np.array([0, len(r)]))
+        assert (keys[i] == alone[0]).all() and (places[i] == where[0]).all()
+        if len(r) > 6:  # the least two k-mers anywhere, in the order of the text
+            assert ((places[i] >> 32) < (places[i] & 0xFFFFFFFF)).all() and len(set(places[i].tolist())) > 10
+
+
+def test_rows_that_repeat_an_id_are_judged_each_by_its_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 1, "x"), (2, a, 2, "x"), (2, b, 3, "x"), (None, a, 4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tid int, class_id string")
+    assert sorted(r[2] for r in order_minhash.keep_one_of_each(docs).collect()) == [1, 3, 4]
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(docs).collect()} == {1: 1, 2: 1}
+
+
 def test_no_bucket_leaves_pairs_untried(spark, monkeypatch):
     """One bucket for all: pairs of like texts among many that are unlike the bucket's centres, and texts of the next class."""
     rng = random.Random(11)
@@ -359,7 +417,7 @@ def test_no_bucket_leaves_pairs_untried(spark, monkeypatch):
         w = [f"v{rng.randrange(9000)}" for _ in range(40)]
         rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:7] + ["edit"] + w[8:]))]
     sketches = order_minhash._sketched
-    monkeypatch.setattr(order_minhash, "_sketched", lambda *a: sketches(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(order_minhash, "_sketched", lambda *a: sketches(*a).withColumns({"keys": F.array(F.lit(1).cast("long")), "places": F.array(F.lit(0).cast("long"))}))
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 2 for d, _ in rows}
 
