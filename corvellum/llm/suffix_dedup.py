@@ -4,8 +4,12 @@ A suffix array of all documents would take many times their size. It's made in i
 difference-cover algorithm (`suffix_order`): a run's part is chosen by its content, namely by the least hash of the
 `KMER`-byte strings in it (a minimizer), so all equal runs, wherever they start, come to one part. Neighbouring starts
 mostly have the same minimizer; such a stretch of starts travels as one window of text. A minimizer that occurs once
-in all documents can't be that of a repeated run, and its text never moves. Which runs are repeated is decided
-by the suffix arrays alone: adjacent suffixes are compared on their first `LENGTH` bytes.
+in all documents can't be that of a repeated run, and its text never moves. A minimizer with more than `HOT` windows is split
+further, again by content: by the bytes around it that lie in the run wherever in its class the run starts.
+
+Windows that are equal from end to end are combined first, by digest in the task that reads them and by their bytes in
+the part: all but the earliest are repeats as a whole. Which runs of what is left are repeated is decided by the suffix array:
+adjacent suffixes are compared on their first `LENGTH` bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ SPAN = LENGTH - KMER + 1
 PART_BYTES = 150_000
 #: Windows that a task remembers to have sent, and spans that it gathers before it passes them on.
 SENT = 200_000
-_COLUMNS = ["id", "key", "place", "x"]
+#: Windows of a minimizer from which on it's split, and starts that are split alike; their runs have LENGTH - STEP bytes in common.
+HOT, STEP = 10_000, 10
+_ROW = "id long, tid long, key long, place long"
+_COLUMNS = ["id", "tid", "key", "place", "x"]
 #: Rounds of naming after which names cover LENGTH bytes or more (3, 9, 27, 81, 243).
 ROUNDS = 5
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -84,9 +91,9 @@ def _packed(*columns: np.ndarray) -> np.ndarray:
     return key
 
 
-def repeated_starts(texts: list[bytes], starts: list[int], first: list[tuple[int, int]]) -> list[np.ndarray]:
+def repeated_starts(texts: list[bytes], starts: list[int], first: list[tuple[int, int, int]]) -> list[np.ndarray]:
     """For each of different windows, given as text and number of starts from its first byte on: whether the run at
-    each start also starts earlier in another window, or in this one; ``first`` has each window's earliest place."""
+    each start also starts earlier in another window, or in this one; ``first`` has each window's earliest place (id, digest of the text, start)."""
     if not texts:
         return []
     size = np.array([len(x) + 1 for x in texts])
@@ -105,8 +112,8 @@ def repeated_starts(texts: list[bytes], starts: list[int], first: list[tuple[int
         here = eight[order + d]
         same &= here[1:] == here[:-1]
     run = np.cumsum(np.append(True, ~same)) - 1 if len(order) else np.zeros(0, np.int64)
-    doc, at = (np.array(x, np.int64) for x in zip(*first, strict=True))
-    by_place = np.lexsort((at[window[order]] + offset[order], doc[window[order]], run))
+    doc, text, at = (np.array(x, np.int64) for x in zip(*first, strict=True))
+    by_place = np.lexsort((at[window[order]] + offset[order], text[window[order]], doc[window[order]], run))
     lead = np.append(True, run[by_place][1:] != run[by_place][:-1]) if len(order) else np.zeros(0, bool)
     repeated = np.zeros(len(t), bool)
     repeated[order[by_place[~lead]]] = True
@@ -125,6 +132,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def _hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """Of each string of ``size`` bytes, wherever it stands."""
+    n = len(raw)
+    up, down = _powers(n)
+    sums = np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n]))
+    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+
+
+def split(x: bytes, key: int) -> list[tuple[int, int, int]]:
+    """(first start, number of starts, key) of the parts of a window of a minimizer that has very many.
+
+    The starts of a part lie up to `STEP` bytes apart before the same place of the minimizer, so all their runs have the
+    same LENGTH - STEP bytes around it; their hash is the new key. Equal runs have equal ones, whatever window they are in.
+    """
+    raw = np.frombuffer(x, np.uint8)
+    start = np.arange(len(raw) - LENGTH + 1)
+    at = np.flatnonzero(_hashes(raw, KMER).view(np.int64) == key)
+    next_at = at[np.searchsorted(at, start)]
+    begin = next_at - (next_at - start) // STEP * STEP
+    lo = np.flatnonzero(np.append(True, begin[1:] != begin[:-1]))
+    keys = mix(_hashes(raw, LENGTH - STEP)[begin[lo]] ^ np.uint64(key % 2**64)).view(np.int64)
+    return list(zip(lo.tolist(), np.diff(np.append(lo, len(start))).tolist(), keys.tolist(), strict=True))
+
+
 def windows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, minimizer, first start in the row, number of starts, whether the minimizer occurs in it twice or more) of
     the stretches of starts with one minimizer."""
@@ -132,9 +163,7 @@ def windows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none, none
-    up, down = _powers(n)
-    sums = np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n]))
-    hashes = least = mix((sums[KMER:] - sums[:-KMER]) * down[: n - KMER + 1])
+    hashes = least = _hashes(raw, KMER)
     # least of SPAN neighbours, by doubling
     reach = 1
     while reach < SPAN:
@@ -162,12 +191,13 @@ def windows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 def _all_windows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            raw, off = string_bytes(batch.column(1))
+            raw, off = string_bytes(batch.column(2))
             for a, b in row_slices(off):
                 row, key, lo, n, again = windows(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(key), pa.array((lo << 32) | (n << 1) | again)], names=["id", "key", "place"])
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array((lo << 32) | (n << 1) | again)], names=_COLUMNS[:-1])
 
-    return docs.mapInArrow(run, "id long, key long, place long")
+    return docs.mapInArrow(run, _ROW)
 
 
 def _window_texts(placed: DataFrame) -> DataFrame:
@@ -177,13 +207,13 @@ def _window_texts(placed: DataFrame) -> DataFrame:
     def run(batches):
         import xxhash
 
-        sent: dict[bytes, tuple[int, int]] = {}
+        sent: dict[bytes, tuple[int, int, int]] = {}
         for batch in batches:
-            raw, off = string_bytes(batch.column(1))
-            held = batch.column(2)
+            raw, off = string_bytes(batch.column(2))
+            held = batch.column(3)
             w = held.flatten()
             doc = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
-            ids, place = batch.column(0).to_numpy()[doc], w.field(1).to_numpy()
+            ids, tids, place, hot = batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc], w.field(1).to_numpy(), w.field(2).to_numpy(zero_copy_only=False)
             size = ((place & 0xFFFFFFFF) >> 1) + LENGTH - 1
             for a in range(0, len(w), 4096):
                 part = slice(a, a + 4096)
@@ -192,7 +222,7 @@ def _window_texts(placed: DataFrame) -> DataFrame:
                 data = raw[spot].tobytes()
                 cut = ends.tolist()
                 known = np.zeros(len(cut) - 1, bool)
-                for i, (x, y, at) in enumerate(zip(cut[:-1], cut[1:], zip(ids[part].tolist(), (place[part] >> 32).tolist(), strict=True), strict=True)):
+                for i, (x, y, at) in enumerate(zip(cut[:-1], cut[1:], zip(ids[part].tolist(), tids[part].tolist(), (place[part] >> 32).tolist(), strict=True), strict=True)):
                     digest = xxhash.xxh3_128_digest(data[x:y])
                     first = sent.get(digest)
                     if first is None or at < first:
@@ -202,16 +232,20 @@ def _window_texts(placed: DataFrame) -> DataFrame:
                 if len(sent) > SENT:
                     sent.clear()
                 x = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                keep = pa.array(~known)
-                key, where, who = w.field(0).slice(a, 4096), w.field(1).slice(a, 4096), pa.array(ids[part])
-                yield pa.RecordBatch.from_arrays([who, key, where, x], names=_COLUMNS).filter(keep)
+                key = w.field(0).slice(a, 4096)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(tids[part]), key, w.field(1).slice(a, 4096), x], names=_COLUMNS).filter(pa.array(~known & ~hot[part]))
+                for i in np.flatnonzero(~known & hot[part]).tolist():
+                    y, lo = data[cut[i] : cut[i + 1]], int(place[a + i] >> 32)
+                    rows = [(int(ids[a + i]), int(tids[a + i]), k, (lo + s) << 32, y[s : s + n + LENGTH - 1]) for s, n, k in split(y, key[i].as_py())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=_COLUMNS)
                 if known.any():
                     begin = place[part][known] >> 32
                     span = pa.array((begin << 32) | (begin + size[part][known]))
-                    lone = pa.array(ids[part][known])
-                    yield pa.RecordBatch.from_arrays([lone, pa.array(mix(ids[part][known].view(np.uint64)).view(np.int64)), span, pa.nulls(len(lone), pa.binary())], names=_COLUMNS)
+                    lone, text = ids[part][known], tids[part][known]
+                    spread = mix(lone.view(np.uint64) ^ mix(text.view(np.uint64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(lone), pa.array(text), pa.array(spread), span, pa.nulls(len(lone), pa.binary())], names=_COLUMNS)
 
-    return placed.mapInArrow(run, "id long, key long, place long, x binary")
+    return placed.mapInArrow(run, f"{_ROW}, x binary")
 
 
 class _Part:
@@ -219,29 +253,29 @@ class _Part:
     repeats from end to end, so what is held doesn't grow with them."""
 
     def __init__(self):
-        self.held: dict[bytes, tuple[int, int]] = {}
-        self.found: list[tuple[int, int]] = []
+        self.held: dict[bytes, tuple[int, int, int]] = {}
+        self.found: list[tuple[int, int, int]] = []
         self.bytes = 0
 
-    def add(self, x: bytes, doc: int, lo: int) -> None:
+    def add(self, x: bytes, place: tuple[int, int, int]) -> None:
         first = self.held.get(x)
         if first is None:
-            self.held[x] = doc, lo
+            self.held[x] = place
             self.bytes += len(x)
-        elif (doc, lo) != first:
-            late = max(first, (doc, lo))
-            self.held[x] = min(first, (doc, lo))
-            self.found.append((late[0], (late[1] << 32) | (late[1] + len(x))))
+        elif place != first:
+            doc, text, lo = max(first, place)
+            self.held[x] = min(first, place)
+            self.found.append((doc, text, (lo << 32) | (lo + len(x))))
 
-    def spans(self) -> list[tuple[int, int]]:
-        """(doc, span) of removed runs."""
+    def spans(self) -> list[tuple[int, int, int]]:
+        """(id, digest of the text, span) of removed runs."""
         texts, first = list(self.held), list(self.held.values())
         starts = [len(x) - LENGTH + 1 for x in texts]
         out = self.found
-        for (doc, lo), flags in zip(first, repeated_starts(texts, starts, first), strict=True):
+        for (doc, text, lo), flags in zip(first, repeated_starts(texts, starts, first), strict=True):
             if flags.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist()
-                out += [(doc, ((lo + a) << 32) | (lo + b + LENGTH - 1)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                out += [(doc, text, ((lo + a) << 32) | (lo + b + LENGTH - 1)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         return out
 
 
@@ -249,52 +283,51 @@ def _removed(parts: DataFrame) -> DataFrame:
     def run(batches):
         part, last = _Part(), None
 
-        def done():
-            cols = list(zip(*part.spans(), strict=True)) if part.held or part.found else []
-            ids, spans = cols or [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.int64())], names=["id", "span"])
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * 3, names=["id", "tid", "span"])
 
         for batch in batches:
-            for doc, key, place, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, key, place, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last and part.bytes >= PART_BYTES:
-                    yield done()
+                    yield rows(part.spans())
                     part = _Part()
                 last = key
                 if x is None:
-                    part.found.append((doc, place))
+                    part.found.append((doc, text, place))
                 else:
-                    part.add(x, doc, place >> 32)
+                    part.add(x, (doc, text, place >> 32))
             if len(part.found) > SENT:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part.found], pa.int64()), pa.array([s for _, s in part.found], pa.int64())], names=["id", "span"])
+                yield rows(part.found)
                 part.found = []
-        yield done()
+        yield rows(part.spans())
 
-    return parts.mapInArrow(run, "id long, span long")
+    return parts.mapInArrow(run, "id long, tid long, span long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, spans array<long>) of documents that lose bytes; a span is (begin << 32) | end, spans may overlap."""
+    """(id, tid, spans array<long>) of texts that lose bytes, over (id, tid, text); a span is (begin << 32) | end, spans may overlap."""
     spark = docs.sparkSession
     every = _all_windows(short_batches(docs))
-    busy = every.groupBy("key").agg(F.sum(1 + F.col("place") % 2).alias("n")).where("n > 1").select("key")
-    held = every.join(busy, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("held"))
+    busy = every.groupBy("key").agg(F.sum(1 + F.col("place") % 2).alias("n")).where("n > 1").select("key", (F.col("n") > HOT).alias("hot"))
+    held = every.join(busy, "key").groupBy("id", "tid").agg(F.collect_set(F.struct("key", "place", "hot")).alias("held"))
     held = chained(spark, held)
-    text = _window_texts(docs.join(held, "id").select("id", "text", "held"))
-    parts = text.repartition("key").sortWithinPartitions("key").select("id", "key", "place", "x")
-    spans = chained(spark, _removed(parts).groupBy("id").agg(F.collect_list("span").alias("spans")))
-    return spans
+    text = _window_texts(docs.join(held, ["id", "tid"]).select("id", "tid", "text", "held"))
+    parts = text.repartition("key").sortWithinPartitions("key").select(*_COLUMNS)
+    return chained(spark, _removed(parts).groupBy("id", "tid").agg(F.collect_set("span").alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept binary: what is left of each document's bytes.
 
     Runs are judged on the input; a run starts earlier in a smaller doc_id, or in the same document before. Null and
-    empty texts, and those shorter than a run, lose nothing. Rows that repeat a doc_id count as one document: the
-    spans found in any of them apply to each, as far as its text reaches. A null doc_id ranks first. Long texts are
+    empty texts, and those shorter than a run, lose nothing. A document is a doc_id with its text: rows that repeat a doc_id with
+    other texts are documents of their own, which rank by a digest of the text; rows alike in both count as one, so
+    they lose what starts earlier but not what they only share with each other. A null doc_id ranks first. Long texts are
     treated whole, other columns are ignored, an empty table gives no rows.
     """
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = d.join(repeated_spans(d), "id", "left").select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "text", "spans")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    d = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    both = d.join(repeated_spans(d), ["id", "tid"], "left").select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "text", "spans")
 
     def run(batches):
         for batch in batches:

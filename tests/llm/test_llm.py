@@ -540,6 +540,50 @@ def test_suffix_dedup_matches_brute_force(spark, sf, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(twice).count() == 3
 
 
+def _kept_of(df):
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in df.collect())
+
+
+def test_rows_of_one_id_with_other_texts_are_other_documents(spark):
+    rng = random.Random(9)
+    x, y, z = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, x), (2, x), (2, y), (None, z), (None, y[:200]), (3, z + x)]
+    got = {}
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id, r.n_bytes, r.n_removed] = bytes(r.kept).decode()
+    # the text that two ids share stays with the first, and what null ids have stays with them
+    assert got == {(1, 300, 0): x, (2, 300, 300): "", (2, 300, 200): y[200:], (None, 300, 0): z, (None, 200, 0): y[:200], (3, 600, 600): ""}
+
+
+def test_minimizers_with_many_windows_are_split(spark, sf, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common, long = word(60), word(95)
+    rows = [(i, word(rng.randint(20, 150)) + rng.choice([common, long]) + word(rng.randint(20, 150))) for i in range(150)]
+    rows += [(200 + i, rows[i][1][10:]) for i in range(20)] + [(300, "ab" * 300), (301, "ab" * 200)]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _kept(rows)
+
+
+def test_a_string_in_many_contexts_stays_within_a_part():
+    """One 60-byte string in 20,000 contexts: no key of the split windows has more than a few of them."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    common, bytes_of = "".join(rng.choice(letters) for _ in range(60)), collections.Counter()
+    for _ in range(20_000):
+        x = "".join(rng.choices(letters, k=90)) + common + "".join(rng.choices(letters, k=90))
+        raw = np.frombuffer(x.encode(), np.uint8)
+        for _, key, lo, n, _ in zip(*(a.tolist() for a in suffix_dedup.windows(raw, np.array([0, len(raw)]))), strict=True):
+            window = x.encode()[lo : lo + n + 99]
+            parts = suffix_dedup.split(window, key)
+            assert sum(m for _, m, _ in parts) == n
+            for s, m, k in parts:
+                bytes_of[k] += len(window[s : s + m + 99])
+    assert max(bytes_of.values()) < 2000
+
+
 def test_suffix_dedup_on_odd_rows(spark, odd):
     """A null id first, repeated rows as one document, a text of 60,000 words that repeats itself, clashing columns."""
     given = {(-1 if r.doc_id is None else r.doc_id): r.text for r in odd.collect()}
