@@ -51,6 +51,14 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of the frames in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session option for the length of a block."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import chained, table
+from corvellum.llm.common import chained, table, unused
 
 LEAD, SIMILAR, MIN_DOCS, BANDS = 3, 0.7, 5, 6
 FIELD = "<*>"
@@ -89,10 +89,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines of `recurring_lines`; every document stays, null texts stay null, columns of any name too."""
-    gone = recurring_lines(docs, min_docs, keep_first, id_col, text_col).select(F.col("doc_id").alias("__id__"), F.col("tid").alias("__tid__"), F.col("dropped").alias("__gone__"))
-    a = docs.join(gone, (docs[f"`{id_col}`"] == F.col("__id__")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col("__tid__")), "left")
-    stay = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("__gone__", i))
-    text = F.when(F.col("__gone__").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(stay, "\n"))
+    gone = recurring_lines(docs, min_docs, keep_first, id_col, text_col)
+    key = unused("dropped", docs)
+    gone = gone.select(F.col("doc_id").alias(unused("id", docs)), F.col("tid").alias(unused("tid", docs)), F.col("dropped").alias(key))
+    a = docs.join(gone, (docs[f"`{id_col}`"] == gone[gone.columns[0]]) & (F.xxhash64(docs[f"`{text_col}`"]) == gone[gone.columns[1]]), "left")
+    stay = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains(F.col(key), i))
+    text = F.when(F.col(key).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(stay, "\n"))
     return a.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

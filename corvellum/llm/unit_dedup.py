@@ -2,8 +2,8 @@
 
 A unit is normalised (A-Z lower-cased, runs of ASCII white space as one space, none at its ends) and hashed; digests are
 grouped over all documents, and the earliest occurrence by (document, place) is kept. Neighbouring repeated units of
-a document make one run, which has its original offset, length and number of words; runs of ``min_words`` words or
-more are removed. With 1, each repeated unit goes; with more, a passage goes while a lone repeated phrase stays.
+a document make one run, which has its original offset, length and number of words. All runs are removed, or, for callers
+that ask for it, those of ``min_words`` words or more.
 
 A line is cut further at the ends of its sentences unless whole lines or paragraphs are asked for: copied passages often
 begin and end inside a line, whose digest is then another one in each document.
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvellum.llm.common import chained, short_batches, table
+from corvellum.llm.common import chained, short_batches, table, unused
 
-#: What a passage is in the registered query: a run of repeated sentences of so many words. A passage of 50 words that
-#: begins and ends inside sentences of its documents loses two sentences, of about ten words each.
+#: Removed runs of so many words are reported as passages. (Of a passage of 50 words that begins and ends inside sentences of its
+#: documents, two sentences of about ten words each aren't repeated as a whole.) What is removed doesn't depend on it.
 PASSAGE_WORDS = 30
 #: Digests that are sent to all tasks at most; they have over one in so many of all repeated units each.
 HOT = 10_000
@@ -113,9 +113,11 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 1,
     made = ("n_repeated", "removed")
     given = [c for c in docs.columns if c not in made]
     found = repeated_units(docs, unit, id_col, text_col).groupBy("doc_id", "tid")
-    found = found.agg(F.collect_set(F.struct("unit", "start", "length", "words", "kept_doc_id", "kept_unit")).alias("__found__")).withColumnsRenamed({"doc_id": "__id__", "tid": "__tid__"})
     left = docs.select(*[docs[f"`{c}`"] for c in given])
-    both = left.join(found, left[f"`{id_col}`"].cast("long").eqNullSafe(F.col("__id__")) & (F.xxhash64(left[f"`{text_col}`"]) == F.col("__tid__")), "left").drop("__id__", "__tid__")
+    key = unused("found", left)
+    found = found.agg(F.collect_set(F.struct("unit", "start", "length", "words", "kept_doc_id", "kept_unit")).alias(key))
+    same = left[f"`{id_col}`"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(left[f"`{text_col}`"]) == found["tid"])
+    both = left.join(found, same, "left").select(*[left[f"`{c}`"] for c in given], found[key])
     at = given.index(text_col)
 
     def run(batches):
@@ -137,12 +139,17 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 1,
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated passages: how many units occur earlier, what was removed, digest of the rest."""
+    """Every document without its repeated units: n_repeated units in n_spans runs of n_cut characters, where the first run was and which
+    document keeps its earliest occurrence, a digest of what is left; n_removed counts the characters of those runs that are passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    out = remove_repeats(docs, min_words=PASSAGE_WORDS)
-    n = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["length"])
+    out = remove_repeats(docs)
+    chars = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["length"])
+    passages = F.filter("removed", lambda r: r["words"] >= PASSAGE_WORDS)
     first = F.get("removed", F.lit(0))
-    return out.select("doc_id", "n_chars", "n_repeated", n.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), first["start"].alias("first_start"), first["kept_doc_id"].alias("first_kept_doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_chars", "n_repeated", chars("removed").alias("n_cut"), F.size("removed").cast("long").alias("n_spans"), chars(passages).alias("n_removed"),
+        first["start"].alias("first_start"), first["kept_doc_id"].alias("first_kept_doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
 
 
 OP2_SQL = rf"""
@@ -165,16 +172,16 @@ r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS
 s AS (
   SELECT doc_id, run, min(start) AS a, max(start + length) AS b, count(*) AS units, sum(words) AS words, arg_min(kept_doc_id, unit) AS kept_doc_id
   FROM r GROUP BY doc_id, run),
-g AS (SELECT * FROM s WHERE words >= {PASSAGE_WORDS}),
 kept AS (
   SELECT n.doc_id, string_agg(n.x, '' ORDER BY n.tile) AS text
-  FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = n.doc_id AND n.start >= g.a AND n.start < g.b) GROUP BY n.doc_id),
-every AS (SELECT doc_id, sum(units) AS n_repeated FROM s GROUP BY doc_id),
-gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, min(a) AS first_start, arg_min(kept_doc_id, a) AS first_kept_doc_id FROM g GROUP BY doc_id)
+  FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = n.doc_id AND n.start >= s.a AND n.start < s.b) GROUP BY n.doc_id),
+gone AS (
+  SELECT doc_id, sum(units) AS n_repeated, sum(b - a) AS n_cut, count(*) AS n_spans, sum(b - a) FILTER (words >= {PASSAGE_WORDS}) AS n_removed,
+         min(a) AS first_start, arg_min(kept_doc_id, a) AS first_kept_doc_id FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(coalesce(d.text, '')) AS BIGINT) AS n_chars, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated,
-       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       CAST(coalesce(n_cut, 0) AS BIGINT) AS n_cut, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(first_start AS INTEGER) AS first_start, first_kept_doc_id, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN gone USING (doc_id)
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}

@@ -191,3 +191,29 @@ def test_null_rows_say_the_same_in_sql(spark, tmp_path, same_rows):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     same_rows(chat_repair.op12_chat_repair(spark, str(tmp_path)), con.sql(chat_repair.SQL["op12_chat_repair"]))
+
+
+# ---- names of the operators' own columns
+
+
+def test_columns_with_the_operators_own_names_pass_through(spark):
+    from corvellum.llm import line_templates, unit_dedup
+
+    line = "the same line of several words"
+    rows = [(i, f"own words of number {i}\n{line}", *range(7)) for i in range(6)]
+    names = ("__id__", "__tid__", "__gone__", "__found__", "found", "Dropped", "tid")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for out in (line_templates.drop_recurring_lines(docs), unit_dedup.remove_repeats(docs)):
+        assert [c for c in out.columns if c not in ("n_repeated", "removed")] == docs.columns
+        assert all(tuple(r[n] for n in names) == tuple(range(7)) for r in out.collect())
+    assert sum(line in r.text for r in unit_dedup.remove_repeats(docs).collect()) == 1
+    assert not any(line in r.text for r in line_templates.drop_recurring_lines(docs).collect())
+
+
+def test_every_repeated_unit_is_removed(spark, sf):
+    from corvellum.llm import unit_dedup
+
+    out = unit_dedup.op2_substring_dedup(spark, sf).collect()
+    whole = unit_dedup.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert sum(r.n_repeated for r in out) == sum(x["units"] for r in whole for x in r.removed) > 0
+    assert all(r.n_cut == sum(x["length"] for x in w.removed) and r.n_removed <= r.n_cut for r, w in zip(sorted(out, key=lambda r: r.doc_id), sorted(whole, key=lambda r: r.doc_id), strict=True))
