@@ -12,12 +12,14 @@ few words one edit touches most k-mers, so those of up to `SHORT` words have `SH
 
 Unlike texts that share a passage meet as well. What tells most of them apart before any text is fetched can't be true of
 like ones: each candidate says where the shared k-mers stand, and what has to be put in or left out before, between and behind
-them is a lower bound of the distance; so is half the difference of the texts' counts of words in `DIMS` classes.
+them is a lower bound of the distance; so is the sum of what one text has more of, of the words in `DIMS` classes. Texts that share a
+bucket with a large class are compared with its members block by block, so that a text moves once for a block of others.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,11 @@ from corvellum.llm.components import components
 
 K, KEEP, SKETCHES, SIMILAR = 5, 2, 64, 0.8
 SHORT, SHORT_K, SHORT_SKETCHES = 50, 2, 32
-DIMS = 64
+DIMS = 256
+#: Members from which on a class is large, and texts of a block of it.
+LARGE, BLOCK = 64, 64
 #: Rounds in which each text is compared with one centre of its buckets, before all that is left is compared.
-ROUNDS = 3
+ROUNDS = 4
 #: Words that a text has more often than this get a bit vector in the alignment, the others a list of places.
 FREQUENT = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -85,10 +89,10 @@ def sketches(h: np.ndarray, at: np.ndarray, k: int = K, number: int = SKETCHES)
 
 
 def classes_of_words(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, DIMS): how many words of each class a row has, at most 32,767. One edit changes two counts by one at most."""
+    """(rows, DIMS): how many words of each class a row has, at most 127. An edit takes one word away and brings one at most."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    counts = np.bincount(row * DIMS + (h >> np.uint64(58)).astype(np.int64), minlength=(len(at) - 1) * DIMS)
-    return np.minimum(counts, 32_767).astype(np.int16).reshape(-1, DIMS)
+    counts = np.bincount(row * DIMS + (h >> np.uint64(56)).astype(np.int64), minlength=(len(at) - 1) * DIMS)
+    return np.minimum(counts, 127).astype(np.int8).reshape(-1, DIMS)
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -193,7 +197,7 @@ def _sketched(named: DataFrame) -> DataFrame:
                 counts = pa.ListArray.from_arrays(np.arange(0, (b - a) * DIMS + 1, DIMS, dtype=np.int32), pa.array(classes_of_words(h, at).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), counts, *lists], names=["doc_id", "tid", "n", "counts", "keys", "places"])
 
-    return short_batches(named).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tid long, n long, counts array<short>, keys array<long>, places array<long>")
+    return short_batches(named).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tid long, n long, counts array<byte>, keys array<long>, places array<long>")
 
 
 def _laid(room: np.ndarray, keys: np.ndarray, places: np.ndarray, a: np.ndarray, b: np.ndarray, more_a: np.ndarray, more_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,9 +249,10 @@ def _placed(similar: float) -> Column:
 
 
 def _counted(similar: float) -> Column:
-    """Whether texts with those counts of words by class can be alike: an edit changes two counts by one at most."""
-    apart = F.aggregate(F.zip_with("counts", "counts_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda a, x: a + x)
-    return apart <= 2 * _most(similar)
+    """Whether texts with those counts of words by class can be alike: an edit takes one word away and brings one at most."""
+    more = F.zip_with("counts", "counts_b", lambda x, y: x.cast("int") - y.cast("int"))
+    sums = F.aggregate(more, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), lambda s, x: F.struct((s["a"] + F.greatest(x, F.lit(0))).alias("a"), (s["b"] + F.greatest(-x, F.lit(0))).alias("b")))
+    return F.greatest(sums["a"], sums["b"]) <= _most(similar)
 
 
 def _rank(c: str, seed: int) -> Column:
@@ -260,27 +265,77 @@ def _entries(members: DataFrame, *more: str) -> DataFrame:
 
 
 def _candidates(members: DataFrame, seed: int, similar: float) -> DataFrame:
-    """At most one pair for each text: itself (text_a) with the centre (text_b) that ranks first of those of its buckets.
+    """At most one pair for each text: itself (text_a) with the centre (text_b) of most of its buckets.
 
-    A bucket's centre is its text of the least hash, so a group of texts that share many buckets has few centres.
+    A bucket's centre is its text of the least hash, so a group of texts that share many buckets has few centres; and the centre
+    of a text's near copies is that of more of its buckets than the centre of unlike texts which share a passage with it.
     """
     e = _entries(members)
     first = F.min(F.struct(_rank("tid", seed).alias("r"), F.col("tid").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("p").alias("q")))
     mixed = e.groupBy("key").agg(first.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "c.*")
     met = e.join(mixed, "key").where((F.col("label") != F.col("lb")) & _placed(similar))
-    best = met.groupBy(F.col("tid").alias("text_a")).agg(F.min(F.struct("r", "b", "lb", "label")).alias("c"))
+    each = met.groupBy("tid", "b", "r", "lb", "label").count()
+    best = each.groupBy(F.col("tid").alias("text_a")).agg(F.max(F.struct("count", "r", "b", "lb", "label")).alias("c"))
     return best.select("text_a", F.col("c.b").alias("text_b"), F.col("c.label").alias("la"), F.col("c.lb").alias("lb"))
 
 
+def _relabelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members after the links ``found`` (la, lb): a link takes the class that ranks later into the other."""
+    to = found.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to"))
+    for _ in range(2):
+        far = to.select(F.col("label").alias("to"), F.col("to").alias("far"))
+        to = to.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
+    return members.join(to, "label", "left").select("tid", "n", "counts", "at", F.coalesce("to", "label").alias("label"))
+
+
+def _any_alike(similar: float):
+    """Of a block of texts (side 0) and members of a class (side 1): the first member that each text is like."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        words = [np.frombuffer(w, "<u4") for w in f["w"]]
+        sizes = np.array([len(w) for w in words])
+        counts = np.stack([np.bincount(w & 2047, minlength=2048) for w in words])
+        inside, out = np.flatnonzero(f["side"].to_numpy() == 1), []
+        for i in np.flatnonzero(f["side"].to_numpy() == 0):
+            more = counts[i] - counts[inside]
+            most = (1 - similar) * np.maximum(sizes[i], sizes[inside]) + 1e-9
+            can = (np.maximum(more, 0).sum(1) <= most) & (np.maximum(-more, 0).sum(1) <= most)
+            for j in inside[can]:
+                if alike(words[i], words[j], similar):
+                    out.append((f["tid"].iloc[i], f["tid"].iloc[j], f["own"].iloc[i], f["label"].iloc[j]))
+                    break
+        return pd.DataFrame(out, columns=["text_a", "text_b", "la", "lb"])
+
+    return run
+
+
+def _against_large(members: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
+    """Links of texts to large classes with which they share a bucket: each with all members, in blocks of about `BLOCK` on both sides."""
+    large = members.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+    entries = _entries(members)
+    keys = entries.join(large, "label").select("key", F.col("label").alias("large")).distinct()
+    # of two large classes, members of the one that ranks later are compared with the other
+    outside = entries.join(keys, "key").join(large.select("label", F.lit(True).alias("is_large")), "label", "left")
+    outside = chained(members.sparkSession, outside.where((F.col("label") != F.col("large")) & (F.col("is_large").isNull() | (F.col("label") > F.col("large")))).select("tid", "label", "large").distinct())
+    pieces = outside.groupBy("large").agg(F.ceil(F.count("*") / BLOCK).alias("n_out")).join(large.select(F.col("label").alias("large"), F.ceil(F.col("size") / BLOCK).alias("n_in")), "large")
+    part = lambda n: F.pmod(F.xxhash64("tid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = outside.join(pieces, "large").select("tid", F.col("label").alias("own"), F.col("large").alias("label"), F.lit(0).alias("side"), part("n_out").alias("i"), every("n_in").alias("j"))
+    b = members.select("tid", "label").join(pieces.withColumnRenamed("large", "label"), "label").select("tid", F.lit(0).cast("long").alias("own"), "label", F.lit(1).alias("side"), every("n_out").alias("i"), part("n_in").alias("j"))
+    met = a.unionByName(b).join(rows, "tid")
+    return met.groupBy("label", "i", "j").applyInPandas(_any_alike(similar), "text_a long, text_b long, la long, lb long")
+
+
 def _all_left(members: DataFrame, similar: float) -> DataFrame:
-    """All pairs that share a bucket, are of different classes and can be alike, each once.
+    """All pairs that share a bucket, are of different classes, none of them large, and can be alike, each once.
 
     In a bucket the texts outside its largest class are paired with all others of like length, so a large class that is already
     known isn't paired with itself. Lengths are compared in classes whose borders are 1 / ``similar`` apart, of which two
     neighbours can be alike; so they are part of the key.
     """
     grade = F.floor(F.log("n") / -np.log(similar)).cast("int")
-    e = _entries(members.withColumn("grade", grade), "grade", "counts")
+    large = members.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+    e = _entries(members.join(large.select("label", F.lit(True).alias("is_large")), "label", "left").withColumn("grade", grade), "grade", "counts", "is_large").where("is_large IS NULL").drop("is_large")
     sizes = e.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count("*").alias("classes"))
     e = e.join(sizes.where("classes > 1").select("key", "major"), "key")
     one = e.where("label <> major")
@@ -296,9 +351,9 @@ def _links(named: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
     """(a, b): digests of texts that are linked; as many links as it takes to connect each class.
 
     In each of `ROUNDS` rounds every text is compared with one centre of its buckets, which puts most of a large group
-    into one class. Then every pair of a bucket that is still in different classes and can be alike is compared, so no two
-    texts that share a sketch end apart without having been compared. That is quadratic only in texts of a bucket that are
-    unlike its largest class and of like length.
+    into one class. Then texts are compared with all members of large classes that they share a bucket with, and every pair
+    of a bucket that is still in different classes and can be alike is compared, so no two texts that share a sketch end apart
+    without having been compared. That is quadratic only in texts of a bucket that are unlike its largest class.
     """
     spark = named.sparkSession
     entry = stands.where("n > 0").select("tid", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))).alias("e"))
@@ -311,12 +366,10 @@ def _links(named: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
     for seed in range(ROUNDS):
         found = chained(spark, _verified(_candidates(members, seed, similar), rows, similar))
         links = found if links is None else links.union(found)
-        # a link takes the class that ranks later into the other; what that leaves apart is compared again
-        to = found.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to"))
-        for _ in range(2):
-            far = to.select(F.col("label").alias("to"), F.col("to").alias("far"))
-            to = to.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
-        members = chained(spark, members.join(to, "label", "left").select("tid", "n", "counts", "at", F.coalesce("to", "label").alias("label")))
+        members = chained(spark, _relabelled(members, found))
+    found = chained(spark, _against_large(members, rows, similar))
+    links = links.select("text_a", "text_b").union(found.select("text_a", "text_b"))
+    members = chained(spark, _relabelled(members, found))
     rest = _verified(_all_left(members, similar), rows, similar)
     # one link connects two classes as well as all of them do
     rest = chained(spark, rest.groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.min(F.struct("text_a", "text_b")).alias("x")))
