@@ -62,29 +62,49 @@ def permutation_difference(rows: DataFrame, n_perm: int = 1000, seed: int = 0) -
     return null.groupBy(F.col("d").alias("difference")).agg(((as_far + 1) / (F.count("*") + 1)).alias("p"))
 
 
-def swapped_labels(units: DataFrame, n_swaps: int = 20, seed: int = 0) -> DataFrame:
+def swapped_labels(units: DataFrame, n_swaps: int = 20, seed: int = 0, paired: bool = True) -> DataFrame:
     """(swap, sample, flip) of paired samples: for each swap a hashed coin per sample; swaps that flip none or all are
-    left out."""
-    s = units.select("sample").distinct().select("sample", F.explode(F.sequence(F.lit(1), F.lit(n_swaps))).alias("swap"))
-    s = s.withColumn("flip", F.pmod(F.xxhash64(F.lit(seed), "swap", "sample"), F.lit(2)) == 1)
+    left out. For samples of one condition each, over (sample, condition): labels dealt anew, as many of each as there were;
+    swaps that leave all where they were, or change all, are left out."""
+    s = units.select("sample", *([] if paired else ["condition"])).distinct().withColumn("swap", F.explode(F.sequence(F.lit(1), F.lit(n_swaps))))
+    coin = F.xxhash64(F.lit(seed), "swap", "sample")
     w = Window.partitionBy("swap")
+    if paired:
+        s = s.withColumn("flip", F.pmod(coin, F.lit(2)) == 1)
+    else:
+        first = F.col("condition") == F.min("condition").over(w)
+        s = s.withColumn("is_first", first).withColumn("place", F.row_number().over(w.orderBy(coin, "sample")))
+        s = s.withColumn("flip", F.col("is_first") != (F.col("place") <= F.sum(F.col("is_first").cast("int")).over(w)))
     k, n = F.sum(F.col("flip").cast("int")).over(w), F.count("*").over(w)
     return s.withColumn("k", k).withColumn("n", n).where("k > 0 AND k < n").select("swap", "sample", "flip")
 
 
-def swap_null(logs: DataFrame, ref: str, test: str, n_swaps: int = 20, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Features called at ``alpha`` after Benjamini-Hochberg under swapped condition labels, one row per swap, over
-    ``logs`` (sample, condition, feature, v) of complete pairs."""
+def swap_null(logs: DataFrame, units: DataFrame, ref: str, test: str, paired: bool = True, n_swaps: int = 20, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Features called at ``alpha`` after Benjamini-Hochberg under swapped condition labels, one row per (ptype, swap): called, tested.
+
+    ``logs`` (ptype, sample, condition, feature, v) without zeros and ``units`` (ptype, sample, condition) are tested by
+    `designs.effects` with the labels of each swap, so the null is that of the test itself. Labels are swapped within samples of a
+    paired design, else between samples. Nothing that could be swapped gives no rows. The labels of the swaps are a row for each sample and
+    swap; logs meet them in a join that sends them along if they are small.
+    """
     from corvellum.functions.dist import t_p
+    from corvellum.operators import designs
+    from corvellum.plans.sqlplan import apply
 
-    d = logs.groupBy("feature", "sample").agg(F.sum(F.when(F.col("condition") == test, F.col("v")).otherwise(-F.col("v"))).alias("d"), F.count("*").alias("k")).where("k = 2")
-    swaps = swapped_labels(logs, n_swaps, seed)
-    x = d.join(F.broadcast(swaps), "sample").groupBy("swap", "feature").agg(F.avg(F.when(F.col("flip"), -F.col("d")).otherwise(F.col("d"))).alias("m"), F.stddev_samp("d").alias("raw"), F.stddev_samp(F.when(F.col("flip"), -F.col("d")).otherwise(F.col("d"))).alias("s"), F.count("*").alias("n"))
-    p = x.where("n >= 3 AND s > 0").withColumn("p", t_p(F.col("m") / (F.col("s") / F.sqrt("n")), F.col("n") - 1))
-    w = Window.partitionBy("swap")
-    r = p.withColumn("i", F.row_number().over(w.orderBy("p", "feature"))).withColumn("t", F.count("*").over(w))
+    swaps = swapped_labels(units, n_swaps, seed, paired)
+    other = F.when(F.col("condition") == ref, F.lit(test)).otherwise(F.lit(ref))
+
+    def under(df: DataFrame) -> DataFrame:
+        key = F.concat_ws("\u0001", "ptype", F.col("swap").cast("string"))
+        return df.join(swaps, "sample").select(key.alias("ptype"), "sample", F.when(F.col("flip"), other).otherwise(F.col("condition")).alias("condition"), *[c for c in df.columns if c not in ("ptype", "sample", "condition")])
+
+    gate = logs.sparkSession.createDataFrame([(paired,)], "paired boolean")
+    found = apply(designs.effects(ref, test), logs=under(logs), kept=under(units), gate=gate).where("t_stat IS NOT NULL").withColumn("p", t_p(F.col("t_stat"), F.col("df")))
+    w = Window.partitionBy("ptype")
+    r = found.withColumn("i", F.row_number().over(w.orderBy("p", "feature"))).withColumn("t", F.count("*").over(w))
     q = r.withColumn("q", F.min(F.col("p") * F.col("t") / F.col("i")).over(w.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)))
-    return q.groupBy("swap").agg(F.sum((F.col("q") < alpha).cast("int")).alias("called"), F.count("*").alias("tested"))
+    parts = F.split("ptype", "\u0001")
+    return q.groupBy("ptype").agg(F.sum((F.col("q") < alpha).cast("int")).alias("called"), F.count("*").alias("tested")).select(parts[0].alias("ptype"), parts[1].cast("int").alias("swap"), "called", "tested")
 
 
 #: Features that a ranked list may have: each list travels to the tasks as one array of doubles.

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.functions.dist import t_p, z_p
-from corvellum.operators import compare, enrich, inference, learn, matrix, prose_checks, sampling, structure
+from corvellum.operators import compare, designs, enrich, glm, inference, learn, matrix, prose_checks, sampling, structure
 from corvellum.plans.catalogues import CATALOGUES
 from corvellum.plans.report import card, record, run_summary
 from corvellum.plans.sqlplan import apply
@@ -195,43 +195,71 @@ def annotate_stage(expr: DataFrame, obs: DataFrame, panel: DataFrame, reference:
     return {"scores": scores, "calls": calls, "suggested_negatives": suggested, "panel_use": each}, notes
 
 
-def compare_stage(cells: DataFrame, ref: str, test: str, alpha: float = 0.05, least_consistent: float = 0.75) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Gate, then shares, pseudobulk test with BH, swap null and consistency; a failed gate ends it before any test."""
+def compare_stage(
+    cells: DataFrame, values: DataFrame, ref: str, test: str, kind: str = "counts", alpha: float = 0.05, min_effect: float = 0.5, min_cells: int = 10, min_units: int = 3, pure: float = 0.9,
+    least_consistent: float = 0.75, most_unnamed: float = 0.2, n_swaps: int = 20, seed: int = 0,
+) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Gate, shares of types, effects on totals of samples with BH, swap null and consistency, for paired and unpaired samples.
+
+    ``cells`` (unit_id, sample, condition, batch, grp, ptype) has a row a cell, ``values`` (unit_id, feature, value) what isn't zero:
+    counts, or log values if ``kind`` is "log". The comparison ends with the gate where a condition has no cells, fewer than two
+    samples have enough, or no type can be tested; a batch that follows the condition is a warning, carried on.
+    """
     what = CATALOGUES["compare"]
     note = lambda check, status, found, why: record(check, status, what[check], found, why)
-    gate = apply(compare.design_gate(ref, test), cells=cells).first()
-    sides = {r.condition: r["count"] for r in cells.where(F.col("condition").isin(ref, test)).groupBy("condition").count().collect()}
-    notes = [
-        note("groups", "PASS" if len(sides) == 2 else "FAIL", f"{sides}", "two are needed"),
-        note("replicates", gate.replicates, f"{gate.n_ref} and {gate.n_test}", "one unit can't show spread"),
-        note("condition vs batch", gate.batch, gate.batch, "batch and condition can't be told apart then"),
+    gate = apply(designs.gate(ref, test, min_cells, min_units, pure), cells=cells).persist()
+    g = gate.first()
+    notes = [note("groups", "INFO" if g.ref_cells and g.test_cells else "FAIL", f"{g.ref_cells} cells of {ref}, {g.test_cells} of {test}, {g.n_left_out} of others", "two conditions are needed; others are left out")]
+    notes.append(note("replicates", g.replicates, f"{g.n_ref} and {g.n_test} samples of {min_cells} cells or more", "cells of one sample aren't replicates"))
+    if "FAIL" in (notes[0]["status"], g.replicates):
+        return {"gate": gate}, notes
+    types = apply(designs.types(ref, test, min_cells, min_units, pure), cells=cells, gate=gate).persist()
+    listed = types.orderBy("ptype").collect()
+    tested, one_sided = [r.ptype for r in listed if r.testable], [r.ptype for r in listed if r.follows]
+    left = [f"{r.ptype} ({r.n_ref} and {r.n_test} samples)" for r in listed if not r.testable]
+    unnamed = g.n_unnamed / (g.ref_cells + g.test_cells)
+    notes += [
+        note("pairing", g.pairing, f"{g.n_both} of {g.n_samples} samples in both conditions", "samples in both are compared with themselves; a few of many can't be"),
+        note("condition vs batch", g.batch, f"{g.n_single} of {g.n_batches} batches hold one condition", "an effect of the batch would look like one of the condition" if g.n_single else "batches hold both conditions"),
+        note("clusters follow condition", g.clusters, f"{g.n_pure} of {g.n_groups} groups", "the condition may have made the groups"),
+        note("cell types follow condition", "WARN" if one_sided else "PASS", ", ".join(one_sided) or "none", "the name may have moved with the condition instead of the cells"),
+        note("testable cell types", "FAIL" if not tested else "WARN" if left else "PASS", f"{len(tested)} of {len(listed)}" + (f"; not: {'; '.join(left)}" if left else ""), "the others have too few cells or samples"),
+        note("unlabelled cells", "WARN" if unnamed >= most_unnamed else "INFO", f"{100 * unnamed:.1f} %", "they are in no type's results"),
     ]
-    if "FAIL" in (notes[0]["status"], gate.replicates, gate.batch):
-        return {}, notes
-    logs = apply(compare.log_cpm(), bulk=apply(compare.pseudobulk(), cells=cells)).persist()
-    result = apply((compare.paired_t if gate.paired else compare.pooled_t)(ref, test), logs=logs).withColumn("p", t_p(F.col("t_stat"), F.col("df")))
-    result = result.withColumn("id", F.concat_ws(" ", "ptype", "feature")).persist()
-    called = apply(inference.multiplicity("ptype", alpha), p=result.select("id", "ptype", "p")).select("id", "ptype", "bh", "bh_called")
-    result = result.join(called, ["id", "ptype"]).persist()
-    one = logs.select("sample", "condition", F.concat_ws(" ", "ptype", "feature").alias("feature"), "v")
-    null = sampling.swap_null(one, ref, test).persist()
-    shares = apply(compare.type_shares(), cells=cells)
-    consistency = apply(compare.direction_consistency(ref, test), logs=logs).persist()
-    every, tested = cells.select("ptype").distinct().count(), result.select("ptype").distinct().count()
-    one_sided = apply(prose_checks.followers(), rows=cells.select(F.col("ptype").alias("grp"), "condition")).count()
-    clusters = apply(prose_checks.followers(), rows=cells.select("grp", "condition")).count()
-    swap = null.agg(F.median("called").alias("mid"), F.max("tested").alias("n")).first()
-    shaky = consistency.where(F.col("consistency") < least_consistent).count()
+    if not tested:
+        return {"gate": gate, "types": types}, notes
+    shares = apply(designs.shares(ref, test, min_cells), cells=cells, gate=gate).persist()
+    by_clr = apply(designs.share_effects(ref, test), shares=shares, gate=gate).withColumn("p_clr", t_p(F.col("clr_t"), F.col("df")))
+    by_odds = glm.quasi_binomial(shares, test, g.paired).select("ptype", "log_odds", "odds_t", "odds_df", "dispersion")
+    abundance = structure.kept(by_clr.join(by_odds, "ptype", "left").withColumn("p_odds", t_p(F.col("odds_t"), F.col("odds_df"))))
+    each = abundance.select(F.col("ptype").alias("id"), F.explode(F.create_map(F.lit("clr"), "p_clr", F.lit("odds"), "p_odds")).alias("model", "p")).where("p IS NOT NULL")
+    fdr = apply(inference.multiplicity("model", alpha), p=each).groupBy("id").pivot("model", ["clr", "odds"]).agg(F.first("bh")).toDF("ptype", "fdr_clr", "fdr_odds")
+    abundance = abundance.join(fdr, "ptype", "left")
+    abundance = abundance.withColumn("agree", F.coalesce((F.col("fdr_clr") < alpha) & (F.col("fdr_odds") < alpha), F.lit(False))).withColumn("caution", F.col("ptype").isin(one_sided)).persist()
+    kept = apply(designs.kept_units(ref, test, min_cells), cells=cells, gate=gate).where(F.col("ptype").isin(tested)).persist()
+    bulk = apply(designs.bulk(kind == "log"), cells=cells, values=values, kept=kept).persist()
+    if kind == "log":
+        logs = bulk.select("ptype", "sample", "condition", "feature", (F.col("total") / F.log(F.lit(2.0))).alias("v")).persist()
+    else:
+        logs = apply(designs.logs(), bulk=bulk, tested=apply(designs.tested_features(min_units), bulk=bulk)).persist()
+    result = apply(designs.effects(ref, test), logs=logs, kept=kept, gate=gate).withColumn("p", t_p(F.col("t_stat"), F.col("df"))).withColumn("id", F.concat_ws(" ", "ptype", "feature")).persist()
+    called = apply(inference.multiplicity("ptype", alpha), p=result.where("p IS NOT NULL").select("id", "ptype", "p")).select("id", "ptype", "bh", "bh_called")
+    result = result.join(called, ["id", "ptype"], "left").withColumn("significant", F.coalesce(F.col("bh_called") & (F.abs("effect") >= min_effect), F.lit(False))).persist()
+    null = sampling.swap_null(logs, kept, ref, test, g.paired, n_swaps, alpha, seed).persist()
+    consistency = apply(designs.consistency(ref, test), logs=logs, kept=kept, called=result.where("significant"), gate=gate).persist()
+    counts = result.groupBy("ptype").agg(F.count_if("bh_called").alias("real"), F.count("*").alias("tested"))
+    swaps = null.groupBy("ptype").agg(F.median("called").alias("mid"), F.count("*").alias("n"))
+    by_type = {r.ptype: r for r in counts.join(swaps, "ptype", "left").collect()}
+    noisy = [t for t, r in by_type.items() if r.mid is not None and r.mid > max(0.01 * r.tested, 0.2 * r.real)]
+    unsure = [r.ptype for r in consistency.where(F.col("consistency") < least_consistent).collect()]
+    n_agree, n_types = abundance.where("agree").count(), abundance.count()
     notes += [
-        note("pairing", "INFO", "samples are compared with themselves" if gate.paired else "samples are of one condition each", "pairs take differences of samples out"),
-        note("clusters follow condition", "WARN" if clusters else "PASS", f"{clusters} clusters", "the condition may have made the cluster"),
-        note("cell types follow condition", "WARN" if one_sided else "PASS", f"{one_sided} types", "the name may stand for the condition"),
-        note("testable cell types", "PASS" if tested == every else "WARN" if tested else "FAIL", f"{tested} of {every}", "the others have too few cells or samples"),
-        note("differential expression", "INFO", f"{result.where('bh_called').count()} of {result.count()} called", "counted at the corrected level"),
-        note("null check", "INFO" if swap.mid is None else "PASS" if swap.mid <= 0.01 * swap.n else "WARN", f"median {swap.mid} of {swap.n} under swapped labels", "calls there are false"),
-        note("sample consistency", "WARN" if shaky else "PASS", f"{shaky} types under {least_consistent}", "a few samples may carry the mean"),
+        note("abundance", "INFO", f"{n_agree} of {n_types} types differ in both models", "shares sum to one, so one type's rise is the others' fall"),
+        note("differential expression", "INFO", f"{result.where('significant').count()} of {result.count()} called", "counted at the corrected level and least effect"),
+        note("null check", "INFO" if not any(r.mid is not None for r in by_type.values()) else "WARN" if noisy else "PASS", ", ".join(noisy) or f"no more than expected in {len(by_type)} types", "calls under swapped labels are false"),
+        note("sample consistency", "INFO" if not g.paired else "WARN" if unsure else "PASS", ", ".join(unsure) or "samples agree" if g.paired else "needs pairs", "a few samples may carry the mean"),
     ]
-    return {"result": result, "shares": shares, "abundance": apply(compare.abundance_logit(ref, test), shares=shares), "consistency": consistency, "swap_null": null}, notes
+    return {"gate": gate, "types": types, "result": result, "shares": shares, "abundance": abundance, "consistency": consistency, "swap_null": null, "units": kept}, notes
 
 
 def interpret_stage(result: DataFrame, ranked: DataFrame, sets: DataFrame, background: DataFrame, n_perm: int = 1500) -> dict[str, DataFrame]:

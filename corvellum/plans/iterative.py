@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.functions.dist import chi2_p, reported_p, t_p, z_p
-from corvellum.operators import learn, lint, sampling, structure
+from corvellum.operators import glm, learn, lint, sampling, structure
 from corvellum.plans import statistics
 from corvellum.plans.sqlplan import apply, from_sql
 
@@ -95,8 +95,32 @@ def reference_labels(spark, sf_dir):
 
 
 def swap_null(spark, sf_dir):
-    logs = from_sql(statistics.SQL["log_cpm"])(spark, sf_dir).select("sample", "condition", F.concat("ptype", F.lit(" "), "feature").alias("feature"), "v")
-    return sampling.swap_null(logs, "F", "O")
+    d = statistics.DESIGNS[0]
+    return sampling.swap_null(from_sql(d["logs"])(spark, sf_dir), from_sql(d["kept"])(spark, sf_dir), "F", "O")
+
+
+def swap_null_unpaired(spark, sf_dir):
+    d = statistics.DESIGNS[1]
+    return sampling.swap_null(from_sql(d["logs"])(spark, sf_dir), from_sql(d["kept"])(spark, sf_dir), "F", "O", paired=False)
+
+
+def _quasi_binomial(spark, sf_dir, paired):
+    out = glm.quasi_binomial(from_sql(statistics.DESIGNS[0 if paired else 1]["shares"])(spark, sf_dir), "O", paired)
+    return out.select("ptype", *[F.round(c, 5).alias(c) for c in ("log_odds", "odds_t", "dispersion")], "odds_df", "converged")
+
+
+def abundance_glm(spark, sf_dir):
+    return _quasi_binomial(spark, sf_dir, True)
+
+
+def abundance_glm_unpaired(spark, sf_dir):
+    return _quasi_binomial(spark, sf_dir, False)
+
+
+def nb_model(spark, sf_dir):
+    d = statistics.DESIGNS[0]
+    out = glm.negative_binomial(from_sql(d["bulk"])(spark, sf_dir), from_sql(d["kept"])(spark, sf_dir), "F", "O", True)
+    return out.select("ptype", "feature", *[F.round(c, 5).alias(c) for c in ("base_mean", "log2fc", "stat", "dispersion")], "converged")
 
 
 def permutation_difference(spark, sf_dir):
@@ -159,7 +183,7 @@ def nb_p(spark, sf_dir):
     return from_sql(statistics.SQL["nb_wald"])(spark, sf_dir).withColumn("p", F.round(z_p(F.col("z")), 6))
 
 
-QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, gsea_by_type, lint_scripts, worked_example, nb_p)}
+QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, swap_null_unpaired, abundance_glm, abundance_glm_unpaired, nb_model, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, gsea_by_type, lint_scripts, worked_example, nb_p)}
 
 _NEAR = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.id, b.id AS other, a.label, b.label AS other_label, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id),

@@ -110,3 +110,58 @@ SQL |= {
     # three degrees of freedom: four languages, labelled or not
     "chi_square_p": _with_p(duck(statistics.SQL["chi_square"]), f"{_z_two_sided('sqrt(chi2)')} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2)"),
 }
+
+
+def _comparison(paired: bool) -> dict[str, str]:
+    """Oracles of the comparison of orders by status, or, unpaired, by the parity of their nation, over a dense grid of units and features."""
+    condition = "o_orderstatus" if paired else "CASE c_nationkey % 2 WHEN 0 THEN 'F' ELSE 'O' END"
+    batch = "o_orderpriority" if paired else "c_nationkey"
+    cells = f"""c AS (SELECT o_orderkey AS cell, c_nationkey AS s, {condition} AS k, {batch} AS b, year(o_orderdate) AS g,
+  CASE c_mktsegment WHEN 'MACHINERY' THEN 'unassigned' ELSE c_mktsegment END AS t FROM orders, customer WHERE o_custkey = c_custkey)"""
+    both = f"""per AS (PIVOT (SELECT s, k FROM c WHERE k IN ('F', 'O')) ON k IN ('F', 'O') USING count(*) GROUP BY s),
+design AS (SELECT count(*) AS n_samples, count(*) FILTER ("F" >= 10) AS n_ref, count(*) FILTER ("O" >= 10) AS n_test, count(*) FILTER (least("F", "O") >= 10) AS n_both,
+  count(*) >= 3 AND bool_and(least("F", "O") >= 10) AS paired FROM per)"""
+    gate = f"""WITH {cells}, {both},
+x AS (SELECT * FROM c WHERE k IN ('F', 'O')),
+bt AS (SELECT b, min(k) = max(k) AS single FROM x GROUP BY b),
+gr AS (SELECT g, avg(CASE k WHEN 'F' THEN 1.0::DOUBLE ELSE 0 END) AS f FROM x GROUP BY g)
+SELECT (SELECT count(*) FROM x WHERE k = 'F') AS ref_cells, (SELECT count(*) FROM x WHERE k = 'O') AS test_cells, (SELECT count(*) FROM c WHERE k NOT IN ('F', 'O')) AS n_left_out,
+  n_samples, n_ref, n_test, n_both, CASE WHEN least(n_ref, n_test) >= 3 THEN 'PASS' WHEN least(n_ref, n_test) = 2 THEN 'WARN' ELSE 'FAIL' END AS replicates, paired,
+  CASE WHEN paired THEN 'PASS' WHEN n_both = 0 THEN 'INFO' ELSE 'WARN' END AS pairing,
+  (SELECT count(*) FROM bt) AS n_batches, (SELECT count(*) FROM bt WHERE single) AS n_single, CASE WHEN EXISTS (FROM bt WHERE single) THEN 'WARN' ELSE 'PASS' END AS batch, (SELECT bool_and(single) FROM bt) AS confounded,
+  n_groups, n_pure, CASE WHEN n_pure > n_groups / 2.0 THEN 'WARN' ELSE 'PASS' END AS clusters,
+  n_unnamed, CASE WHEN n_unnamed >= 0.2 * n_x THEN 'WARN' ELSE 'INFO' END AS unlabelled
+FROM design, (SELECT count(*) AS n_groups, count(*) FILTER (f >= 0.9 OR 1 - f >= 0.9) AS n_pure FROM gr), (SELECT count(*) AS n_x, count(*) FILTER (t = 'unassigned') AS n_unnamed FROM x)"""
+    least = 10 if paired else 40
+    types = f"""WITH {cells}, {both},
+n AS (PIVOT (SELECT s, t, k FROM c WHERE k IN ('F', 'O') AND t <> 'unassigned') ON k IN ('F', 'O') USING count(*) GROUP BY t, s)
+SELECT t AS ptype, sum("F")::BIGINT AS ref_cells, sum("O")::BIGINT AS test_cells, count(*) FILTER ("F" >= {least}) AS n_ref, count(*) FILTER ("O" >= {least}) AS n_test, count(*) FILTER (least("F", "O") >= {least}) AS n_pairs,
+  CASE WHEN (SELECT paired FROM design) THEN count(*) FILTER (least("F", "O") >= {least}) >= 3 ELSE least(n_ref, n_test) >= 3 END AS testable,
+  greatest(sum("F"), sum("O")) / sum("F" + "O") >= 0.9 AND sum("F" + "O") >= {3 * least} AS follows FROM n GROUP BY t""".replace("n_ref, n_test) >= 3", f'count(*) FILTER ("F" >= {least}), count(*) FILTER ("O" >= {least})) >= 3')
+    units = f"""{cells}, {both},
+units AS (SELECT t, s, k, count(*) AS n FROM c WHERE k IN ('F', 'O') AND t <> 'unassigned' GROUP BY t, s, k HAVING count(*) >= 10),
+kept AS (SELECT t, s, k FROM units u WHERE NOT (SELECT paired FROM design) OR EXISTS (FROM units v WHERE v.t = u.t AND v.s = u.s AND v.k <> u.k)),
+stored AS (SELECT c.t, c.s, c.k, p_brand AS f, sum(l_quantity) AS total FROM lineitem, part, c, kept WHERE l_partkey = p_partkey AND l_orderkey = c.cell AND kept.t = c.t AND kept.s = c.s AND kept.k = c.k GROUP BY ALL)"""
+    bulk = f"WITH {units} SELECT t AS ptype, s AS sample, k AS condition, f AS feature, round(total, 6) AS total FROM stored"
+    dense = f"""{units},
+tested AS (SELECT t, f FROM stored GROUP BY t, f HAVING sum(total) >= 10 AND count(*) FILTER (total > 0) >= 3),
+grid AS (SELECT kept.t, kept.s, kept.k, tested.f, coalesce(stored.total, 0) AS y FROM kept JOIN tested ON tested.t = kept.t LEFT JOIN stored ON stored.t = kept.t AND stored.s = kept.s AND stored.k = kept.k AND stored.f = tested.f),
+logged AS (SELECT t, s, k, f, log2(y * 1000000 / greatest(sum(y) OVER (PARTITION BY t, s, k), 1) + 1) AS v FROM grid)"""
+    if paired:
+        test = f"""WITH {dense}, d AS (SELECT t, f, a.v - b.v AS d FROM logged a JOIN logged b USING (t, f, s) WHERE a.k = 'O' AND b.k = 'F')
+SELECT t AS ptype, f AS feature, count(*) AS n_ref, count(*) AS n_test, round(avg(d), 6) AS effect, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t_stat, count(*) - 1 AS df FROM d GROUP BY t, f"""
+    else:
+        side = lambda k: f"FILTER (k = '{k}')"
+        test = f"""WITH {dense}, m AS (SELECT t, f, count(*) {side("F")} AS n1, count(*) {side("O")} AS n2, avg(v) {side("O")} - avg(v) {side("F")} AS e, var_samp(v) {side("F")} AS v1, var_samp(v) {side("O")} AS v2 FROM logged GROUP BY t, f)
+SELECT t AS ptype, f AS feature, n1 AS n_ref, n2 AS n_test, round(e, 6) AS effect, round(e / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)), 6) AS t_stat, n1 + n2 - 2 AS df FROM m"""
+    share = f"""WITH {cells}, {both},
+u AS (SELECT s, k, count(*) AS n FROM c WHERE k IN ('F', 'O') GROUP BY s, k HAVING count(*) >= 10),
+w AS (SELECT * FROM u WHERE NOT (SELECT paired FROM design) OR (SELECT count(*) FROM u v WHERE v.s = u.s) = 2),
+y AS (SELECT t FROM c WHERE k IN ('F', 'O') AND t <> 'unassigned' GROUP BY t HAVING count(*) >= 30),
+z AS (SELECT w.s, w.k, w.n, y.t, (SELECT count(*) FROM c WHERE c.s = w.s AND c.k = w.k AND c.t = y.t) AS m FROM w, y)
+SELECT s AS sample, k AS condition, t AS ptype, m AS k, n, round(m / n, 6) AS share, round(ln(m + 0.5::DOUBLE) - avg(ln(m + 0.5::DOUBLE)) OVER (PARTITION BY s, k), 6) AS clr FROM z"""
+    more = "" if paired else "_unpaired"
+    return {f"design_gate{more}": gate, f"design_types{more}": types, f"pseudobulk{more}": bulk, f"abundance_share{more}": share, "paired_t" if paired else "unpaired_t": test}
+
+
+SQL |= _comparison(True) | _comparison(False)

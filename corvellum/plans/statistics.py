@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvellum.functions.sqltext import num
-from corvellum.operators import compare, enrich, inference, matrix, prose_checks, records
+from corvellum.functions.sqltext import num, rounded
+from corvellum.operators import compare, designs, enrich, inference, matrix, prose_checks, records
 from corvellum.plans.sqlplan import fill
 
 # Units are suppliers, features brands, samples nations, batches regions, conditions line statuses.
@@ -14,6 +14,12 @@ UNITS = "SELECT s_suppkey AS unit_id FROM supplier"
 FEATURES = "SELECT DISTINCT p_brand AS feature_id FROM part"
 CELLS = """SELECT s_nationkey AS sample, l_linestatus AS condition, n_regionkey AS batch, p_type AS grp, p_type AS ptype, p_brand AS feature, l_quantity AS value
  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey"""
+# Cells are orders, their values the brands that they hold; samples are the customers' nations, in both order statuses or, unpaired, in one
+# that the nation goes by; types are market segments, one of them without a name.
+DESIGN_CELLS = """SELECT o_orderkey AS unit_id, c_nationkey AS sample, o_orderstatus AS condition, o_orderpriority AS batch, year(o_orderdate) AS grp,
+ CASE WHEN c_mktsegment = 'MACHINERY' THEN 'unassigned' ELSE c_mktsegment END AS ptype FROM orders JOIN customer ON o_custkey = c_custkey"""
+UNPAIRED_CELLS = DESIGN_CELLS.replace("o_orderstatus AS condition", "CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'O' END AS condition").replace("o_orderpriority AS batch", "c_nationkey AS batch")
+DESIGN_VALUES = "SELECT l_orderkey AS unit_id, p_brand AS feature, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand"
 P = f"SELECT o_orderkey AS id, o_orderpriority AS family, (o_orderkey * 37 % 1009 + 1) / {num(1010)} AS p FROM orders"
 VALUES = "SELECT user_id AS cluster, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS grp, event_type, value FROM events"
 LABELLED = "SELECT n_chars AS score, quality AS positive FROM documents JOIN labels ON documents.doc_id = labels.doc_id"
@@ -33,9 +39,23 @@ _sums = fill(matrix.linear_sums(), expr=EXPR)
 _grid = fill(matrix.densified(), units=UNITS, features=FEATURES, expr=EXPR)
 _stats = fill(matrix.group_stats(), expr=EXPR, obs=OBS)
 _scaled = fill(matrix.rescaled(), stats=_stats)
-_bulk = fill(compare.pseudobulk(), cells=CELLS)
-_logs = fill(compare.log_cpm(), bulk=_bulk)
-_shares = fill(compare.type_shares(), cells=CELLS)
+
+
+def _design(cells: str) -> dict[str, str]:
+    """The comparison's relations over one table of cells."""
+    d = {"cells": cells, "values": DESIGN_VALUES, "gate": fill(designs.gate("F", "O"), cells=cells)}
+    d["kept"] = fill(designs.kept_units("F", "O"), **d)
+    d["bulk"] = fill(designs.bulk(), **d)
+    d["tested"] = fill(designs.tested_features(), **d)
+    d["logs"] = fill(designs.logs(), **d)
+    d["shares"] = fill(designs.shares("F", "O"), **d)
+    d["effects"] = fill(designs.effects("F", "O"), **d)
+    return d
+
+
+_paired, _unpaired = DESIGNS = _design(DESIGN_CELLS), _design(UNPAIRED_CELLS)
+_consistency = fill(designs.consistency("F", "O"), called=f"SELECT ptype, feature, effect FROM ({_paired['effects']}) e WHERE effect <> 0", **_paired)
+_bulk, _logs, _shares = (_paired[k] for k in ("bulk", "logs", "shares"))
 _rollup = fill(records.status_rollup(), records=RECORDS)
 _ratings = fill(records.ratings(), rollup=f"SELECT *, CASE WHEN n_fail = 1 THEN 'known' END AS accepted FROM ({_rollup}) r")
 _panel = "SELECT 'T1' AS cell_type, 'Brand#11' AS gene, '+' AS sign UNION ALL SELECT 'T1', 'Brand#12', '+' UNION ALL SELECT 'T1', 'Brand#13', '-' UNION ALL SELECT 'T2', 'Brand#21', '+' UNION ALL SELECT 'T2', 'Brand#22', '+' UNION ALL SELECT 'T2', 'Brand#23', '+' UNION ALL SELECT 'T2', 'Brand#11', '-'"
@@ -74,16 +94,22 @@ SQL = {
     "median_centre": fill(matrix.median_centred(), grid="SELECT user_id AS unit_id, event_id AS feature_id, value FROM events"),
     "wide_unpivot": fill(matrix.unpivoted(["l_quantity", "l_discount", "l_tax"], "l_orderkey * 10 + l_linenumber"), wide="SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem"),
     # comparison
-    "design_gate": fill(compare.design_gate("F", "O"), cells=CELLS),
-    "pseudobulk": _bulk,
-    "log_cpm": _logs,
-    "paired_t": fill(compare.paired_t("F", "O"), logs=_logs),
-    "unpaired_t": fill(compare.pooled_t("F", "O"), logs=_logs),
-    "direction_consistency": fill(compare.direction_consistency("F", "O"), logs=_logs),
+    "design_gate": _paired["gate"],
+    "design_gate_unpaired": _unpaired["gate"],
+    "design_types": fill(designs.types("F", "O"), **_paired),
+    "design_types_unpaired": fill(designs.types("F", "O", 40), **_unpaired),
+    "pseudobulk": f"SELECT ptype, sample, condition, feature, {rounded('total')} AS total FROM ({_bulk}) b",
+    "pseudobulk_unpaired": f"SELECT ptype, sample, condition, feature, {rounded('total')} AS total FROM ({_unpaired['bulk']}) b",
+    "log_cpm": f"SELECT ptype, sample, condition, feature, {rounded('v')} AS v FROM ({_logs}) l",
+    "paired_t": _paired["effects"],
+    "unpaired_t": _unpaired["effects"],
+    "direction_consistency": _consistency,
     "abundance_share": _shares,
+    "abundance_share_unpaired": _unpaired["shares"],
     "composition_ratio": fill(compare.share_ratio("F", "O"), shares=_shares),
     "abundance_logit": fill(compare.abundance_logit("F", "O"), shares=_shares),
-    "clr_ols": fill(compare.pooled_t("F", "O"), logs=f"SELECT 'all' AS ptype, ptype AS feature, sample, condition, clr AS v FROM ({_shares}) s"),
+    "clr_ols": fill(designs.share_effects("F", "O"), **_paired),
+    "clr_ols_unpaired": fill(designs.share_effects("F", "O"), **_unpaired),
     "units_by_condition": fill(compare.two_way_counts("sample", "condition", ("F", "O")), rows=CELLS),
     # multiple testing, effects, agreement
     "multiplicity": fill(inference.multiplicity(), p=P),
@@ -158,7 +184,7 @@ SQL = {
     "bubble_areas": fill(records.bubble_areas(), values="SELECT c_custkey AS id, c_acctbal AS v FROM customer"),
     "program_usage": fill(enrich.program_usage(0.2), usage="SELECT event_id AS unit_id, user_id % 7 AS ptype, event_type AS program, value FROM events"),
     "shared_markers": fill(enrich.shared_markers(), markers=f"SELECT grp, feature_id AS gene FROM ({fill(enrich.group_scores(), expr=EXPR, obs=OBS)}) m", panel=_panel, calls="SELECT 1 AS grp, 'T1' AS label UNION ALL SELECT 2, 'T2'"),
-    "findings": fill(enrich.findings(0.2), result=f"SELECT ptype, feature, effect, abs(effect) AS padj FROM ({fill(compare.paired_t('F', 'O'), logs=_logs)}) r", consistency=fill(compare.direction_consistency("F", "O"), logs=_logs)),
+    "findings": fill(enrich.findings(0.2), result=f"SELECT ptype, feature, effect, abs(effect) AS padj FROM ({_paired['effects']}) r", consistency=_consistency),
     "nb_wald": fill(compare.nb_wald("F", "O"), bulk=_bulk),
     "rank_sum_markers": fill(compare.rank_sum_markers(), expr=EXPR, obs=OBS),
 }

@@ -1,6 +1,8 @@
 """Stages and the worked example find what was planted."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from corvellum.plans import composites as c
@@ -20,16 +22,123 @@ def test_trim(spark):
     assert [r.term for r in c.trimmed(terms, sets).orderBy("p").collect()] == ["a", "c"]
 
 
-def test_compare_gate_and_effect(spark):
-    rng = np.random.default_rng(0)
-    rows = [(f"d{d}", cond, "b1", "A", "A", f"G{g}", float(rng.poisson(30 if cond == "s" and g < 2 else 10))) for d in range(6) for cond in ("c", "s") for _ in range(12) for g in range(12)]
-    cells = spark.createDataFrame(rows, "sample string, condition string, batch string, grp string, ptype string, feature string, value double")
-    tables, notes = c.compare_stage(cells, "c", "s")
-    called = {r.feature for r in tables["result"].where("bh_called AND effect > 0.3").collect()}
+def _study(spark, paired, seed=0, batch="b1", effect=3.0):
+    """Cells of six samples and two types, A with two features that go up; values sparse, some cells without any."""
+    rng = np.random.default_rng(seed)
+    cells, values = [], []
+    for d in range(6):
+        for cond in ("c", "s"):
+            sample = f"d{d}" if paired else f"{cond}{d}"
+            for t in ("A", "B", "unassigned"):
+                for k in range(30 if t == "A" else 15 if t == "B" else 2):
+                    unit = f"{sample} {cond} {t}{k}"
+                    cells.append((unit, sample, cond, batch if batch else cond, "AB"[k % 2], t))
+                    for g in range(40):
+                        v = rng.poisson((effect if t == "A" and cond == "s" and g < 2 else 1.0) * 0.6)
+                        if v and k % 10:  # every tenth cell holds nothing
+                            values.append((unit, f"G{g}", float(v)))
+    return spark.createDataFrame(cells, "unit_id string, sample string, condition string, batch string, grp string, ptype string"), spark.createDataFrame(values, "unit_id string, feature string, value double")
+
+
+@pytest.mark.parametrize("paired", [True, False])
+def test_compare_finds_what_was_planted(spark, paired):
+    cells, values = _study(spark, paired)
+    tables, notes = c.compare_stage(cells, values, "c", "s")
     said = {n["check"]: n["status"] for n in notes}
-    assert called == {"G0", "G1"} and set(said) <= set(c.CATALOGUES["compare"]) and all(said[k] == "PASS" for k in ("groups", "replicates", "condition vs batch", "testable cell types", "null check", "cell types follow condition"))
-    split = cells.withColumn("batch", F.col("condition"))
-    assert c.compare_stage(split, "c", "s")[0] == {}
+    called = {(r.ptype, r.feature) for r in tables["result"].where("significant").collect()}
+    assert called == {("A", "G0"), ("A", "G1")} and set(said) <= set(c.CATALOGUES["compare"])
+    assert said["pairing"] == ("PASS" if paired else "INFO") and said["testable cell types"] == "PASS" and said["null check"] == "PASS"
+    df = {r.df for r in tables["result"].collect()}
+    assert df == ({5} if paired else {10})
+    # cells are counted, not stored values: every tenth cell has none, and shares are those of cells
+    shares = {r.share for r in tables["shares"].where("ptype = 'A'").collect()}
+    assert shares == {round(30 / 47, 6)}
+    assert {r.n_cells for r in tables["units"].where("ptype = 'A'").collect()} == {30}
+
+
+def test_shares_count_cells_not_values(spark):
+    cells = spark.createDataFrame([(f"{s}{k}", s, "cs"[i % 2], None, None, "A" if k else "B") for i, s in enumerate("wxyz") for k in range(11)], "unit_id string, sample string, condition string, batch string, grp string, ptype string")
+    gate = c.apply(c.designs.gate("c", "s"), cells=cells)
+    got = {r.ptype: r.share for r in c.apply(c.designs.shares("c", "s", 10, 1), cells=cells, gate=gate).collect()}
+    assert got == {"A": round(10 / 11, 6), "B": round(1 / 11, 6)}
+    assert gate.first().batch == "INFO" and not gate.first().paired
+
+
+def test_a_confounded_batch_warns_and_few_samples_end_it(spark):
+    cells, values = _study(spark, False, batch=None)
+    tables, notes = c.compare_stage(cells, values, "c", "s", n_swaps=2)
+    assert {n["check"]: n["status"] for n in notes}["condition vs batch"] == "WARN" and tables["result"].count() == 80
+    few = cells.where("sample IN ('c0', 's0', 's1')")
+    tables, notes = c.compare_stage(few, values, "c", "s")
+    assert set(tables) == {"gate"} and notes[-1]["status"] == "FAIL"
+    none = c.compare_stage(cells.where("condition = 'c'"), values, "c", "s")
+    assert none[1][0]["status"] == "FAIL" and c.compare_stage(cells.where("false"), values, "c", "s")[1][0]["status"] == "FAIL"
+
+
+def test_a_sample_with_few_cells_makes_the_design_unpaired(spark):
+    cells, values = _study(spark, True)
+    thin = cells.where("NOT (sample = 'd0' AND condition = 's' AND substr(unit_id, -1) <> '1')")
+    gate = c.apply(c.designs.gate("c", "s"), cells=thin).first()
+    assert (gate.n_samples, gate.n_both, gate.paired, gate.pairing) == (6, 5, False, "WARN")
+
+
+def test_log_values_are_averaged_over_all_cells(spark):
+    cells, values = _study(spark, True)
+    tables, _ = c.compare_stage(cells, values.withColumn("value", F.log1p("value")), "c", "s", kind="log", n_swaps=2, min_effect=0.2)
+    called = {(r.ptype, r.feature) for r in tables["result"].where("significant").collect()}
+    assert called == {("A", "G0"), ("A", "G1")}
+
+
+def test_logistic_models_solve_their_score_equations():
+    from corvellum.operators import glm
+
+    rng = np.random.default_rng(3)
+    units = pd.DataFrame([(f"s{i}", k) for i in range(8) for k in "ab"], columns=["sample", "condition"])
+    n = rng.integers(50, 200, len(units)).astype(float)[None, :]
+    k = rng.binomial(n.astype(int), np.clip(rng.uniform(0.1, 0.6, (5, 1)) + 0.15 * (units["condition"] == "b").to_numpy(), 0, 1)).astype(float)
+    for paired in (True, False):
+        x = glm.design(units, "b", paired)
+        found = glm.binomial(k, n, x)
+        assert found["converged"].all() and (found["effect"] > 0).all()
+    # two levels in closed form
+    b = (units["condition"] == "b").to_numpy()
+    odds = lambda y, m: np.log(y / (m - y))
+    want = odds(k[:, b].sum(1), n[:, b].sum()) - odds(k[:, ~b].sum(1), n[:, ~b].sum())
+    error = np.sqrt(sum(1 / k[:, s].sum(1) + 1 / (n[:, s].sum() - k[:, s].sum(1)) for s in (b, ~b)))
+    assert np.allclose(found["effect"], want, atol=1e-6) and np.allclose(found["error"], error, atol=1e-6)
+
+
+def test_negative_binomial_model(spark):
+    from corvellum.operators import glm
+
+    rng = np.random.default_rng(4)
+    units = pd.DataFrame([(f"s{i}", k) for i in range(10) for k in "ab"], columns=["sample", "condition"])
+    # one dispersion for all, equal sizes: without samples the coefficient is the log ratio of means
+    y = rng.negative_binomial(5, 5 / (5 + 40.0), (6, 20)).astype(float)
+    x = glm.design(units, "b", False)
+    beta, _, _, done = glm.nb_fit(y, np.ones(20), x, np.full(6, 0.2))
+    b = (units["condition"] == "b").to_numpy()
+    assert done.all() and np.allclose(beta[:, 1], np.log(y[:, b].mean(1) / y[:, ~b].mean(1)), atol=1e-6)
+    assert abs(np.median(glm._dispersion(y, np.full_like(y, 40.0), x)) - 0.2) < 0.1
+    # planted effects of both signs, samples of their own level, depths that differ
+    rows, depth = [], {u: rng.uniform(0.5, 2) for u in map(tuple, units.to_numpy())}
+    level = {(f"s{i}", g): rng.uniform(0.5, 2) for i in range(10) for g in range(120)}
+    for g in range(120):
+        base, fold = rng.uniform(20, 300), 3.0 if g < 8 else 1 / 3 if g < 16 else 1.0
+        for s, k in depth:
+            m = base * level[s, g] * depth[s, k] * (fold if k == "b" else 1)
+            v = float(rng.negative_binomial(10, 10 / (10 + m)))
+            if v:
+                rows.append(("T", s, k, f"G{g:03}", v))
+    bulk = spark.createDataFrame(rows, "ptype string, sample string, condition string, feature string, total double")
+    kept = spark.createDataFrame([("T", s, k) for s, k in depth], "ptype string, sample string, condition string")
+    got = {r.feature: r for r in glm.negative_binomial(bulk, kept, "a", "b", True).collect()}
+    assert len(got) == 120 and all(r.converged for r in got.values())
+    planted = [got[f"G{g:03}"] for g in range(16)]
+    assert all(abs(abs(r.log2fc) - np.log2(3)) < 0.6 and abs(r.stat) > 4 for r in planted) and all((r.log2fc > 0) == (i < 8) for i, r in enumerate(planted))
+    others = np.array([got[f"G{g:03}"].stat for g in range(16, 120)])
+    assert np.mean(np.abs(others) > 1.96) < 0.15 and 0.03 < np.median([r.dispersion for r in got.values()]) < 0.3
+    assert glm.negative_binomial(bulk.where("false"), kept, "a", "b", True).count() == 0
 
 
 def test_qc_and_features(spark):
