@@ -12,8 +12,8 @@ few words one edit touches most k-mers, so those of up to `SHORT` words have `SH
 
 Unlike texts that share a passage meet as well. What tells most of them apart before any text is fetched can't be true of
 like ones: each candidate says where the shared k-mers stand, and what has to be put in or left out before, between and behind
-them is a lower bound of the distance; so is the sum of what one text has more of, of the words in `DIMS` classes. Texts that share a
-bucket with a large class are compared with its members block by block, so that a text moves once for a block of others.
+them is a lower bound of the distance. So is half of the number of word classes, of `BITS`, of which one text has an odd number of words
+and the other an even one, and of the difference of their lengths. Texts that share a bucket with a large class are compared with its members block by block, so that a text moves once for a block of others.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from corvellum.llm.components import components
 
 K, KEEP, SKETCHES, SIMILAR = 5, 2, 64, 0.8
 SHORT, SHORT_K, SHORT_SKETCHES = 50, 2, 32
-DIMS = 256
+BITS = 2048
 #: Members from which on a class is large, and texts of a block of it.
 LARGE, BLOCK = 64, 64
 #: Rounds in which each text is compared with one centre of its buckets, before all that is left is compared.
@@ -88,11 +88,14 @@ def sketches(h: np.ndarray, at: np.ndarray, k: int = K, number: int = SKETCHES)
     return keys, places
 
 
-def classes_of_words(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, DIMS): how many words of each class a row has, at most 127. An edit takes one word away and brings one at most."""
+def odd_classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, BITS / 64) words of 64 bits: of which classes a row has an odd number of words. Taking a word away or putting one in changes one bit."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    counts = np.bincount(row * DIMS + (h >> np.uint64(56)).astype(np.int64), minlength=(len(at) - 1) * DIMS)
-    return np.minimum(counts, 127).astype(np.int8).reshape(-1, DIMS)
+    found, times = np.unique(row * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), return_counts=True)
+    found = found[times % 2 == 1]
+    out = np.zeros((len(at) - 1) * BITS // 64, np.uint64)
+    np.add.at(out, found >> 6, np.uint64(1) << (found & 63).astype(np.uint64))
+    return out.reshape(-1, BITS // 64)
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -173,7 +176,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sketched(named: DataFrame) -> DataFrame:
-    """(doc_id, tid, n, counts, keys, places): number of words, words by class, sketches and where their k-mers stand."""
+    """(doc_id, tid, n, bits, keys, places): number of words, classes of words, sketches and where their k-mers stand."""
 
     def run(batches):
         for batch in batches:
@@ -194,10 +197,10 @@ def _sketched(named: DataFrame) -> DataFrame:
                     keys, places = _laid(room, *keys, *places)
                 ends = np.append(0, np.cumsum(size)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).view(np.int64))) for x in (keys, places)]
-                counts = pa.ListArray.from_arrays(np.arange(0, (b - a) * DIMS + 1, DIMS, dtype=np.int32), pa.array(classes_of_words(h, at).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), counts, *lists], names=["doc_id", "tid", "n", "counts", "keys", "places"])
+                bits = pa.ListArray.from_arrays(np.arange(0, (b - a) * BITS // 64 + 1, BITS // 64, dtype=np.int32), pa.array(odd_classes(h, at).reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), bits, *lists], names=["doc_id", "tid", "n", "bits", "keys", "places"])
 
-    return short_batches(named).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tid long, n long, counts array<byte>, keys array<long>, places array<long>")
+    return short_batches(named).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tid long, n long, bits array<long>, keys array<long>, places array<long>")
 
 
 def _laid(room: np.ndarray, keys: np.ndarray, places: np.ndarray, a: np.ndarray, b: np.ndarray, more_a: np.ndarray, more_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,10 +252,11 @@ def _placed(similar: float) -> Column:
 
 
 def _counted(similar: float) -> Column:
-    """Whether texts with those counts of words by class can be alike: an edit takes one word away and brings one at most."""
-    more = F.zip_with("counts", "counts_b", lambda x, y: x.cast("int") - y.cast("int"))
-    sums = F.aggregate(more, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), lambda s, x: F.struct((s["a"] + F.greatest(x, F.lit(0))).alias("a"), (s["b"] + F.greatest(-x, F.lit(0))).alias("b")))
-    return F.greatest(sums["a"], sums["b"]) <= _most(similar)
+    """Whether texts with those odd classes can be alike: an edit changes two bits at most, and one where it changes the length."""
+    apart = F.lit(0)
+    for i in range(BITS // 64):
+        apart += F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i))))
+    return apart + F.abs(F.col("n") - F.col("m")) <= 2 * _most(similar)
 
 
 def _rank(c: str, seed: int) -> Column:
@@ -285,7 +289,7 @@ def _relabelled(members: DataFrame, found: DataFrame) -> DataFrame:
     for _ in range(2):
         far = to.select(F.col("label").alias("to"), F.col("to").alias("far"))
         to = to.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
-    return members.join(to, "label", "left").select("tid", "n", "counts", "at", F.coalesce("to", "label").alias("label"))
+    return members.join(to, "label", "left").select("tid", "n", "bits", "at", F.coalesce("to", "label").alias("label"))
 
 
 def _any_alike(similar: float):
@@ -329,22 +333,22 @@ def _against_large(members: DataFrame, rows: DataFrame, similar: float) -> DataF
 def _all_left(members: DataFrame, similar: float) -> DataFrame:
     """All pairs that share a bucket, are of different classes, none of them large, and can be alike, each once.
 
-    In a bucket the texts outside its largest class are paired with all others of like length, so a large class that is already
-    known isn't paired with itself. Lengths are compared in classes whose borders are 1 / ``similar`` apart, of which two
-    neighbours can be alike; so they are part of the key.
+    In a bucket the texts outside its largest class are paired with all others, so a large class that is already known
+    isn't paired with itself. Of the buckets that a pair shares it is made in the one with the least key. (Keys are compared on 32
+    bits here: of a million pairs that share one, one is expected to be taken for sharing another and to be left out.)
     """
-    grade = F.floor(F.log("n") / -np.log(similar)).cast("int")
     large = members.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
-    e = _entries(members.join(large.select("label", F.lit(True).alias("is_large")), "label", "left").withColumn("grade", grade), "grade", "counts", "is_large").where("is_large IS NULL").drop("is_large")
+    short = F.transform("at", lambda e: F.shiftright(e["key"], 32).cast("int"))
+    e = members.join(large.select("label"), "label", "left_anti").withColumn("short", short)
+    e = _entries(e, "bits", "short")
     sizes = e.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count("*").alias("classes"))
     e = e.join(sizes.where("classes > 1").select("key", "major"), "key")
     one = e.where("label <> major")
-    two = e.select("key", F.explode(F.array(F.col("grade") - 1, "grade", F.col("grade") + 1)).alias("grade"), F.col("label") == F.col("major"), *[F.col(c).alias(d) for c, d in (("tid", "b"), ("n", "m"), ("label", "lb"), ("p", "q"), ("counts", "counts_b"))])
-    two = two.toDF("key", "grade", "is_major", "b", "m", "lb", "q", "counts_b")
-    once = F.col("is_major") | (F.col("tid") < F.col("b"))
-    met = one.join(two, ["key", "grade"]).where((F.col("label") != F.col("lb")) & once & _placed(similar) & _counted(similar))
-    met = met.select(F.least("tid", "b").alias("text_a"), F.greatest("tid", "b").alias("text_b"), F.when(F.col("tid") < F.col("b"), F.struct(F.col("label").alias("la"), "lb")).otherwise(F.struct(F.col("lb").alias("la"), F.col("label").alias("lb"))).alias("l"))
-    return met.groupBy("text_a", "text_b").agg(F.first("l").alias("l")).select("text_a", "text_b", "l.*")
+    two = e.select("key", *[F.col(c).alias(d) for c, d in (("tid", "b"), ("n", "m"), ("label", "lb"), ("p", "q"), ("bits", "bits_b"), ("short", "short_b"))])
+    once = (F.col("lb") == F.col("major")) | (F.col("tid") < F.col("b"))
+    least = F.array_min(F.array_intersect("short", "short_b")) == F.shiftright("key", 32).cast("int")
+    met = one.join(two, "key").where((F.col("label") != F.col("lb")) & once & _placed(similar) & _counted(similar) & least)
+    return met.select(F.col("tid").alias("text_a"), F.col("b").alias("text_b"), F.col("label").alias("la"), "lb")
 
 
 def _links(named: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
@@ -359,7 +363,7 @@ def _links(named: DataFrame, stands: DataFrame, similar: float) -> DataFrame:
     entry = stands.where("n > 0").select("tid", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))).alias("e"))
     busy = entry.groupBy("e.key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     shared = entry.select("tid", "e", F.col("e.key").alias("key")).join(busy, "key", "left_semi").groupBy("tid").agg(F.collect_list("e").alias("at"))
-    members = chained(spark, shared.join(stands.select("tid", "n", "counts"), "tid").withColumn("label", _rank("tid", 0)))
+    members = chained(spark, shared.join(stands.select("tid", "n", "bits"), "tid").withColumn("label", _rank("tid", 0)))
     texts = named.join(members.select("tid"), "tid", "left_semi")
     rows = chained(spark, _word_rows(texts.groupBy("tid").agg(F.first("text").alias("text"))))
     links = None
@@ -380,7 +384,7 @@ def _classes(named: DataFrame, similar: float) -> DataFrame:
     """(doc_id, tid, class_id) of every row that has an id."""
     spark = named.sparkSession
     all_rows = chained(spark, _sketched(named))
-    one = F.struct("n", "counts", "keys", "places")
+    one = F.struct("n", "bits", "keys", "places")
     stands = all_rows.groupBy("tid").agg(F.first(one).alias("x")).select("tid", "x.*")
     label = components(_links(named, stands, similar))
     labelled = all_rows.select("doc_id", "tid").join(label.withColumnRenamed("id", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
