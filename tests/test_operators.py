@@ -112,7 +112,19 @@ def test_lint_rules(spark):
         "files": ("fig.savefig('a.png')", {("P2", None)}),
         "log": ("ax.semilogy(x)", {("H6", 1)}),
         "fill": ("d.fillna(0)", {("H8", 1)}),
-        "plt": ("\nplt.savefig('a.png'); plt.savefig('a.pdf')", {("hyg", 1)}),
+        "plt": ("\nplt.savefig('a.png'); plt.savefig('a.pdf')", {("hyg", 2)}),
+        "comment and text": ("# ax.pie(x, shadow=True)\nsay = 'ax.pie(x) and df.fillna(0)'", set()),
+        "no shadow": ("ax.pie(s, shadow=False)\nax.set_title('t')", {("H1b", 1)}),
+        "attribute map": ("c = plt.cm.jet_r", {("K3", 1)}),
+        "axis from below": ("ax.bar(x)\nax.scatter(x, y)\nax.set(xlabel='a', ylabel='b')\nax.set_title('t')\nax.set_ylim(bottom=-3)", set()),
+        "cut by name": ("ax.barh(x)\nax.scatter(x, y)\nax.set(xlabel='a', ylabel='b')\nax.set_title('t')\nax.set_xlim(left=0.5)", {("H3", 1)}),
+        "seeded": ("np.random.seed(1)\nnp.random.normal()", set()),
+        "seed by keyword": ("df.sample(5, random_state=1)", set()),
+        "spread said": ("fig.suptitle('mean and 95% CI')\nax.errorbar(x, y, yerr=e)\nax.set(xlabel='a', ylabel='b')", set()),
+        "one axis": ("subplots(nrows=2, sharex=True)", set()),
+        "notebook": ("%matplotlib inline\n!ls\ndf.interpolate()", {("H8", 3)}),
+        "broken": ("def f(:\n  pass", {("parse", 1)}),
+        "null": (None, set()),
         "font": ("ax.text(1, 2, fontsize = 7.5)\nax.text(fontsize=8)", {("T1", 1)}),
         "title": ("ax.imshow(x)\nax.set(xlabel='a')\nax.set_ylabel('b')", {("T2", None)}),
         "thin": ("ax.set_title('t', fontweight='light')", {("T2", None)}),
