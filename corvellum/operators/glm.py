@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvellum.operators.structure import kept as behind_checkpoint
+
 ROUNDS, HALVINGS, CLOSE = 100, 12, 1e-10
 #: Features of a block.
 BLOCK = 256
@@ -175,7 +177,7 @@ def negative_binomial(bulk: DataFrame, kept: DataFrame, ref: str, test: str, pai
     then again with the trend as prior, as wide as the spread around it beyond sampling; far outliers above keep their own.
     Features meet in blocks of `BLOCK`; the trend and its spread are a few numbers a type.
     """
-    spark = bulk.sparkSession
+    bulk, kept = behind_checkpoint(bulk), behind_checkpoint(kept)
     n = kept.groupBy("ptype").agg(F.count("*").alias("n_units"))
     totals = bulk.groupBy("ptype", "sample", "condition").agg(F.sum("total").alias("depth"))
     whole = bulk.where("total > 0").groupBy("ptype", "feature").agg(F.count("*").alias("k"), F.avg(F.log("total")).alias("g")).join(n, "ptype").where("k = n_units").select("ptype", "feature", "g")
@@ -205,7 +207,7 @@ def negative_binomial(bulk: DataFrame, kept: DataFrame, ref: str, test: str, pai
         return pd.DataFrame({"ptype": f["ptype"], "feature": f["feature"], "base_mean": norm.mean(1), "own": _dispersion(y, mu, x)})
 
     rows = wide.join(each, "ptype")
-    first = rows.groupBy("ptype", "block").applyInPandas(alone, _NB).persist()
+    first = behind_checkpoint(rows.groupBy("ptype", "block").applyInPandas(alone, _NB))
 
     def trend(f: pd.DataFrame) -> pd.DataFrame:
         """Least squares of the dispersions on 1 / mean and a constant, relative errors, without what lies far off; spread of the logs."""

@@ -143,12 +143,12 @@ def enrichment_null(lists: DataFrame, classes: DataFrame, n_perm: int = 1500, se
     return work.select("grp", "k", "chunk", "weights").mapInPandas(run, "grp string, k long, es double")
 
 
-def enrichment(ranked: DataFrame, sets: DataFrame, n_perm: int = 1500, min_overlap: int = 10, seed: int = 0, extend_tail: bool = True) -> DataFrame:
+def enrichment(ranked: DataFrame, sets: DataFrame, n_perm: int = 1500, min_overlap: int = 10, seed: int = 0, extend_tail: bool = False) -> DataFrame:
     """Pre-ranked enrichment of ``sets`` (term, feature_id) along ``ranked`` (grp, feature_id, stat), in each group: grp,
     term, size, es, nes, p, fdr over the group's terms, place by p.
 
     p is the share of null scores of the size class as extreme; where that is too coarse (under 20 of the null), the tail
-    beyond the null's 90 % quantile is taken as exponential, unless ``extend_tail`` is off.
+    beyond the null's 90 % quantile is taken as exponential, if ``extend_tail`` is on; otherwise no p is below one over the number of draws and one.
     """
     scores = apply(enrich.running_score_by(min_overlap), ranked=ranked, sets=sets).withColumn("k", size_class(F.col("size").cast("double"), F.col("n"))).persist()
     long = scores.agg(F.max("n")).first()[0] or 0

@@ -3,11 +3,13 @@ example on synthetic data with planted effects."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvellum.functions.dist import t_p, z_p
-from corvellum.operators import compare, designs, enrich, glm, inference, learn, matrix, prose_checks, sampling, structure
+from corvellum.operators import compare, designs, enrich, glm, inference, learn, matrix, prose_checks, sampling, structure, variable
 from corvellum.plans.catalogues import CATALOGUES
 from corvellum.plans.report import card, record, run_summary
 from corvellum.plans.sqlplan import apply
@@ -30,27 +32,42 @@ def qc_stage(expr: DataFrame, obs: DataFrame, special: str, min_features: int, m
     ]
 
 
+#: What undoes the log of a scale.
+_LINEAR = {"linear_tpm": "value", "log2tpm": "power(2, value) - 1", "log1p_cp10k": "exp(value) - 1"}
+
+
+def _most_variable(expr: DataFrame, obs: DataFrame, scale: str, n_top: int) -> DataFrame:
+    """feature_id and more of the most variable features: of counts by their trend, of other scales by dispersion of linear values."""
+    if scale == "counts":
+        return variable.variable_counts(expr.select("unit_id", "feature_id", "value"), obs.select("unit_id", F.lit("all").alias("batch")), n_top)
+    n = obs.select("unit_id").distinct().count()
+    linear = expr.join(obs.select("unit_id"), "unit_id", "left_semi").select("unit_id", "feature_id", F.expr(_LINEAR[scale]).alias("value"))
+    return apply(matrix.variable_features(f"CAST({n} AS DOUBLE)", top=n_top), expr=linear)
+
+
 def features_stage(expr: DataFrame, obs: DataFrame, n_top: int) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Scale, normalisation, its checks, and the most variable features."""
+    """Scale, normalisation, its checks, and the most variable features: of counts as they are, of other scales with the log undone."""
     scale = apply(matrix.detect_scale(), expr=expr).first().scale
     if scale == "scaled_or_unknown":
         return {}, [record("scale", "FAIL", "scale of the values", scale, "values on an unknown scale can't be normalised")]
     logs = apply(matrix.normalise(scale), expr=expr)
     checks = apply(matrix.normalisation_checks(), sums=apply(matrix.linear_sums(scale), expr=expr), obs=obs).first()
     n = obs.select("unit_id").distinct().count()
-    top = apply(matrix.variable_features(f"CAST({n} AS DOUBLE)", top=n_top), expr=logs.select("unit_id", "feature_id", "value"))
-    selected = top.select("feature_id").persist()
-    half = F.pmod(F.xxhash64("unit_id"), F.lit(2))
-    halves = [apply(matrix.variable_features(f"CAST({n} / 2 AS DOUBLE)", top=n_top), expr=logs.where(half == h).select("unit_id", "feature_id", "value")).select("feature_id") for h in (0, 1)]
+    top = _most_variable(expr, obs, scale, n_top).persist()
+    selected = top.select("feature_id")
+    units = obs.withColumn("half", F.pmod(F.xxhash64("unit_id"), F.lit(2)))
+    halves = [_most_variable(expr, units.where(F.col("half") == h), scale, n_top).select("feature_id") for h in (0, 1)]
     stats = logs.groupBy("feature_id").agg((F.sum("value") / n).alias("mean"), (F.count(F.when(F.col("value") > 0, 1)) / n).alias("detected"))
     more, batches, inputs = {}, 0, {"selected": selected, "stats": stats, "half_a": halves[0], "half_b": halves[1]}
     if "batch" in obs.columns:
         names = [r.batch for r in obs.select("batch").distinct().orderBy("batch").collect()]
-        per = [apply(matrix.variable_features(f"CAST({obs.where(F.col('batch') == b).count()} AS DOUBLE)", top=n_top), expr=logs.join(obs.where(F.col("batch") == b), "unit_id", "left_semi").select("unit_id", "feature_id", "value")).select("feature_id") for b in names]
-        every = per[0]
-        for p in per[1:]:
-            every = every.union(p)
-        batches, more = len(names), {"batches": every.groupBy("feature_id").agg(F.count("*").alias("n"))}
+        batches = len(names)
+        if scale == "counts":
+            found = variable.standardised_variance(expr.select("unit_id", "feature_id", "value"), obs.select("unit_id", "batch"))
+            every = found.withColumn("i", F.row_number().over(Window.partitionBy("batch").orderBy(F.desc(F.round("score", 9)), "feature_id"))).where(F.col("i") <= n_top)
+        else:
+            every = reduce(DataFrame.union, [_most_variable(expr, obs.where(F.col("batch") == b), scale, n_top).select("feature_id") for b in names])
+        more = {"batches": every.groupBy("feature_id").agg(F.count("*").alias("n"))}
     chosen = apply(matrix.selection_checks(n_top, batches), **inputs, **more).collect()
     return {"expr": logs, "variable": top}, [
         record("scale", "INFO", "scale of the values", scale, "it decides how values are normalised", "method matches scale"),
@@ -197,12 +214,13 @@ def annotate_stage(expr: DataFrame, obs: DataFrame, panel: DataFrame, reference:
 
 def compare_stage(
     cells: DataFrame, values: DataFrame, ref: str, test: str, kind: str = "counts", alpha: float = 0.05, min_effect: float = 0.5, min_cells: int = 10, min_units: int = 3, pure: float = 0.9,
-    least_consistent: float = 0.75, most_unnamed: float = 0.2, n_swaps: int = 20, seed: int = 0,
+    least_consistent: float = 0.75, most_unnamed: float = 0.2, n_swaps: int = 20, seed: int = 0, method: str = "least squares",
 ) -> tuple[dict[str, DataFrame], list[dict]]:
     """Gate, shares of types, effects on totals of samples with BH, swap null and consistency, for paired and unpaired samples.
 
     ``cells`` (unit_id, sample, condition, batch, grp, ptype) has a row a cell, ``values`` (unit_id, feature, value) what isn't zero:
-    counts, or log values if ``kind`` is "log". The comparison ends with the gate where a condition has no cells, fewer than two
+    counts, or log values if ``kind`` is "log". Counts are compared by ``method`` "least squares" on logs or "negative binomial"; the null under
+    swapped labels is that of the former. The comparison ends with the gate where a condition has no cells, fewer than two
     samples have enough, or no type can be tested; a batch that follows the condition is a warning, carried on.
     """
     what = CATALOGUES["compare"]
@@ -242,7 +260,13 @@ def compare_stage(
         logs = bulk.select("ptype", "sample", "condition", "feature", (F.col("total") / F.log(F.lit(2.0))).alias("v")).persist()
     else:
         logs = apply(designs.logs(), bulk=bulk, tested=apply(designs.tested_features(min_units), bulk=bulk)).persist()
-    result = apply(designs.effects(ref, test), logs=logs, kept=kept, gate=gate).withColumn("p", t_p(F.col("t_stat"), F.col("df"))).withColumn("id", F.concat_ws(" ", "ptype", "feature")).persist()
+    if method == "negative binomial" and kind != "log":
+        tested = bulk.join(logs.select("ptype", "feature").distinct(), ["ptype", "feature"], "left_semi")
+        fit = glm.negative_binomial(tested, kept, ref, test, g.paired)
+        result = fit.select("ptype", "feature", "base_mean", F.col("log2fc").alias("effect"), F.col("stat").alias("t_stat"), "dispersion", "converged", z_p(F.col("stat")).alias("p"))
+    else:
+        result = apply(designs.effects(ref, test), logs=logs, kept=kept, gate=gate).withColumn("p", t_p(F.col("t_stat"), F.col("df")))
+    result = structure.kept(result.withColumn("id", F.concat_ws(" ", "ptype", "feature")))
     called = apply(inference.multiplicity("ptype", alpha), p=result.where("p IS NOT NULL").select("id", "ptype", "p")).select("id", "ptype", "bh", "bh_called")
     result = result.join(called, ["id", "ptype"], "left").withColumn("significant", F.coalesce(F.col("bh_called") & (F.abs("effect") >= min_effect), F.lit(False))).persist()
     null = sampling.swap_null(logs, kept, ref, test, g.paired, n_swaps, alpha, seed).persist()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.functions.dist import chi2_p, reported_p, t_p, z_p
-from corvellum.operators import glm, learn, lint, sampling, structure
+from corvellum.operators import glm, learn, lint, sampling, structure, variable
 from corvellum.plans import statistics
 from corvellum.plans.sqlplan import apply, from_sql
 
@@ -117,6 +117,20 @@ def abundance_glm_unpaired(spark, sf_dir):
     return _quasi_binomial(spark, sf_dir, False)
 
 
+def _variable_counts(spark, sf_dir, batch, top):
+    expr = from_sql(statistics.EXPR)(spark, sf_dir)
+    obs = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), batch.alias("batch"))
+    return variable.variable_counts(expr, obs, top).withColumn("score", F.round("score", 6))
+
+
+def variable_counts(spark, sf_dir):
+    return _variable_counts(spark, sf_dir, F.lit("all"), 10)
+
+
+def variable_counts_by_batch(spark, sf_dir):
+    return _variable_counts(spark, sf_dir, F.pmod(F.col("s_suppkey"), F.lit(3)), 10)
+
+
 def nb_model(spark, sf_dir):
     d = statistics.DESIGNS[0]
     out = glm.negative_binomial(from_sql(d["bulk"])(spark, sf_dir), from_sql(d["kept"])(spark, sf_dir), "F", "O", True)
@@ -183,13 +197,41 @@ def nb_p(spark, sf_dir):
     return from_sql(statistics.SQL["nb_wald"])(spark, sf_dir).withColumn("p", F.round(z_p(F.col("z")), 6))
 
 
-QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, swap_null_unpaired, abundance_glm, abundance_glm_unpaired, nb_model, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, gsea_by_type, lint_scripts, worked_example, nb_p)}
+QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, swap_null_unpaired, abundance_glm, abundance_glm_unpaired, nb_model, variable_counts, variable_counts_by_batch, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, gsea_by_type, lint_scripts, worked_example, nb_p)}
 
 _NEAR = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.id, b.id AS other, a.label, b.label AS other_label, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS place FROM d)"""
 
+
+
+def _variable_sql(batch: str, top: int) -> str:
+    """Local quadratics in closed form: the fit at a point is its constant term, by determinants of weighted sums about the point."""
+    w = lambda k: f"sum(w * power(d, {k}))"
+    y = lambda k: f"sum(w * power(d, {k}) * y)"
+    det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    rows = [[f"w{i + j}" for j in range(3)] for i in range(3)]
+    given = [[f"y{i}", *rows[i][1:]] for i in range(3)]
+    sums = ", ".join([f"{w(k)} AS w{k}" for k in range(5)] + [f"{y(k)} AS y{k}" for k in range(3)])
+    return f"""WITH o AS (SELECT s_suppkey AS u, {batch} AS b FROM supplier), size AS (SELECT b, CAST(count(*) AS DOUBLE) AS n FROM o GROUP BY b),
+e AS (SELECT b, l_suppkey AS u, p_brand AS f, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON u = l_suppkey GROUP BY ALL),
+g AS (SELECT o.b, o.u, f.f, coalesce(e.v, 0) AS v FROM o JOIN (SELECT DISTINCT b, f FROM e) f ON f.b = o.b LEFT JOIN e ON e.b = o.b AND e.u = o.u AND e.f = f.f),
+m AS (SELECT b, f, CAST(count(*) AS DOUBLE) AS n, avg(v) AS mean, var_samp(v) AS var FROM g GROUP BY b, f),
+l AS (SELECT *, log10(mean) AS x, log10(var) AS y, count(*) OVER (PARTITION BY b) AS k FROM m WHERE var > 0),
+p AS (SELECT a.b, a.f, c.x - a.x AS d, c.y, row_number() OVER (PARTITION BY a.b, a.f ORDER BY abs(c.x - a.x)) AS i, greatest(floor({variable.SPAN} * a.k + 1e-9), 1) AS q FROM l a JOIN l c ON a.b = c.b),
+r AS (SELECT *, max(abs(d)) OVER (PARTITION BY b, f) AS h FROM p WHERE i <= q),
+t AS (SELECT b, f, d, y, power(greatest(1 - power(abs(d) / h, 3), 0), 3) AS w FROM r),
+s AS (SELECT b, f, {sums} FROM t GROUP BY b, f),
+z AS (SELECT m.*, sqrt(power(10, {det(*given)} / {det(*rows)})) AS dev FROM s JOIN m USING (b, f)),
+score AS (SELECT g.b, g.f, sum(power((least(g.v, z.mean + z.dev * sqrt(z.n)) - z.mean) / z.dev, 2)) / (any_value(z.n) - 1) AS score FROM g JOIN z ON g.b = z.b AND g.f = z.f GROUP BY g.b, g.f),
+k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(score, 9) DESC, f) AS i FROM score),
+v AS (SELECT f, avg(score) AS score, median(i) FILTER (i <= {top}) AS mid, count(*) FILTER (i <= {top}) AS n_batches FROM k GROUP BY f)
+SELECT f AS feature_id, round(score, 6) AS score, n_batches, row_number() OVER (ORDER BY mid, n_batches DESC, f) AS place FROM v WHERE n_batches > 0 ORDER BY place LIMIT {top}"""
+
+
 SQL = {
+    "variable_counts": _variable_sql("'all'", 10),
+    "variable_counts_by_batch": _variable_sql("s_suppkey % 3", 10),
     "knn": f"WITH {_NEAR} SELECT id, other, round(distance, 5) AS distance, place FROM n WHERE place <= 5",
     "knn_mixing": f"""WITH {_NEAR},
 c AS (SELECT id, other_label, count(*) AS k FROM n WHERE place <= 10 GROUP BY id, other_label), h AS (SELECT id, -sum(k / 10.0::DOUBLE * ln(k / 10.0::DOUBLE)) AS h FROM c GROUP BY id),

@@ -56,6 +56,13 @@ def test_compare_finds_what_was_planted(spark, paired):
     assert {r.n_cells for r in tables["units"].where("ptype = 'A'").collect()} == {30}
 
 
+def test_counts_can_be_compared_by_a_negative_binomial_model(spark):
+    cells, values = _study(spark, True)
+    tables, notes = c.compare_stage(cells, values, "c", "s", n_swaps=2, method="negative binomial")
+    called = {(r.ptype, r.feature) for r in tables["result"].where("significant").collect()}
+    assert {("A", "G0"), ("A", "G1")} <= called and len(called) <= 4 and "dispersion" in tables["result"].columns
+
+
 def test_shares_count_cells_not_values(spark):
     cells = spark.createDataFrame([(f"{s}{k}", s, "cs"[i % 2], None, None, "A" if k else "B") for i, s in enumerate("wxyz") for k in range(11)], "unit_id string, sample string, condition string, batch string, grp string, ptype string")
     gate = c.apply(c.designs.gate("c", "s"), cells=cells)
