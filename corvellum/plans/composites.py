@@ -225,7 +225,7 @@ def compare_stage(
     """
     what = CATALOGUES["compare"]
     note = lambda check, status, found, why: record(check, status, what[check], found, why)
-    gate = apply(designs.gate(ref, test, min_cells, min_units, pure), cells=cells).persist()
+    gate = structure.kept(apply(designs.gate(ref, test, min_cells, min_units, pure), cells=cells))
     g = gate.first()
     notes = [note("groups", "INFO" if g.ref_cells and g.test_cells else "FAIL", f"{g.ref_cells} cells of {ref}, {g.test_cells} of {test}, {g.n_left_out} of others", "two conditions are needed; others are left out")]
     notes.append(note("replicates", g.replicates, f"{g.n_ref} and {g.n_test} samples of {min_cells} cells or more", "cells of one sample aren't replicates"))
@@ -246,7 +246,7 @@ def compare_stage(
     ]
     if not tested:
         return {"gate": gate, "types": types}, notes
-    shares = apply(designs.shares(ref, test, min_cells), cells=cells, gate=gate).persist()
+    shares = structure.kept(apply(designs.shares(ref, test, min_cells), cells=cells, gate=gate))
     by_clr = apply(designs.share_effects(ref, test), shares=shares, gate=gate).withColumn("p_clr", t_p(F.col("clr_t"), F.col("df")))
     by_odds = glm.quasi_binomial(shares, test, g.paired).select("ptype", "log_odds", "odds_t", "odds_df", "dispersion")
     abundance = structure.kept(by_clr.join(by_odds, "ptype", "left").withColumn("p_odds", t_p(F.col("odds_t"), F.col("odds_df"))))
@@ -254,12 +254,12 @@ def compare_stage(
     fdr = apply(inference.multiplicity("model", alpha), p=each).groupBy("id").pivot("model", ["clr", "odds"]).agg(F.first("bh")).toDF("ptype", "fdr_clr", "fdr_odds")
     abundance = abundance.join(fdr, "ptype", "left")
     abundance = abundance.withColumn("agree", F.coalesce((F.col("fdr_clr") < alpha) & (F.col("fdr_odds") < alpha), F.lit(False))).withColumn("caution", F.col("ptype").isin(one_sided)).persist()
-    kept = apply(designs.kept_units(ref, test, min_cells), cells=cells, gate=gate).where(F.col("ptype").isin(tested)).persist()
-    bulk = apply(designs.bulk(kind == "log"), cells=cells, values=values, kept=kept).persist()
+    kept = structure.kept(apply(designs.kept_units(ref, test, min_cells), cells=cells, gate=gate).where(F.col("ptype").isin(tested)))
+    bulk = structure.kept(apply(designs.bulk(kind == "log"), cells=cells, values=values, kept=kept))
     if kind == "log":
         logs = bulk.select("ptype", "sample", "condition", "feature", (F.col("total") / F.log(F.lit(2.0))).alias("v")).persist()
     else:
-        logs = apply(designs.logs(), bulk=bulk, tested=apply(designs.tested_features(min_units), bulk=bulk)).persist()
+        logs = structure.kept(apply(designs.logs(), bulk=bulk, tested=structure.kept(apply(designs.tested_features(min_units), bulk=bulk))))
     if method == "negative binomial" and kind != "log":
         tested = bulk.join(logs.select("ptype", "feature").distinct(), ["ptype", "feature"], "left_semi")
         fit = glm.negative_binomial(tested, kept, ref, test, g.paired)
