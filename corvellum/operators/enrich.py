@@ -141,14 +141,17 @@ SELECT j.grp, j.cell_type, {rounded(f'CASE WHEN max(u.usable) >= 2 AND max(u.usa
  count(CASE WHEN sign = '-' AND scaled >= {num(0.5)} AND seen THEN 1 END) AS negatives_on FROM j JOIN u ON j.cell_type = u.cell_type GROUP BY j.grp, j.cell_type"""
 
 
-def called_types() -> str:
+def called_types(voted: bool = False) -> str:
     """The best type of each group of {scores}(grp, cell_type, score, pos_detect, negatives_on, n_cells) and how sure
-    it is: confident, probable, ambiguous or unassigned."""
+    it is: confident, probable, ambiguous or unassigned. If ``voted``, a type that another method names in {votes}(grp, vote; null for
+    none) and that isn't the best one takes a confident name down to probable and a probable one to ambiguous."""
+    join, other = ("LEFT JOIN {votes} v ON b.grp = v.grp", "coalesce(v.vote <> b.cell_type, FALSE)") if voted else ("", "FALSE")
     return f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, cell_type) AS i FROM {{scores}} WHERE pos_detect >= {num(0.5)} AND score >= {num(0.3)}),
 b AS (SELECT a.grp, a.cell_type, a.score - coalesce(c.score, {num(0)}) AS margin, a.negatives_on, a.n_cells FROM e a LEFT JOIN e c ON c.grp = a.grp AND c.i = 2 WHERE a.i = 1),
-g AS (SELECT DISTINCT grp FROM {{scores}})
-SELECT g.grp, CASE WHEN b.grp IS NULL THEN 'unassigned' WHEN b.margin < {num(0.05)} OR b.negatives_on > 0 THEN 'ambiguous' ELSE b.cell_type END AS label,
- CASE WHEN b.grp IS NULL THEN 'unassigned' WHEN b.margin < {num(0.05)} OR b.negatives_on > 0 THEN 'ambiguous' WHEN b.margin >= {num(0.15)} AND b.n_cells >= 10 THEN 'confident' ELSE 'probable' END AS tier FROM g LEFT JOIN b ON g.grp = b.grp"""
+g AS (SELECT DISTINCT grp FROM {{scores}}),
+s AS (SELECT b.grp, b.cell_type, b.n_cells, CASE WHEN b.margin < {num(0.05)} OR b.negatives_on > 0 THEN 0 WHEN b.margin >= {num(0.15)} THEN 2 ELSE 1 END - CASE WHEN {other} THEN 1 ELSE 0 END AS sure FROM b {join})
+SELECT g.grp, CASE WHEN s.grp IS NULL THEN 'unassigned' WHEN sure <= 0 THEN 'ambiguous' ELSE s.cell_type END AS label,
+ CASE WHEN s.grp IS NULL THEN 'unassigned' WHEN sure <= 0 THEN 'ambiguous' WHEN sure = 2 AND s.n_cells >= 10 THEN 'confident' ELSE 'probable' END AS tier FROM g LEFT JOIN s ON g.grp = s.grp"""
 
 
 def program_usage(dominant: float = 0.5) -> str:

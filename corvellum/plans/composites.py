@@ -172,9 +172,15 @@ def annotate_stage(expr: DataFrame, obs: DataFrame, panel: DataFrame, reference:
     what = CATALOGUES["annotate"]
     note = lambda check, status, found, why: record(check, status, what[check], found, why)
     stats = apply(matrix.rescaled(), stats=apply(matrix.group_stats(), expr=expr, obs=obs)).persist()
-    scores = apply(enrich.panel_scores(), stats=stats, panel=panel).persist()
+    scores = structure.kept(apply(enrich.panel_scores(), stats=stats, panel=panel))
     sized = scores.join(obs.groupBy("grp").agg(F.count("*").alias("n_cells")), "grp")
-    calls = apply(enrich.called_types(), scores=sized).join(obs.groupBy("grp").agg(F.count("*").alias("n_cells")), "grp").persist()
+    given = {"scores": sized}
+    if reference is not None:
+        votes = apply(inference.majority_label(), rows=obs.join(reference, "unit_id").select(F.col("grp").alias("cluster"), "label")).select(F.col("cluster").alias("grp"), F.lower("label").alias("said"))
+        known = panel.select(F.col("cell_type").alias("vote")).distinct()
+        votes = structure.kept(votes.join(known, F.lower("vote") == F.col("said"), "left").select("grp", "vote"))
+        given["votes"] = votes  # a vote for what isn't in the panel says nothing
+    calls = structure.kept(apply(enrich.called_types(reference is not None), **given).join(obs.groupBy("grp").agg(F.count("*").alias("n_cells")), "grp"))
     seen = stats.groupBy(F.upper("feature_id").alias("gene")).agg(F.max("detected").alias("top"))
     genes = panel.select("cell_type", F.upper(F.trim("gene")).alias("gene"), "sign").distinct().join(seen, "gene", "left").persist()
     each = genes.groupBy("cell_type").agg(*[F.count(F.when((F.col("sign") == "+") & x, 1)).alias(n) for n, x in (("given", F.lit(True)), ("present", F.col("top").isNotNull()), ("usable", F.col("top") >= least_seen))], F.count(F.when(F.col("sign") == "-", 1)).alias("negatives"))
@@ -206,8 +212,7 @@ def annotate_stage(expr: DataFrame, obs: DataFrame, panel: DataFrame, reference:
         note("panel types not found", "INFO", f"{unfound} types", "absent, or not told apart"),
     ]
     if reference is not None:
-        votes = apply(inference.majority_label(), rows=obs.join(reference, "unit_id").select(F.col("grp").alias("cluster"), "label")).select(F.col("cluster").alias("grp"), F.col("label").alias("vote"))
-        said = named.join(votes, "grp").agg(F.count("*").alias("n"), F.count(F.when(F.lower("label") == F.lower("vote"), 1)).alias("same")).first()
+        said = named.join(votes.where("vote IS NOT NULL"), "grp").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == F.col("vote"), 1)).alias("same")).first()
         notes.append(note("reference agreement", "INFO" if not said.n else "PASS" if said.same >= 0.5 * said.n else "WARN", f"{said.same} of {said.n} named groups", "two ways to a name that agree are better than one"))
     return {"scores": scores, "calls": calls, "suggested_negatives": suggested, "panel_use": each}, notes
 

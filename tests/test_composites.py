@@ -266,4 +266,9 @@ def test_annotate_stage(spark):
     assert set(said) == set(c.CATALOGUES["annotate"]) - {"pretrained annotation tools"}
     assert said["marker panel"] == said["panel strength"] == said["enough usable markers"] == "WARN"
     assert said["cells named"] == said["negative marker conflicts"] == said["data-driven marker support"] == said["reference agreement"] == "PASS"
+    # a reference that says another type of the panel makes a name less sure, one that says something else doesn't
+    other = spark.createDataFrame([(f"{g}_{u}", {"0": "t2", "1": "T2", "2": "something"}[g]) for g in "012" for u in range(30)], "unit_id string, label string")
+    before = {r.grp: r.tier for r in tables["calls"].collect()}
+    after = {r.grp: r.tier for r in c.annotate_stage(spark.createDataFrame(expr, "unit_id string, feature_id string, value double"), obs, panel, other)[0]["calls"].collect()}
+    assert before["0"] == "confident" and after == before | {"0": "probable"}
     assert {r.gene for r in tables["suggested_negatives"].where("cell_type = 'T1'").collect()} == {f"G{x}" for x in (*range(10, 15), *range(21, 25), 99)}

@@ -85,6 +85,11 @@ def test_called_types(spark):
     rows = [("0", "T1", 0.9, 1.0, 0), ("0", "T2", 0.1, 0.0, 0), ("1", "T1", 0.5, 0.8, 0), ("1", "T2", 0.4, 0.8, 0), ("2", "T1", 0.5, 0.8, 0), ("2", "T2", 0.48, 0.8, 0), ("3", "T1", 0.2, 0.4, 0), ("4", "T1", 0.9, 1.0, 1)]
     scores = spark.createDataFrame([(*r, 60) for r in rows], "grp string, cell_type string, score double, pos_detect double, negatives_on int, n_cells int")
     assert {r.grp: r.tier for r in apply(enrich.called_types(), scores=scores).collect()} == {"0": "confident", "1": "probable", "2": "ambiguous", "3": "unassigned", "4": "ambiguous"}
+    votes = spark.createDataFrame([("0", "T2"), ("1", "T2"), ("2", "T1"), ("3", "T1")], "grp string, vote string")
+    voted = {r.grp: (r.label, r.tier) for r in apply(enrich.called_types(True), scores=scores, votes=votes).collect()}
+    assert voted == {"0": ("T1", "probable"), "1": ("ambiguous", "ambiguous"), "2": ("ambiguous", "ambiguous"), "3": ("unassigned", "unassigned"), "4": ("ambiguous", "ambiguous")}
+    agreed = votes.selectExpr("grp", "'T1' AS vote")
+    assert {r.grp: r.tier for r in apply(enrich.called_types(True), scores=scores, votes=agreed).collect()} == {r.grp: r.tier for r in apply(enrich.called_types(), scores=scores).collect()}
 
 
 def test_planted_set_is_found(spark):
