@@ -48,6 +48,20 @@ def interval_z() -> str:
     return f"SELECT id, {rounded(f'({side("high")} - {side("low")}) / ({num(2)} * {num(1.959964)})')} AS se, {rounded(f'({side("estimate")}) / (({side("high")} - {side("low")}) / ({num(2)} * {num(1.959964)}))')} AS z FROM {{cis}}"
 
 
+def interval_agrees(cis, factor: float = 2.0):
+    """(id, p_from_interval, p_reported, agrees) of a DataFrame (id, estimate, low, high, ratio, p_reported): whether the p that a 95 % interval implies
+    lies within a factor of the reported one; null where either is missing or the interval has no width."""
+    from pyspark.sql import functions as F
+
+    from corvellum.functions.dist import z_p
+
+    side = lambda c: F.when(F.col("ratio"), F.log(c)).otherwise(F.col(c).cast("double"))
+    width = (side("high") - side("low")) / (2 * 1.959964)
+    z = side("estimate") / F.when(width > 0, width)
+    found = cis.select("id", z_p(z).alias("p_from_interval"), F.col("p_reported").cast("double").alias("p_reported"))
+    return found.withColumn("agrees", F.col("p_from_interval").between(F.col("p_reported") / factor, F.col("p_reported") * factor))
+
+
 def smd() -> str:
     """Pooled deviation, d, its small-sample correction and a 95% interval, over {groups}(id, m1, sd1, n1, m2, sd2, n2)."""
     return f"""WITH a AS (SELECT id, m1, m2, n1, n2, sqrt(((n1 - 1) * sd1 * sd1 + (n2 - 1) * sd2 * sd2) / (n1 + n2 - 2)) AS sp FROM {{groups}}), b AS (SELECT id, n1, n2, sp, (m1 - m2) / sp AS d FROM a),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvellum.functions.dist import chi2_p, reported_p, t_p, z_p
-from corvellum.operators import glm, learn, lint, sampling, structure, variable
+from corvellum.operators import glm, learn, lint, records, sampling, structure, variable
 from corvellum.plans import statistics
 from corvellum.plans.sqlplan import apply, from_sql
 
@@ -155,6 +155,13 @@ def mann_whitney_p(spark, sf_dir):
     return from_sql(statistics.SQL["mann_whitney"])(spark, sf_dir).withColumn("p", F.round(z_p(F.col("z")), 6))
 
 
+def ci_p_agrees(spark, sf_dir):
+    """Intervals and p-values reported with each order: some of the p fit their interval, some don't."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2 == 0).alias("ratio"), (F.col("o_totalprice") / 100_000).alias("x"))
+    cis = o.select("id", "ratio", (F.col("x") + 1).alias("estimate"), F.col("x").cast("double").alias("low"), (F.col("x") + 2.5).alias("high"), (F.pmod(F.col("id"), F.lit(100)) / 1000.0 + 0.001).alias("p_reported"))
+    return records.interval_agrees(cis).withColumn("p_from_interval", F.round("p_from_interval", 6)).withColumn("p_reported", F.round("p_reported", 6))
+
+
 def recomputed_p(spark, sf_dir):
     """p-values of reported statistics of each kind, as many as there are orders."""
     k, x = F.col("o_orderkey"), F.col("o_totalprice") / 100_000
@@ -197,7 +204,7 @@ def nb_p(spark, sf_dir):
     return from_sql(statistics.SQL["nb_wald"])(spark, sf_dir).withColumn("p", F.round(z_p(F.col("z")), 6))
 
 
-QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, swap_null_unpaired, abundance_glm, abundance_glm_unpaired, nb_model, variable_counts, variable_counts_by_batch, permutation_difference, paired_p, chi_square_p, mann_whitney_p, recomputed_p, gsea, gsea_by_type, lint_scripts, worked_example, nb_p)}
+QUERIES = {f.__name__: f for f in (pca, pca_scores, parallel_analysis, knn, knn_mixing, mean_silhouette, nearest_centroid, components_stranded, louvain, batch_centred, nmf_programs, state_auc, reference_labels, swap_null, swap_null_unpaired, abundance_glm, abundance_glm_unpaired, nb_model, variable_counts, variable_counts_by_batch, permutation_difference, paired_p, chi_square_p, mann_whitney_p, ci_p_agrees, recomputed_p, gsea, gsea_by_type, lint_scripts, worked_example, nb_p)}
 
 _NEAR = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.id, b.id AS other, a.label, b.label AS other_label, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id),

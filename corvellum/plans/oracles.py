@@ -165,3 +165,7 @@ SELECT s AS sample, k AS condition, t AS ptype, m AS k, n, round(m / n, 6) AS sh
 
 
 SQL |= _comparison(True) | _comparison(False)
+
+_CI = """SELECT o_orderkey AS id, CASE o_orderkey % 2 WHEN 0 THEN (ln(e) / ((ln(h) - ln(l)) / 3.919928)) ELSE e / ((h - l) / 3.919928) END AS z, round(o_orderkey % 100 / 1000.0::DOUBLE + 0.001, 6) AS p_reported
+FROM (SELECT o_orderkey, o_totalprice / 100000.0::DOUBLE AS l, l + 1 AS e, l + 2.5 AS h FROM orders)"""
+SQL["ci_p_agrees"] = f"SELECT id, round(p, 6) AS p_from_interval, p_reported, p >= p_reported / 2 AND p <= p_reported * 2 AS agrees FROM (SELECT *, {_z_two_sided('z')} AS p FROM ({_CI}))"

@@ -169,3 +169,11 @@ def test_least_squares(spark):
             se = np.sqrt(((v - x @ b) ** 2).sum() / df * np.linalg.pinv(x.T @ x)[1, 1])
             assert got[f].df == df and abs(got[f].effect - b[1]) < 1e-9 and abs(got[f].t_stat - b[1] / se) < 1e-6
         assert got["f0"].t_stat > 5
+
+
+def test_intervals_against_reported_p(spark):
+    from corvellum.operators import records
+
+    rows = [(1, 1.0, 0.0, 2.0, False, 0.05), (2, 1.0, 0.0, 2.0, False, 0.2), (3, 2.0, 1.0, 4.0, True, 0.05), (4, 1.0, 1.0, 1.0, False, 0.05), (5, None, 0.0, 2.0, False, 0.05), (6, 1.0, 0.0, 2.0, False, None)]
+    got = {r.id: (r.p_from_interval and round(r.p_from_interval, 4), r.agrees) for r in records.interval_agrees(spark.createDataFrame(rows, "id int, estimate double, low double, high double, ratio boolean, p_reported double")).collect()}
+    assert got == {1: (0.05, True), 2: (0.05, False), 3: (0.05, True), 4: (None, None), 5: (None, None), 6: (0.05, None)}
