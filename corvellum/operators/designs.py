@@ -114,7 +114,7 @@ w AS (SELECT b.sample, b.condition, b.n FROM b CROSS JOIN {{gate}} g WHERE both_
 t AS (SELECT ptype FROM o WHERE {_NAMED} GROUP BY ptype HAVING count(*) >= {min_type_cells}),
 c AS (SELECT sample, condition, ptype, count(*) AS k FROM o GROUP BY sample, condition, ptype),
 x AS (SELECT w.sample, w.condition, t.ptype, coalesce(c.k, 0) AS k, w.n FROM w CROSS JOIN t LEFT JOIN c ON c.sample = w.sample AND c.condition = w.condition AND c.ptype = t.ptype)
-SELECT sample, condition, ptype, k, n, {rounded('k / CAST(n AS DOUBLE)')} AS share, {rounded(f'ln(k + {num(0.5)}) - avg(ln(k + {num(0.5)})) OVER (PARTITION BY sample, condition)')} AS clr FROM x"""
+SELECT sample, condition, ptype, k, n, k / CAST(n AS DOUBLE) AS share, ln(k + {num(0.5)}) - avg(ln(k + {num(0.5)})) OVER (PARTITION BY sample, condition) AS clr FROM x"""
 
 
 def share_effects(ref: str, test: str) -> str:

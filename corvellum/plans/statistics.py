@@ -104,8 +104,8 @@ SQL = {
     "paired_t": _paired["effects"],
     "unpaired_t": _unpaired["effects"],
     "direction_consistency": _consistency,
-    "abundance_share": _shares,
-    "abundance_share_unpaired": _unpaired["shares"],
+    "abundance_share": f"SELECT sample, condition, ptype, k, n, {rounded('share')} AS share, {rounded('clr')} AS clr FROM ({_shares}) s",
+    "abundance_share_unpaired": f"SELECT sample, condition, ptype, k, n, {rounded('share')} AS share, {rounded('clr')} AS clr FROM ({_unpaired['shares']}) s",
     "composition_ratio": fill(compare.share_ratio("F", "O"), shares=_shares),
     "abundance_logit": fill(compare.abundance_logit("F", "O"), shares=_shares),
     "clr_ols": fill(designs.share_effects("F", "O"), **_paired),
