@@ -147,13 +147,14 @@ stored AS (SELECT c.t, c.s, c.k, p_brand AS f, sum(l_quantity) AS total FROM lin
 tested AS (SELECT t, f FROM stored GROUP BY t, f HAVING sum(total) >= 10 AND count(*) FILTER (total > 0) >= 3),
 grid AS (SELECT kept.t, kept.s, kept.k, tested.f, coalesce(stored.total, 0) AS y FROM kept JOIN tested ON tested.t = kept.t LEFT JOIN stored ON stored.t = kept.t AND stored.s = kept.s AND stored.k = kept.k AND stored.f = tested.f),
 logged AS (SELECT t, s, k, f, log2(y * 1000000 / greatest(sum(y) OVER (PARTITION BY t, s, k), 1) + 1) AS v FROM grid)"""
-    if paired:
-        test = f"""WITH {dense}, d AS (SELECT t, f, a.v - b.v AS d FROM logged a JOIN logged b USING (t, f, s) WHERE a.k = 'O' AND b.k = 'F')
-SELECT t AS ptype, f AS feature, count(*) AS n_ref, count(*) AS n_test, round(avg(d), 6) AS effect, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t_stat, count(*) - 1 AS df FROM d GROUP BY t, f"""
-    else:
-        side = lambda k: f"FILTER (k = '{k}')"
-        test = f"""WITH {dense}, m AS (SELECT t, f, count(*) {side("F")} AS n1, count(*) {side("O")} AS n2, avg(v) {side("O")} - avg(v) {side("F")} AS e, var_samp(v) {side("F")} AS v1, var_samp(v) {side("O")} AS v2 FROM logged GROUP BY t, f)
-SELECT t AS ptype, f AS feature, n1 AS n_ref, n2 AS n_test, round(e, 6) AS effect, round(e / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)), 6) AS t_stat, n1 + n2 - 2 AS df FROM m"""
+    side = lambda k: f"FILTER (k = '{k}')"
+    # small tables can be unpaired by either choice of samples
+    test = f"""WITH {dense},
+d AS (SELECT t, f, a.v - b.v AS d FROM logged a JOIN logged b USING (t, f, s) WHERE a.k = 'O' AND b.k = 'F'),
+m AS (SELECT t, f, count(*) {side("F")} AS n1, count(*) {side("O")} AS n2, avg(v) {side("O")} - avg(v) {side("F")} AS e, coalesce(var_samp(v) {side("F")}, 0) AS v1, coalesce(var_samp(v) {side("O")}, 0) AS v2 FROM logged GROUP BY t, f),
+p AS (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / nullif(n1 + n2 - 2, 0) AS pooled FROM m WHERE n1 > 0 AND n2 > 0)
+SELECT t AS ptype, f AS feature, count(*) AS n_ref, count(*) AS n_test, round(avg(d), 6) AS effect, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 6) AS t_stat, count(*) - 1 AS df FROM d WHERE (SELECT paired FROM design) GROUP BY t, f
+UNION ALL SELECT t, f, n1, n2, round(e, 6), round(e / nullif(sqrt(pooled * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)), 0), 6), n1 + n2 - 2 FROM p WHERE NOT (SELECT paired FROM design)"""
     share = f"""WITH {cells}, {both},
 u AS (SELECT s, k, count(*) AS n FROM c WHERE k IN ('F', 'O') GROUP BY s, k HAVING count(*) >= 10),
 w AS (SELECT * FROM u WHERE NOT (SELECT paired FROM design) OR (SELECT count(*) FROM u v WHERE v.s = u.s) = 2),
