@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvellum.functions import dist
 from corvellum.operators import learn, sampling, structure
@@ -181,6 +182,16 @@ def test_shuffles_keep_columns_and_break_links(spark):
     assert (structure.principal_components(strong, 5, 5)[1] > structure.shuffled_variances(strong, 5, 5, runs=3)).tolist() == [True, False, False, False, False]
 
 
+def test_components_of_tasks_without_rows(spark):
+    rng = np.random.default_rng(4)
+    vec = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(50, 3)))], "id long, v array<double>")
+    scores, value, _ = structure.principal_components(vec.repartition(8, F.lit(1)), 3, 2)  # one task has all rows
+    whole, want, _ = structure.principal_components(vec, 3, 2)
+    assert np.allclose(value, want) and scores.count() == 50 and want[0] > 0
+    assert all(np.allclose(a.scores, b.scores) for a, b in zip(scores.orderBy("id").collect(), whole.orderBy("id").collect(), strict=True))
+    assert structure.principal_components(vec.where("id < 0"), 3, 2)[1].tolist() == [0, 0]
+
+
 def test_programs_that_restarts_agree_on(spark):
     rng = np.random.default_rng(5)
     planted = np.zeros((2, 12))
