@@ -192,6 +192,38 @@ def test_components_of_tasks_without_rows(spark):
     assert structure.principal_components(vec.where("id < 0"), 3, 2)[1].tolist() == [0, 0]
 
 
+def test_neighbours_among_copies_and_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5)) + 1000
+    x[rng.permutation(400)[:60]] = x[0]  # copies, whose ties go by id
+    ids = rng.permutation(400)
+    rows = [(int(i), [float(v) for v in r], int(i) % 3) for i, r in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label long")
+    place = np.argsort(ids)
+    d = np.sqrt(((x[place][:, None] - x[place][None]) ** 2).sum(2))
+    far = d + np.where(np.eye(400, dtype=bool), np.inf, 0)
+    want = {i: np.lexsort((np.arange(400), far[i]))[:7].tolist() for i in range(400)}
+    for block in (16, 64, 2048):
+        got = {i: [None] * 7 for i in range(400)}
+        for r in structure.nearest(df.select("id", "v"), 7, block).collect():
+            got[r.id][r.place - 1] = r.other
+            assert r.distance == d[r.id, r.other]
+        assert got == want
+    own = np.arange(400) % 3
+    m = np.stack([d[:, own == c].sum(1) / ((own == c).sum() - (own == c)) for c in range(3)])
+    a = m[own, np.arange(400)]
+    b = np.where(np.arange(3)[:, None] == own, np.inf, m).min(0)
+    sil = {r.id: r.silhouette for r in structure.silhouette(df.select("id", "v"), df.select("id", "label"), 64).collect()}
+    assert np.allclose([sil[i] for i in range(400)], (b - a) / np.maximum(a, b), atol=1e-9)
+
+
+def test_neighbours_move_no_row_for_each_pair_of_blocks(spark):
+    vec = spark.range(1000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    found = structure.nearest(vec, 3, 10)  # about 100 blocks
+    assert found.count() == 3000
+    assert structure._cartesian(structure._blocks(vec, 10)[0], 100).rdd.getNumPartitions() <= 100 * 4
+
+
 def test_programs_that_restarts_agree_on(spark):
     rng = np.random.default_rng(5)
     planted = np.zeros((2, 12))
