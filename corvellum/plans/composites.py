@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvellum.functions.dist import t_p, z_p
-from corvellum.operators import compare, designs, enrich, glm, inference, learn, matrix, prose_checks, sampling, structure, variable
+from corvellum.operators import alike, compare, designs, enrich, glm, inference, learn, matrix, prose_checks, sampling, structure, variable
 from corvellum.plans.catalogues import CATALOGUES
 from corvellum.plans.report import card, record, run_summary
 from corvellum.plans.sqlplan import apply
@@ -446,7 +446,7 @@ def worked_example(spark: SparkSession) -> tuple[DataFrame, str]:
     """Intake, quality, normalisation, structure and comparison of `synthetic_study`: the result table and a summary."""
     long, meta = synthetic_study(spark)
     long = long.persist()
-    copies = apply(inference.near_duplicate_columns(100, 0.9999), long=long).collect()
+    copies = alike.near_duplicates(long, 100, 0.9999).collect()
     samples = long.groupBy("sample").agg(F.sum(F.pow(F.lit(2.0), "value")).alias("total"), F.count("*").cast("double").alias("seen"), F.median("value").alias("mid"))
     flags = [r.sample for r in apply(matrix.robust_flags(), samples=samples).where("weak OR outlier").collect()]
     out = {r.b for r in copies} | set(flags)

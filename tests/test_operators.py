@@ -1,5 +1,7 @@
 """Operators on small relations with known answers."""
 
+import numpy as np
+
 from corvellum.operators import enrich, inference, matrix, records
 from corvellum.plans.sqlplan import apply
 
@@ -177,3 +179,18 @@ def test_intervals_against_reported_p(spark):
     rows = [(1, 1.0, 0.0, 2.0, False, 0.05), (2, 1.0, 0.0, 2.0, False, 0.2), (3, 2.0, 1.0, 4.0, True, 0.05), (4, 1.0, 1.0, 1.0, False, 0.05), (5, None, 0.0, 2.0, False, 0.05), (6, 1.0, 0.0, 2.0, False, None)]
     got = {r.id: (r.p_from_interval and round(r.p_from_interval, 4), r.agrees) for r in records.interval_agrees(spark.createDataFrame(rows, "id int, estimate double, low double, high double, ratio boolean, p_reported double")).collect()}
     assert got == {1: (0.05, True), 2: (0.05, False), 3: (0.05, True), 4: (None, None), 5: (None, None), 6: (0.05, None)}
+
+
+def test_samples_alike_block_by_block(spark, monkeypatch):
+    from corvellum.operators import alike, inference
+
+    monkeypatch.setattr(alike, "MOST", 16)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(90, 6)) + 100
+    base[50:60] = base[:10] * 2 + 1e-3 * rng.normal(size=(10, 6))
+    base[60:64] = 7.25  # no variance
+    rows = [(f"s{i}", f"f{c}", None if (i + c) % 23 == 0 else float(v)) for i, r in enumerate(base) for c, v in enumerate(r) if (i * 7 + c) % 5]
+    long = spark.createDataFrame(rows, "sample string, feature string, value double")
+    got = {(r.a, r.b): (r.shared, r.r) for r in alike.near_duplicates(long, 3, 0.8).collect()}
+    assert got == {(r.a, r.b): (r.shared, r.r) for r in apply(inference.near_duplicate_columns(3, 0.8), long=long).collect()} and len(got) > 10
+    assert alike.near_duplicates(long.where("sample = ''"), 3, 0.8).count() == 0
