@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvellum.functions.sqltext import ranked
 from corvellum.operators import enrich, inference
+from corvellum.operators.structure import kept
 from corvellum.plans.sqlplan import apply
 
 
@@ -43,20 +44,42 @@ def stratified(df: DataFrame, strata: list[str], key: str, share: float, seed: i
     return placed.where(F.col("__i__") <= F.greatest(F.lit(1), F.bround(F.col("__n__") * share))).drop("__i__", "__n__")
 
 
+#: Standard deviations of a rank by which a permutation's last hash may lie off its expected place.
+OFF = 8.0
+
+
 def permutation_difference(rows: DataFrame, n_perm: int = 1000, seed: int = 0) -> DataFrame:
     """Difference of means of groups 1 and 0 of ``rows`` (id, grp, value), and its two-sided p by relabelling.
 
-    In each permutation as many units as group 1 has, those of the least hashes, are taken for group 1. Hashes are ranked
-    bin by bin (they are spread evenly), so no task holds a permutation; rows times permutations are made, and added up
-    before they move on. Rows without a value or group are left out; without both groups the difference is null.
+    In each permutation as many units as group 1 has, those of the least hashes, are taken for group 1. Hashes are spread
+    evenly, so it's known within `OFF` standard deviations where the last of them lies: rows below are added up where they are, and
+    only those around that place (by the square root of the rows) are ranked. A permutation for which that doesn't hold, as
+    counts tell, is ranked whole, bin by bin. Rows without a value or group are left out; without both groups the
+    difference is null.
     """
     spark = rows.sparkSession
     given = rows.where("grp IN (0, 1) AND value IS NOT NULL").select("id", F.col("grp").cast("int").alias("grp"), F.col("value").cast("double").alias("value"))
     facts = given.agg(F.sum("grp").alias("n1"), F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("grp") * F.col("value")).alias("s1"))
-    each = given.crossJoin(F.broadcast(spark.range(n_perm).withColumnRenamed("id", "perm"))).select("id", "value", "perm", F.xxhash64(F.lit(seed), "perm", "id").cast("double").alias("h"))
-    apart = spark.sql(f"WITH {ranked('{x}', 'h', 'id', 'perm')} SELECT k.perm, k.value, k.i FROM k", x=each)
+    n1, n = facts.select(F.coalesce("n1", F.lit(0)), "n").first()
+    share = n1 / max(n, 1)
+    off = OFF * (share * (1 - share) / max(n, 1)) ** 0.5 + 2 * OFF / max(n, 1)
+    low, high = (F.lit((min(max(x, 0.0), 1.0) - 0.5) * 2.0**64) for x in (share - off, share + off))
+    hashed = lambda perms: given.select("id", "value").repartition(128).crossJoin(F.broadcast(perms)).select("id", "value", "perm", F.xxhash64(F.lit(seed), "perm", "id").cast("double").alias("h"))
+    each = hashed(spark.range(n_perm).withColumnRenamed("id", "perm"))
+    # a sum for each permutation and task leaves the tasks, and the rows around the place
+    below = each.where(F.col("h") < low).groupBy("perm").agg(F.count("*").alias("below"), F.sum("value").alias("s"))
+    around = each.where((F.col("h") >= low) & (F.col("h") <= high))
+    below = spark.range(n_perm).withColumnRenamed("id", "perm").join(below, "perm", "left").select("perm", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("s", F.lit(0.0)).alias("s"))
+    placed = around.select("perm", "value", F.row_number().over(Window.partitionBy("perm").orderBy("h", "id")).alias("i"))
+    taken = placed.join(F.broadcast(below), "perm").groupBy("perm").agg(F.count("*").alias("around"), F.sum(F.when(F.col("i") <= n1 - F.col("below"), F.col("value"))).alias("more"))
+    near = kept(below.join(taken, "perm", "left").select("perm", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"), (F.lit(n1).between(F.col("below"), F.col("below") + F.coalesce("around", F.lit(0)))).alias("ok")))
+    sums = near.where("ok").select("perm", "s")
+    astray = near.where("NOT ok").select("perm")
+    if astray.limit(1).count():
+        apart = spark.sql(f"WITH {ranked('{x}', 'h', 'id', 'perm')} SELECT k.perm, k.value, k.i FROM k", x=hashed(astray))
+        sums = sums.unionByName(apart.where(F.col("i") <= n1).groupBy("perm").agg(F.sum("value").alias("s")))
+    sums = sums.crossJoin(F.broadcast(facts)).where("n1 > 0")
     mean = lambda s, n: F.try_divide(s, n.cast("double"))
-    sums = apart.crossJoin(F.broadcast(facts)).where("i <= n1").groupBy("perm", "n1", "n", "total", "s1").agg(F.sum("value").alias("s"))
     null = sums.select((mean(F.col("s"), F.col("n1")) - mean(F.col("total") - F.col("s"), F.col("n") - F.col("n1"))).alias("x"), (mean(F.col("s1"), F.col("n1")) - mean(F.col("total") - F.col("s1"), F.col("n") - F.col("n1"))).alias("d"))
     as_far = F.sum((F.abs("x") >= F.abs("d") - 1e-12).cast("int"))
     return null.groupBy(F.col("d").alias("difference")).agg(((as_far + 1) / (F.count("*") + 1)).alias("p"))

@@ -264,3 +264,19 @@ def test_permutations_keep_group_sizes(spark):
     rng = np.random.default_rng(0)
     null = np.array([p[:7].mean() - p[7:].mean() for p in (rng.permutation(x) for _ in range(20000))])
     assert abs(got.difference - d) < 1e-12 and abs(got.p - (np.abs(null) >= abs(d) - 1e-12).mean()) < 0.08
+
+
+def test_permutations_are_those_of_all_hashes(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "CAST(id % 5 = 0 AS INT) AS grp", "CAST(id * id % 101 + CAST(id % 5 = 0 AS INT) * 2 AS DOUBLE) AS value").withColumn("id", F.when(F.col("id") % 50 == 0, 0).otherwise(F.col("id")))
+    own = rows.where("id > 0")  # ids that repeat would leave ties open
+    h = own.crossJoin(spark.range(40).withColumnRenamed("id", "perm")).select("perm", "id", "value", F.xxhash64(F.lit(0), "perm", "id").cast("double").alias("h")).toPandas()
+    n1, x = own.agg(F.sum("grp")).first()[0], own.toPandas()
+    d = x.value[x.grp == 1].mean() - x.value[x.grp == 0].mean()
+    null = [p.value[:n1].mean() - p.value[n1:].mean() for _, p in h.sort_values(["h", "id"]).groupby("perm")]
+    want = (np.sum(np.abs(null) >= abs(d) - 1e-12) + 1) / 41
+    for off in (8.0, 0.0):  # with no allowance the permutations are ranked whole
+        monkeypatch.setattr(sampling, "OFF", off)
+        got = sampling.permutation_difference(own, 40).first()
+        assert abs(got.difference - d) < 1e-9 and abs(got.p - want) < 1e-12
+    monkeypatch.undo()
+    assert 0 < sampling.permutation_difference(rows, 20).first().p <= 1  # 60 rows of one hash
