@@ -163,15 +163,17 @@ RULES = (
 def lint(scripts: DataFrame) -> DataFrame:
     """The first place where each rule is broken in each script: path, rule, severity, line (null if it's the whole script), message.
 
-    A null text is empty and breaks no rule; a script that can't be parsed has one finding that says so. Scripts are parsed one
-    by one where they lie, rules are expressions over their facts.
+    A null text is empty and breaks no rule; a script that can't be parsed has one finding that says so. Each different text is
+    parsed once, rules are expressions over its facts, and scripts meet the findings of their text.
     """
 
     @F.pandas_udf(_FACT)
     def parse(text: pd.Series) -> pd.Series:
         return text.map(lambda t: [dict(zip(FACT, f, strict=True)) for f in facts(t or "")])
 
-    parsed = scripts.select("path", parse("text").alias("facts"))
+    scripts = scripts.select("path", F.coalesce("text", F.lit("")).alias("text"))
+    # told to be nondeterministic, or filters on its facts would be moved below the distinct texts and parse every script
+    parsed = scripts.select("text").distinct().select("text", parse.asNondeterministic()("text").alias("facts"))
 
     def has(test) -> Column:
         return F.coalesce(F.exists("facts", test), F.lit(False))
@@ -192,7 +194,8 @@ def lint(scripts: DataFrame) -> DataFrame:
     # bars on an axis that is cut: two calls that only together break a rule
     bars = F.when(has(_BARS) & has(_CUT_AXIS), F.struct(F.lit("H3").alias("rule"), F.lit("FAIL").alias("severity"), F.array_min(lines(_BARS)).alias("line"), F.lit("bars must begin at zero").alias("message")))
     found = F.array_compact(F.array(*[finding(*r) for r in RULES], bars))
-    return parsed.select("path", F.explode(found).alias("f")).select("path", "f.*")
+    broken = parsed.select("text", found.alias("found")).where(F.size("found") > 0)
+    return scripts.join(broken, "text").select("path", F.explode("found").alias("f")).select("path", "f.*")
 
 
 def review_card(findings: list[dict]) -> str:

@@ -1,6 +1,7 @@
 """Operators on small relations with known answers."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corvellum.operators import enrich, inference, matrix, records
 from corvellum.plans.sqlplan import apply
@@ -194,3 +195,22 @@ def test_samples_alike_block_by_block(spark, monkeypatch):
     got = {(r.a, r.b): (r.shared, r.r) for r in alike.near_duplicates(long, 3, 0.8).collect()}
     assert got == {(r.a, r.b): (r.shared, r.r) for r in apply(inference.near_duplicate_columns(3, 0.8), long=long).collect()} and len(got) > 10
     assert alike.near_duplicates(long.where("sample = ''"), 3, 0.8).count() == 0
+
+
+def test_a_text_is_parsed_once(spark):
+    from corvellum.operators import lint
+
+    parsed = spark.sparkContext.accumulator(0)
+    real = lint.facts
+
+    def counted(text):
+        parsed.add(1)
+        return real(text)
+
+    lint.facts = counted
+    try:
+        df = spark.range(200).select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 4 == 0, "ax.pie(x)").when(F.col("id") % 4 == 1, "x = 1").when(F.col("id") % 4 == 2, "").alias("text"))
+        assert {r.path for r in lint.lint(df).where("rule = 'H1b'").collect()} == {str(i) for i in range(0, 200, 4)}
+    finally:
+        lint.facts = real
+    assert parsed.value <= 3
