@@ -160,6 +160,28 @@ def test_structure_helpers(spark):
     assert all(len({got[g * 20 + i] for i in range(20)} & {got[h * 20 + i] for i in range(20)}) == 0 for g in range(3) for h in range(g))
 
 
+
+def test_graphs_search_their_neighbours_once(spark):
+    """Rows that leave the search are counted: 200 units with 3 neighbours each, through either graph."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for frame in batches:
+            seen.add(len(frame))
+            yield frame
+
+    vec = spark.createDataFrame([(i, [float(i % 17), float(i % 23), float(i % 5)]) for i in range(200)], "id long, v array<double>")
+    plain = structure.nearest(vec, 3).collect()
+    near = structure.nearest(vec, 3).mapInPandas(count, "id long, other long, distance double, place int")
+    graph = {(r.src, r.dst): r.weight for r in structure.kept(structure.shared_neighbour_graph(near)).collect()}
+    assert seen.value == 600
+    sets = {i: {r.other for r in plain if r.id == i} for i in range(200)}
+    want = {p: max(len(sets[r.id] & sets[r.other]), 1) / len(sets[r.id] | sets[r.other]) for r in plain for p in ((r.id, r.other), (r.other, r.id))}
+    assert graph == want
+    pieces = structure.graph_components(structure.both_ways(near.select(F.col("id").alias("src"), F.col("other").alias("dst"))), vec.select("id")).collect()
+    assert seen.value == 1200 and len(pieces) == 200
+
+
 def test_samples(spark):
     df = spark.range(1000).selectExpr("id", "id % 3 AS g")
     assert {r.half for r in sampling.halves(df, "id").collect()} == {0, 1}
