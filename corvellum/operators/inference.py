@@ -46,11 +46,16 @@ SELECT {rounded(f'r1 - n1 * (n1 + {num(1)}) / {num(2)}')} AS u,
 
 
 def correlations() -> str:
-    """Pearson and Spearman correlation of {xy}(x, y)."""
+    """Pearson and Spearman correlation of {xy}(x, y). `ranks.correlations` has the same row in steps."""
     both = "(SELECT x AS u, y AS v FROM {xy} WHERE x IS NOT NULL AND y IS NOT NULL)"
     return f"""WITH {tied_ranks(both, 'u', 'ru', 'u')},
 {tied_ranks('(SELECT u, v, rk AS ru FROM ru)', 'v', 'rv', 'v')}
-SELECT {rounded(correlation('u', 'v'))} AS pearson, {rounded(correlation('ru', 'rk'))} AS spearman FROM rv"""
+{both_correlations('rv')}"""
+
+
+def both_correlations(relation: str) -> str:
+    """Pearson and Spearman correlation over rows (u, v) and their ranks (ru, rk)."""
+    return f"SELECT {rounded(correlation('u', 'v'))} AS pearson, {rounded(correlation('ru', 'rk'))} AS spearman FROM {relation}"
 
 
 def icc() -> str:
@@ -144,21 +149,41 @@ def hypergeometric_tail(least_k: str, size: str, drawn: str, total: str, k: str
     return f"CASE WHEN {k} >= {least_k} AND {k} >= {drawn} + {size} - {total} THEN exp({plus} - {minus}) ELSE {num(0)} END"
 
 
+def shared_results(alpha: float) -> str:
+    """One row for each id that {a} and {b} (id, effect, padj) share, case apart: effects ea, eb and whether each calls it, ca, cb."""
+    one = lambda r: f"(SELECT upper(id) AS id, min_by(effect, padj) AS effect, min(padj) AS padj FROM {{{r}}} GROUP BY upper(id))"
+    return f"SELECT a.effect AS ea, b.effect AS eb, a.padj < {num(alpha)} AS ca, b.padj < {num(alpha)} AS cb FROM {one('a')} a JOIN {one('b')} b ON a.id = b.id"
+
+
+def shared_counts(relation: str) -> str:
+    """One row of counts, agreement of signs and correlation of ranks over rows (ea, eb, ca, cb, ra, rk)."""
+    return f"""SELECT count(*) AS n, count(CASE WHEN ca THEN 1 END) AS na, count(CASE WHEN cb THEN 1 END) AS nb, count(CASE WHEN ca AND cb THEN 1 END) AS nab, count(CASE WHEN ca OR cb THEN 1 END) AS either,
+ avg(CASE WHEN ca AND cb THEN CASE WHEN sign(ea) = sign(eb) THEN {num(1)} ELSE {num(0)} END END) AS same, {correlation('ra', 'rk')} AS rho FROM {relation}"""
+
+
+def overlap_tail(relation: str) -> str:
+    """The chance p of so many called in both, for each n, over rows (n, na, nb, nab, k) with every k from nab on."""
+    return f"SELECT n, least(sum({hypergeometric_tail('nab', 'na', 'nb', 'n')}), {num(1)}) AS p FROM {relation} GROUP BY n"
+
+
+def agreement(s: str, p: str, least: int) -> str:
+    """The report of `concordance` from its counts and the chance of so many in common."""
+    return f"""SELECT CASE WHEN s.n < {least} THEN 'not testable' ELSE 'tested' END AS status, s.n AS n_shared, CASE WHEN s.n >= {least} THEN na END AS sig_a, CASE WHEN s.n >= {least} THEN nb END AS sig_b, CASE WHEN s.n >= {least} THEN nab END AS overlap,
+ CASE WHEN s.n >= {least} THEN CASE WHEN na > 0 AND nb > 0 THEN {rounded('p.p')} ELSE {num(1)} END END AS overlap_p, CASE WHEN s.n >= {least} THEN {rounded('nab / CAST(greatest(either, 1) AS DOUBLE)')} END AS jaccard,
+ CASE WHEN s.n >= {least} THEN {rounded('same')} END AS same_direction, CASE WHEN s.n >= {least} THEN {rounded('rho')} END AS effect_correlation FROM {s} LEFT JOIN {p} ON p.n = s.n"""
+
+
 def concordance(alpha: float = 0.05, least: int = 10) -> str:
     """Agreement of two results {a}, {b} (id, effect, padj) over the ids that both have, case apart; of rows that repeat
     an id the one with the smallest padj counts. Called in each and in both with the chance of so many, Jaccard, share of
-    the ids called in both that move the same way, Spearman of the effects; not testable under ``least`` shared ids."""
-    one = lambda r: f"(SELECT upper(id) AS id, min_by(effect, padj) AS effect, min(padj) AS padj FROM {{{r}}} GROUP BY upper(id))"
-    pairs = f"(SELECT a.effect AS ea, b.effect AS eb, a.padj < {num(alpha)} AS ca, b.padj < {num(alpha)} AS cb FROM {one('a')} a JOIN {one('b')} b ON a.id = b.id)"
-    return f"""WITH {tied_ranks(pairs, 'ea', 'ra', 'a')},
+    the ids called in both that move the same way, Spearman of the effects; not testable under ``least`` shared ids.
+    One text reads its relations many times; `ranks.concordance` has the same row in steps."""
+    return f"""WITH {tied_ranks(f'({shared_results(alpha)})', 'ea', 'ra', 'a')},
 {tied_ranks('(SELECT ea, eb, ca, cb, rk AS ra FROM ra)', 'eb', 'rb', 'b')},
-s AS (SELECT count(*) AS n, count(CASE WHEN ca THEN 1 END) AS na, count(CASE WHEN cb THEN 1 END) AS nb, count(CASE WHEN ca AND cb THEN 1 END) AS nab, count(CASE WHEN ca OR cb THEN 1 END) AS either,
- avg(CASE WHEN ca AND cb THEN CASE WHEN sign(ea) = sign(eb) THEN {num(1)} ELSE {num(0)} END END) AS same, {correlation('ra', 'rk')} AS rho FROM rb),
+s AS ({shared_counts('rb')}),
 t AS (SELECT s.*, explode(sequence(nab, least(na, nb))) AS k FROM s),
-p AS (SELECT n, least(sum({hypergeometric_tail("nab", "na", "nb", "n")}), {num(1)}) AS p FROM t GROUP BY n)
-SELECT CASE WHEN s.n < {least} THEN 'not testable' ELSE 'tested' END AS status, s.n AS n_shared, CASE WHEN s.n >= {least} THEN na END AS sig_a, CASE WHEN s.n >= {least} THEN nb END AS sig_b, CASE WHEN s.n >= {least} THEN nab END AS overlap,
- CASE WHEN s.n >= {least} THEN CASE WHEN na > 0 AND nb > 0 THEN {rounded('p.p')} ELSE {num(1)} END END AS overlap_p, CASE WHEN s.n >= {least} THEN {rounded('nab / CAST(greatest(either, 1) AS DOUBLE)')} END AS jaccard,
- CASE WHEN s.n >= {least} THEN {rounded('same')} END AS same_direction, CASE WHEN s.n >= {least} THEN {rounded('rho')} END AS effect_correlation FROM s LEFT JOIN p ON p.n = s.n"""
+p AS ({overlap_tail('t')})
+{agreement('s', 'p', least)}"""
 
 
 def set_overlap() -> str:

@@ -27,6 +27,9 @@ REVENUE = "SELECT CAST(p_partkey AS STRING) AS feature_id, sum(l_extendedprice *
 BRAND_SETS = "SELECT p_brand AS term, CAST(p_partkey AS STRING) AS feature_id FROM part"
 PARTS = "SELECT CAST(p_partkey AS STRING) AS feature_id FROM part"
 TOP_PARTS = f"SELECT feature_id FROM (SELECT feature_id, round(stat, 2) AS r FROM ({REVENUE}) x ORDER BY r DESC, feature_id LIMIT 100) y"
+XY = "SELECT o_totalprice AS x, c_acctbal AS y FROM orders JOIN customer ON o_custkey = c_custkey"
+RESULT_A = "SELECT CAST(o_orderkey AS STRING) AS id, o_totalprice - 150000 AS effect, (o_orderkey * 37 % 1009 + 1) / CAST(1010 AS DOUBLE) AS padj FROM orders"
+RESULT_B = "SELECT CAST(l_orderkey AS STRING) AS id, sum(l_extendedprice) - 150000 AS effect, (l_orderkey * 41 % 1009 + 1) / CAST(1010 AS DOUBLE) AS padj FROM lineitem GROUP BY l_orderkey"
 DIMS = "SELECT vec_id, label, d, embedding FROM embeddings CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"
 # Checks of forty groups, one for each event; and what there could have been.
 RECORDS = """SELECT CAST(user_id % 40 AS STRING) AS grp, concat(event_type, ' ', CAST(event_id % 13 AS STRING)) AS check_name, event_id AS place,
@@ -117,7 +120,7 @@ SQL = {
     "p_curve": fill(inference.p_curve(), p=P),
     "auc_rank": fill(inference.auc(), scored=LABELLED),
     "mann_whitney": fill(inference.mann_whitney(), scored=LABELLED),
-    "correlations": fill(inference.correlations(), xy="SELECT o_totalprice AS x, c_acctbal AS y FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "correlations": fill(inference.correlations(), xy=XY),
     "icc_design_effect": fill(inference.icc(), rows=VALUES),
     "welch_rows": fill(inference.welch(), rows=VALUES),
     "chi_square": fill(inference.chi_square(), rows="SELECT lang AS a, CASE WHEN labels.doc_id IS NULL THEN 1 ELSE 0 END AS b FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id"),
@@ -129,7 +132,7 @@ SQL = {
     "rank_labels": fill(inference.ranked_labels(), labels="SELECT c_custkey AS id, c_mktsegment AS label FROM customer"),
     "batch_dominance": fill(inference.batch_dominance(0.3), rows="SELECT s_nationkey AS cluster, l_returnflag AS batch FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
     "majority_label": fill(inference.majority_label(0.4), rows="SELECT p_brand AS cluster, p_type AS label FROM part"),
-    "concordance": fill(inference.concordance(0.3), a="SELECT CAST(o_orderkey AS STRING) AS id, o_totalprice - 150000 AS effect, (o_orderkey * 37 % 1009 + 1) / CAST(1010 AS DOUBLE) AS padj FROM orders", b="SELECT CAST(l_orderkey AS STRING) AS id, sum(l_extendedprice) - 150000 AS effect, (l_orderkey * 41 % 1009 + 1) / CAST(1010 AS DOUBLE) AS padj FROM lineitem GROUP BY l_orderkey"),
+    "concordance": fill(inference.concordance(0.3), a=RESULT_A, b=RESULT_B),
     "set_overlap": fill(inference.set_overlap(), a="SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R'", b="SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'A'"),
     "pair_duplicates": fill(inference.near_duplicate_columns(3, 0.9), long="SELECT user_id AS sample, event_type AS feature, avg(value) AS value FROM events GROUP BY user_id, event_type"),
     "gap_break": fill(inference.gaps_broken(3.0), points="SELECT l_suppkey AS series, l_partkey AS x, sum(l_quantity) AS y FROM lineitem GROUP BY l_suppkey, l_partkey"),

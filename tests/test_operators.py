@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvellum.operators import enrich, inference, matrix, records
+from corvellum.operators import enrich, inference, matrix, ranks, records
 from corvellum.plans.sqlplan import apply
 
 
@@ -52,6 +52,31 @@ def test_agreement_of_two_results(spark):
     assert apply(inference.concordance(), a=frame(rows[:9]), b=frame(rows)).first().status == "not testable"
 
 
+
+def test_rankings_read_their_rows_once(spark):
+    """Rows that leave each input are counted; ids that repeat, ties, nulls, few shared ids and none, beside the one text."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for frame in batches:
+            seen.add(len(frame))
+            yield frame
+
+    def frame(rows, counted=True):
+        df = spark.createDataFrame(rows, "id string, effect double, padj double")
+        return df.mapInPandas(count, df.schema) if counted else df
+
+    a = [(f"f{i % 600}", None if i % 31 == 0 else float(i * 7 % 50 - 20), (i * 37 % 1009 + 1) / 1010) for i in range(700)]
+    b = [(f"F{i + 100}", None if i % 29 == 0 else float(i * 11 % 40 - 20), (i * 41 % 1009 + 1) / 1010) for i in range(700)]
+    got = ranks.concordance(frame(a), frame(b), 0.4).collect()
+    assert seen.value == 1400 and got[0].n_shared > 400 and got[0].overlap > 50
+    for x, y in ((a, b), (a[:9], b), (a[:50], b[-50:]), ([], b), ([(i, e, 1.0) for i, e, _ in a], b)):
+        assert ranks.concordance(frame(x), frame(y), 0.4).collect() == apply(inference.concordance(0.4), a=frame(x, False), b=frame(y, False)).collect()
+    xy = spark.createDataFrame([(None if i % 31 == 0 else float(i * 7 % 50), None if i % 29 == 0 else float(i * i % 83)) for i in range(700)], "x double, y double")
+    seen.value = 0
+    assert ranks.correlations(xy.mapInPandas(count, xy.schema)).collect() == apply(inference.correlations(), xy=xy).collect() and seen.value == 700
+
+
 def test_expectations_on_a_result(spark):
     result = spark.createDataFrame([("A", 1.0, 0.01), ("B", 1.0, 0.02), ("C", 1.0, 0.9), ("D", -1.0, 0.01), ("E", 0.1, 0.6)], "feature string, effect double, padj double")
     rules = [("up", f, "up") for f in "abABAB"[:2]] + [("most", f, "up") for f in "ABC"] + [("down", f, "down") for f in "DE"] + [("quiet", f, "none") for f in "CE"] + [("loud", f, "none") for f in "CEA"] + [("few", "A", "up"), ("few", "Z", "up")]
